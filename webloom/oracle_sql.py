@@ -384,6 +384,12 @@ FIXTURE_CTES = {
     CASE WHEN doc_id % 5 = 0 THEN text || chr(10) || 'Updated line ' || CAST(doc_id AS VARCHAR) ELSE text END AS markdown,
     '"d' || CAST(doc_id AS VARCHAR) || '"' AS etag, TIMESTAMP '2024-01-30 00:00:00' AS checked_at
   FROM documents WHERE doc_id % 7 <> 0)""",
+    "logs": """logs AS (
+  SELECT event_id AS id, CASE WHEN user_id % 2 = 0 THEN 'job_' || CAST(user_id AS VARCHAR) END AS job_id,
+    CASE WHEN user_id % 2 = 1 THEN 'mon_src' || CAST(user_id % 20 AS VARCHAR) END AS monitor_id,
+    CASE WHEN event_type = 'error' THEN 'error' WHEN event_type = 'signup' THEN 'warn' ELSE 'info' END AS level,
+    event_type AS message, props AS context, ts AS created_at
+  FROM events)""",
 }
 
 

@@ -163,3 +163,212 @@ def q_masked(spark, sf):
         F.when(F.col("c_custkey") % 5 == 0, None)
          .otherwise(F.concat(F.lit("sk-"), "c_mktsegment", F.col("c_custkey").cast("string"))).alias("k"))
     return cfg.select("c_custkey", U.redact_url("u").alias("database_url"), U.mask_secret("k").alias("api_key"))
+
+
+# ------------------------------------------------------------------ Q1-Q17, C11, C12, C14, K5
+
+from ..operators import ops as Q  # noqa: E402
+
+_W = O.with_fixtures
+_AS_OF = FX.AS_OF
+_JAS = FX.JOBS_AS_OF
+_RET_DAYS = 7
+
+
+@register("q1_job_with_pages", _W("jobs", "job_pages") + """
+SELECT j.id AS job_id, j.status, j.url, j.pages_discovered, j.pages_scraped, j.pages_failed, j.started_at,
+  j.completed_at, j.error, p.ord AS page_ord, p.url AS page_url, p.status AS page_status,
+  p.engine AS page_engine, p.title AS page_title, p.scraped_at AS page_scraped_at
+FROM jobs j LEFT JOIN job_pages p ON p.job_id = j.id""")
+def q_job_with_pages(spark, sf):
+    return Q.job_with_pages_flat(FX.jobs(spark, sf), FX.job_pages(spark, sf))
+
+
+@register("q2_list_jobs", _W("jobs") + """
+SELECT id, status, url, pages_discovered, pages_scraped, pages_failed, started_at, completed_at, created_at
+FROM jobs ORDER BY created_at, id""")
+def q_list_jobs(spark, sf):
+    return Q.list_jobs(FX.jobs(spark, sf))
+
+
+@register("q3_recent_running_jobs", _W("jobs") + """
+SELECT * FROM (SELECT * FROM jobs ORDER BY created_at DESC, id DESC LIMIT 100) WHERE status = 'running'""")
+def q_recent_jobs(spark, sf):
+    return Q.recent_jobs(FX.jobs(spark, sf), "running")
+
+
+@register("q4_job_page_log", _W("job_pages") + " SELECT * FROM job_pages ORDER BY job_id, ord")
+def q_page_log(spark, sf):
+    return Q.job_page_log(FX.job_pages(spark, sf))
+
+
+@register("q5_page_log_rank", _W("jobs", "job_pages") + """
+SELECT p.job_id, p.ord, CAST(row_number() OVER (PARTITION BY p.job_id ORDER BY p.ord) AS BIGINT) AS i,
+  coalesce(j.status = 'running', false)
+    AND row_number() OVER (PARTITION BY p.job_id ORDER BY p.ord) > count(*) OVER (PARTITION BY p.job_id) - 3 AS is_new,
+  coalesce(p.title, p.error) AS display_title
+FROM job_pages p LEFT JOIN jobs j ON j.id = p.job_id""")
+def q_page_rank(spark, sf):
+    return Q.page_log_rank(FX.jobs(spark, sf), FX.job_pages(spark, sf))
+
+
+@register("q6_job_avg_duration", _W("job_pages") + """
+SELECT job_id, CAST(floor(avg(duration_ms) + 0.5) AS BIGINT) AS avg_duration_ms FROM job_pages GROUP BY job_id""")
+def q_avg_duration(spark, sf):
+    return Q.job_avg_duration(FX.job_pages(spark, sf))
+
+
+@register("q7_progress_pct", _W("jobs") + """
+SELECT id, CAST(CASE WHEN pages_discovered > 0 THEN floor(pages_scraped * 100.0 / pages_discovered + 0.5)
+  ELSE 0 END AS BIGINT) AS progress_pct FROM jobs""")
+def q_progress(spark, sf):
+    return Q.progress_pct(FX.jobs(spark, sf))
+
+
+@register("q8_job_counts", _W("jobs") + """,
+known AS (SELECT * FROM (VALUES ('queued'), ('running'), ('completed'), ('failed')) t(status)),
+c AS (SELECT status, count(*) AS n FROM jobs GROUP BY status)
+SELECT coalesce(known.status, c.status) AS status, CAST(coalesce(c.n, 0) AS BIGINT) AS jobs
+FROM known FULL OUTER JOIN c ON known.status = c.status""")
+def q_job_counts(spark, sf):
+    return Q.job_counts(FX.jobs(spark, sf))
+
+
+@register("q9_page_totals", _W("jobs") + """
+SELECT CAST(coalesce(sum(pages_scraped), 0) AS BIGINT) AS pages_scraped,
+       CAST(coalesce(sum(pages_failed), 0) AS BIGINT) AS pages_failed FROM jobs""")
+def q_page_totals(spark, sf):
+    return Q.page_totals(FX.jobs(spark, sf))
+
+
+@register("q10_active_monitors", _W("monitors") + """
+SELECT CAST(count(*) FILTER (WHERE status = 'active') AS BIGINT) AS active_monitors FROM monitors""")
+def q_active_monitors(spark, sf):
+    return Q.active_monitors(FX.monitors(spark, sf))
+
+
+@register("q11_running_jobs", _W("jobs") + """
+SELECT id, url, pages_discovered, pages_scraped FROM jobs WHERE status = 'running'""")
+def q_running(spark, sf):
+    return Q.running_jobs(FX.jobs(spark, sf))
+
+
+@register("q11_running_count", _W("jobs") + """
+SELECT CAST(count(*) FILTER (WHERE status = 'running') AS BIGINT) AS running_count FROM jobs""")
+def q_running_count(spark, sf):
+    return Q.running_count(FX.jobs(spark, sf))
+
+
+_NOW = f"TIMESTAMP '{_AS_OF}'"
+
+
+@register("q12_scrape_stats", _W("scrape_requests") + f""",
+s AS (SELECT * FROM scrape_requests WHERE created_at <= {_NOW}),
+a AS (SELECT count(*) AS total,
+  count(*) FILTER (WHERE created_at >= date_trunc('day', {_NOW})) AS today,
+  count(*) FILTER (WHERE created_at >= {_NOW} - INTERVAL 24 HOUR) AS total24,
+  avg(duration_ms) FILTER (WHERE created_at >= {_NOW} - INTERVAL 24 HOUR AND status = 'ok') AS av,
+  count(*) FILTER (WHERE created_at >= {_NOW} - INTERVAL 24 HOUR AND status = 'ok') AS ok24 FROM s)
+SELECT CAST(total AS BIGINT) AS total, CAST(today AS BIGINT) AS today, CAST(total24 AS BIGINT) AS total24,
+  CAST(coalesce(floor(av + 0.5), 0) AS BIGINT) AS avg_ms,
+  CAST(CASE WHEN total24 > 0 THEN floor(ok24 * 100.0 / total24 + 0.5) ELSE 100 END AS BIGINT) AS success_rate
+FROM a""")
+def q_scrape_stats(spark, sf):
+    return Q.scrape_stats(FX.scrape_requests(spark, sf), _AS_OF)
+
+
+_MIX_SQL = _W("scrape_requests") + f""",
+mix AS (SELECT coalesce(engine, 'unknown') AS engine, CAST(count(*) AS BIGINT) AS n FROM scrape_requests
+  WHERE created_at >= {_NOW} - INTERVAL 24 HOUR AND created_at <= {_NOW} GROUP BY 1)"""
+
+
+@register("q13_engine_mix", _MIX_SQL + " SELECT * FROM mix")
+def q_engine_mix(spark, sf):
+    return Q.engine_mix(FX.scrape_requests(spark, sf), _AS_OF)
+
+
+@register("q14_browser_share", _MIX_SQL + """,
+t AS (SELECT coalesce(sum(n) FILTER (WHERE engine = 'browser'), 0) AS b,
+             coalesce(sum(n) FILTER (WHERE engine = 'fetch'), 0) AS f FROM mix)
+SELECT CAST(CASE WHEN b + f > 0 THEN floor(b * 100.0 / (b + f) + 0.5) ELSE 0 END AS BIGINT) AS browser_pct FROM t""")
+def q_browser_share(spark, sf):
+    return Q.browser_share(Q.engine_mix(FX.scrape_requests(spark, sf), _AS_OF))
+
+
+@register("q15_recent_browser_scrapes", _W("scrape_requests") + """
+SELECT * FROM (SELECT * FROM scrape_requests ORDER BY created_at DESC, id DESC LIMIT 200)
+WHERE source = 'scrape' AND engine = 'browser'""")
+def q_recent_scrapes(spark, sf):
+    return Q.recent_scrapes(FX.scrape_requests(spark, sf), "scrape", "browser")
+
+
+@register("q16_overview_jobs", _W("jobs") + " SELECT * FROM jobs ORDER BY created_at DESC, id DESC LIMIT 8")
+def q_overview_jobs(spark, sf):
+    return Q.overview(FX.jobs(spark, sf), FX.scrape_requests(spark, sf), _AS_OF)["jobs"]
+
+
+@register("q16_overview_scrapes", _W("scrape_requests") + f"""
+SELECT * FROM scrape_requests WHERE created_at <= {_NOW} ORDER BY created_at DESC, id DESC LIMIT 10""")
+def q_overview_scrapes(spark, sf):
+    return Q.overview(FX.jobs(spark, sf), FX.scrape_requests(spark, sf), _AS_OF)["scrapes"]
+
+
+@register("q17_retain_logs", _W("logs") + f"""
+SELECT * FROM logs WHERE created_at >= {_NOW} - INTERVAL {_RET_DAYS} DAY""")
+def q_retain_logs(spark, sf):
+    return Q.retain_logs(FX.logs(spark, sf), _AS_OF, _RET_DAYS)
+
+
+_PROGRESS_SQL = """,
+progress AS (SELECT job_id, CAST(count(*) FILTER (WHERE status = 'scraped') AS INTEGER) AS pages_scraped,
+  CAST(count(*) FILTER (WHERE status <> 'scraped') AS INTEGER) AS pages_failed,
+  max(scraped_at) AS last_heartbeat_at, max(ord) AS last_ord FROM job_pages GROUP BY job_id)"""
+
+
+@register("c11_job_progress", _W("job_pages") + _PROGRESS_SQL + " SELECT * FROM progress")
+def q_job_progress(spark, sf):
+    return Q.job_progress(FX.job_pages(spark, sf))
+
+
+@register("c12_finalize_jobs", _W("jobs", "job_pages") + _PROGRESS_SQL + f"""
+SELECT j.id,
+  CASE WHEN j.status = 'running' THEN CASE WHEN j.error IS NOT NULL THEN 'failed' ELSE 'completed' END
+       ELSE j.status END AS status,
+  CAST(CASE WHEN j.status = 'running' THEN coalesce(p.pages_scraped, 0) ELSE j.pages_scraped END AS INTEGER) AS pages_scraped,
+  CAST(CASE WHEN j.status = 'running' THEN coalesce(p.pages_failed, 0) ELSE j.pages_failed END AS INTEGER) AS pages_failed,
+  CASE WHEN j.status = 'running' THEN TIMESTAMP '{_JAS}' ELSE j.completed_at END AS completed_at,
+  coalesce(p.last_heartbeat_at, j.last_heartbeat_at) AS last_heartbeat_at, j.error
+FROM jobs j LEFT JOIN progress p ON p.job_id = j.id""")
+def q_finalize(spark, sf):
+    return Q.finalize_jobs(FX.jobs(spark, sf), Q.job_progress(FX.job_pages(spark, sf)), _JAS)
+
+
+@register("c14_stale_jobs", _W("jobs") + f"""
+SELECT id, url, last_heartbeat_at FROM jobs
+WHERE status = 'running' AND last_heartbeat_at < TIMESTAMP '{_JAS}' - INTERVAL 120 SECOND""")
+def q_stale(spark, sf):
+    return Q.stale_jobs(FX.jobs(spark, sf), _JAS)
+
+
+@register("k5_metrics_exposition", _W("jobs", "monitors") + """,
+known AS (SELECT * FROM (VALUES ('queued', 0), ('running', 1), ('completed', 2), ('failed', 3)) t(status, pos)),
+c AS (SELECT status, count(*) AS n FROM jobs GROUP BY status),
+counts AS (SELECT coalesce(known.status, c.status) AS status, coalesce(c.n, 0) AS n, known.pos
+           FROM known FULL OUTER JOIN c ON known.status = c.status),
+tot AS (SELECT coalesce(sum(pages_scraped), 0) AS s, coalesce(sum(pages_failed), 0) AS f FROM jobs),
+act AS (SELECT count(*) FILTER (WHERE status = 'active') AS a FROM monitors)
+SELECT * FROM (VALUES
+  (1, '# HELP quarry_jobs_total Crawl jobs by status'), (2, '# TYPE quarry_jobs_total gauge'), (100, ''),
+  (101, '# HELP quarry_pages_scraped_total Total pages successfully scraped across all jobs'),
+  (102, '# TYPE quarry_pages_scraped_total counter'), (104, ''),
+  (105, '# HELP quarry_pages_failed_total Total pages that failed across all jobs'),
+  (106, '# TYPE quarry_pages_failed_total counter'), (108, ''),
+  (109, '# HELP quarry_monitors_active Active monitors'), (110, '# TYPE quarry_monitors_active gauge'), (112, '')
+) t(line_no, line)
+UNION ALL SELECT CAST(10 + coalesce(pos, 4 + dense_rank() OVER (ORDER BY status)) AS INTEGER),
+  'quarry_jobs_total{status="' || status || '"} ' || CAST(n AS VARCHAR) FROM counts
+UNION ALL SELECT 103, 'quarry_pages_scraped_total ' || CAST(s AS VARCHAR) FROM tot
+UNION ALL SELECT 107, 'quarry_pages_failed_total ' || CAST(f AS VARCHAR) FROM tot
+UNION ALL SELECT 111, 'quarry_monitors_active ' || CAST(a AS VARCHAR) FROM act""")
+def q_metrics(spark, sf):
+    return Q.metrics_exposition(FX.jobs(spark, sf), FX.monitors(spark, sf))

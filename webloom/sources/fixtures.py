@@ -275,3 +275,17 @@ def completions(spark: SparkSession, sf_dir: str, prompts: DataFrame) -> DataFra
     a2 = prompts.select("prompt_hash", F.lit(2).alias("attempt"), second.alias("text"),
                         F.lit(None).cast("string").alias("error"))
     return a1.unionByName(a2)
+
+
+def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in ``logs`` rows laid out from the events table."""
+    e = driver_table(spark, sf_dir, "events")
+    level = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "signup", "warn") \
+             .otherwise("info")
+    return e.select(
+        F.col("event_id").alias("id"),
+        F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("job_"), F.col("user_id").cast("string"))).alias("job_id"),
+        F.when(F.col("user_id") % 2 == 1,
+               F.concat(F.lit("mon_src"), (F.col("user_id") % 20).cast("string"))).alias("monitor_id"),
+        level.alias("level"), F.col("event_type").alias("message"), F.col("props").alias("context"),
+        F.col("ts").alias("created_at"))
