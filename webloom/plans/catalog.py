@@ -372,3 +372,51 @@ UNION ALL SELECT 107, 'quarry_pages_failed_total ' || CAST(f AS VARCHAR) FROM to
 UNION ALL SELECT 111, 'quarry_monitors_active ' || CAST(a AS VARCHAR) FROM act""")
 def q_metrics(spark, sf):
     return Q.metrics_exposition(FX.jobs(spark, sf), FX.monitors(spark, sf))
+
+
+# ------------------------------------------------------------------ S1, S2, X3, X5, X6, X7, K2
+
+from ..operators import extract as X  # noqa: E402
+
+
+@register("s2_classify_responses", _W("responses") + """
+SELECT url, http_status,
+  CASE WHEN error IS NOT NULL AND (contains(error, 'TimeoutError') OR contains(error, 'abort')) THEN 'timeout'
+       WHEN error IS NOT NULL THEN 'error' WHEN http_status = 304 THEN 'scraped'
+       WHEN http_status = 404 THEN 'not_found' WHEN http_status IN (403, 429) THEN 'blocked'
+       WHEN http_status IS NULL OR http_status < 200 OR http_status >= 300 THEN 'error' ELSE 'scraped' END AS status,
+  coalesce(error IS NULL AND http_status = 304, false) AS unchanged,
+  CASE WHEN error IS NOT NULL AND (contains(error, 'TimeoutError') OR contains(error, 'abort')) THEN 'Request timed out'
+       WHEN error IS NOT NULL THEN error WHEN http_status = 304 THEN NULL
+       WHEN http_status IS NULL OR http_status < 200 OR http_status >= 300 THEN 'HTTP ' || CAST(http_status AS VARCHAR)
+  END AS error
+FROM responses""")
+def q_classify(spark, sf):
+    r = FX.responses(spark, sf)
+    status, unchanged, err = X.classify_response()
+    return r.select("url", "http_status", status.alias("status"), unchanged.alias("unchanged"), err.alias("error"))
+
+
+@register("x7_scrape_pages")
+def q_scrape_pages(spark, sf):
+    """X1-X5 + S2 over captured responses; markdown via the Python tree walk."""
+    s = X.scrape_pages(FX.responses(spark, sf), keep=("page_id",))
+    return s.select("page_id", "url", "status", "unchanged", "title", "markdown_length", "thin",
+                    F.size("links").alias("n_links"), "error",
+                    F.sha2(F.col("markdown"), 256).alias("markdown_sha256"))
+
+
+@register("x6_choose_rendering_auto")
+def q_choose_rendering(spark, sf):
+    plain = X.scrape_pages(FX.responses(spark, sf))
+    rendered = X.scrape_pages(FX.rendered_responses(spark, sf))
+    return X.choose_rendering(plain, rendered, "auto", "crawl").select(
+        "url", "engine", "status", "title", "markdown_length", "error")
+
+
+@register("k2_scrape_log_rows")
+def q_scrape_log(spark, sf):
+    plain = X.scrape_pages(FX.responses(spark, sf), keep=("page_id",))
+    rendered = X.scrape_pages(FX.rendered_responses(spark, sf))
+    chosen = X.choose_rendering(plain, rendered, "auto", "scrape")
+    return X.scrape_log_rows(chosen, "auto", "scrape")
