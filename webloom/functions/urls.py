@@ -371,3 +371,32 @@ def mask_secret(value) -> Column:
     v = _c(value)
     return F.when(v.isNull() | (v == ""), F.lit("not set")) \
             .otherwise(F.concat(F.substring(v, 1, 6), F.lit("•" * 12)))
+
+
+def url_origin_of(parts: Column) -> Column:
+    """scheme://host[:port] from a ``parse_url_parts`` struct."""
+    port = F.when(parts["port"].isNotNull(), F.concat(F.lit(":"), parts["port"])).otherwise(F.lit(""))
+    return F.when(parts["ok"] & parts["scheme"].isin(*SPECIAL_SCHEMES),
+                  F.concat(parts["scheme"], F.lit("://"), parts["host"], port))
+
+
+def allowed_path(path, include, exclude) -> Column:
+    """U4 on an already parsed pathname (null path -> false)."""
+    inc = F.coalesce(_c(include), F.array().cast("array<string>"))
+    exc = F.coalesce(_c(exclude), F.array().cast("array<string>"))
+    p = _c(path)
+    hit_exc = F.exists(exc, lambda g: F.regexp_like(p, glob_to_regex(g)))
+    hit_inc = F.exists(inc, lambda g: F.regexp_like(p, glob_to_regex(g)))
+    return F.coalesce(p.isNotNull() & ~hit_exc & ((F.size(inc) == 0) | hit_inc), F.lit(False))
+
+
+def evaluate_once(df, **cols):
+    """Add columns computed exactly once per row.
+
+    Catalyst pushes filters below projections by substituting the
+    projected expression into the predicate, so a filter on a costly
+    derived column (a normalised URL) would evaluate it again. A
+    single-row ``inline`` is a Generate node; predicates on its output
+    stay above it, so each expression runs once.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))

@@ -390,6 +390,45 @@ FIXTURE_CTES = {
     CASE WHEN event_type = 'error' THEN 'error' WHEN event_type = 'signup' THEN 'warn' ELSE 'info' END AS level,
     event_type AS message, props AS context, ts AS created_at
   FROM events)""",
+    "crawl_requests": """crawl_requests AS (
+  SELECT 'req_' || CAST(o_orderkey AS VARCHAR) AS id,
+    CASE WHEN o_orderkey % 10 = 3 THEN '' ELSE 'https://' END || 'c' || CAST(o_custkey AS VARCHAR) || '.example.com/' AS url,
+    CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderkey % 13 - 1 AS INTEGER) END AS max_depth,
+    CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST((o_custkey * 37) % 1200 AS INTEGER) END AS max_pages,
+    CASE WHEN o_orderkey % 9 = 0 THEN ['/docs/*'] END AS include_patterns,
+    NULL::VARCHAR[] AS exclude_patterns,
+    CASE WHEN o_orderkey % 6 = 0 THEN 'not a url' WHEN o_orderkey % 6 = 1 THEN 'https://hooks.example.com/x' END AS webhook_url,
+    CASE WHEN o_orderkey % 4 = 0 THEN NULL WHEN o_orderkey % 4 = 1 THEN 'fetch' WHEN o_orderkey % 4 = 2 THEN 'browser'
+         WHEN o_orderkey % 8 = 3 THEN 'chrome' ELSE 'auto' END AS engine,
+    o_orderdate AS created_at
+  FROM orders)""",
+    "link_graph": """link_graph AS (
+  SELECT page_id, url, html, host, rnk AS rank, '/n/' || CAST(rnk AS VARCHAR) AS path FROM (
+    SELECT page_id, url, html, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host,
+      row_number() OVER (PARTITION BY regexp_extract(url, '^https?://([^/?#]+)', 1) ORDER BY page_id) AS rnk
+    FROM pages))""",
+    "crawl_sitemaps": """sm_hosts AS (SELECT host FROM link_graph WHERE rank = 1 AND page_id % 4 = 0),
+sm_pages AS (SELECT g.*, CAST(floor((rank - 1) / 1000) AS INTEGER) AS bucket FROM link_graph g JOIN sm_hosts USING (host)),
+sm_child AS (SELECT host, bucket,
+    'https://' || host || '/sitemap-' || CAST(bucket AS VARCHAR) || '.xml' AS sitemap_url,
+    '<?xml version="1.0"?><urlset>'
+      || string_agg('<url><loc> https://' || host || path || ' </loc></url>', '' ORDER BY rank DESC)
+      || '<url><LOC>https://' || host || '/n/1</LOC></url>'
+      || '<url><loc>https://elsewhere.example.com/n/1</loc></url></urlset>' AS xml
+  FROM sm_pages GROUP BY host, bucket),
+crawl_sitemaps AS (
+  SELECT 'https://' || host || '/sitemap.xml' AS sitemap_url,
+    '<?xml version="1.0"?><sitemapindex>' || string_agg('<sitemap><loc>' || sitemap_url || '</loc></sitemap>', '' ORDER BY bucket)
+      || '<sitemap><loc>https://' || host || '/sitemap-missing.xml</loc></sitemap></sitemapindex>' AS xml
+  FROM sm_child GROUP BY host
+  UNION ALL SELECT sitemap_url, xml FROM sm_child)""",
+    "crawl_robots": """crawl_robots AS (
+  SELECT 'https://' || host AS origin,
+    CASE WHEN page_id % 3 = 0 THEN 'User-agent: *' || chr(10) || 'Disallow: /n/5' || chr(10) || 'Allow: /n/5$' || chr(10)
+           || chr(10) || 'User-agent: otherbot' || chr(10) || 'Disallow: /' || chr(10)
+         ELSE '# crawl rules' || chr(10) || 'User-agent: Quarry' || chr(10) || 'Disallow: /n/1*3' || chr(10) || 'Disallow:' || chr(10)
+    END AS body
+  FROM link_graph WHERE rank = 1 AND page_id % 3 <> 2)""",
 }
 
 

@@ -420,3 +420,165 @@ def q_scrape_log(spark, sf):
     rendered = X.scrape_pages(FX.rendered_responses(spark, sf))
     chosen = X.choose_rendering(plain, rendered, "auto", "scrape")
     return X.scrape_log_rows(chosen, "auto", "scrape")
+
+
+# ------------------------------------------------------------------ crawl: S3-S6, U5, U6, C1-C15, K1, K3
+
+from ..operators import crawl as C  # noqa: E402
+from . import crawl as PC  # noqa: E402
+
+
+@register("c1_validate_crawl_requests", _W("crawl_requests") + """,
+v AS (SELECT id, url, coalesce(max_depth, 2) AS d, coalesce(max_pages, 100) AS p, coalesce(engine, 'auto') AS e,
+        webhook_url FROM crawl_requests),
+x AS (SELECT id, d, p, e, list_filter([
+        CASE WHEN NOT coalesce(regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^\\s/?#]+'), false)
+             THEN 'url must be a URL address with protocol' END,
+        CASE WHEN d < 1 OR d > 10 THEN 'max-depth must be between 1 and 10' END,
+        CASE WHEN p < 1 OR p > 1000 THEN 'max-pages must be between 1 and 1000' END,
+        CASE WHEN e NOT IN ('fetch', 'browser', 'auto') THEN 'engine must be one of fetch, browser, auto' END,
+        CASE WHEN NOT (webhook_url IS NULL OR regexp_matches(webhook_url, '^https?://[^\\s/?#]+'))
+             THEN 'webhook-url must be a URL address' END], lambda z_: z_ IS NOT NULL) AS errs FROM v)
+SELECT id, CAST(d AS INTEGER) AS max_depth, CAST(p AS INTEGER) AS max_pages, e AS engine,
+  len(errs) = 0 AS valid, array_to_string(errs, '; ') AS errors FROM x""")
+def q_validate(spark, sf):
+    valid, rejected = C.validate_crawl_requests(FX.crawl_requests(spark, sf))
+    v = valid.select("id", "max_depth", "max_pages", "engine", F.lit(True).alias("valid"), F.lit("").alias("errors"))
+    r = rejected.select("id", "max_depth", "max_pages", "engine", F.lit(False).alias("valid"),
+                        F.array_join("errors", "; ").alias("errors"))
+    return v.unionByName(r)
+
+
+@register("c2_create_jobs", _W("crawl_requests") + """
+SELECT id, 'queued' AS status, url, CAST(coalesce(max_depth, 2) AS INTEGER) AS max_depth,
+  CAST(coalesce(max_pages, 100) AS INTEGER) AS max_pages, coalesce(engine, 'auto') AS engine
+FROM crawl_requests
+WHERE coalesce(regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^\\s/?#]+'), false)
+  AND coalesce(max_depth, 2) BETWEEN 1 AND 10 AND coalesce(max_pages, 100) BETWEEN 1 AND 1000
+  AND coalesce(engine, 'auto') IN ('fetch', 'browser', 'auto')
+  AND (webhook_url IS NULL OR regexp_matches(webhook_url, '^https?://[^\\s/?#]+'))""")
+def q_create_jobs(spark, sf):
+    valid, _ = C.validate_crawl_requests(FX.crawl_requests(spark, sf))
+    return C.create_jobs(valid).select("id", "status", "url", "max_depth", "max_pages", "engine")
+
+
+@register("s3_sitemap_locs", _W("link_graph", "crawl_sitemaps") + """
+SELECT sitemap_url, CAST(pos - 1 AS INTEGER) AS loc_pos, trim(loc) AS loc FROM (
+  SELECT sitemap_url, unnest(l) AS loc, generate_subscripts(l, 1) AS pos FROM (
+    SELECT sitemap_url, regexp_extract_all(xml, '(?i)<loc>\\s*(https?://[^<]+?)\\s*</loc>', 1) AS l
+    FROM crawl_sitemaps))""")
+def q_sitemap_locs(spark, sf):
+    return C.sitemap_locs(FX.crawl_sitemaps(spark, sf))
+
+
+@register("s4_expand_sitemaps", _W("link_graph", "crawl_sitemaps") + """,
+locs AS (SELECT sitemap_url, CAST(pos - 1 AS INTEGER) AS loc_pos, trim(loc) AS loc FROM (
+  SELECT sitemap_url, unnest(l) AS loc, generate_subscripts(l, 1) AS pos FROM (
+    SELECT sitemap_url, regexp_extract_all(xml, '(?i)<loc>\\s*(https?://[^<]+?)\\s*</loc>', 1) AS l
+    FROM crawl_sitemaps))),
+roots AS (SELECT 'job_h' || CAST(page_id AS VARCHAR) AS job_id, 'https://' || host || '/sitemap.xml' AS sitemap_url
+          FROM link_graph WHERE rank = 1),
+r AS (SELECT roots.*, regexp_matches(xml, '(?i)<sitemapindex[\\s>]') AS is_index
+      FROM roots JOIN crawl_sitemaps USING (sitemap_url)),
+plain AS (SELECT job_id, -1 AS src_pos, loc_pos, loc FROM r JOIN locs USING (sitemap_url) WHERE NOT is_index),
+children AS (SELECT job_id, loc_pos AS src_pos, loc AS child_url FROM r JOIN locs USING (sitemap_url)
+             WHERE is_index AND ends_with(loc, '.xml')),
+sub AS (SELECT job_id, src_pos, l.loc_pos, l.loc FROM children c JOIN locs l ON l.sitemap_url = c.child_url)
+SELECT job_id, CAST(src_pos AS INTEGER) AS src_pos, loc_pos, loc FROM (SELECT * FROM plain UNION ALL SELECT * FROM sub)
+WHERE NOT ends_with(loc, '.xml')""")
+def q_expand_sitemaps(spark, sf):
+    jobs = FX.crawl_jobs(spark, sf)
+    roots = jobs.select(F.col("id").alias("job_id"),
+                        F.concat(U.url_origin("url"), F.lit("/sitemap.xml")).alias("sitemap_url"))
+    return C.expand_sitemaps(roots, FX.crawl_sitemaps(spark, sf))
+
+
+@register("s6_robots_rules")
+def q_robots_rules(spark, sf):
+    """The rule group that applies to our agent, per origin (golden-tested)."""
+    return C.robots_rules(FX.crawl_robots(spark, sf)).select("origin", "ln", "allow", "pattern", "regex")
+
+
+@register("s5_discover_from_sitemap")
+def q_discover(spark, sf):
+    jobs = FX.crawl_jobs(spark, sf)
+    jobs = U.evaluate_once(jobs, _sp=U.parse_url_parts("url"))
+    jobs = jobs.select("*", F.col("_sp.host").alias("seed_host"), U.url_origin_of(F.col("_sp")).alias("seed_origin"))
+    rules = C.robots_rules(FX.crawl_robots(spark, sf))
+    return C.discover_from_sitemap(jobs.drop("_sp"), FX.crawl_sitemaps(spark, sf), rules)
+
+
+@register("u6_dedupe_links", f"""
+WITH {_LINKS_CTE},
+n AS (SELECT page_id, pos, {O.normalize_url('href', 'url')} AS link_url,
+        regexp_extract(url, '^https?://([^/?#]+)', 1) AS site FROM links),
+r AS (SELECT *, row_number() OVER (PARTITION BY site, link_url ORDER BY page_id, pos) AS rn FROM n
+      WHERE link_url IS NOT NULL)
+SELECT site, link_url, page_id, pos FROM r WHERE rn = 1""")
+def q_dedupe(spark, sf):
+    p = _pages(spark, sf)
+    ln = P.page_links_exploded(p).join(p.select("page_id", F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
+                                                .alias("site")), "page_id")
+    ln = ln.where(F.col("link_url").isNotNull()).select("site", "link_url", "page_id", "pos")
+    return C.dedupe_urls(ln, ["site", "link_url"], ["page_id", "pos"])
+
+
+@register("c9_politeness_plan", f"""
+WITH c AS (SELECT page_id, {O.normalize_url('url', 'url')} AS url FROM pages),
+h AS (SELECT page_id, url, {O.url_host('url')} AS host FROM c WHERE url IS NOT NULL)
+SELECT page_id, url, host, CAST((row_number() OVER (PARTITION BY host ORDER BY page_id, url) - 1) * 300 AS BIGINT) AS slot_ms
+FROM h""")
+def q_politeness(spark, sf):
+    c = _pages(spark, sf).select("page_id", U.normalize_url("url", "url").alias("url")).where(F.col("url").isNotNull())
+    return C.politeness_plan(c, "page_id").select("page_id", "url", "host", "slot_ms")
+
+
+@register("c10_politeness_violations", _W("job_pages") + f""",
+h AS (SELECT job_id, ord, url, scraped_at, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host FROM job_pages),
+l AS (SELECT *, lag(scraped_at) OVER (PARTITION BY host ORDER BY scraped_at, job_id, ord) AS prev_scraped_at FROM h)
+SELECT host, job_id, ord, url, scraped_at, prev_scraped_at,
+  CAST((epoch_us(scraped_at) - epoch_us(prev_scraped_at)) / 1000 AS BIGINT) AS gap_ms
+FROM l WHERE prev_scraped_at IS NOT NULL AND (epoch_us(scraped_at) - epoch_us(prev_scraped_at)) / 1000 < 300""")
+def q_violations(spark, sf):
+    return C.politeness_violations(FX.job_pages(spark, sf))
+
+
+@register("k3_crawl_outbox", _W("jobs") + """
+SELECT id AS job_id, webhook_url,
+  '{"job-id":' || to_json(id) || ',"status":' || to_json(status) || ',"pages-scraped":' || CAST(pages_scraped AS VARCHAR)
+  || ',"pages-failed":' || CAST(pages_failed AS VARCHAR) || ',"results-url":' || to_json('/jobs/' || id) || '}' AS payload
+FROM jobs WHERE webhook_url IS NOT NULL AND status IN ('completed', 'failed')""")
+def q_outbox(spark, sf):
+    return C.crawl_outbox(FX.jobs(spark, sf))
+
+
+def _crawl(spark, sf):
+    return PC.crawl(spark, FX.crawl_jobs(spark, sf), FX.crawl_responses(spark, sf),
+                    FX.crawl_sitemaps(spark, sf), FX.crawl_robots(spark, sf))
+
+
+@register("c7_crawl_pages")
+def q_crawl_pages(spark, sf):
+    """Every page row of a bounded BFS over all link-graph jobs."""
+    return _crawl(spark, sf).pages.select("job_id", "ord", "url", "depth", "status", "engine", "title",
+                                          "error", "markdown_length", "scraped_at")
+
+
+@register("c7_crawl_jobs")
+def q_crawl_jobs(spark, sf):
+    """C7 + C11/C12 counters + K3 payload of the crawl's jobs."""
+    j = _crawl(spark, sf).jobs
+    return j.join(C.crawl_outbox(j).select(F.col("job_id").alias("id"), "payload"), "id", "left") \
+            .select("id", "status", "pages_discovered", "pages_scraped", "pages_failed", "root_failed", "payload")
+
+
+@register("c15_resume_frontier")
+def q_resume(spark, sf):
+    """C14 + C15: jobs stopped after two rounds are stale; their frontier
+    rows without a page row re-enter processing."""
+    jobs = FX.crawl_jobs(spark, sf)
+    r = PC.crawl(spark, jobs, FX.crawl_responses(spark, sf), max_rounds=2)
+    stale = r.jobs.select("id", "url", F.lit("running").alias("status"),
+                          F.lit("2024-01-30 00:00:00").cast("timestamp_ntz").alias("last_heartbeat_at"))
+    stale = Q.stale_jobs(stale, "2024-01-30 00:05:00")
+    return C.resume_frontier(stale, r.visited, r.pages).select("job_id", "url", "depth", "ord")

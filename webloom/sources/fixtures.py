@@ -289,3 +289,65 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
                F.concat(F.lit("mon_src"), (F.col("user_id") % 20).cast("string"))).alias("monitor_id"),
         level.alias("level"), F.col("event_type").alias("message"), F.col("props").alias("context"),
         F.col("ts").alias("created_at"))
+
+
+def crawl_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """robots.txt bodies for a third of the link-graph hosts each (two styles)."""
+    g = link_graph_pages(spark, sf_dir).where(F.col("rank") == 1)
+    n = F.col("page_id")
+    body = (F.when(n % 3 == 0, F.lit("User-agent: *\nDisallow: /n/5\nAllow: /n/5$\n\n"
+                                     "User-agent: otherbot\nDisallow: /\n"))
+            .when(n % 3 == 1, F.lit("# crawl rules\nUser-agent: Quarry\nDisallow: /n/1*3\nDisallow:\n")))
+    return g.where(n % 3 != 2).select(F.concat(F.lit("https://"), F.col("host")).alias("origin"),
+                                      body.alias("body"))
+
+
+def crawl_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sitemap.xml documents for a quarter of the link-graph hosts.
+
+    The root is an index of child sitemaps of at most 1,000 pages each
+    (plus one missing child); each child lists its pages in descending
+    rank, repeats rank 1, uses an upper-case tag once and names one
+    foreign host."""
+    g = link_graph_pages(spark, sf_dir)
+    first = g.where(F.col("rank") == 1).select("host", F.col("page_id").alias("root_id"))
+    hosts = first.where(F.col("root_id") % 4 == 0)
+    pages = g.join(hosts, "host").withColumn("bucket", ((F.col("rank") - 1) / 1000).cast("int"))
+    origin = F.concat(F.lit("https://"), F.col("host"))
+    entry = F.concat(F.lit("<url><loc> "), origin, F.col("path"), F.lit(" </loc></url>"))
+    child = pages.groupBy("host", "bucket").agg(
+        F.array_sort(F.collect_list(F.struct(-F.col("rank"), entry.alias("e")))).alias("items"))
+    child_url = F.concat(F.lit("https://"), F.col("host"), F.lit("/sitemap-"), F.col("bucket").cast("string"),
+                         F.lit(".xml"))
+    child_docs = child.select(
+        child_url.alias("sitemap_url"),
+        F.concat(F.lit('<?xml version="1.0"?><urlset>'), F.array_join(F.transform("items", lambda x: x["e"]), ""),
+                 F.lit("<url><LOC>https://"), F.col("host"), F.lit("/n/1</LOC></url>"),
+                 F.lit("<url><loc>https://elsewhere.example.com/n/1</loc></url></urlset>")).alias("xml"))
+    idx_items = child.select("host", F.concat(F.lit("<sitemap><loc>"), child_url, F.lit("</loc></sitemap>")).alias("e"),
+                             "bucket")
+    index = idx_items.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("bucket", "e"))).alias("items")) \
+        .select(F.concat(F.lit("https://"), F.col("host"), F.lit("/sitemap.xml")).alias("sitemap_url"),
+                F.concat(F.lit('<?xml version="1.0"?><sitemapindex>'),
+                         F.array_join(F.transform("items", lambda x: x["e"]), ""),
+                         F.lit("<sitemap><loc>https://"), F.col("host"),
+                         F.lit("/sitemap-missing.xml</loc></sitemap></sitemapindex>")).alias("xml"))
+    return index.unionByName(child_docs)
+
+
+def crawl_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw crawl requests (some invalid) laid out from orders."""
+    o = driver_table(spark, sf_dir, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    host = F.concat(F.lit("c"), c.cast("string"), F.lit(".example.com/"))
+    return o.select(
+        F.concat(F.lit("req_"), k.cast("string")).alias("id"),
+        F.when(k % 10 == 3, host).otherwise(F.concat(F.lit("https://"), host)).alias("url"),
+        F.when(k % 7 == 0, None).otherwise((k % 13 - 1).cast("int")).alias("max_depth"),
+        F.when(k % 5 == 0, None).otherwise(((c * 37) % 1200).cast("int")).alias("max_pages"),
+        F.when(k % 9 == 0, F.array(F.lit("/docs/*"))).alias("include_patterns"),
+        F.lit(None).cast("array<string>").alias("exclude_patterns"),
+        F.when(k % 6 == 0, "not a url").when(k % 6 == 1, "https://hooks.example.com/x").alias("webhook_url"),
+        F.when(k % 4 == 0, None).when(k % 4 == 1, "fetch").when(k % 4 == 2, "browser")
+         .when(k % 8 == 3, "chrome").otherwise("auto").alias("engine"),
+        F.col("o_orderdate").alias("created_at"))
