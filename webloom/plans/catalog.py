@@ -582,3 +582,161 @@ def q_resume(spark, sf):
                           F.lit("2024-01-30 00:00:00").cast("timestamp_ntz").alias("last_heartbeat_at"))
     stale = Q.stale_jobs(stale, "2024-01-30 00:05:00")
     return C.resume_frontier(stale, r.visited, r.pages).select("job_id", "url", "depth", "ord")
+
+
+# ------------------------------------------------------------------ monitoring: M1-M16, K4
+
+from ..operators import monitor as M  # noqa: E402
+from . import monitor_run as MR  # noqa: E402
+
+_RUN_AT = "2024-01-30 12:00:00"
+
+
+def _state(spark, sf):
+    return M.snapshot_state(FX.monitor_prev(spark, sf))
+
+
+@register("m1_create_monitors", _W("crawl_requests") + """,
+r AS (SELECT *, CAST(regexp_extract(id, '(\\d+)$', 1) AS BIGINT) AS k FROM crawl_requests),
+f AS (SELECT *, coalesce(CASE WHEN k % 5 = 0 THEN NULL WHEN k % 5 = 1 THEN 'hourly' WHEN k % 5 = 2 THEN 'daily'
+        WHEN k % 5 = 3 THEN 'weekly' ELSE 'monthly' END, 'daily') AS frequency,
+        CASE WHEN k % 3 = 0 THEN 'Watch ' || url END AS goal FROM r)
+SELECT id, url, CAST(coalesce(max_depth, 2) AS INTEGER) AS max_depth, CAST(coalesce(max_pages, 100) AS INTEGER) AS max_pages,
+  frequency, webhook_url, 'active' AS status, goal FROM f
+WHERE coalesce(regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^\\s/?#]+'), false)
+  AND coalesce(max_depth, 2) BETWEEN 1 AND 10 AND coalesce(max_pages, 100) BETWEEN 1 AND 1000
+  AND coalesce(engine, 'auto') IN ('fetch', 'browser', 'auto')
+  AND webhook_url IS NOT NULL AND regexp_matches(webhook_url, '^https?://[^\\s/?#]+')
+  AND frequency IN ('hourly', 'daily', 'weekly')""")
+def q_create_monitors(spark, sf):
+    ok, _ = M.create_monitors(FX.monitor_requests(spark, sf))
+    return ok.select("id", "url", "max_depth", "max_pages", "frequency", "webhook_url", "status", "goal")
+
+
+@register("m2_list_monitors", _W("monitors") + " SELECT * FROM monitors ORDER BY created_at DESC, id DESC")
+def q_list_monitors(spark, sf):
+    return M.list_monitors(FX.monitors(spark, sf))
+
+
+@register("m3_transition_monitors", _W("monitors") + """,
+n AS (SELECT id, CAST(regexp_extract(id, '(\\d+)$', 1) AS INTEGER) AS n FROM monitors),
+cmd AS (SELECT id AS monitor_id, 1 AS seq, 'pause' AS action FROM n WHERE n % 2 = 0
+  UNION ALL SELECT id, 2, 'resume' FROM n WHERE n % 4 = 0
+  UNION ALL SELECT id, 3, 'delete' FROM n WHERE n % 5 = 0
+  UNION ALL SELECT id, 4, 'archive' FROM n WHERE n % 3 = 0),
+last AS (SELECT monitor_id, action FROM (SELECT *, row_number() OVER (PARTITION BY monitor_id ORDER BY seq DESC) AS r
+         FROM cmd WHERE action IN ('pause', 'resume', 'delete')) WHERE r = 1)
+SELECT m.id, m.url, m.max_depth, m.max_pages, m.include_patterns, m.exclude_patterns, m.frequency, m.webhook_url,
+  coalesce(CASE l.action WHEN 'pause' THEN 'paused' WHEN 'resume' THEN 'active' WHEN 'delete' THEN 'deleted' END,
+           m.status) AS status, m.goal, m.last_checked_at, m.last_job_id, m.created_at
+FROM monitors m LEFT JOIN last l ON l.monitor_id = m.id""")
+def q_transition(spark, sf):
+    return M.transition_monitors(FX.monitors(spark, sf), FX.monitor_commands(spark, sf))
+
+
+@register("m4_due_monitors", _W("monitors") + f""",
+t AS (SELECT *, CASE WHEN frequency = 'hourly' THEN date_trunc('hour', TIMESTAMP '{_RUN_AT}')
+  WHEN frequency = 'weekly' THEN date_trunc('day', TIMESTAMP '{_RUN_AT}') - to_days(CAST(dayofweek(TIMESTAMP '{_RUN_AT}') AS INTEGER))
+  ELSE date_trunc('day', TIMESTAMP '{_RUN_AT}') END AS tick FROM monitors)
+SELECT * FROM t WHERE status = 'active' AND (last_checked_at IS NULL OR last_checked_at < tick)""")
+def q_due(spark, sf):
+    return M.due_monitors(FX.monitors(spark, sf), _RUN_AT)
+
+
+@register("m5_content_hash", _W("monitor_cur") + """
+SELECT monitor_id, url, sha256(markdown) AS content_hash FROM monitor_cur""")
+def q_hash(spark, sf):
+    return FX.monitor_cur(spark, sf).select("monitor_id", "url", M.content_hash("markdown").alias("content_hash"))
+
+
+_CHANGED_SQL = _W("monitor_prev", "monitor_cur") + """,
+changed AS (SELECT c.monitor_id, c.url, sha256(p.markdown) AS prev_hash, sha256(c.markdown) AS hash,
+    p.markdown AS old_markdown, c.markdown AS new_markdown
+  FROM monitor_cur c JOIN monitor_prev p ON p.monitor_id = c.monitor_id AND p.url = c.url
+  WHERE c.http_status = 200 AND sha256(p.markdown) <> sha256(c.markdown))"""
+
+
+@register("m7_changed_pages", _CHANGED_SQL + " SELECT monitor_id, url, prev_hash, hash FROM changed")
+def q_changed(spark, sf):
+    return M.changed_pages(FX.monitor_cur(spark, sf), _state(spark, sf)).select("monitor_id", "url", "prev_hash", "hash")
+
+
+@register("m8_line_diff")
+def q_line_diff(spark, sf):
+    """M8: Myers line diff of every changed page (property-tested)."""
+    ch = M.changed_pages(FX.monitor_cur(spark, sf), _state(spark, sf))
+    return M.line_diff(ch).select("monitor_id", "url", "diff")
+
+
+@register("m9_line_change_counts", _CHANGED_SQL + """,
+o AS (SELECT monitor_id, url, line, count(*) AS n_old FROM (
+        SELECT monitor_id, url, unnest(list_filter(regexp_extract_all(old_markdown, '([^\\n]*\\n|[^\\n]+$)', 1), lambda x_: x_ <> '')) AS line
+        FROM changed) GROUP BY ALL),
+n AS (SELECT monitor_id, url, line, count(*) AS n_new FROM (
+        SELECT monitor_id, url, unnest(list_filter(regexp_extract_all(new_markdown, '([^\\n]*\\n|[^\\n]+$)', 1), lambda x_: x_ <> '')) AS line
+        FROM changed) GROUP BY ALL)
+SELECT coalesce(o.monitor_id, n.monitor_id) AS monitor_id, coalesce(o.url, n.url) AS url, coalesce(o.line, n.line) AS line,
+  CAST(coalesce(n.n_new, 0) - coalesce(o.n_old, 0) AS BIGINT) AS net
+FROM o FULL OUTER JOIN n ON o.monitor_id = n.monitor_id AND o.url = n.url AND o.line = n.line
+WHERE coalesce(n.n_new, 0) <> coalesce(o.n_old, 0)""")
+def q_line_counts(spark, sf):
+    ch = M.changed_pages(FX.monitor_cur(spark, sf), _state(spark, sf))
+    return M.line_change_counts(ch)
+
+
+@register("m10_upsert_monitor_pages", _W("monitor_prev", "monitor_cur") + """,
+upd AS (SELECT monitor_id, url, sha256(markdown) AS last_content_hash, markdown AS last_markdown, etag AS last_etag,
+          NULL::VARCHAR AS last_modified, checked_at AS last_checked_at FROM monitor_cur WHERE http_status = 200),
+st AS (SELECT monitor_id, url, sha256(markdown) AS last_content_hash, markdown AS last_markdown, etag AS last_etag,
+          NULL::VARCHAR AS last_modified, checked_at AS last_checked_at FROM monitor_prev)
+SELECT * FROM st WHERE NOT EXISTS (SELECT 1 FROM upd WHERE upd.monitor_id = st.monitor_id AND upd.url = st.url)
+UNION ALL SELECT * FROM upd""")
+def q_upsert(spark, sf):
+    return M.upsert_monitor_pages(_state(spark, sf), FX.monitor_cur(spark, sf))
+
+
+@register("m11_check_summary", _CHANGED_SQL + f""",
+mon AS (SELECT DISTINCT 'mon_' || source AS monitor_id FROM documents),
+chk AS (SELECT monitor_id, count(*) AS n FROM monitor_cur WHERE http_status IN (200, 304) GROUP BY 1),
+chg AS (SELECT monitor_id, count(*) AS n FROM changed GROUP BY 1)
+SELECT substr(sha256(mon.monitor_id || '@{_RUN_AT}'), 1, 16) AS check_id, mon.monitor_id,
+  substr(sha256(mon.monitor_id || '@{_RUN_AT}#job'), 1, 16) AS job_id,
+  CAST(coalesce(chk.n, 0) AS INTEGER) AS pages_checked, CAST(coalesce(chg.n, 0) AS INTEGER) AS pages_changed,
+  TIMESTAMP '{_RUN_AT}' AS checked_at
+FROM mon LEFT JOIN chk USING (monitor_id) LEFT JOIN chg USING (monitor_id)""")
+def q_check_summary(spark, sf):
+    mons = FX.monitors(spark, sf)
+    cur = FX.monitor_cur(spark, sf)
+    ch = M.changed_pages(cur, _state(spark, sf))
+    return M.check_summary(mons, cur, ch, _RUN_AT)
+
+
+def _run(spark, sf):
+    return MR.monitor_run(FX.monitors(spark, sf), _state(spark, sf), FX.monitor_cur(spark, sf), _RUN_AT)
+
+
+@register("m12_change_records")
+def q_change_rows(spark, sf):
+    return _run(spark, sf).change_rows
+
+
+@register("m13_judge_prompts")
+def q_judge_prompts(spark, sf):
+    r = _run(spark, sf)
+    return M.judge_prompts(r.changes, r.due).select("monitor_id", "url", "prompt_hash", F.length("prompt").alias("prompt_chars"))
+
+
+@register("m14_apply_verdicts")
+def q_verdicts(spark, sf):
+    return _run(spark, sf).verdicts.select("monitor_id", "url", "relevant", "reason", "keep", "dropped_unparsed")
+
+
+@register("m15_touch_monitors")
+def q_touch(spark, sf):
+    return _run(spark, sf).monitors.select("id", "status", "last_checked_at", "last_job_id")
+
+
+@register("m16_k4_monitor_outbox")
+def q_monitor_outbox(spark, sf):
+    """M16 composite + K4 payloads (one per monitor with kept changes)."""
+    return _run(spark, sf).outbox

@@ -351,3 +351,23 @@ def crawl_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 4 == 0, None).when(k % 4 == 1, "fetch").when(k % 4 == 2, "browser")
          .when(k % 8 == 3, "chrome").otherwise("auto").alias("engine"),
         F.col("o_orderdate").alias("created_at"))
+
+
+def monitor_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pause / resume / delete commands for some monitors, in sequence."""
+    m = monitors(spark, sf_dir).select("id", F.regexp_extract("id", r"(\d+)$", 1).cast("int").alias("n"))
+    a = m.where(F.col("n") % 2 == 0).select(F.col("id").alias("monitor_id"), F.lit(1).alias("seq"), F.lit("pause").alias("action"))
+    b = m.where(F.col("n") % 4 == 0).select(F.col("id").alias("monitor_id"), F.lit(2).alias("seq"), F.lit("resume").alias("action"))
+    c = m.where(F.col("n") % 5 == 0).select(F.col("id").alias("monitor_id"), F.lit(3).alias("seq"), F.lit("delete").alias("action"))
+    d = m.where(F.col("n") % 3 == 0).select(F.col("id").alias("monitor_id"), F.lit(4).alias("seq"), F.lit("archive").alias("action"))
+    return a.unionByName(b).unionByName(c).unionByName(d)
+
+
+def monitor_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monitor creation requests: crawl requests plus frequency and goal."""
+    r = crawl_requests(spark, sf_dir)
+    k = F.regexp_extract("id", r"(\d+)$", 1).cast("long")
+    freq = (F.when(k % 5 == 0, None).when(k % 5 == 1, "hourly").when(k % 5 == 2, "daily")
+            .when(k % 5 == 3, "weekly").otherwise("monthly"))
+    return r.withColumn("frequency", freq) \
+            .withColumn("goal", F.when(k % 3 == 0, F.concat(F.lit("Watch "), F.col("url"))))
