@@ -740,3 +740,98 @@ def q_touch(spark, sf):
 def q_monitor_outbox(spark, sf):
     """M16 composite + K4 payloads (one per monitor with kept changes)."""
     return _run(spark, sf).outbox
+
+
+# ------------------------------------------------------------------ LLM batch: E1-E7
+
+from ..operators import llm as L  # noqa: E402
+
+EXTRACT_SCHEMA = {"title": "string", "n": "number", "ok": "boolean", "tags": "array of strings"}
+
+
+def _doc_prompts(spark, sf):
+    d = driver_table(spark, sf, "documents")
+    content, truncated = L.truncate_for_prompt("text")
+    p = d.select(F.col("doc_id").alias("page_id"), content.alias("content"), truncated.alias("truncated"))
+    p = p.withColumn("prompt", L.extraction_prompt(F.col("content"), F.col("truncated"), EXTRACT_SCHEMA))
+    return p.withColumn("prompt_hash", L.prompt_hash(F.col("prompt"))).drop("content")
+
+
+def _prompt_sql():
+    head = O.q(L.EXTRACTION_HEAD + L.schema_json(EXTRACT_SCHEMA) + L.EXTRACTION_RULES)
+    note = O.q(L.TRUNCATION_NOTE)
+    n = L.MAX_MARKDOWN_CHARS
+    return f"""p AS (SELECT doc_id AS page_id, {O.utf16_length('text')} > {n} AS truncated,
+    sha256({head} || CASE WHEN {O.utf16_length('text')} > {n} THEN substr(text, 1, {n}) ELSE text END
+      || CASE WHEN {O.utf16_length('text')} > {n} THEN {note} ELSE '' END) AS prompt_hash
+  FROM documents)"""
+
+
+def _completion_sql():
+    n = "CAST('0x' || substr(prompt_hash, 1, 6) AS BIGINT)"
+    good = ("'{\"title\": \"T' || substr(prompt_hash, 1, 8) || '\", \"n\": ' || CAST(" + n + " AS VARCHAR) || "
+            "', \"ok\": true, \"tags\": [\"a\", \"b\"]}'")
+    return f"""h AS (SELECT DISTINCT prompt_hash FROM p),
+c AS (
+  SELECT prompt_hash, 1 AS attempt, CASE WHEN {n} % 4 = 0 THEN '```json' || chr(10) || {good} || chr(10) || '```'
+    WHEN {n} % 4 = 1 THEN {good} WHEN {n} % 4 = 2 THEN 'Sorry, I cannot help with that.' ELSE '' END AS text FROM h
+  UNION ALL SELECT prompt_hash, 2, CASE WHEN {n} % 8 = 2 THEN 'still not json' ELSE {good} END FROM h),
+cl AS (SELECT p.page_id, c.*, trim(regexp_replace(regexp_replace(text, '(?i)^```(?:json)?\\s*', ''), '\\s*```\\s*$', ''),
+         ' ' || chr(9) || chr(10) || chr(13)) AS cleaned FROM c JOIN p USING (prompt_hash))"""
+
+
+@register("e1_truncate_for_prompt", f"""
+SELECT doc_id, CAST({O.utf16_length('text')} AS INTEGER) AS units, {O.utf16_length('text')} > {L.MAX_MARKDOWN_CHARS} AS truncated,
+  CAST(length(CASE WHEN {O.utf16_length('text')} > {L.MAX_MARKDOWN_CHARS} THEN substr(text, 1, {L.MAX_MARKDOWN_CHARS}) ELSE text END) AS INTEGER) AS content_chars
+FROM documents""")
+def q_truncate(spark, sf):
+    d = driver_table(spark, sf, "documents")
+    content, truncated = L.truncate_for_prompt("text")
+    from ..functions.text import utf16_length
+    return d.select("doc_id", utf16_length("text").alias("units"), truncated.alias("truncated"),
+                    F.length(content).cast("int").alias("content_chars"))
+
+
+@register("e2_extraction_prompt", "WITH " + _prompt_sql() + " SELECT page_id, truncated, prompt_hash FROM p")
+def q_prompt(spark, sf):
+    return _doc_prompts(spark, sf).select("page_id", "truncated", "prompt_hash")
+
+
+@register("e3_parse_llm_json", "WITH " + _prompt_sql() + ", " + _completion_sql() + """
+SELECT page_id, attempt, coalesce(json_valid(cleaned), false) AS parsed FROM cl""")
+def q_parse(spark, sf):
+    p = _doc_prompts(spark, sf)
+    c = FX.completions(spark, sf, p).join(p.select("prompt_hash", "page_id"), "prompt_hash")
+    return c.select("page_id", "attempt", L.parse_llm_json(F.col("text")).isNotNull().alias("parsed"))
+
+
+@register("e4_retry_failed", "WITH " + _prompt_sql() + ", " + _completion_sql() + """,
+a AS (SELECT page_id, bool_or(attempt = 1 AND coalesce(json_valid(cleaned), false)) AS ok1,
+             bool_or(attempt = 2 AND coalesce(json_valid(cleaned), false)) AS ok2 FROM cl GROUP BY page_id)
+SELECT page_id, CASE WHEN ok1 THEN 1 ELSE 2 END AS attempts,
+  CASE WHEN ok1 OR ok2 THEN NULL ELSE 'extraction-failed' END AS error FROM a""")
+def q_retry(spark, sf):
+    p = _doc_prompts(spark, sf)
+    r = L.retry_failed(p, FX.completions(spark, sf, p))
+    return r.select("page_id", "attempts", "error")
+
+
+@register("e7_complete", "WITH " + _prompt_sql() + ", " + _completion_sql() + """
+SELECT page_id, text AS reply FROM cl WHERE attempt = 1""")
+def q_complete(spark, sf):
+    p = _doc_prompts(spark, sf)
+    return L.complete(p, FX.completions(spark, sf, p), 1).select("page_id", "reply")
+
+
+@register("e5_e6_extract_results")
+def q_extract(spark, sf):
+    """E1-E7 over scraped pages: typed fields from captured replies."""
+    pages = X.scrape_pages(FX.responses(spark, sf), keep=("page_id",)) \
+             .where((F.col("status") == "scraped") & ~F.col("unchanged"))
+    content, truncated = L.truncate_for_prompt("markdown")
+    pr = pages.select("page_id", content.alias("c"), truncated.alias("t"))
+    pr = pr.withColumn("prompt_hash", L.prompt_hash(L.extraction_prompt(F.col("c"), F.col("t"), EXTRACT_SCHEMA)))
+    comps = FX.completions(spark, sf, pr.select("page_id", "prompt_hash"))
+    res = L.extract_results(pages, comps, EXTRACT_SCHEMA, extracted_at="2024-01-30 12:00:00")
+    return res.select("page_id", "url", "attempts", "error", F.col("typed.title").alias("title"),
+                      F.col("typed.n").alias("n"), F.col("typed.ok").alias("ok"), F.col("typed.tags").alias("tags"))

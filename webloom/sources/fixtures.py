@@ -256,24 +256,26 @@ def crawl_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def completions(spark: SparkSession, sf_dir: str, prompts: DataFrame) -> DataFrame:
-    """Captured model replies for a prompt table (prompt_hash, page_id).
+    """Captured model replies, one per distinct prompt and attempt.
 
-    Attempt 1 is fenced JSON, bare JSON, prose (invalid) or an empty
-    reply by page_id residue; attempt 2 answers every prompt, invalid for
-    a residue class, so some extractions fail twice.
+    The reply kind is picked by the prompt hash (a stand-in for what a
+    model said): attempt 1 is fenced JSON, bare JSON, prose (invalid) or
+    empty; attempt 2 answers every prompt, invalid for one residue class,
+    so some extractions fail twice.
     """
-    pid = F.col("page_id")
-    good = F.concat(F.lit('{"title": "T'), pid.cast("string"), F.lit('", "n": '), pid.cast("string"),
+    h = prompts.select("prompt_hash").distinct()
+    n = F.conv(F.substring("prompt_hash", 1, 6), 16, 10).cast("long")
+    good = F.concat(F.lit('{"title": "T'), F.substring("prompt_hash", 1, 8), F.lit('", "n": '), n.cast("string"),
                     F.lit(', "ok": true, "tags": ["a", "b"]}'))
-    first = (F.when(pid % 4 == 0, F.concat(F.lit("```json\n"), good, F.lit("\n```")))
-             .when(pid % 4 == 1, good)
-             .when(pid % 4 == 2, F.lit("Sorry, I cannot help with that."))
+    first = (F.when(n % 4 == 0, F.concat(F.lit("```json\n"), good, F.lit("\n```")))
+             .when(n % 4 == 1, good)
+             .when(n % 4 == 2, F.lit("Sorry, I cannot help with that."))
              .otherwise(F.lit("")))
-    second = F.when(pid % 8 == 2, F.lit("still not json")).otherwise(good)
-    a1 = prompts.select("prompt_hash", F.lit(1).alias("attempt"), first.alias("text"),
-                        F.lit(None).cast("string").alias("error"))
-    a2 = prompts.select("prompt_hash", F.lit(2).alias("attempt"), second.alias("text"),
-                        F.lit(None).cast("string").alias("error"))
+    second = F.when(n % 8 == 2, F.lit("still not json")).otherwise(good)
+    a1 = h.select("prompt_hash", F.lit(1).alias("attempt"), first.alias("text"),
+                  F.lit(None).cast("string").alias("error"))
+    a2 = h.select("prompt_hash", F.lit(2).alias("attempt"), second.alias("text"),
+                  F.lit(None).cast("string").alias("error"))
     return a1.unionByName(a2)
 
 
