@@ -835,3 +835,90 @@ def q_extract(spark, sf):
     res = L.extract_results(pages, comps, EXTRACT_SCHEMA, extracted_at="2024-01-30 12:00:00")
     return res.select("page_id", "url", "attempts", "error", F.col("typed.title").alias("title"),
                       F.col("typed.n").alias("n"), F.col("typed.ok").alias("ok"), F.col("typed.tags").alias("tags"))
+
+
+# ------------------------------------------------------------------ streaming: T1-T6
+
+from ..session import fresh_dir  # noqa: E402
+from ..streaming import stream_ops as S  # noqa: E402
+
+
+def _stage(df: DataFrame, tag: str, parts: int = 4) -> tuple[str, object]:
+    """Write a derived input to a fresh folder as several files; return (path, schema)."""
+    path = fresh_dir(df.sparkSession, tag)
+    df.repartition(parts).write.parquet(path)
+    return path, df.schema
+
+
+def _drain(df: DataFrame, tag: str) -> DataFrame:
+    out = fresh_dir(df.sparkSession, tag + "-out")
+    S.run_available(df, out, out + "-ckpt")
+    return df.sparkSession.read.parquet(out)
+
+
+@register("t1_stream_scrape")
+def q_t1(spark, sf):
+    """X7 over a file stream of captures, two files per micro-batch."""
+    path, schema = _stage(FX.responses(spark, sf), "t1-in")
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(path)
+    return _drain(S.stream_scrape(src), "t1")
+
+
+@register("t2_stream_changes", _CHANGED_SQL + " SELECT monitor_id, url, prev_hash, hash FROM changed")
+def q_t2(spark, sf):
+    """Keyed state over the previous then the current snapshot equals M7."""
+    prev = FX.monitor_prev(spark, sf).withColumn("http_status", F.lit(200))
+    cur = FX.monitor_cur(spark, sf)
+    cols = ["monitor_id", "url", "http_status", "markdown", "etag", "checked_at"]
+    path = fresh_dir(spark, "t2-in")
+    prev.select(*cols).repartition(2).write.parquet(path)
+    cur.select(*cols).repartition(2).write.mode("append").parquet(path)
+    src = spark.readStream.schema(prev.select(*cols).schema).option("maxFilesPerTrigger", 2).parquet(path)
+    return _drain(S.stream_changes(src), "t2").select("monitor_id", "url", "prev_hash", "hash")
+
+
+@register("t3_stream_backoff")
+def q_t3(spark, sf):
+    """C8 backoff as keyed state over page pops of the job fixture."""
+    p = FX.job_pages(spark, sf).select(
+        "job_id", "ord", (F.col("scraped_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("ord") * 11).cast("int"))).alias("fetched_at"),
+        (F.col("status") == "blocked").alias("blocked"))
+    # pops of one job arrive in FIFO order: one file holds a job's pops, sorted
+    path = fresh_dir(spark, "t3-in")
+    p.repartition(4, "job_id").sortWithinPartitions("job_id", "ord").write.parquet(path)
+    schema = p.schema
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return _drain(S.stream_backoff(src), "t3")
+
+
+@register("t4_stream_scrape_stats")
+def q_t4(spark, sf):
+    """T4: sliding 24 h scrape statistics with a 1 h watermark (windows
+    closed by the watermark are emitted)."""
+    path, schema = _stage(FX.scrape_requests(spark, sf).orderBy("created_at"), "t4-in")
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return _drain(S.stream_scrape_stats(src), "t4")
+
+
+@register("t5_stream_stale_jobs")
+def q_t5(spark, sf):
+    """T5: heartbeats of running jobs; a job goes stale once event time
+    passes its last heartbeat + 2 minutes."""
+    hb = FX.job_pages(spark, sf).select("job_id", F.col("scraped_at").alias("ts"))
+    path, schema = _stage(hb.orderBy("ts"), "t5-in")
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return _drain(S.stream_stale_jobs(src), "t5")
+
+
+@register("t6_stream_outbox", _W("jobs") + """
+SELECT id AS job_id, webhook_url,
+  '{"job-id":' || to_json(id) || ',"status":' || to_json(status) || ',"pages-scraped":' || CAST(pages_scraped AS VARCHAR)
+  || ',"pages-failed":' || CAST(pages_failed AS VARCHAR) || ',"results-url":' || to_json('/jobs/' || id) || '}' AS payload
+FROM jobs WHERE webhook_url IS NOT NULL AND status IN ('completed', 'failed')""")
+def q_t6(spark, sf):
+    """K3 payloads written per micro-batch (idempotent by batch id)."""
+    path, schema = _stage(FX.jobs(spark, sf), "t6-in")
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = fresh_dir(spark, "t6-out")
+    S.stream_outbox(src, out, out + "-ckpt")
+    return spark.read.parquet(out).select("job_id", "webhook_url", "payload")
