@@ -922,3 +922,40 @@ def q_t6(spark, sf):
     out = fresh_dir(spark, "t6-out")
     S.stream_outbox(src, out, out + "-ckpt")
     return spark.read.parquet(out).select("job_id", "webhook_url", "payload")
+
+
+# ------------------------------------------------------------------ S1, S7, K1: typed scans and page sink
+
+from ..sources import tables as TB  # noqa: E402
+
+
+@register("s7_read_ops_table", _W("jobs") + """
+SELECT id, status, url, pages_discovered, pages_scraped, pages_failed, created_at FROM jobs""")
+def q_read_ops(spark, sf):
+    """The jobs table written as parquet and read back with the declared schema."""
+    path = fresh_dir(spark, "ops-jobs")
+    FX.jobs(spark, sf).write.parquet(path)
+    return TB.read_ops_table(spark, path, "jobs").select(
+        "id", "status", "url", "pages_discovered", "pages_scraped", "pages_failed", "created_at")
+
+
+@register("s1_read_responses", _W("responses") + " SELECT url, http_status, error, duration_ms FROM responses")
+def q_read_responses(spark, sf):
+    """Captured responses written and read back with the declared schema."""
+    path = fresh_dir(spark, "responses")
+    FX.responses(spark, sf).drop("page_id").write.parquet(path)
+    return TB.read_responses(spark, path).select("url", "http_status", "error", "duration_ms")
+
+
+@register("k1_write_job_pages", _W("job_pages") + """
+SELECT CAST(scraped_at AS DATE) AS scraped_date, CAST(count(*) AS BIGINT) AS n_pages,
+  CAST(count(DISTINCT job_id) AS BIGINT) AS n_jobs FROM job_pages GROUP BY 1""")
+def q_write_pages(spark, sf):
+    """K1: page rows appended to a table partitioned by scrape date, read
+    back per partition."""
+    path = fresh_dir(spark, "job_pages")
+    pages = FX.job_pages(spark, sf).withColumn("scraped_date", F.to_date("scraped_at"))
+    pages.repartition("scraped_date").write.mode("append").partitionBy("scraped_date").parquet(path)
+    back = spark.read.parquet(path)
+    return back.groupBy("scraped_date").agg(F.count(F.lit(1)).cast("long").alias("n_pages"),
+                                            F.count_distinct("job_id").cast("long").alias("n_jobs"))
