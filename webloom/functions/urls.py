@@ -44,6 +44,32 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+_MEMO: dict = {}
+
+
+def _memo(fn):
+    """Reuse built Columns for identical argument expressions.
+
+    A URL column is a tree of a few thousand nodes and every node is one
+    call into the JVM, so building it costs about a second of driver time.
+    Columns are immutable and resolve by name, so the same object can be
+    used in any number of plans.
+    """
+    def key(a):
+        if a is None or isinstance(a, (str, int, float, bool)):
+            return ("v", a)
+        return ("c", str(a))
+
+    def wrapper(*args):
+        k = (fn.__name__,) + tuple(key(a) for a in args)
+        col = _MEMO.get(k)
+        if col is None:
+            col = _MEMO[k] = fn(*args)
+        return col
+    wrapper.__name__, wrapper.__doc__ = fn.__name__, fn.__doc__
+    return wrapper
+
+
 def _clean(c: Column) -> Column:
     c = F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
     return F.regexp_replace(c, r"[\t\n\r]", "")
@@ -274,6 +300,7 @@ def _parse_body(h: Column, b: Column) -> Column:
     return _let(_let(hs, head), tidy)
 
 
+@_memo
 def parse_url_parts(href, base=None) -> Column:
     """WHATWG-style parse of ``href`` (resolved against ``base`` when given).
 
@@ -286,6 +313,7 @@ def parse_url_parts(href, base=None) -> Column:
                 lambda s: _parse_body(s["h"], s["b"]))
 
 
+@_memo
 def normalize_url(href, base) -> Column:
     """Canonical http(s) URL of ``href`` resolved against ``base``, or NULL.
 
@@ -306,16 +334,19 @@ def normalize_url(href, base) -> Column:
     return _let(parse_url_parts(href, base), build)
 
 
+@_memo
 def url_host(url) -> Column:
     """Hostname of an absolute URL (lower-case), NULL when unparseable."""
     return _let(parse_url_parts(url), lambda p: F.when(p["ok"], p["host"]))
 
 
+@_memo
 def url_path(url) -> Column:
     """Normalised pathname of an absolute URL, NULL when unparseable."""
     return _let(parse_url_parts(url), lambda p: F.when(p["ok"], p["path"]))
 
 
+@_memo
 def url_origin(url) -> Column:
     """scheme://host[:port] of an absolute http(s) URL (robots.txt scope)."""
     def build(p):
@@ -325,6 +356,7 @@ def url_origin(url) -> Column:
     return _let(parse_url_parts(url), build)
 
 
+@_memo
 def same_host(a, b) -> Column:
     """Hostnames equal (scheme and port ignored); bad URL -> false."""
     return F.coalesce(url_host(a) == url_host(b), F.lit(False))
@@ -341,6 +373,7 @@ def glob_match(path, pattern) -> Column:
     return F.regexp_like(_c(path), glob_to_regex(pattern))
 
 
+@_memo
 def allowed_by_patterns(url, include, exclude) -> Column:
     """U4: exclude wins; non-empty include list needs a hit; bad URL -> false."""
     inc = F.coalesce(_c(include), F.array().cast("array<string>"))
@@ -354,6 +387,7 @@ def allowed_by_patterns(url, include, exclude) -> Column:
     return _let(url_path(url), check)
 
 
+@_memo
 def redact_url(url) -> Column:
     """Mask the first ':password@' of a connection URL; null/'' -> 'not set'."""
     # first occurrence only: regexp_replace replaces all, so split at the

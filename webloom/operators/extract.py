@@ -49,27 +49,42 @@ def html_to_markdown(html: pd.Series) -> pd.Series:
     return html.map(lambda h: to_markdown(h) if isinstance(h, str) else None)
 
 
-def scrape_pages(responses: DataFrame, keep: tuple = ()) -> DataFrame:
+def scrape_pages(responses: DataFrame, keep: tuple = (), with_markdown: bool = True) -> DataFrame:
     """Captured responses -> (url, engine, status, unchanged, title,
     markdown, markdown_length, links, error, thin).
 
     Title and links are native (X2, X4); only the markdown tree walk runs
-    in Python, and only for scraped, non-304 rows.
+    in Python, and only for scraped, non-304 rows. ``with_markdown=False``
+    skips it (markdown, markdown_length and thin are then null) for
+    callers that only route on status and links, such as crawl rounds.
     """
     status, unchanged, err = classify_response()
     base = responses.select(
         "url", "engine", *keep, status.alias("status"), unchanged.alias("unchanged"), err.alias("error"),
-        strip_nodes("html").alias("_doc"), "html")
+        strip_nodes("html").alias("_doc"), *(["html"] if with_markdown else []))
     live = (F.col("status") == "scraped") & ~F.col("unchanged")
+    md = F.when(live, html_to_markdown(F.col("html"))) if with_markdown else F.lit(None).cast("string")
     out = base.select(
         "url", "engine", *keep, "status", "unchanged", "error",
         F.when(live, page_title("_doc", stripped=True)).alias("title"),
-        F.when(live, html_to_markdown(F.col("html"))).alias("markdown"),
+        md.alias("markdown"),
         F.when(live, page_links("_doc", stripped=True)).alias("links"))
     return out.withColumn("markdown_length", F.when(live, utf16_length("markdown"))) \
               .withColumn("thin", F.when(live, is_thin("markdown")))
 
 
+def attach_markdown(pages: DataFrame, responses: DataFrame) -> DataFrame:
+    """Markdown for already classified page rows: each distinct scraped
+    URL is converted once (late materialisation of the only Python step)."""
+    live = (F.col("status") == "scraped") & ~F.coalesce(F.col("unchanged"), F.lit(False))
+    urls = pages.where(live).select("url").distinct()
+    md = responses.join(urls, "url", "left_semi").select(
+        "url", html_to_markdown(F.col("html")).alias("_md")).dropDuplicates(["url"])
+    out = pages.join(md, "url", "left")
+    return out.withColumn("markdown", F.when(live, F.col("_md"))) \
+              .withColumn("markdown_length", F.when(live, utf16_length("markdown"))).drop("_md")
+
+
 def choose_rendering(plain: DataFrame, rendered: DataFrame, engine: str = "auto",
                      flavour: str = "crawl") -> DataFrame:
     """Pick the plain or the rendered extraction per URL.

@@ -429,6 +429,28 @@ crawl_sitemaps AS (
          ELSE '# crawl rules' || chr(10) || 'User-agent: Quarry' || chr(10) || 'Disallow: /n/1*3' || chr(10) || 'Disallow:' || chr(10)
     END AS body
   FROM link_graph WHERE rank = 1 AND page_id % 3 <> 2)""",
+    "robots_rules": r"""rb_lines AS (
+  SELECT origin, CAST(ln AS BIGINT) - 1 AS ln, trim(regexp_replace(raw, '#.*$', '')) AS line FROM (
+    SELECT origin, unnest(l) AS raw, generate_subscripts(l, 1) AS ln FROM (
+      SELECT origin, regexp_split_to_array(body, '\r\n|\r|\n') AS l FROM crawl_robots))),
+rb_kv AS (SELECT origin, ln, lower(trim(regexp_extract(line, '^([^:]+):', 1))) AS key,
+                 trim(regexp_extract(line, '^[^:]+:(.*)$', 1)) AS value FROM rb_lines),
+rb_kv2 AS (SELECT *, lag(key) OVER (PARTITION BY origin ORDER BY ln) AS prev_key FROM rb_kv
+           WHERE key IN ('user-agent', 'allow', 'disallow')),
+rb_grp AS (SELECT *, sum(CASE WHEN key = 'user-agent' AND (prev_key IS NULL OR prev_key <> 'user-agent') THEN 1 ELSE 0 END)
+             OVER (PARTITION BY origin ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM rb_kv2),
+rb_agents AS (SELECT origin, grp, CASE WHEN bool_or(lower(value) = 'quarry') THEN 2
+                                       WHEN bool_or(lower(value) = '*') THEN 1 ELSE 0 END AS score
+              FROM rb_grp WHERE key = 'user-agent' GROUP BY origin, grp),
+rb_best AS (SELECT origin, max(score) AS score FROM rb_agents WHERE score > 0 GROUP BY origin),
+rb_chosen AS (SELECT a.origin, a.grp FROM rb_agents a JOIN rb_best b ON a.origin = b.origin AND a.score = b.score),
+robots_rules AS (
+  SELECT g.origin, g.ln, g.key = 'allow' AS allow, g.value AS pattern,
+    '^' || replace(regexp_replace(CASE WHEN ends_with(g.value, '$') THEN substr(g.value, 1, length(g.value) - 1) ELSE g.value END,
+                                  '([.+?^${}()|\[\]\\])', '\\\1', 'g'), '*', '.*')
+      || CASE WHEN ends_with(g.value, '$') THEN '$' ELSE '' END AS regex
+  FROM rb_grp g JOIN rb_chosen c ON g.origin = c.origin AND g.grp = c.grp
+  WHERE g.key IN ('allow', 'disallow') AND g.value <> '')""",
 }
 
 

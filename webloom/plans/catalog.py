@@ -959,3 +959,102 @@ def q_write_pages(spark, sf):
     back = spark.read.parquet(path)
     return back.groupBy("scraped_date").agg(F.count(F.lit(1)).cast("long").alias("n_pages"),
                                             F.count_distinct("job_id").cast("long").alias("n_jobs"))
+
+
+# ------------------------------------------------------------------ standalone forms of crawl / extraction steps
+
+@register("s6_robots_rules_sql", _W("link_graph", "crawl_robots", "robots_rules") + """
+SELECT origin, CAST(ln AS INTEGER) AS ln, allow, pattern, regex FROM robots_rules""")
+def q_robots_rules_sql(spark, sf):
+    """Robots bodies -> the rule group for our agent, per origin."""
+    return C.robots_rules(FX.crawl_robots(spark, sf)).select(
+        "origin", F.col("ln").cast("int").alias("ln"), "allow", "pattern", "regex")
+
+
+@register("u5_robots_allowed", _W("link_graph", "crawl_robots", "robots_rules") + f""",
+cand AS (SELECT DISTINCT 'https://' || host || '/n/' || CAST(r AS VARCHAR) AS url, 'https://' || host AS origin,
+           '/n/' || CAST(r AS VARCHAR) AS pq
+         FROM link_graph, range(1, 16) t(r) WHERE rank = 1),
+m AS (SELECT c.url, r.allow, length(r.pattern) AS plen FROM cand c JOIN robots_rules r ON r.origin = c.origin
+      WHERE regexp_matches(c.pq, r.regex)),
+v AS (SELECT url, arg_max(allow, plen * 2 + CAST(allow AS INTEGER)) AS allow FROM m GROUP BY url)
+SELECT c.url, coalesce(v.allow, true) AS allowed FROM cand c LEFT JOIN v USING (url)""")
+def q_robots_allowed(spark, sf):
+    """Robots verdict for the first fifteen /n/<r> paths of every host
+    (longest matching rule wins, allow wins ties, no file = allow)."""
+    hosts = FX.link_graph_pages(spark, sf).where(F.col("rank") == 1).select("host")
+    cand = hosts.select(F.explode(F.sequence(F.lit(1), F.lit(15))).alias("r"), "host").select(
+        F.concat(F.lit("https://"), "host", F.lit("/n/"), F.col("r").cast("string")).alias("url")).distinct()
+    rules = C.robots_rules(FX.crawl_robots(spark, sf))
+    allowed = C.robots_filter(cand, rules).withColumn("allowed", F.lit(True))
+    return cand.join(allowed, "url", "left").select("url", F.coalesce("allowed", F.lit(False)).alias("allowed"))
+
+
+def _crawl_cfg(spark, sf):
+    jobs = FX.crawl_jobs(spark, sf)
+    jobs = U.evaluate_once(jobs, _sp=U.parse_url_parts("url"))
+    return jobs.select("*", F.col("_sp.host").alias("seed_host"),
+                       U.url_origin_of(F.col("_sp")).alias("seed_origin")).drop("_sp")
+
+
+@register("c3_seed_frontier")
+def q_seed(spark, sf):
+    """Sitemap seeds at depth 0 in order, else the normalised root."""
+    frontier, cfg = PC.seed_frontier(_crawl_cfg(spark, sf), FX.crawl_sitemaps(spark, sf),
+                                     C.robots_rules(FX.crawl_robots(spark, sf)))
+    return frontier.join(cfg.select(F.col("id").alias("job_id"), "uses_sitemap"), "job_id")
+
+
+@register("c4_c5_c6_first_round")
+def q_first_round(spark, sf):
+    """C4 + C5 + C6: expand the seeds' links and admit depth-1 URLs."""
+    jobs = _crawl_cfg(spark, sf)
+    frontier, cfg = PC.seed_frontier(jobs, None, None)
+    proc = C.cap_pages(frontier, cfg)
+    fetched = PC._fetch_round(proc, FX.crawl_responses(spark, sf))
+    cands = C.expand_links(fetched, cfg, None)
+    return C.admit_new(cands, frontier, cfg)
+
+
+@register("c8_apply_backoff")
+def q_backoff(spark, sf):
+    """Fixed-step host backoff folded per job over page pops in FIFO order."""
+    p = FX.job_pages(spark, sf).select(
+        "job_id", "ord",
+        (F.col("scraped_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("ord") * 11).cast("int")))
+        .alias("fetched_at"), (F.col("status") == "blocked").alias("blocked"))
+    return C.apply_backoff(p, None)
+
+
+@register("c13_page_results")
+def q_page_results(spark, sf):
+    """Scraped / unchanged / failed page-row shapes from classified captures."""
+    r = FX.responses(spark, sf).withColumn("job_id", F.lit("job_pages")) \
+          .withColumn("ord", F.col("page_id") + 1).withColumn("depth", F.lit(0))
+    s = X.scrape_pages(r, keep=("job_id", "ord", "depth", "fetched_at", "duration_ms"))
+    return C.page_results(s.withColumn("skipped", F.lit(False))).drop("markdown")
+
+
+@register("x3_html_to_markdown")
+def q_markdown(spark, sf):
+    """Body HTML -> markdown via the Arrow-batched tree walk."""
+    md = _pages(spark, sf).select("page_id", X.html_to_markdown(F.col("html")).alias("md"))
+    from ..functions.text import utf16_length
+    return md.select("page_id", utf16_length("md").alias("markdown_length"), F.sha2("md", 256).alias("sha256"))
+
+
+@register("x5_is_thin")
+def q_thin(spark, sf):
+    """Thin-page flag (markdown < 150 UTF-16 units) of every scraped page."""
+    from ..functions.html import is_thin
+    md = _pages(spark, sf).select("page_id", X.html_to_markdown(F.col("html")).alias("md"))
+    return md.select("page_id", is_thin("md").alias("thin"))
+
+
+@register("m6_conditional_unchanged", _W("monitor_cur") + """
+SELECT monitor_id, url, http_status = 304 AS unchanged, http_status IN (200, 304) AS counts_as_scraped FROM monitor_cur""")
+def q_unchanged(spark, sf):
+    """M6: a 304 answer counts as scraped, takes no diff and writes no state."""
+    s, unchanged, _ = X.classify_response("http_status", "_err")
+    cur = FX.monitor_cur(spark, sf).withColumn("_err", F.lit(None).cast("string"))
+    return cur.select("monitor_id", "url", unchanged.alias("unchanged"), (s == "scraped").alias("counts_as_scraped"))

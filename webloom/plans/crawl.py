@@ -64,7 +64,7 @@ def _fetch_round(proc: DataFrame, responses: DataFrame) -> DataFrame:
     distinct URL (many jobs may share a URL)."""
     needed = proc.select("url").distinct()
     caps = responses.join(needed, "url", "left_semi")
-    ex = X.scrape_pages(caps, keep=("fetched_at", "duration_ms"))
+    ex = X.scrape_pages(caps, keep=("fetched_at", "duration_ms"), with_markdown=False)
     got = proc.join(ex.drop("engine").withColumn("engine", F.lit("fetch")), "url", "left")
     missing = F.col("status").isNull()
     return got.withColumn("error", F.when(missing, F.lit(NO_CAPTURE)).otherwise(F.col("error"))) \
@@ -112,10 +112,9 @@ def crawl(spark: SparkSession, jobs: DataFrame, responses: DataFrame, sitemaps:
             F.when(~skip, F.col("markdown")).alias("markdown"),
             F.when(~skip, F.col("markdown_length")).alias("markdown_length"),
             F.when(~skip, F.col("links")).alias("links"))
-        merged = _materialize(merged, f"{root}/merged-{rnd}")
-        state = merged.groupBy("job_id").agg(F.max_by("backoff_until", "ord").alias("backoff_until"))
         pdir = f"{root}/pages-{rnd}"
-        C.page_results(merged).write.parquet(pdir)
+        merged = _materialize(merged, pdir)          # page rows of the round (+ links)
+        state = merged.groupBy("job_id").agg(F.max_by("backoff_until", "ord").alias("backoff_until"))
         page_dirs.append(pdir)
         cands = C.expand_links(merged.select("job_id", "ord", "url", "depth", "status", "unchanged", "links"),
                                cfg, rules, expand_unchanged)
@@ -123,8 +122,11 @@ def crawl(spark: SparkSession, jobs: DataFrame, responses: DataFrame, sitemaps:
         visited = _materialize(visited.unionByName(new), f"{root}/visited-{rnd + 1}")
         frontier = visited.where(F.col("round") == rnd + 1).drop("round")
         rnd += 1
-    pages = spark.read.parquet(*page_dirs) if page_dirs else None
-    if pages is None:
+    if page_dirs:
+        rows = spark.read.parquet(*page_dirs)
+        # markdown only for scraped pages, once per distinct URL, after the loop
+        pages = C.page_results(X.attach_markdown(rows, responses))
+    else:
         from .. import schemas
         pages = spark.createDataFrame([], schemas.JOB_PAGES + ", depth int")
     visited = visited.drop("round")
