@@ -109,3 +109,32 @@ def test_redact_and_mask(spark):
     assert rows[0].k == "sk-abc" + "•" * 12
     assert rows[1].u == "not set" and rows[1].k == "not set"
     assert rows[2].u == "redis://r:6379" and rows[2].k == "not set"
+
+
+def test_fast_path_equals_full_parser(spark):
+    """The codegen'd fast path must agree with the full parser."""
+    import random
+    rnd = random.Random(7)
+    segs = ["a", "B", "x.html", ".", "..", "%2e", "p%20q", "für", "~u", "a b", "", "q;r=1", "@", "x!$"]
+    hosts = ["example.com", "Example.com", "a-b.example.org", "x.example.com:8080", "u:p@h.com", "h.com:443"]
+    tails = ["", "#top", "?b=2&a=1", "?", "#"]
+    rows = []
+    for _ in range(400):
+        path = "/" + "/".join(rnd.choice(segs) for _ in range(rnd.randint(0, 4)))
+        if rnd.random() < 0.3:
+            path += "/"
+        host = rnd.choice(hosts)
+        scheme = rnd.choice(["https", "http", "HTTP"])
+        base = f"{rnd.choice(['https', 'http'])}://{rnd.choice(hosts)}{rnd.choice(['', '/d/e', '/d/'])}"
+        href = rnd.choice([f"{scheme}://{host}{path}{rnd.choice(tails)}", path + rnd.choice(tails),
+                           "//" + host + path])
+        rows.append((href, base))
+    df = spark.createDataFrame(rows, "href string, base string")
+    got = df.select(
+        "href", "base",
+        U.normalize_url("href", "base").alias("fast"), U._normalize_url_full("href", "base").alias("full"),
+        U.parse_url_parts("href").alias("pf"), U._parse_url_parts_full("href").alias("pl")).collect()
+    bad = [(r.href, r.base, r.fast, r.full) for r in got if r.fast != r.full]
+    assert not bad, bad[:5]
+    badp = [(r.href, r.pf, r.pl) for r in got if (r.pf.ok or r.pl.ok) and r.pf != r.pl]
+    assert not badp, badp[:5]

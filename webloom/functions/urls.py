@@ -300,21 +300,19 @@ def _parse_body(h: Column, b: Column) -> Column:
     return _let(_let(hs, head), tidy)
 
 
-@_memo
-def parse_url_parts(href, base=None) -> Column:
+def _parse_url_parts_full(href, base=None) -> Column:
     """WHATWG-style parse of ``href`` (resolved against ``base`` when given).
 
     Returns struct(ok, scheme, userinfo, host, port, path, query) where
     query is the raw query (null when absent). ``ok`` is false for any
     input the reference's URL constructor would reject.
     """
-    b = parse_url_parts(base) if base is not None else F.lit(None).cast(_NULL_PARTS)
+    b = _parse_url_parts_full(base) if base is not None else F.lit(None).cast(_NULL_PARTS)
     return _let(F.struct(_clean(_c(href)).alias("h"), b.alias("b")),
                 lambda s: _parse_body(s["h"], s["b"]))
 
 
-@_memo
-def normalize_url(href, base) -> Column:
+def _normalize_url_full(href, base) -> Column:
     """Canonical http(s) URL of ``href`` resolved against ``base``, or NULL.
 
     Fragment dropped; query sorted by key (locale-aware, stable) with
@@ -331,7 +329,72 @@ def normalize_url(href, base) -> Column:
         port = F.when(p["port"].isNotNull(), F.concat(F.lit(":"), p["port"])).otherwise(F.lit(""))
         url = F.concat(p["scheme"], F.lit("://"), user, p["host"], port, path, query)
         return F.when(p["ok"] & p["scheme"].isin(*SPECIAL_SCHEMES), url)
-    return _let(parse_url_parts(href, base), build)
+    return _let(_parse_url_parts_full(href, base), build)
+
+
+# Fast path. Most hrefs and page URLs are lower-case http(s) URLs or
+# root-relative paths made of characters WHATWG keeps as they are, without a
+# query, dot segments or a port. For those the canonical form is plain string
+# surgery done by codegen'd regex functions; every other input takes the full
+# parser above (CASE WHEN evaluates only the branch it needs).
+_FAST_CHARS = r"[A-Za-z0-9_\-.~/%!$&'()*+,;=:@]"
+_FAST_HOST = r"[a-z0-9][a-z0-9.\-]*"
+_FAST_ABS = r"^(https?)://(" + _FAST_HOST + r")(/" + _FAST_CHARS + r"*)?(#.*)?$"
+_FAST_REL = r"^/(?!/)(" + _FAST_CHARS + r"*)(#.*)?$"
+_FAST_BASE = r"^(https?://" + _FAST_HOST + r")(?:[/?#].*)?$"
+_DOT_SEG = r"(^|/)(\.|%2[eE]){1,2}(/|$)"
+
+
+def _fast_path_of(p: Column) -> Column:
+    path = F.when(p == "", F.lit("/")).otherwise(p)
+    return F.regexp_replace(path, r"(?<=.)/$", "")
+
+
+@_memo
+def normalize_url(href, base) -> Column:
+    """Canonical http(s) URL of ``href`` resolved against ``base``, or NULL.
+
+    Fragment dropped; query sorted by key (locale-aware, stable) with
+    duplicate keys collapsed to the last value and re-encoded as form data;
+    exactly one trailing '/' stripped unless the path is '/'.
+    """
+    h, b = _c(href), _c(base)
+    abs_path = F.regexp_extract(h, _FAST_ABS, 3)
+    fast_abs = h.rlike(_FAST_ABS) & ~abs_path.rlike(_DOT_SEG)
+    rel_path = F.concat(F.lit("/"), F.regexp_extract(h, _FAST_REL, 1))
+    fast_rel = h.rlike(_FAST_REL) & b.rlike(_FAST_BASE) & ~rel_path.rlike(_DOT_SEG)
+    abs_url = F.concat(F.regexp_extract(h, _FAST_ABS, 1), F.lit("://"), F.regexp_extract(h, _FAST_ABS, 2),
+                       _fast_path_of(abs_path))
+    rel_url = F.concat(F.regexp_extract(b, _FAST_BASE, 1), _fast_path_of(rel_path))
+    return F.when(fast_abs, abs_url).when(fast_rel, rel_url).otherwise(_normalize_url_full(href, base))
+
+
+_FAST_PARSE = r"^(https?)://(" + _FAST_HOST + r")(/" + _FAST_CHARS + r"*)?(\?[^#]*)?(#.*)?$"
+
+
+@_memo
+def parse_url_parts(href, base=None) -> Column:
+    """WHATWG-style parse of ``href`` (resolved against ``base`` when given).
+
+    Returns struct(ok, scheme, userinfo, host, port, path, query) where
+    query is the raw query (null when absent). ``ok`` is false for any
+    input the reference's URL constructor would reject. Absolute URLs of
+    the common shape are split by one codegen'd regex; the rest go through
+    the full parser.
+    """
+    if base is not None:
+        return _parse_url_parts_full(href, base)
+    h = _c(href)
+    path = F.regexp_extract(h, _FAST_PARSE, 3)
+    fast = h.rlike(_FAST_PARSE) & ~path.rlike(_DOT_SEG)
+    q = F.regexp_extract(h, _FAST_PARSE, 4)
+    parts = F.struct(F.lit(True).alias("ok"), F.regexp_extract(h, _FAST_PARSE, 1).alias("scheme"),
+                     F.lit(None).cast("string").alias("userinfo"),
+                     F.regexp_extract(h, _FAST_PARSE, 2).alias("host"),
+                     F.lit(None).cast("string").alias("port"),
+                     F.when(path == "", F.lit("/")).otherwise(path).alias("path"),
+                     F.when(q == "", F.lit(None).cast("string")).otherwise(F.substring(q, 2, 1 << 30)).alias("query"))
+    return F.when(fast, parts).otherwise(_parse_url_parts_full(href))
 
 
 @_memo

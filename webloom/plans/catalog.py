@@ -19,6 +19,16 @@ from ..functions.html import page_links, page_title, strip_nodes
 from ..operators import pages as P
 from ..sources import fixtures as FX
 from ..sources.tables import driver_table
+from ..operators import ops as Q
+from ..operators import extract as X
+from ..operators import crawl as C
+from . import crawl as PC
+from ..operators import monitor as M
+from . import monitor_run as MR
+from ..operators import llm as L
+from ..session import fresh_dir
+from ..streaming import stream_ops as S
+from ..sources import tables as TB
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
@@ -167,7 +177,6 @@ def q_masked(spark, sf):
 
 # ------------------------------------------------------------------ Q1-Q17, C11, C12, C14, K5
 
-from ..operators import ops as Q  # noqa: E402
 
 _W = O.with_fixtures
 _AS_OF = FX.AS_OF
@@ -376,7 +385,6 @@ def q_metrics(spark, sf):
 
 # ------------------------------------------------------------------ S1, S2, X3, X5, X6, X7, K2
 
-from ..operators import extract as X  # noqa: E402
 
 
 @register("s2_classify_responses", _W("responses") + """
@@ -424,8 +432,6 @@ def q_scrape_log(spark, sf):
 
 # ------------------------------------------------------------------ crawl: S3-S6, U5, U6, C1-C15, K1, K3
 
-from ..operators import crawl as C  # noqa: E402
-from . import crawl as PC  # noqa: E402
 
 
 @register("c1_validate_crawl_requests", _W("crawl_requests") + """,
@@ -586,8 +592,6 @@ def q_resume(spark, sf):
 
 # ------------------------------------------------------------------ monitoring: M1-M16, K4
 
-from ..operators import monitor as M  # noqa: E402
-from . import monitor_run as MR  # noqa: E402
 
 _RUN_AT = "2024-01-30 12:00:00"
 
@@ -744,7 +748,6 @@ def q_monitor_outbox(spark, sf):
 
 # ------------------------------------------------------------------ LLM batch: E1-E7
 
-from ..operators import llm as L  # noqa: E402
 
 EXTRACT_SCHEMA = {"title": "string", "n": "number", "ok": "boolean", "tags": "array of strings"}
 
@@ -826,8 +829,13 @@ def q_complete(spark, sf):
 @register("e5_e6_extract_results")
 def q_extract(spark, sf):
     """E1-E7 over scraped pages: typed fields from captured replies."""
-    pages = X.scrape_pages(FX.responses(spark, sf), keep=("page_id",)) \
-             .where((F.col("status") == "scraped") & ~F.col("unchanged"))
+    scraped = X.scrape_pages(FX.responses(spark, sf), keep=("page_id",)) \
+               .where((F.col("status") == "scraped") & ~F.col("unchanged"))
+    # the markdown pass is used twice below (reply stand-ins and extraction):
+    # write it once to the shared checkpoint folder instead of recomputing
+    staged = fresh_dir(spark, "e6-pages")
+    scraped.write.parquet(staged)
+    pages = spark.read.parquet(staged)
     content, truncated = L.truncate_for_prompt("markdown")
     pr = pages.select("page_id", content.alias("c"), truncated.alias("t"))
     pr = pr.withColumn("prompt_hash", L.prompt_hash(L.extraction_prompt(F.col("c"), F.col("t"), EXTRACT_SCHEMA)))
@@ -839,8 +847,6 @@ def q_extract(spark, sf):
 
 # ------------------------------------------------------------------ streaming: T1-T6
 
-from ..session import fresh_dir  # noqa: E402
-from ..streaming import stream_ops as S  # noqa: E402
 
 
 def _stage(df: DataFrame, tag: str, parts: int = 4) -> tuple[str, object]:
@@ -926,7 +932,6 @@ def q_t6(spark, sf):
 
 # ------------------------------------------------------------------ S1, S7, K1: typed scans and page sink
 
-from ..sources import tables as TB  # noqa: E402
 
 
 @register("s7_read_ops_table", _W("jobs") + """
