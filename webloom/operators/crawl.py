@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import lag_within, row_number_within
 from ..functions.urls import (allowed_path, evaluate_once, normalize_url, parse_url_parts, url_host,
                              url_origin, url_origin_of)
 
@@ -123,10 +124,15 @@ def discover_from_sitemap(jobs: DataFrame, sitemaps: DataFrame, rules: DataFrame
     c = _admissible(c, F.col("loc"), F.col("seed"))
     c = robots_filter(c, rules)
     w = Window.partitionBy("job_id").orderBy("src_pos", "loc_pos")
-    c = c.withColumn("n", F.row_number().over(w)).where(F.col("n") <= F.col("max_pages") * DISCOVERY_FACTOR)
+    # The literal bound lets Spark run the per-job top-k partially before the
+    # shuffle (WindowGroupLimit), so a job with a huge sitemap ships at most
+    # 3,000 candidates per map task.
+    c = c.withColumn("n", F.row_number().over(w)) \
+         .where((F.col("n") <= PAGES_MAX * DISCOVERY_FACTOR) & (F.col("n") <= F.col("max_pages") * DISCOVERY_FACTOR))
     first = dedupe_urls(c, ["job_id", "url"], ["n"])
     w2 = Window.partitionBy("job_id").orderBy("n")
-    return first.withColumn("k", F.row_number().over(w2)).where(F.col("k") <= F.col("max_pages")) \
+    return first.withColumn("k", F.row_number().over(w2)) \
+                .where((F.col("k") <= PAGES_MAX) & (F.col("k") <= F.col("max_pages"))) \
                 .select("job_id", "url", "src_pos", "loc_pos", F.col("k").alias("n"))
 
 
@@ -245,7 +251,7 @@ def admit_new(cands: DataFrame, visited: DataFrame, jobs: DataFrame) -> DataFram
     r = fresh.join(seen, "job_id", "left").join(cap, "job_id") \
              .withColumn("n_visited", F.coalesce("n_visited", F.lit(0))) \
              .withColumn("k", F.row_number().over(w))
-    r = r.where(F.col("k") <= F.col("cap") - F.col("n_visited"))
+    r = r.where((F.col("k") <= PAGES_MAX * DISCOVERY_FACTOR) & (F.col("k") <= F.col("cap") - F.col("n_visited")))
     return r.select("job_id", "url", "depth", (F.col("n_visited") + F.col("k")).cast("long").alias("ord"))
 
 
@@ -297,21 +303,21 @@ def apply_backoff(round_pages: DataFrame, state: DataFrame | None) -> DataFrame:
 # ------------------------------------------------------------------ C9 / C10
 
 def politeness_plan(urls: DataFrame, order_col: str = "ord", gap_ms: int = POLITENESS_MS) -> DataFrame:
-    """Fetch-list planner - slot_ms = (rank within host - 1) * 300."""
+    """Fetch-list planner - slot_ms = (rank within host - 1) * 300.
+    The rank is skew-safe: one host may hold a large share of the URLs."""
     u = urls.withColumn("host", url_host("url"))
-    w = Window.partitionBy("host").orderBy(order_col, "url")
-    return u.withColumn("slot_ms", ((F.row_number().over(w) - 1) * gap_ms).cast("long"))
+    r = row_number_within(u, "host", [order_col, "url"], out="_rank")
+    return r.withColumn("slot_ms", ((F.col("_rank") - 1) * gap_ms).cast("long")).drop("_rank")
 
 
 def politeness_violations(pages: DataFrame, gap_ms: int = POLITENESS_MS) -> DataFrame:
-    """Consecutive requests to one host closer than the gap."""
-    u = pages.withColumn("host", url_host("url"))
-    w = Window.partitionBy("host").orderBy("scraped_at", "job_id", "ord")
-    prev = F.lag("scraped_at").over(w)
-    gap = (F.unix_micros(F.col("scraped_at").cast("timestamp")) - F.unix_micros(prev.cast("timestamp"))) / 1000
-    return u.select("host", "job_id", "ord", "url", "scraped_at", prev.alias("prev_scraped_at"),
-                    gap.cast("long").alias("gap_ms")) \
-            .where(F.col("prev_scraped_at").isNotNull() & (F.col("gap_ms") < gap_ms))
+    """Consecutive requests to one host closer than the gap (skew-safe lag)."""
+    u = pages.select("job_id", "ord", "url", "scraped_at").withColumn("host", url_host("url"))
+    ln = lag_within(u, "host", ["scraped_at", "job_id", "ord"], "scraped_at", "prev_scraped_at")
+    gap = (F.unix_micros(F.col("scraped_at").cast("timestamp"))
+           - F.unix_micros(F.col("prev_scraped_at").cast("timestamp"))) / 1000
+    return ln.select("host", "job_id", "ord", "url", "scraped_at", "prev_scraped_at", gap.cast("long").alias("gap_ms")) \
+             .where(F.col("prev_scraped_at").isNotNull() & (F.col("gap_ms") < gap_ms))
 
 
 # ------------------------------------------------------------------ C13 / C15 / K3

@@ -14,6 +14,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+# Largest per-key rank limit the operators use (3 * max max_pages).
+WINDOW_LIMIT = 3000
+
 _LOCAL_DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.sql.session.timeZone": "UTC",
@@ -49,8 +52,11 @@ def get_spark(master: str | None = None, app: str = "webloom",
 
 
 def configure(spark: SparkSession) -> None:
-    """Pin the semantic settings every operator relies on."""
+    """Pin the semantic settings every operator relies on, plus the
+    threshold that lets per-job ``row_number() <= k`` filters (k up to the
+    3 x 1000 discovery cap) run as a partial top-k before the shuffle."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(WINDOW_LIMIT))
 
 
 def checkpoint_root(spark: SparkSession) -> str:
