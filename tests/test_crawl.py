@@ -108,3 +108,11 @@ def test_backoff_fold(spark):
     # blocked -> window extends the old deadline to 60s; 95s and 100s are past it;
     # page 5 blocks again (60s + 30s = 90s < 110s), so page 6 is fetched
     assert got == {1: False, 2: True, 3: False, 4: False, 5: False, 6: False}
+
+
+def test_host_partitioned_captures_give_same_crawl(spark, result):
+    from webloom.plans.crawl import stage_captures
+    r, jobs = result
+    staged = crawl(spark, jobs, stage_captures(FX.crawl_responses(spark, SF)))
+    cols = ["job_id", "ord", "url", "depth", "status", "title", "error"]
+    assert sorted(map(tuple, staged.pages.select(*cols).collect())) == sorted(map(tuple, r.pages.select(*cols).collect()))

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.urls import evaluate_once, normalize_url, parse_url_parts, url_origin_of
+from ..functions.urls import evaluate_once, normalize_url, parse_url_parts, url_host, url_origin_of
 from ..operators import crawl as C
 from ..operators import extract as X
 from ..session import fresh_dir
@@ -61,9 +61,19 @@ def seed_frontier(jobs: DataFrame, sitemaps: DataFrame | None, rules: DataFrame
 
 def _fetch_round(proc: DataFrame, responses: DataFrame) -> DataFrame:
     """Join this round's URLs to their captures and extract them once per
-    distinct URL (many jobs may share a URL)."""
+    distinct URL (many jobs may share a URL).
+
+    When the capture table carries a ``host`` partition column the join
+    also matches on it, so dynamic partition pruning reads only the
+    partitions of hosts in this round's frontier instead of the whole
+    corpus (captures should be stored partitioned by host).
+    """
+    keys = ["url"]
     needed = proc.select("url").distinct()
-    caps = responses.join(needed, "url", "left_semi")
+    if "host" in responses.columns:
+        needed = needed.withColumn("host", url_host("url"))
+        keys = ["host", "url"]
+    caps = responses.join(needed, keys, "left_semi")
     ex = X.scrape_pages(caps, keep=("fetched_at", "duration_ms"), with_markdown=False)
     got = proc.join(ex.drop("engine").withColumn("engine", F.lit("fetch")), "url", "left")
     missing = F.col("status").isNull()
@@ -72,6 +82,17 @@ def _fetch_round(proc: DataFrame, responses: DataFrame) -> DataFrame:
               .withColumn("unchanged", F.coalesce("unchanged", F.lit(False)))
 
 
+def stage_captures(responses: DataFrame) -> DataFrame:
+    """Write captures partitioned by host under the checkpoint root and
+    read them back, so every crawl round prunes to its hosts. Capture
+    stores that are already partitioned by host skip this."""
+    spark = responses.sparkSession
+    path = fresh_dir(spark, "captures")
+    responses.withColumn("host", url_host("url")).repartition("host") \
+             .write.partitionBy("host").parquet(path)
+    return spark.read.parquet(path)
+
+
 def crawl(spark: SparkSession, jobs: DataFrame, responses: DataFrame, sitemaps: DataFrame | None = None,
           robots: DataFrame | None = None, expand_unchanged: bool = False, max_rounds: int | None = None,
           as_of: str | None = None) -> CrawlResult:
