@@ -82,9 +82,11 @@ def parse_llm_json(raw: Column) -> Column:
 
 
 def is_truthy(v: Column) -> Column:
-    """JavaScript truthiness of a parsed JSON value (variant)."""
-    t = v.cast("string")
-    return F.coalesce(v.isNotNull() & ~t.isin("false", "0", "-0", "0.0", '""', "null"), F.lit(False))
+    """JavaScript truthiness of a parsed JSON value (variant): false, 0,
+    "" and null are falsy; objects, arrays, other numbers/strings truthy."""
+    t = F.to_json(v)
+    falsy = t.isin("false", "null", '""') | (t.rlike(r"^-?[0-9.eE+-]+$") & (t.try_cast("double") == 0))
+    return F.coalesce(v.isNotNull() & ~falsy, F.lit(False))
 
 
 def complete(prompts: DataFrame, completions: DataFrame, attempt: int = 1) -> DataFrame:
@@ -129,7 +131,8 @@ def extract_results(pages: DataFrame, completions: DataFrame, schema: dict[str,
     prompts = prompts.withColumn("prompt", extraction_prompt(F.col("content"), F.col("truncated"), schema)) \
                      .withColumn("prompt_hash", prompt_hash(F.col("prompt"))).drop("content")
     r = retry_failed(prompts, completions)
-    ts = F.lit(extracted_at).cast("timestamp_ntz") if extracted_at else F.current_timestamp()
+    # "now" is always explicit: the caller passes the run's as_of
+    ts = F.lit(extracted_at).cast("timestamp_ntz")
     return r.select(*[c for c in ("page_id",) if c in r.columns], "url", "truncated", "prompt_hash", "attempts",
                     F.col("data").cast("string").alias("data"), typed_fields(F.col("data"), schema).alias("typed"),
                     F.lit(provider).alias("provider"), F.lit(model).alias("model"),

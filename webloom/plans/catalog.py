@@ -746,6 +746,12 @@ def q_monitor_outbox(spark, sf):
     return _run(spark, sf).outbox
 
 
+@register("m16_monitor_run_jobs")
+def q_monitor_jobs(spark, sf):
+    """The synthetic job row of every due monitor's run."""
+    return _run(spark, sf).jobs
+
+
 # ------------------------------------------------------------------ LLM batch: E1-E7
 
 

@@ -28,6 +28,7 @@ class MonitorRun:
     verdicts: DataFrame
     monitors: DataFrame
     outbox: DataFrame
+    jobs: DataFrame          # the synthetic job row of each run
 
 
 def judge_completions(prompts: DataFrame) -> DataFrame:
@@ -59,4 +60,9 @@ def monitor_run(monitors: DataFrame, state: DataFrame, fetched: DataFrame, run_a
     verdicts = M.apply_verdicts(diffs, due, completions)
     touched = M.touch_monitors(monitors, checks)
     outbox = M.monitor_outbox(verdicts, checks, due, run_at)
-    return MonitorRun(due, diffs, new_state, checks, rows, verdicts, touched, outbox)
+    ts = F.lit(run_at).cast("timestamp_ntz")
+    jobs = due.join(checks.select(F.col("monitor_id").alias("id"), "job_id", "pages_checked"), "id").select(
+        F.col("job_id").alias("id"), F.lit("completed").alias("status"), "url", "max_depth", "max_pages",
+        "include_patterns", "exclude_patterns", F.col("pages_checked").alias("pages_scraped"),
+        ts.alias("started_at"), ts.alias("completed_at"), F.col("id").alias("monitor_id"))
+    return MonitorRun(due, diffs, new_state, checks, rows, verdicts, touched, outbox, jobs)
