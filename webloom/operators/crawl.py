@@ -266,38 +266,43 @@ def cap_pages(frontier: DataFrame, jobs: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ C8
 
-def apply_backoff(round_pages: DataFrame, state: DataFrame | None) -> DataFrame:
+def apply_backoff(round_pages: DataFrame, state: DataFrame | None, carry: tuple = ()) -> DataFrame:
     """Mark pages popped inside a host's backoff window as skipped.
 
-    round_pages: (job_id, ord, fetched_at, blocked); state: (job_id,
-    backoff_until) carried from earlier rounds. On ``blocked`` the window
-    becomes (until or now) + 30 s - a fixed step that extends the old
+    round_pages: (job_id, ord, fetched_at, blocked, *carry); state:
+    (job_id, backoff_until) carried from earlier rounds. On ``blocked`` the
+    window becomes (until or now) + 30 s - a fixed step that extends the old
     deadline; pages popped while now < until are skipped (not fetched) and
     do not extend it. All admitted URLs share the seed's host, so the fold
     is per job: an ordered ``aggregate`` over one job's pages of one round
     (at most max_pages <= 1000 rows), evaluated in the JVM. The clock is
-    the capture's ``fetched_at``. Returns (job_id, ord, skipped,
-    backoff_until); the row with the highest ord is the next state.
+    the capture's ``fetched_at``. ``carry`` columns ride along so the caller
+    needs no join back. Returns (job_id, ord, *carry, fetched_at, blocked,
+    skipped, backoff_until); the highest ord per job is the next state.
     """
     step = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(BACKOFF_STEP_SECONDS))
-    evs = round_pages.groupBy("job_id").agg(
-        F.array_sort(F.collect_list(F.struct("ord", "fetched_at", "blocked"))).alias("evs"))
+    cols = ["ord", "fetched_at", "blocked", *carry]
+    evs = round_pages.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("evs"))
     if state is not None:
         evs = evs.join(state.select("job_id", F.col("backoff_until").alias("prev_until")), "job_id", "left")
     else:
         evs = evs.withColumn("prev_until", F.lit(None).cast("timestamp_ntz"))
-    out_t = "array<struct<ord:bigint,skipped:boolean,backoff_until:timestamp_ntz>>"
+    out_t = "array<struct<skipped:boolean,backoff_until:timestamp_ntz>>"
     init = F.struct(F.col("prev_until").alias("until"), F.array().cast(out_t).alias("out"))
 
     def fold(acc, e):
         skipped = F.coalesce(acc["until"].isNotNull() & (e["fetched_at"] < acc["until"]), F.lit(False))
         until = F.when(~skipped & e["blocked"], F.coalesce(acc["until"], e["fetched_at"]) + step) \
                  .otherwise(acc["until"])
-        row = F.struct(e["ord"].cast("bigint").alias("ord"), skipped.alias("skipped"), until.alias("backoff_until"))
+        row = F.struct(skipped.alias("skipped"), until.alias("backoff_until"))
         return F.struct(until.alias("until"), F.concat(acc["out"], F.array(row)).alias("out"))
 
-    folded = evs.select("job_id", F.explode(F.aggregate("evs", init, fold)["out"]).alias("r"))
-    return folded.select("job_id", "r.ord", "r.skipped", "r.backoff_until")
+    folded = evs.select("job_id", "evs", F.aggregate("evs", init, fold)["out"].alias("out"))
+    zipped = F.transform("evs", lambda e, i: F.struct(
+        *[e[c].alias(c) for c in cols],
+        F.element_at("out", i + 1)["skipped"].alias("skipped"),
+        F.element_at("out", i + 1)["backoff_until"].alias("backoff_until")))
+    return folded.select("job_id", F.inline(zipped))
 
 
 # ------------------------------------------------------------------ C9 / C10

@@ -98,6 +98,8 @@ def crawl(spark: SparkSession, jobs: DataFrame, responses: DataFrame, sitemaps:
           as_of: str | None = None) -> CrawlResult:
     """Run every job of ``jobs`` (validated requests) to completion."""
     root = fresh_dir(spark, "crawl")
+    if sitemaps is not None:   # read once; discovery scans it several times
+        sitemaps = _materialize(sitemaps, f"{root}/sitemaps")
     rules = C.robots_rules(robots) if robots is not None else None
     if rules is not None:
         rules = _materialize(rules, f"{root}/rules")
@@ -119,11 +121,14 @@ def crawl(spark: SparkSession, jobs: DataFrame, responses: DataFrame, sitemaps:
         proc = C.cap_pages(frontier, cfg)
         if proc.isEmpty():      # the only value that reaches the driver
             break
-        fetched = _materialize(_fetch_round(proc, responses), f"{root}/fetched-{rnd}")
-        blocked = fetched.select("job_id", "ord", "fetched_at", (F.col("status") == "blocked").alias("blocked"))
-        bo = C.apply_backoff(blocked, state)
+        fetched = _fetch_round(proc, responses) \
+            .withColumn("blocked", F.col("status") == "blocked")
+        carry = tuple(c for c in fetched.columns if c not in ("job_id", "ord", "fetched_at", "blocked"))
+        # the backoff fold carries each page's columns, so the round's pages
+        # are extracted once and need no join back
+        bo = C.apply_backoff(fetched, state, carry)
         skip = F.col("skipped")
-        merged = fetched.join(bo, ["job_id", "ord"]).select(
+        merged = bo.select(
             "job_id", "ord", "url", "depth", "skipped", "backoff_until", "fetched_at", "duration_ms",
             F.when(skip, "blocked").otherwise(F.col("status")).alias("status"),
             F.when(skip, False).otherwise(F.col("unchanged")).alias("unchanged"),
