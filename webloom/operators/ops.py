@@ -19,6 +19,7 @@ from ..functions.text import math_round
 JOB_STATUSES = ["queued", "running", "completed", "failed"]
 STALE_AFTER_SECONDS = 120
 METRIC_PREFIX = "quarry"
+METRICS_LAST_LINE = 112
 
 
 def _ts(x):
@@ -254,7 +255,7 @@ def metrics_exposition(jobs: DataFrame, monitors: DataFrame, prefix: str = METRI
         (108, ""),
         (109, f"# HELP {prefix}_monitors_active Active monitors"),
         (110, f"# TYPE {prefix}_monitors_active gauge"),
-        (112, ""),
+        (METRICS_LAST_LINE, ""),
     ], "line_no int, line string")
     scraped = totals.select(F.lit(103).alias("line_no"),
                             F.format_string(f"{prefix}_pages_scraped_total %d", "pages_scraped").alias("line"))
@@ -264,3 +265,13 @@ def metrics_exposition(jobs: DataFrame, monitors: DataFrame, prefix: str = METRI
                         F.format_string(f"{prefix}_monitors_active %d", "active_monitors").alias("line"))
     return fixed.unionByName(status_lines).unionByName(scraped).unionByName(failed).unionByName(act)
 
+
+
+def write_metrics(lines: DataFrame, path: str) -> None:
+    """K5 sink: the exposition text as one file, lines in order. The line
+    array ends with an empty element, i.e. the text ends with a newline;
+    the text writer already ends every row with one, so that element is
+    not written. The frame holds a few dozen rows (bounded by the number
+    of job statuses)."""
+    body = lines.where(F.col("line_no") != METRICS_LAST_LINE)
+    body.coalesce(1).sortWithinPartitions("line_no").select("line").write.mode("overwrite").text(path)

@@ -193,6 +193,12 @@ def q_job_with_pages(spark, sf):
     return Q.job_with_pages_flat(FX.jobs(spark, sf), FX.job_pages(spark, sf))
 
 
+@register("q1_job_with_pages_nested")
+def q_job_with_pages_nested(spark, sf):
+    """Q1 (nested): each job with its page list ordered by ord (no markdown)."""
+    return Q.job_with_pages(FX.jobs(spark, sf), FX.job_pages(spark, sf))
+
+
 @register("q2_list_jobs", _W("jobs") + """
 SELECT id, status, url, pages_discovered, pages_scraped, pages_failed, started_at, completed_at, created_at
 FROM jobs ORDER BY created_at, id""")
@@ -983,19 +989,16 @@ def q_robots_rules_sql(spark, sf):
 
 
 @register("u5_robots_allowed", _W("link_graph", "crawl_robots", "robots_rules") + f""",
-cand AS (SELECT DISTINCT 'https://' || host || '/n/' || CAST(r AS VARCHAR) AS url, 'https://' || host AS origin,
-           '/n/' || CAST(r AS VARCHAR) AS pq
-         FROM link_graph, range(1, 16) t(r) WHERE rank = 1),
+cand AS (SELECT DISTINCT 'https://' || host || path AS url, 'https://' || host AS origin, path AS pq FROM link_graph),
 m AS (SELECT c.url, r.allow, length(r.pattern) AS plen FROM cand c JOIN robots_rules r ON r.origin = c.origin
       WHERE regexp_matches(c.pq, r.regex)),
 v AS (SELECT url, arg_max(allow, plen * 2 + CAST(allow AS INTEGER)) AS allow FROM m GROUP BY url)
 SELECT c.url, coalesce(v.allow, true) AS allowed FROM cand c LEFT JOIN v USING (url)""")
 def q_robots_allowed(spark, sf):
-    """Robots verdict for the first fifteen /n/<r> paths of every host
-    (longest matching rule wins, allow wins ties, no file = allow)."""
-    hosts = FX.link_graph_pages(spark, sf).where(F.col("rank") == 1).select("host")
-    cand = hosts.select(F.explode(F.sequence(F.lit(1), F.lit(15))).alias("r"), "host").select(
-        F.concat(F.lit("https://"), "host", F.lit("/n/"), F.col("r").cast("string")).alias("url")).distinct()
+    """Robots verdict for every link-graph page URL (longest matching
+    rule wins, allow wins ties, no robots file = allow)."""
+    cand = FX.link_graph_pages(spark, sf).select(
+        F.concat(F.lit("https://"), "host", "path").alias("url")).distinct()
     rules = C.robots_rules(FX.crawl_robots(spark, sf))
     allowed = C.robots_filter(cand, rules).withColumn("allowed", F.lit(True))
     return cand.join(allowed, "url", "left").select("url", F.coalesce("allowed", F.lit(False)).alias("allowed"))
