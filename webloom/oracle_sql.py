@@ -451,6 +451,12 @@ robots_rules AS (
       || CASE WHEN ends_with(g.value, '$') THEN '$' ELSE '' END AS regex
   FROM rb_grp g JOIN rb_chosen c ON g.origin = c.origin AND g.grp = c.grp
   WHERE g.key IN ('allow', 'disallow') AND g.value <> '')""",
+    "crawl_jobs": """crawl_jobs AS (
+  SELECT 'job_h' || CAST(page_id AS VARCHAR) AS id, 'https://' || host || '/n/1' AS url,
+    CAST(1 + page_id % 4 AS INTEGER) AS max_depth, CAST(2 + page_id % 9 AS INTEGER) AS max_pages,
+    CASE WHEN page_id % 5 = 0 THEN ['/n/*'] ELSE []::VARCHAR[] END AS include_patterns,
+    CASE WHEN page_id % 6 = 0 THEN ['/n/3'] ELSE []::VARCHAR[] END AS exclude_patterns
+  FROM link_graph WHERE rank = 1)""",
 }
 
 

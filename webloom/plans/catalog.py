@@ -511,7 +511,40 @@ def q_robots_rules(spark, sf):
     return C.robots_rules(FX.crawl_robots(spark, sf)).select("origin", "ln", "allow", "pattern", "regex")
 
 
-@register("s5_discover_from_sitemap")
+def _s5_sql():
+    norm = O.normalize_url("loc", "seed")
+    return _W("link_graph", "crawl_sitemaps", "crawl_robots", "robots_rules", "crawl_jobs") + f""",
+locs AS (SELECT sitemap_url, CAST(pos - 1 AS INTEGER) AS loc_pos, trim(loc) AS loc FROM (
+  SELECT sitemap_url, unnest(l) AS loc, generate_subscripts(l, 1) AS pos FROM (
+    SELECT sitemap_url, regexp_extract_all(xml, '(?i)<loc>\\s*(https?://[^<]+?)\\s*</loc>', 1) AS l
+    FROM crawl_sitemaps))),
+roots AS (SELECT id AS job_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/sitemap.xml' AS sitemap_url FROM crawl_jobs),
+r AS (SELECT roots.*, regexp_matches(xml, '(?i)<sitemapindex[\\s>]') AS is_index
+      FROM roots JOIN crawl_sitemaps USING (sitemap_url)),
+plain AS (SELECT job_id, -1 AS src_pos, loc_pos, loc FROM r JOIN locs USING (sitemap_url) WHERE NOT is_index),
+children AS (SELECT job_id, loc_pos AS src_pos, loc AS child_url FROM r JOIN locs USING (sitemap_url)
+             WHERE is_index AND ends_with(loc, '.xml')),
+sub AS (SELECT job_id, src_pos, l.loc_pos, l.loc FROM children c JOIN locs l ON l.sitemap_url = c.child_url),
+ex AS (SELECT * FROM (SELECT * FROM plain UNION ALL SELECT * FROM sub) WHERE NOT ends_with(loc, '.xml')),
+c0 AS (SELECT ex.job_id, ex.src_pos, ex.loc_pos, j.url AS seed, j.max_pages, j.include_patterns, j.exclude_patterns,
+         {norm} AS url
+       FROM ex JOIN crawl_jobs j ON j.id = ex.job_id),
+c1 AS (SELECT *, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin,
+         regexp_extract(url, '^[a-z]+://[^/]+(/[^#]*)?', 1) AS pq FROM c0
+       WHERE url IS NOT NULL AND {O.url_host('url')} = {O.url_host('seed')}
+         AND {O.allowed_by_patterns('url', 'include_patterns', 'exclude_patterns')}),
+m AS (SELECT DISTINCT c1.origin, c1.pq, r.allow, length(r.pattern) AS plen FROM c1 JOIN robots_rules r ON r.origin = c1.origin
+      WHERE regexp_matches(c1.pq, r.regex)),
+v AS (SELECT origin, pq, arg_max(allow, plen * 2 + CAST(allow AS INTEGER)) AS allow FROM m GROUP BY origin, pq),
+c2 AS (SELECT c1.* FROM c1 LEFT JOIN v USING (origin, pq) WHERE coalesce(v.allow, true)),
+c3 AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY src_pos, loc_pos) AS n FROM c2),
+c4 AS (SELECT * FROM c3 WHERE n <= max_pages * 3),
+c5 AS (SELECT *, row_number() OVER (PARTITION BY job_id, url ORDER BY n) AS dup FROM c4),
+c6 AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY n) AS k FROM c5 WHERE dup = 1),
+seeds AS (SELECT job_id, url, CAST(src_pos AS INTEGER) AS src_pos, loc_pos, CAST(k AS INTEGER) AS n FROM c6 WHERE k <= max_pages)"""
+
+
+@register("s5_discover_from_sitemap", _s5_sql() + " SELECT * FROM seeds")
 def q_discover(spark, sf):
     jobs = FX.crawl_jobs(spark, sf)
     jobs = U.evaluate_once(jobs, _sp=U.parse_url_parts("url"))
@@ -741,7 +774,15 @@ def q_verdicts(spark, sf):
     return _run(spark, sf).verdicts.select("monitor_id", "url", "relevant", "reason", "keep", "dropped_unparsed")
 
 
-@register("m15_touch_monitors")
+@register("m15_touch_monitors", _W("monitors") + f""",
+t AS (SELECT *, CASE WHEN frequency = 'hourly' THEN date_trunc('hour', TIMESTAMP '{_RUN_AT}')
+  WHEN frequency = 'weekly' THEN date_trunc('day', TIMESTAMP '{_RUN_AT}') - to_days(CAST(dayofweek(TIMESTAMP '{_RUN_AT}') AS INTEGER))
+  ELSE date_trunc('day', TIMESTAMP '{_RUN_AT}') END AS tick FROM monitors),
+d AS (SELECT *, status = 'active' AND (last_checked_at IS NULL OR last_checked_at < tick) AS due FROM t)
+SELECT id, status,
+  CASE WHEN due THEN TIMESTAMP '{_RUN_AT}' ELSE last_checked_at END AS last_checked_at,
+  CASE WHEN due THEN substr(sha256(id || '@{_RUN_AT}#job'), 1, 16) ELSE last_job_id END AS last_job_id
+FROM d""")
 def q_touch(spark, sf):
     return _run(spark, sf).monitors.select("id", "status", "last_checked_at", "last_job_id")
 
@@ -1011,7 +1052,12 @@ def _crawl_cfg(spark, sf):
                        U.url_origin_of(F.col("_sp")).alias("seed_origin")).drop("_sp")
 
 
-@register("c3_seed_frontier")
+@register("c3_seed_frontier", _s5_sql() + f""",
+flag AS (SELECT DISTINCT job_id FROM seeds)
+SELECT job_id, url, 0 AS depth, CAST(n AS BIGINT) AS ord, true AS uses_sitemap FROM seeds
+UNION ALL
+SELECT id AS job_id, {O.normalize_url('url', 'url')} AS url, 0, CAST(1 AS BIGINT), false
+FROM crawl_jobs WHERE id NOT IN (SELECT job_id FROM flag)""")
 def q_seed(spark, sf):
     """Sitemap seeds at depth 0 in order, else the normalised root."""
     frontier, cfg = PC.seed_frontier(_crawl_cfg(spark, sf), FX.crawl_sitemaps(spark, sf),
@@ -1040,13 +1086,32 @@ def q_backoff(spark, sf):
     return C.apply_backoff(p, None)
 
 
-@register("c13_page_results")
+_C13_CLASS = """
+  CASE WHEN error IS NOT NULL AND (contains(error, 'TimeoutError') OR contains(error, 'abort')) THEN 'timeout'
+       WHEN error IS NOT NULL THEN 'error' WHEN http_status = 304 THEN 'scraped'
+       WHEN http_status = 404 THEN 'not_found' WHEN http_status IN (403, 429) THEN 'blocked'
+       WHEN http_status IS NULL OR http_status < 200 OR http_status >= 300 THEN 'error' ELSE 'scraped' END"""
+_C13_ERR = """
+  CASE WHEN error IS NOT NULL AND (contains(error, 'TimeoutError') OR contains(error, 'abort')) THEN 'Request timed out'
+       WHEN error IS NOT NULL THEN error WHEN http_status = 304 THEN NULL
+       WHEN http_status IS NULL OR http_status < 200 OR http_status >= 300 THEN 'HTTP ' || CAST(http_status AS VARCHAR) END"""
+
+
+@register("c13_page_results", _W("responses") + f""",
+c AS (SELECT page_id, url, html, fetched_at, duration_ms, {_C13_CLASS} AS status,
+        coalesce(error IS NULL AND http_status = 304, false) AS unchanged, {_C13_ERR} AS err FROM responses)
+SELECT 'job_pages' AS job_id, page_id + 1 AS ord, url, 0 AS depth, status,
+  'fetch' AS engine,
+  CASE WHEN status = 'scraped' AND NOT unchanged THEN {O.page_title(O.strip_nodes('html'))}
+       WHEN status = 'scraped' AND unchanged THEN '(unchanged)' END AS title,
+  CASE WHEN status <> 'scraped' THEN err END AS error, duration_ms, fetched_at AS scraped_at, fetched_at AS created_at
+FROM c""")
 def q_page_results(spark, sf):
     """Scraped / unchanged / failed page-row shapes from classified captures."""
     r = FX.responses(spark, sf).withColumn("job_id", F.lit("job_pages")) \
           .withColumn("ord", F.col("page_id") + 1).withColumn("depth", F.lit(0))
-    s = X.scrape_pages(r, keep=("job_id", "ord", "depth", "fetched_at", "duration_ms"))
-    return C.page_results(s.withColumn("skipped", F.lit(False))).drop("markdown")
+    s = X.scrape_pages(r, keep=("job_id", "ord", "depth", "fetched_at", "duration_ms"), with_markdown=False)
+    return C.page_results(s.withColumn("skipped", F.lit(False))).drop("markdown", "markdown_length")
 
 
 @register("x3_html_to_markdown")
