@@ -457,6 +457,17 @@ robots_rules AS (
     CASE WHEN page_id % 5 = 0 THEN ['/n/*'] ELSE []::VARCHAR[] END AS include_patterns,
     CASE WHEN page_id % 6 = 0 THEN ['/n/3'] ELSE []::VARCHAR[] END AS exclude_patterns
   FROM link_graph WHERE rank = 1)""",
+    "crawl_responses": f"""crawl_responses AS (
+  SELECT 'https://' || host || path AS url, http_status,
+    CASE WHEN http_status = 200 THEN
+      regexp_extract(h2, '(?s)^(.*?<body>)', 1)
+      || '<nav><a href="/n/' || CAST(rank * 2 AS VARCHAR) || '">next</a>'
+      || '<a href="https://' || host || '/n/' || CAST(rank * 2 + 1 AS VARCHAR) || '#top">more</a><a href="/n/1/">home</a></nav>'
+      || regexp_replace(h2, '(?s)^.*?<body>', '') END AS html,
+    NULL::VARCHAR AS error, {ts(FX.FETCH_EPOCH)} + to_seconds(page_id * 7) AS fetched_at, 120 AS duration_ms
+  FROM (SELECT *, regexp_replace(html, '(?s)<nav>.*?</nav>', '', 'g') AS h2,
+          CASE WHEN page_id % 19 = 0 THEN 403 WHEN page_id % 17 = 0 THEN 404 ELSE 200 END AS http_status
+        FROM link_graph))""",
 }
 
 

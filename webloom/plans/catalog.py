@@ -1065,7 +1065,27 @@ def q_seed(spark, sf):
     return frontier.join(cfg.select(F.col("id").alias("job_id"), "uses_sitemap"), "job_id")
 
 
-@register("c4_c5_c6_first_round")
+def _first_round_sql():
+    doc = O.strip_nodes("html")
+    return _W("link_graph", "crawl_jobs", "crawl_responses") + f""",
+roots AS (SELECT id AS job_id, {O.normalize_url('url', 'url')} AS url, url AS seed, max_pages, max_depth,
+            include_patterns, exclude_patterns FROM crawl_jobs),
+fetched AS (SELECT r.*, c.http_status, c.error, {O.page_links(doc)} AS links
+            FROM roots r LEFT JOIN crawl_responses c ON c.url = r.url WHERE r.url IS NOT NULL),
+live AS (SELECT * FROM fetched WHERE http_status = 200 AND error IS NULL AND max_depth > 0),
+ex AS (SELECT job_id, seed, max_pages, include_patterns, exclude_patterns, url AS page_url,
+         unnest(links) AS href, generate_subscripts(links, 1) - 1 AS pos FROM live),
+n AS (SELECT *, {O.normalize_url('href', 'page_url')} AS cand FROM ex),
+ok AS (SELECT * FROM n WHERE cand IS NOT NULL AND {O.url_host('cand')} = {O.url_host('seed')}
+         AND regexp_extract(cand, '^(https?://[^/?#]+)', 1) = regexp_extract(seed, '^(https?://[^/?#]+)', 1)
+         AND {O.allowed_by_patterns('cand', 'include_patterns', 'exclude_patterns')}),
+first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id, cand ORDER BY pos) AS d FROM ok) WHERE d = 1),
+fresh AS (SELECT f.* FROM first f WHERE NOT EXISTS (SELECT 1 FROM roots r WHERE r.job_id = f.job_id AND r.url = f.cand)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY pos) AS k FROM fresh)
+SELECT job_id, cand AS url, 1 AS depth, CAST(1 + k AS BIGINT) AS ord FROM ranked WHERE k <= max_pages * 3 - 1"""
+
+
+@register("c4_c5_c6_first_round", _first_round_sql())
 def q_first_round(spark, sf):
     """C4 + C5 + C6: expand the seeds' links and admit depth-1 URLs."""
     jobs = _crawl_cfg(spark, sf)

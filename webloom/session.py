@@ -16,6 +16,7 @@ from pyspark.sql import SparkSession
 
 # Largest per-key rank limit the operators use (3 * max max_pages).
 WINDOW_LIMIT = 3000
+ARROW_BATCH_ROWS = 500
 
 _LOCAL_DEFAULTS = {
     "spark.ui.enabled": "false",
@@ -57,6 +58,11 @@ def configure(spark: SparkSession) -> None:
     3 x 1000 discovery cap) run as a partial top-k before the shuffle."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(WINDOW_LIMIT))
+    # Arrow batches of HTML rows: bound what one Python worker holds (the
+    # default 10,000 pages can be hundreds of MB); keep a smaller setting.
+    cur = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
+    if cur > ARROW_BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_BATCH_ROWS))
 
 
 def checkpoint_root(spark: SparkSession) -> str:
