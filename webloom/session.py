@@ -69,13 +69,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts.
 
     On a cluster ``spark.checkpoint.dir`` names a shared (HDFS/object
-    store) location and is used as is. Only when it is unset (local
-    tests) a private folder under the system temp dir is created.
+    store) location and is used as is; a cluster session without it is an
+    error, never a machine-local folder. Only a local-mode session (tests)
+    gets a private folder under the system temp dir when it is unset.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS / object store)")
         d = tempfile.mkdtemp(prefix="webloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():
