@@ -41,6 +41,25 @@ def norm(v):
     return v
 
 
+def spark_family(t) -> str:
+    n = t.simpleString()
+    return {"int": "int32", "bigint": "int64", "smallint": "int16", "tinyint": "int8", "string": "string",
+            "boolean": "bool", "double": "double", "float": "float", "timestamp_ntz": "timestamp",
+            "timestamp": "timestamptz", "date": "date"}.get(n, "array" if n.startswith("array") else
+                                                              "struct" if n.startswith("struct") else n)
+
+
+def duck_family(t: str) -> str:
+    t = str(t).upper()
+    if t.endswith("[]"):
+        return "array"
+    if t.startswith("STRUCT"):
+        return "struct"
+    return {"INTEGER": "int32", "BIGINT": "int64", "SMALLINT": "int16", "TINYINT": "int8", "VARCHAR": "string",
+            "BOOLEAN": "bool", "DOUBLE": "double", "FLOAT": "float", "TIMESTAMP": "timestamp",
+            "TIMESTAMP WITH TIME ZONE": "timestamptz", "DATE": "date", "HUGEINT": "int128"}.get(t, t)
+
+
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     only = set(sys.argv[2:])
@@ -81,6 +100,11 @@ def main():
             print(f"FAIL {name}: columns spark={cols} duck={sorted(dcols)}")
             bad += 1
             continue
+        sf_types = {f.name: spark_family(f.dataType) for f in df.schema.fields}
+        df_types = {d[0]: duck_family(d[1]) for d in res.description}
+        tmis = [(c, sf_types[c], df_types[c]) for c in cols if sf_types[c] != df_types[c]]
+        if tmis:
+            print(f"TYPE {name}: {tmis}")
         drows = [tuple(norm(r[idx[c]]) for c in cols) for r in drows_raw]
         key = lambda r: tuple((x is None, str(x)) for x in r)
         if sorted(srows, key=key) == sorted(drows, key=key):
