@@ -61,7 +61,9 @@ def _memo(fn):
         return ("c", str(a))
 
     def wrapper(*args):
-        k = (fn.__name__,) + tuple(key(a) for a in args)
+        from pyspark import SparkContext
+        gw = id(SparkContext._gateway)  # cached Columns are JVM objects of this gateway
+        k = (gw, fn.__name__) + tuple(key(a) for a in args)
         col = _MEMO.get(k)
         if col is None:
             col = _MEMO[k] = fn(*args)

@@ -43,11 +43,8 @@ def host_summary(pages: DataFrame) -> DataFrame:
     over many tasks in the first level.
     """
     f = page_facts(pages)
-    ex = f.select(
-        "page_id", "host", "canonical", "title",
-        F.explode_outer(F.transform("links", lambda h: normalize_url(h, F.col("url")))).alias("link"),
-        F.size("links").alias("n_raw"),
-    )
+    ex = f.select("page_id", "host", "canonical", "title", "url", F.explode_outer("links").alias("href"))
+    ex = ex.select("page_id", "host", "canonical", "title", normalize_url("href", "url").alias("link"))
     agg = ex.groupBy("host").agg(
         F.count_distinct("page_id").alias("n_pages"),
         F.count_distinct(F.when(F.col("title") != "", F.col("page_id"))).alias("n_titled"),
