@@ -52,3 +52,26 @@ def test_diff_edit_script_rebuilds_both_texts(a, b):
     ops = chunks(a, b)
     assert apply_chunks(a, ops) == b
     assert "".join(t for k, t in ops if k != "+") == a
+
+
+CONVERSIONS = [
+    ("<p>Hello <b>world</b>!</p>", "Hello **world**!"),
+    ("<ol start=\"3\"><li>a</li><li>b</li></ol>", "3.  a\n4.  b"),
+    ("<ul><li>a<ul><li>b</li></ul></li></ul>", "-   a\n    -   b"),
+    ("<p><a href=\"/x\" title=\"t\">link</a></p>", "[link](/x \"t\")"),
+    ("<p><img src=\"a.png\" alt=\"A\"></p>", "![A](a.png)"),
+    ("<blockquote><p>q</p><p>r</p></blockquote>", "> q\n> \n> r"),
+    ("<p>use <code>x_y</code> now</p>", "use `x_y` now"),
+    ("<p>a</p><hr><p>b</p>", "a\n\n* * *\n\nb"),
+    ("<p>a <em> b </em> c</p>", "a _b_ c"),
+    ("<p>  lots   of\n  space  </p>", "lots of space"),
+    ("<div> x <p> y </p> z </div>", "x\n\ny\n\nz"),
+    ("<pre><code>  keep  \n spaces</code></pre>", "```\n  keep  \n spaces\n```"),
+    ("<p>1. not a list</p>", "1\\. not a list"),
+    ("<p>- not bullet</p>", "\\- not bullet"),
+]
+
+
+def test_common_conversions():
+    for html, want in CONVERSIONS:
+        assert to_markdown("<body>" + html + "</body>") == want, html

@@ -269,9 +269,7 @@ def _render_children(node: Node, ctx: dict) -> str:
 
 def _render(node, parent: Node, ctx: dict) -> str:
     if isinstance(node, str):
-        if ctx.get("pre"):
-            return node
-        return _escape(_WS.sub(" ", node))
+        return _escape(node)
     tag = node.tag
     if tag == "pre":
         code = node.children[0] if len(node.children) == 1 and isinstance(node.children[0], Node) \
@@ -347,11 +345,49 @@ def _render(node, parent: Node, ctx: dict) -> str:
     return content
 
 
+def _collapse_whitespace(root: Node) -> None:
+    """Collapse whitespace in document order like a browser: runs become one
+    space, a space after a space (even across inline elements) is dropped,
+    and text is trimmed at block boundaries. ``pre`` content is kept."""
+    state = {"prev_space": True, "last": None}  # last = (parent, index) of the latest text
+
+    def boundary():
+        last = state["last"]
+        if last is not None:
+            parent, i = last
+            parent.children[i] = parent.children[i].rstrip(" ")
+        state["prev_space"], state["last"] = True, None
+
+    def walk(node: Node):
+        for i, ch in enumerate(node.children):
+            if isinstance(ch, str):
+                t = _WS.sub(" ", ch)
+                if state["prev_space"]:
+                    t = t.lstrip(" ")
+                node.children[i] = t
+                if t:
+                    state["prev_space"] = t.endswith(" ")
+                    state["last"] = (node, i)
+            elif ch.tag == "pre":      # content kept verbatim; a block on both sides
+                boundary()
+                boundary()
+            elif ch.tag in BLOCK or ch.tag in ("br", "hr"):
+                boundary()
+                walk(ch)
+                boundary()
+            else:
+                walk(ch)
+
+    walk(root)
+    boundary()
+
+
 def to_markdown(html: str | None) -> str:
     """Markdown of the document body ('' when there is no body content)."""
     if not html:
         return ""
     root = build_tree(html)
+    _collapse_whitespace(root)
     out = _render_children(root, {})
     out = re.sub(r"^[\t\r\n]+", "", out)
     return re.sub(r"[\t\r\n\s]+$", "", out)
