@@ -138,3 +138,11 @@ def test_fast_path_equals_full_parser(spark):
     assert not bad, bad[:5]
     badp = [(r.href, r.pf, r.pl) for r in got if (r.pf.ok or r.pl.ok) and r.pf != r.pl]
     assert not badp, badp[:5]
+
+
+def test_canonical_parts_equals_full_parse_of_normalized(spark):
+    """canonical_parts must agree with the full parser on normalize_url output."""
+    df = spark.createDataFrame(NORMALIZE, "href string, base string, expected string")
+    n = df.select(U.normalize_url("href", "base").alias("u")).where("u IS NOT NULL")
+    rows = n.select(U.canonical_parts("u").alias("c"), U._parse_url_parts_full("u").alias("f")).collect()
+    assert rows and all(r.c == r.f for r in rows), [(r.c, r.f) for r in rows if r.c != r.f][:3]

@@ -499,3 +499,22 @@ def evaluate_once(df, **cols):
     stay above it, so each expression runs once.
     """
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
+# Output shape of normalize_url: scheme://[userinfo@]host[:port]path[?query],
+# lower-case host, no fragment, path starting with '/'.
+_CANONICAL = r"^(https?)://(?:([^@/]*)@)?(\[[^\]]*\]|[^:/?#]+)(?::([0-9]+))?(/[^?#]*)(?:\?([^#]*))?$"
+
+
+def canonical_parts(url) -> Column:
+    """struct(ok, scheme, userinfo, host, port, path, query) of a URL that
+    ``normalize_url`` produced, by one regex (no general parsing needed:
+    the canonical form is fixed). Not for raw input URLs."""
+    u = _c(url)
+    g = [F.regexp_extract(u, _CANONICAL, i) for i in range(1, 7)]
+    ok = u.isNotNull() & u.rlike(_CANONICAL)
+    nullable = [F.when(x != "", x) for x in (g[1], g[3])]
+    q = F.when(F.regexp_extract(u, r"^[^?]*(\?)", 1) == "?", g[5])
+    return F.when(ok, F.struct(ok.alias("ok"), g[0].alias("scheme"), nullable[0].alias("userinfo"),
+                               g[2].alias("host"), nullable[1].alias("port"), g[4].alias("path"),
+                               q.alias("query")))

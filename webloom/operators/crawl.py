@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .skew import lag_within, row_number_within
-from ..functions.urls import (allowed_path, evaluate_once, normalize_url, parse_url_parts, url_host,
+from ..functions.urls import (allowed_path, canonical_parts, evaluate_once, normalize_url, parse_url_parts, url_host,
                              url_origin, url_origin_of)
 
 # Fixed values (request validation bounds and crawler constants).
@@ -98,7 +98,7 @@ def _admissible(df: DataFrame, href, base) -> DataFrame:
     ``url``, ``_origin`` and ``_pq`` (path + query, for robots)."""
     d = evaluate_once(df, url=normalize_url(href, base))
     d = d.where(F.col("url").isNotNull())
-    d = evaluate_once(d, _p=parse_url_parts(F.col("url")))
+    d = d.withColumn("_p", canonical_parts(F.col("url")))
     d = d.where((F.col("_p.host") == F.col("seed_host"))
                 & allowed_path(F.col("_p.path"), F.col("include_patterns"), F.col("exclude_patterns")))
     d = d.withColumn("_origin", url_origin_of(F.col("_p"))) \
@@ -241,18 +241,22 @@ def admit_new(cands: DataFrame, visited: DataFrame, jobs: DataFrame) -> DataFram
     """First occurrence per (job, url), not yet visited, in (parent
     order, link position), until a job has 3*max_pages visited URLs.
 
-    visited: (job_id, url, ord). Output (job_id, url, depth, ord) with ord
-    continuing the job's FIFO numbering."""
+    visited: (job_id, url, ord). Output (job_id, url, depth, ord,
+    processable) with ord continuing the job's FIFO numbering."""
     first = dedupe_urls(cands, ["job_id", "url"], ["parent_ord", "pos"])
     fresh = first.join(visited.select("job_id", "url"), ["job_id", "url"], "left_anti")
     seen = visited.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_visited"))
-    cap = jobs.select(F.col("id").alias("job_id"), (F.col("max_pages") * DISCOVERY_FACTOR).alias("cap"))
+    cap = jobs.select(F.col("id").alias("job_id"), (F.col("max_pages") * DISCOVERY_FACTOR).alias("cap"),
+                      "max_pages")
     w = Window.partitionBy("job_id").orderBy("parent_ord", "pos")
     r = fresh.join(seen, "job_id", "left").join(cap, "job_id") \
              .withColumn("n_visited", F.coalesce("n_visited", F.lit(0))) \
              .withColumn("k", F.row_number().over(w))
     r = r.where((F.col("k") <= PAGES_MAX * DISCOVERY_FACTOR) & (F.col("k") <= F.col("cap") - F.col("n_visited")))
-    return r.select("job_id", "url", "depth", (F.col("n_visited") + F.col("k")).cast("long").alias("ord"))
+    ord_ = (F.col("n_visited") + F.col("k")).cast("long")
+    # C6 decided at admission: a URL is ever processed iff its FIFO position
+    # is within the job's page budget
+    return r.select("job_id", "url", "depth", ord_.alias("ord"), (ord_ <= F.col("max_pages")).alias("processable"))
 
 
 def cap_pages(frontier: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.html import page_links, page_title, strip_nodes
-from ..functions.urls import normalize_url, url_host
+from ..functions.urls import canonical_parts, normalize_url
 
 
 def page_facts(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
@@ -23,7 +23,7 @@ def page_facts(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
         page_title("_doc", stripped=True).alias("title"),
         page_links("_doc", stripped=True).alias("links"),
     )
-    return out.withColumn("host", url_host("canonical"))
+    return out.withColumn("host", canonical_parts("canonical")["host"])
 
 
 def page_links_exploded(pages: DataFrame, id_col: str = "page_id") -> DataFrame:

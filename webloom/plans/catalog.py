@@ -1082,7 +1082,8 @@ ok AS (SELECT * FROM n WHERE cand IS NOT NULL AND {O.url_host('cand')} = {O.url_
 first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id, cand ORDER BY pos) AS d FROM ok) WHERE d = 1),
 fresh AS (SELECT f.* FROM first f WHERE NOT EXISTS (SELECT 1 FROM roots r WHERE r.job_id = f.job_id AND r.url = f.cand)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY pos) AS k FROM fresh)
-SELECT job_id, cand AS url, 1 AS depth, CAST(1 + k AS BIGINT) AS ord FROM ranked WHERE k <= max_pages * 3 - 1"""
+SELECT job_id, cand AS url, 1 AS depth, CAST(1 + k AS BIGINT) AS ord, 1 + k <= max_pages AS processable
+FROM ranked WHERE k <= max_pages * 3 - 1"""
 
 
 @register("c4_c5_c6_first_round", _first_round_sql())

@@ -108,7 +108,9 @@ def crawl(spark: SparkSession, jobs: DataFrame, responses: DataFrame, sitemaps:
                                     url_origin_of(F.col("_sp")).alias("seed_origin")).drop("_sp"),
                         f"{root}/requests")
     frontier, cfg = seed_frontier(jobs, sitemaps, rules)
-    visited = _materialize(frontier.withColumn("round", F.lit(0)), f"{root}/visited-0")
+    # seeds are always within budget (sitemap seeds are cut to max_pages)
+    visited = _materialize(frontier.withColumn("processable", F.lit(True)).withColumn("round", F.lit(0)),
+                           f"{root}/visited-0")
     cfg = _materialize(cfg.select("id", "url", "seed_host", "seed_origin", "max_depth", "max_pages",
                                   "include_patterns", "exclude_patterns", "uses_sitemap", "webhook_url"),
                        f"{root}/jobs")
@@ -118,7 +120,7 @@ def crawl(spark: SparkSession, jobs: DataFrame, responses: DataFrame, sitemaps:
     page_dirs = []
     rnd = 0
     while rnd < limit:
-        proc = C.cap_pages(frontier, cfg)
+        proc = frontier.where("processable").drop("processable")    # C6
         if proc.isEmpty():      # the only value that reaches the driver
             break
         fetched = _fetch_round(proc, responses) \
@@ -155,7 +157,7 @@ def crawl(spark: SparkSession, jobs: DataFrame, responses: DataFrame, sitemaps:
     else:
         from .. import schemas
         pages = spark.createDataFrame([], schemas.JOB_PAGES + ", depth int")
-    visited = visited.drop("round")
+    visited = visited.drop("round", "processable")
     discovered = visited.groupBy("job_id").agg(F.count(F.lit(1)).cast("int").alias("pages_discovered"))
     progress = pages.groupBy("job_id").agg(
         F.count_if(F.col("status") == "scraped").cast("int").alias("pages_scraped"),
