@@ -1158,3 +1158,17 @@ def q_unchanged(spark, sf):
     s, unchanged, _ = X.classify_response("http_status", "_err")
     cur = FX.monitor_cur(spark, sf).withColumn("_err", F.lit(None).cast("string"))
     return cur.select("monitor_id", "url", unchanged.alias("unchanged"), (s == "scraped").alias("counts_as_scraped"))
+
+
+
+@register("m16_monitor_crawl_changes")
+def q_monitor_crawl(spark, sf):
+    """M16 over real crawls: run 1 crawls the earlier capture into monitor
+    state, run 2 crawls the current capture; changed pages, diffs, judged
+    verdicts and webhook payloads follow."""
+    mons = FX.crawl_monitors(spark, sf)
+    first = MR.crawl_snapshot(spark, mons, FX.crawl_responses_previous(spark, sf), "2024-01-29 12:00:00")
+    empty = spark.createDataFrame([], MR.M.snapshot_state(FX.monitor_prev(spark, sf)).schema)
+    state = M.upsert_monitor_pages(empty, first)
+    run = MR.monitor_run_crawl(spark, mons, state, FX.crawl_responses(spark, sf), _RUN_AT)
+    return run.change_rows.select("monitor_id", "url", "diff")

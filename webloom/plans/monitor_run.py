@@ -66,3 +66,29 @@ def monitor_run(monitors: DataFrame, state: DataFrame, fetched: DataFrame, run_a
         "include_patterns", "exclude_patterns", F.col("pages_checked").alias("pages_scraped"),
         ts.alias("started_at"), ts.alias("completed_at"), F.col("id").alias("monitor_id"))
     return MonitorRun(due, diffs, new_state, checks, rows, verdicts, touched, outbox, jobs)
+
+
+def crawl_snapshot(spark, monitors: DataFrame, captures: DataFrame, run_at: str,
+                   sitemaps: DataFrame | None = None, robots: DataFrame | None = None) -> DataFrame:
+    """The crawl step of a monitor run: every monitor's site crawled with
+    its own depth / page / glob settings (C7), as fetched-page rows
+    (monitor_id, url, http_status, markdown, etag, checked_at). A 304
+    (scraped, no markdown) keeps status 304 so it counts as checked but is
+    never diffed."""
+    from .crawl import crawl
+    jobs = monitors.select("id", "url", "max_depth", "max_pages", "include_patterns", "exclude_patterns",
+                           "webhook_url")
+    r = crawl(spark, jobs, captures, sitemaps, robots)
+    scraped = F.col("status") == "scraped"
+    return r.pages.select(
+        F.col("job_id").alias("monitor_id"), "url",
+        F.when(scraped & F.col("markdown").isNotNull(), 200).when(scraped, 304).otherwise(0).alias("http_status"),
+        "markdown", F.lit(None).cast("string").alias("etag"), F.lit(run_at).cast("timestamp_ntz").alias("checked_at"))
+
+
+def monitor_run_crawl(spark, monitors: DataFrame, state: DataFrame, captures: DataFrame, run_at: str,
+                      sitemaps: DataFrame | None = None, robots: DataFrame | None = None) -> MonitorRun:
+    """M16 end to end: due monitors -> crawl of their sites -> M5..M15 -> K4."""
+    due = M.due_monitors(monitors, run_at)
+    fetched = crawl_snapshot(spark, due, captures, run_at, sitemaps, robots)
+    return monitor_run(monitors, state, fetched, run_at)

@@ -373,3 +373,27 @@ def monitor_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(k % 5 == 3, "weekly").otherwise("monthly"))
     return r.withColumn("frequency", freq) \
             .withColumn("goal", F.when(k % 3 == 0, F.concat(F.lit("Watch "), F.col("url"))))
+
+
+def crawl_monitors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One monitor per link-graph site, configured like that site's crawl job."""
+    j = crawl_jobs(spark, sf_dir)
+    n = F.regexp_extract("id", r"(\d+)$", 1).cast("long")
+    return j.select(
+        F.concat(F.lit("mon_"), F.col("id")).alias("id"), "url", "max_depth", "max_pages", "include_patterns",
+        "exclude_patterns", F.lit("daily").alias("frequency"),
+        F.lit("https://hooks.example.com/m").alias("webhook_url"), F.lit("active").alias("status"),
+        F.when(n % 2 == 0, F.lit("Track headline changes")).alias("goal"),
+        F.lit(None).cast("timestamp_ntz").alias("last_checked_at"),
+        F.lit(None).cast("string").alias("last_job_id"), _ts("2024-01-01 00:00:00").alias("created_at"))
+
+
+def crawl_responses_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An earlier capture of the link graph: every third page had a draft
+    headline and one paragraph fewer."""
+    r = crawl_responses(spark, sf_dir)
+    g = link_graph_pages(spark, sf_dir).select(
+        F.concat(F.lit("https://"), F.col("host"), F.col("path")).alias("url"), "page_id")
+    r = r.join(g, "url")
+    old = F.regexp_replace(F.regexp_replace("html", "</h1>", " (draft)</h1>"), r"(?s)<p>[^<]*</p>(?=</article>)", "")
+    return r.withColumn("html", F.when(F.col("page_id") % 3 == 0, old).otherwise(F.col("html"))).drop("page_id")
