@@ -898,6 +898,22 @@ def q_extract(spark, sf):
                       F.col("typed.n").alias("n"), F.col("typed.ok").alias("ok"), F.col("typed.tags").alias("tags"))
 
 
+_C8_SQL = _W("job_pages").replace("WITH ", "WITH RECURSIVE ", 1) + """,
+pops AS (SELECT job_id, ord, scraped_at + to_seconds(ord * 11) AS fetched_at, status = 'blocked' AS blocked
+         FROM job_pages),
+fold AS (
+  SELECT job_id, ord, fetched_at, blocked, false AS skipped,
+    CASE WHEN blocked THEN fetched_at + INTERVAL 30 SECOND END AS backoff_until
+  FROM pops WHERE ord = 1
+  UNION ALL
+  SELECT p.job_id, p.ord, p.fetched_at, p.blocked, s.skip,
+    CASE WHEN NOT s.skip AND p.blocked THEN coalesce(f.backoff_until, p.fetched_at) + INTERVAL 30 SECOND
+         ELSE f.backoff_until END
+  FROM fold f JOIN pops p ON p.job_id = f.job_id AND p.ord = f.ord + 1,
+       LATERAL (SELECT coalesce(f.backoff_until IS NOT NULL AND p.fetched_at < f.backoff_until, false) AS skip) s)
+SELECT job_id, ord, fetched_at, blocked, skipped, backoff_until FROM fold"""
+
+
 # ------------------------------------------------------------------ streaming: T1-T6
 
 
@@ -936,7 +952,7 @@ def q_t2(spark, sf):
     return _drain(S.stream_changes(src), "t2").select("monitor_id", "url", "prev_hash", "hash")
 
 
-@register("t3_stream_backoff")
+@register("t3_stream_backoff", _C8_SQL.replace("SELECT job_id, ord, fetched_at, blocked, skipped, backoff_until FROM fold", "SELECT job_id, ord, skipped, backoff_until FROM fold"))
 def q_t3(spark, sf):
     """C8 backoff as keyed state over page pops of the job fixture."""
     p = FX.job_pages(spark, sf).select(
@@ -1097,7 +1113,7 @@ def q_first_round(spark, sf):
     return C.admit_new(cands, frontier, cfg)
 
 
-@register("c8_apply_backoff")
+@register("c8_apply_backoff", _C8_SQL)
 def q_backoff(spark, sf):
     """Fixed-step host backoff folded per job over page pops in FIFO order."""
     p = FX.job_pages(spark, sf).select(
