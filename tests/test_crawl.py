@@ -1,5 +1,6 @@
 """Crawl invariants and equality with a plain FIFO queue simulation."""
 import datetime
+import datetime as dt
 import re
 from collections import deque
 
@@ -116,3 +117,46 @@ def test_host_partitioned_captures_give_same_crawl(spark, result):
     staged = crawl(spark, jobs, stage_captures(FX.crawl_responses(spark, SF)))
     cols = ["job_id", "ord", "url", "depth", "status", "title", "error"]
     assert sorted(map(tuple, staged.pages.select(*cols).collect())) == sorted(map(tuple, r.pages.select(*cols).collect()))
+
+
+def test_engine_routing_in_crawl(spark):
+    full = lambda links: ("<html><head><title>T</title></head><body><p>" + "words " * 40 + "</p>"
+                          + "".join(f'<a href="{h}">x</a>' for h in links) + "</body></html>")
+    thin = lambda links: "<html><body><p>tiny</p>" + "".join(f'<a href="{h}">x</a>' for h in links) + "</body></html>"
+    ts = dt.datetime(2024, 1, 30)
+    plain = [("https://a.com/", 200, thin(["/pa"])), ("https://a.com/ra", 200, full([])),
+             ("https://a.com/pa", 200, full([])),
+             ("https://b.com/", 200, full(["/pb"])), ("https://b.com/rb", 200, full([])),
+             ("https://c.com/", 200, thin(["/pc"])), ("https://c.com/pc", 200, full([])),
+             ("https://d.com/", 403, None), ("https://d.com/rd", 200, full([])),
+             ("https://e.com/", 200, full([]))]
+    rend = [("https://a.com/", 200, full(["/ra"])), ("https://a.com/ra", 200, full([])),
+            ("https://b.com/", 200, full(["/rb"])), ("https://b.com/rb", 200, full([])),
+            ("https://c.com/", 200, full(["/rc"])), ("https://d.com/", 200, full(["/rd"])),
+            ("https://d.com/rd", 200, full([]))]
+
+    def caps(rows, engine):
+        return spark.createDataFrame(
+            [(u, engine, s, None, None, h, None, ts + dt.timedelta(minutes=i), 10) for i, (u, s, h) in enumerate(rows)],
+            "url string, engine string, http_status int, etag string, last_modified string, html string, "
+            "error string, fetched_at timestamp_ntz, duration_ms int")
+
+    jobs = spark.createDataFrame(
+        [("ja", "https://a.com/", "auto"), ("jb", "https://b.com/", "browser"), ("jc", "https://c.com/", "fetch"),
+         ("jd", "https://d.com/", "auto"), ("je", "https://e.com/", "browser")],
+        "id string, url string, engine string") \
+        .withColumn("max_depth", F.lit(1)).withColumn("max_pages", F.lit(5)) \
+        .withColumn("include_patterns", F.array().cast("array<string>")) \
+        .withColumn("exclude_patterns", F.array().cast("array<string>")) \
+        .withColumn("webhook_url", F.lit(None).cast("string"))
+    r = crawl(spark, jobs, caps(plain, "fetch"), rendered=caps(rend, "browser"))
+    got = {(p.job_id, p.url): (p.status, p.engine) for p in r.pages.collect()}
+    assert got[("ja", "https://a.com/")] == ("scraped", "browser")       # thin -> rendering
+    assert ("ja", "https://a.com/ra") in got                             # links of the rendering
+    assert got[("jb", "https://b.com/rb")] == ("scraped", "browser")     # browser engine
+    assert got[("jc", "https://c.com/")] == ("scraped", "fetch")         # fetch ignores renderings
+    assert ("jc", "https://c.com/pc") in got
+    assert got[("jd", "https://d.com/")] == ("scraped", "browser")       # blocked -> rendering
+    assert got[("je", "https://e.com/")] == ("error", "fetch")           # no rendering captured
+    md = {p.url: p.markdown_length for p in r.pages.where("job_id = 'ja'").collect()}
+    assert md["https://a.com/"] > 150                                    # markdown of the rendering

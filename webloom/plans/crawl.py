@@ -59,27 +59,65 @@ def seed_frontier(jobs: DataFrame, sitemaps: DataFrame | None, rules: DataFrame
     return frontier, j
 
 
-def _fetch_round(proc: DataFrame, responses: DataFrame) -> DataFrame:
+def _semi(captures: DataFrame, urls: DataFrame) -> DataFrame:
+    """Captures of the given URLs; joins on (host, url) when the capture
+    table is partitioned by host, so dynamic partition pruning reads only
+    the partitions of those hosts instead of the whole corpus."""
+    if "host" in captures.columns:
+        return captures.join(urls.withColumn("host", url_host("url")), ["host", "url"], "left_semi")
+    return captures.join(urls, "url", "left_semi")
+
+
+_ROUTED = ("status", "unchanged", "error", "title", "links")
+
+
+def _fetch_round(proc: DataFrame, responses: DataFrame, rendered: DataFrame | None = None,
+                 engines: DataFrame | None = None) -> DataFrame:
     """Join this round's URLs to their captures and extract them once per
     distinct URL (many jobs may share a URL).
 
-    When the capture table carries a ``host`` partition column the join
-    also matches on it, so dynamic partition pruning reads only the
-    partitions of hosts in this round's frontier instead of the whole
-    corpus (captures should be stored partitioned by host).
+    With ``rendered`` captures and a job ``engine`` (X6, crawl flavour):
+    ``browser`` jobs use the rendering only; ``auto`` jobs use the plain
+    fetch unless it is blocked or thin (markdown < 150 units) and a
+    successful rendering exists. The thin test runs the markdown walk only
+    for those auto rows that have a usable rendering.
     """
-    keys = ["url"]
     needed = proc.select("url").distinct()
-    if "host" in responses.columns:
-        needed = needed.withColumn("host", url_host("url"))
-        keys = ["host", "url"]
-    caps = responses.join(needed, keys, "left_semi")
-    ex = X.scrape_pages(caps, keep=("fetched_at", "duration_ms"), with_markdown=False)
-    got = proc.join(ex.drop("engine").withColumn("engine", F.lit("fetch")), "url", "left")
+    ex = X.scrape_pages(_semi(responses, needed), keep=("fetched_at", "duration_ms"), with_markdown=False)
+    got = proc.join(ex.drop("engine"), "url", "left")
     missing = F.col("status").isNull()
-    return got.withColumn("error", F.when(missing, F.lit(NO_CAPTURE)).otherwise(F.col("error"))) \
-              .withColumn("status", F.coalesce("status", F.lit("error"))) \
-              .withColumn("unchanged", F.coalesce("unchanged", F.lit(False)))
+    got = got.withColumn("error", F.when(missing, F.lit(NO_CAPTURE)).otherwise(F.col("error"))) \
+             .withColumn("status", F.coalesce("status", F.lit("error"))) \
+             .withColumn("unchanged", F.coalesce("unchanged", F.lit(False)))
+    if rendered is None or engines is None:
+        return got.withColumn("engine", F.lit("fetch"))
+    rx = X.scrape_pages(_semi(rendered, needed), keep=("fetched_at",), with_markdown=False) \
+        .select("url", *[F.col(c).alias("r_" + c) for c in _ROUTED], F.col("fetched_at").alias("r_fetched_at"))
+    got = got.join(engines, "job_id", "left").join(rx, "url", "left")
+    r_ok = F.coalesce(F.col("r_status") == "scraped", F.lit(False))
+    live = (F.col("status") == "scraped") & ~F.col("unchanged")
+    check_thin = (F.col("engine") == "auto") & r_ok & live
+    # thin test only where it can change the outcome
+    cand = got.where(check_thin).select("url").distinct()
+    md = _semi(responses, cand).select("url", X.html_to_markdown(F.col("html")).alias("_md")) \
+        .select("url", X.is_thin(F.col("_md")).alias("_thin")).dropDuplicates(["url"])
+    got = got.join(md, "url", "left")
+    browser = F.col("engine") == "browser"
+    use_r = browser | ((F.col("engine") == "auto") & r_ok &
+                       ((F.col("status") == "blocked") | (live & F.coalesce("_thin", F.lit(False)))))
+    no_render = F.lit("no rendering captured")
+    keep = [c for c in got.columns if c not in _ROUTED and not c.startswith("r_")
+            and c not in ("engine", "_thin", "fetched_at")]
+    return got.select(
+        *keep,
+        F.when(use_r, F.when(r_ok, F.col("r_status")).otherwise(F.lit("error"))).otherwise(F.col("status")).alias("status"),
+        F.when(use_r, F.lit(False)).otherwise(F.col("unchanged")).alias("unchanged"),
+        F.when(use_r, F.when(r_ok, F.lit(None).cast("string")).otherwise(F.coalesce(F.col("r_error"), no_render)))
+         .otherwise(F.col("error")).alias("error"),
+        F.when(use_r, F.col("r_title")).otherwise(F.col("title")).alias("title"),
+        F.when(use_r, F.col("r_links")).otherwise(F.col("links")).alias("links"),
+        F.coalesce(F.col("fetched_at"), F.col("r_fetched_at")).alias("fetched_at"),
+        F.when(use_r & r_ok, F.lit("browser")).otherwise(F.lit("fetch")).alias("engine"))
 
 
 def stage_captures(responses: DataFrame) -> DataFrame:
@@ -95,8 +133,12 @@ def stage_captures(responses: DataFrame) -> DataFrame:
 
 def crawl(spark: SparkSession, jobs: DataFrame, responses: DataFrame, sitemaps: DataFrame | None = None,
           robots: DataFrame | None = None, expand_unchanged: bool = False, max_rounds: int | None = None,
-          as_of: str | None = None) -> CrawlResult:
-    """Run every job of ``jobs`` (validated requests) to completion."""
+          rendered: DataFrame | None = None) -> CrawlResult:
+    """Run every job of ``jobs`` (validated requests) to completion.
+
+    ``rendered`` (optional) holds browser renderings; jobs then follow
+    their ``engine`` (fetch / browser / auto, default auto). Without it
+    every page is a plain fetch, as when no browser is configured."""
     root = fresh_dir(spark, "crawl")
     if sitemaps is not None:   # read once; discovery scans it several times
         sitemaps = _materialize(sitemaps, f"{root}/sitemaps")
@@ -111,9 +153,12 @@ def crawl(spark: SparkSession, jobs: DataFrame, responses: DataFrame, sitemaps:
     # seeds are always within budget (sitemap seeds are cut to max_pages)
     visited = _materialize(frontier.withColumn("processable", F.lit(True)).withColumn("round", F.lit(0)),
                            f"{root}/visited-0")
+    engine = F.col("engine") if "engine" in cfg.columns else F.lit("auto")
     cfg = _materialize(cfg.select("id", "url", "seed_host", "seed_origin", "max_depth", "max_pages",
-                                  "include_patterns", "exclude_patterns", "uses_sitemap", "webhook_url"),
+                                  "include_patterns", "exclude_patterns", "uses_sitemap", "webhook_url",
+                                  F.coalesce(engine, F.lit("auto")).alias("engine")),
                        f"{root}/jobs")
+    engines = cfg.select(F.col("id").alias("job_id"), "engine")
     frontier = visited.drop("round")
     limit = max_rounds if max_rounds is not None else C.DEPTH_MAX + 1
     state = None
@@ -123,7 +168,7 @@ def crawl(spark: SparkSession, jobs: DataFrame, responses: DataFrame, sitemaps:
         proc = frontier.where("processable").drop("processable")    # C6
         if proc.isEmpty():      # the only value that reaches the driver
             break
-        fetched = _fetch_round(proc, responses) \
+        fetched = _fetch_round(proc, responses, rendered, engines) \
             .withColumn("blocked", F.col("status") == "blocked")
         carry = tuple(c for c in fetched.columns if c not in ("job_id", "ord", "fetched_at", "blocked"))
         # the backoff fold carries each page's columns, so the round's pages
@@ -152,8 +197,15 @@ def crawl(spark: SparkSession, jobs: DataFrame, responses: DataFrame, sitemaps:
         rnd += 1
     if page_dirs:
         rows = spark.read.parquet(*page_dirs)
-        # markdown only for scraped pages, once per distinct URL, after the loop
-        pages = C.page_results(X.attach_markdown(rows, responses))
+        # markdown only for scraped pages, once per distinct URL, after the
+        # loop, from the capture each page was taken from
+        if rendered is None:
+            with_md = X.attach_markdown(rows, responses)
+        else:
+            by_browser = F.coalesce(F.col("engine") == "browser", F.lit(False))
+            with_md = X.attach_markdown(rows.where(~by_browser), responses) \
+                       .unionByName(X.attach_markdown(rows.where(by_browser), rendered))
+        pages = C.page_results(with_md)
     else:
         from .. import schemas
         pages = spark.createDataFrame([], schemas.JOB_PAGES + ", depth int")

@@ -250,7 +250,7 @@ def crawl_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 5 == 0, F.array(F.lit("/n/*"))).otherwise(F.array()).cast("array<string>").alias("include_patterns"),
         F.when(n % 6 == 0, F.array(F.lit("/n/3"))).otherwise(F.array()).cast("array<string>").alias("exclude_patterns"),
         F.when(n % 2 == 0, F.lit("https://hooks.example.com/c")).alias("webhook_url"),
-        F.lit("fetch").alias("engine"),
+        F.when(n % 3 == 0, "auto").when(n % 3 == 1, "browser").otherwise("fetch").alias("engine"),
         _ts("2024-01-30 00:00:00").alias("created_at"),
     )
 
@@ -397,3 +397,25 @@ def crawl_responses_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = r.join(g, "url")
     old = F.regexp_replace(F.regexp_replace("html", "</h1>", " (draft)</h1>"), r"(?s)<p>[^<]*</p>(?=</article>)", "")
     return r.withColumn("html", F.when(F.col("page_id") % 3 == 0, old).otherwise(F.col("html"))).drop("page_id")
+
+
+def crawl_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Browser renderings captured for a quarter of the link-graph pages
+    (rank 1 always, so every site's seed can be rendered); a rendering
+    succeeds even where the plain fetch was refused."""
+    r = crawl_responses(spark, sf_dir).drop("html", "http_status")
+    g = link_graph_pages(spark, sf_dir).select(
+        F.concat(F.lit("https://"), F.col("host"), F.col("path")).alias("url"), "page_id", "rank")
+    ok = g.where((F.col("page_id") % 4 == 1) | (F.col("rank") == 1)).select("url")
+    html_src = link_graph_pages(spark, sf_dir).select(
+        F.concat(F.lit("https://"), F.col("host"), F.col("path")).alias("url"), "html", "rank", "host")
+    nav = F.concat(
+        F.lit('<nav><a href="/n/'), (F.col("rank") * 2).cast("string"), F.lit('">next</a>'),
+        F.lit('<a href="https://'), F.col("host"), F.lit("/n/"), (F.col("rank") * 2 + 1).cast("string"),
+        F.lit('#top">more</a><a href="/n/1/">home</a></nav>'))
+    body = F.regexp_replace("html", r"(?s)<nav>.*?</nav>", "")
+    rendered_html = F.concat(F.regexp_extract(body, r"(?s)^(.*?<body>)", 1), nav,
+                             F.regexp_replace(body, r"(?s)^.*?<body>", ""))
+    h = html_src.join(ok, "url").select("url", rendered_html.alias("html"))
+    return r.join(h, "url").select("url", F.lit("browser").alias("engine"), F.lit(200).alias("http_status"),
+                                   "etag", "last_modified", "html", "error", "fetched_at", "duration_ms")
