@@ -621,8 +621,9 @@ def q_crawl_jobs(spark, sf):
 
 @register("c15_resume_frontier")
 def q_resume(spark, sf):
-    """C14 + C15: jobs stopped after two rounds are stale; their frontier
-    rows without a page row re-enter processing."""
+    """C14 + C15: crawls stopped after two rounds are marked running with
+    an old heartbeat; C14 finds them stale and C15 returns their remaining
+    frontier (admitted URLs without a page row) in FIFO order."""
     jobs = FX.crawl_jobs(spark, sf)
     r = PC.crawl(spark, jobs, FX.crawl_responses(spark, sf), max_rounds=2)
     stale = r.jobs.select("id", "url", F.lit("running").alias("status"),
@@ -1182,8 +1183,8 @@ def q_unchanged(spark, sf):
 @register("m16_monitor_crawl_changes")
 def q_monitor_crawl(spark, sf):
     """M16 over real crawls: run 1 crawls the earlier capture into monitor
-    state, run 2 crawls the current capture; changed pages, diffs, judged
-    verdicts and webhook payloads follow."""
+    state, run 2 crawls the current capture; returns the run's change
+    records (monitor_id, url, diff)."""
     mons = FX.crawl_monitors(spark, sf)
     first = MR.crawl_snapshot(spark, mons, FX.crawl_responses_previous(spark, sf), "2024-01-29 12:00:00")
     empty = spark.createDataFrame([], MR.M.snapshot_state(FX.monitor_prev(spark, sf)).schema)

@@ -7,9 +7,10 @@ whole level per round, ordering admissions by that pair and cutting with
 ``row_number`` against ``max_pages`` / ``3*max_pages`` yields the same pages
 in the same order. A round is a handful of joins and windows over *all*
 jobs; the driver only loops over depth levels (at most 11) and only sees
-an emptiness flag. Each round's frontier, visited set and page rows are
-written to a fresh folder under the shared checkpoint root and read back,
-which cuts lineage and lets a lost executor recompute only its round.
+an emptiness flag. Each round's page rows (with links) and the visited set
+(which holds the frontier) are written to a fresh folder under the shared
+checkpoint root and read back, which cuts lineage and lets a lost executor
+recompute only its round.
 """
 
 from __future__ import annotations

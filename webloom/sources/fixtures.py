@@ -9,13 +9,14 @@ of crawl order, ...); that all happens in ``webloom.operators``.
 
 Derivations (mirrored one-to-one by the DuckDB oracle CTEs):
 
-* responses      <- pages   (HTTP status by page_id residues)
-* jobs           <- orders  (status by order status / priority)
+* responses / rendered_responses <- pages (HTTP status by page_id residues)
+* jobs, crawl_requests, monitor_requests <- orders
 * job_pages      <- lineitem
-* scrape_requests<- events
-* monitor_prev / monitor_cur <- documents (two snapshots)
-* crawl_responses / crawl_jobs <- pages (per-host link graph)
-* completions    <- pages (captured model replies keyed by prompt hash)
+* scrape_requests, logs <- events
+* monitors, monitor_commands, monitor_prev / monitor_cur <- documents
+* crawl_responses (+ an earlier version), crawl_rendered, crawl_jobs,
+  crawl_monitors, crawl_robots, crawl_sitemaps <- pages (per-host link graph)
+* completions    <- a prompt table (captured model replies keyed by prompt hash)
 """
 
 from __future__ import annotations
