@@ -980,8 +980,8 @@ def q_t4(spark, sf):
 
 @register("t5_stream_stale_jobs")
 def q_t5(spark, sf):
-    """T5: heartbeats of running jobs; a job goes stale once event time
-    passes its last heartbeat + 2 minutes."""
+    """T5: each job's page timestamps as its heartbeat stream; a job is
+    reported stale once event time passes its last heartbeat + 2 minutes."""
     hb = FX.job_pages(spark, sf).select("job_id", F.col("scraped_at").alias("ts"))
     path, schema = _stage(hb.orderBy("ts"), "t5-in")
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
