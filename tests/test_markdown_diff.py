@@ -75,3 +75,36 @@ CONVERSIONS = [
 def test_common_conversions():
     for html, want in CONVERSIONS:
         assert to_markdown("<body>" + html + "</body>") == want, html
+
+
+@settings(max_examples=200, deadline=None)
+@given(lines, lines)
+def test_diff_net_counts_equal_multiset_difference(a, b):
+    from collections import Counter
+
+    from webloom.operators.diff import split_lines
+    net = Counter()
+    for kind, text in chunks(a, b):
+        for line in split_lines(text):
+            net[line] += {"+": 1, "-": -1, " ": 0}[kind]
+    want = Counter(split_lines(b))
+    want.subtract(Counter(split_lines(a)))
+    assert {k: v for k, v in net.items() if v} == {k: v for k, v in want.items() if v}
+
+
+def test_m8_agrees_with_m9_on_fixture(spark):
+    """The net line counts implied by every M8 diff equal M9's counts."""
+    from collections import Counter
+
+    from webloom.operators import monitor as M
+    from webloom.operators.diff import split_lines
+    from webloom.sources import fixtures as FX
+    sf = "/root/testdata/sf0.001"
+    ch = M.changed_pages(FX.monitor_cur(spark, sf), M.snapshot_state(FX.monitor_prev(spark, sf)))
+    m9 = {(r.url, r.line): r.net for r in M.line_change_counts(ch).collect()}
+    implied = Counter()
+    for r in ch.collect():
+        for kind, text in chunks(r.old_markdown, r.new_markdown):
+            for line in split_lines(text):
+                implied[(r.url, line)] += {"+": 1, "-": -1, " ": 0}[kind]
+    assert {k: v for k, v in implied.items() if v} == m9
