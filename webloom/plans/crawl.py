@@ -73,7 +73,7 @@ _ROUTED = ("status", "unchanged", "error", "title", "links")
 
 
 def _fetch_round(proc: DataFrame, responses: DataFrame, rendered: DataFrame | None = None,
-                 engines: DataFrame | None = None) -> DataFrame:
+                 engines: DataFrame | None = None, stage=None) -> DataFrame:
     """Join this round's URLs to their captures and extract them once per
     distinct URL (many jobs may share a URL).
 
@@ -95,6 +95,8 @@ def _fetch_round(proc: DataFrame, responses: DataFrame, rendered: DataFrame | No
     rx = X.scrape_pages(_semi(rendered, needed), keep=("fetched_at",), with_markdown=False) \
         .select("url", *[F.col(c).alias("r_" + c) for c in _ROUTED], F.col("fetched_at").alias("r_fetched_at"))
     got = got.join(engines, "job_id", "left").join(rx, "url", "left")
+    if stage is not None:   # used twice below: extract both captures once
+        got = stage(got)
     r_ok = F.coalesce(F.col("r_status") == "scraped", F.lit(False))
     live = (F.col("status") == "scraped") & ~F.col("unchanged")
     check_thin = (F.col("engine") == "auto") & r_ok & live
@@ -169,7 +171,8 @@ def crawl(spark: SparkSession, jobs: DataFrame, responses: DataFrame, sitemaps:
         proc = frontier.where("processable").drop("processable")    # C6
         if proc.isEmpty():      # the only value that reaches the driver
             break
-        fetched = _fetch_round(proc, responses, rendered, engines) \
+        fetched = _fetch_round(proc, responses, rendered, engines,
+                               stage=lambda df, r=rnd: _materialize(df, f"{root}/routed-{r}")) \
             .withColumn("blocked", F.col("status") == "blocked")
         carry = tuple(c for c in fetched.columns if c not in ("job_id", "ord", "fetched_at", "blocked"))
         # the backoff fold carries each page's columns, so the round's pages
