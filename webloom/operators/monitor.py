@@ -98,9 +98,9 @@ def changed_pages(cur: DataFrame, state: DataFrame) -> DataFrame:
     hashes = state.select("monitor_id", "url", F.col("last_content_hash").alias("prev_hash"))
     ch = fetched.join(hashes, ["monitor_id", "url"]) \
                 .where(F.col("prev_hash").isNotNull() & (F.col("prev_hash") != F.col("hash")))
-    # Semi-join first: the (few) changed keys are the build side, so the
-    # state's markdown column is scanned but not shuffled; only the
-    # matching old texts reach the final join.
+    # Semi-join first: only the old texts of changed keys reach the final
+    # join (the changed side is small, so AQE can broadcast it; a state
+    # table bucketed by (monitor_id, url) avoids shuffling the text at all).
     old = state.select("monitor_id", "url", F.col("last_markdown").alias("old_markdown")) \
                .join(ch.select("monitor_id", "url"), ["monitor_id", "url"], "left_semi")
     return ch.join(old, ["monitor_id", "url"], "left") \
