@@ -969,12 +969,39 @@ def q_t3(spark, sf):
     return _drain(S.stream_backoff(src), "t3")
 
 
-@register("t4_stream_scrape_stats")
+def _t4_sql():
+    return _W("scrape_requests") + """,
+wins AS (SELECT date_trunc('hour', created_at) - to_hours(k) AS window_start, status, duration_ms
+         FROM scrape_requests, range(0, 24) t(k)),
+mx AS (SELECT max(created_at) - INTERVAL 1 HOUR AS wm FROM scrape_requests),
+agg AS (SELECT window_start, window_start + INTERVAL 24 HOUR AS window_end, count(*) AS total,
+          count(*) FILTER (WHERE status = 'ok') AS ok, avg(duration_ms) FILTER (WHERE status = 'ok') AS av
+        FROM wins GROUP BY window_start)
+SELECT window_start, window_end, CAST(total AS BIGINT) AS total, CAST(ok AS BIGINT) AS ok,
+  CAST(floor(av + 0.5) AS BIGINT) AS avg_ms,
+  CAST(CASE WHEN total > 0 THEN floor(ok * 100.0 / total + 0.5) ELSE 100 END AS BIGINT) AS success_rate
+FROM agg, mx WHERE window_end <= wm"""
+
+
+@register("t4_stream_scrape_stats", _t4_sql())
 def q_t4(spark, sf):
-    """T4: sliding 24 h scrape statistics with a 1 h watermark (windows
-    closed by the watermark are emitted)."""
-    path, schema = _stage(FX.scrape_requests(spark, sf).orderBy("created_at"), "t4-in")
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    """T4: sliding 24 h scrape statistics with a 1 h watermark. The log
+    arrives in four time slices written in sequence (each slice as four
+    files, one trigger per slice); in append mode a window is emitted once
+    the watermark (latest event - 1 h) passes its end."""
+    log = FX.scrape_requests(spark, sf)
+    path = fresh_dir(spark, "t4-in")
+    bounds = log.agg(F.min("created_at").alias("lo"), F.max("created_at").alias("hi")).collect()[0]
+    slices, files = 4, 4
+    step = (bounds.hi - bounds.lo) / slices
+    for i in range(slices):           # file arrival order = event-time order
+        lo = bounds.lo + step * i
+        part = log.where(F.col("created_at") >= F.lit(lo).cast("timestamp_ntz"))
+        if i < slices - 1:
+            part = part.where(F.col("created_at") < F.lit(lo + step).cast("timestamp_ntz"))
+        part.repartition(files).write.mode("append").parquet(path)
+    # each trigger takes one slice's files (older slices were written first)
+    src = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files).parquet(path)
     return _drain(S.stream_scrape_stats(src), "t4")
 
 
