@@ -13,7 +13,9 @@ FAST = ["host_summary", "x2_page_title", "x4_page_links", "u1_normalize_links",
         "q12_scrape_stats", "q15_recent_browser_scrapes", "c11_job_progress", "c14_stale_jobs",
         "k5_metrics_exposition", "s2_classify_responses", "c1_validate_crawl_requests", "s4_expand_sitemaps",
         "c9_politeness_plan", "m4_due_monitors", "m7_changed_pages", "m9_line_change_counts",
-        "m10_upsert_monitor_pages", "m11_check_summary", "e2_extraction_prompt", "e4_retry_failed"]
+        "m10_upsert_monitor_pages", "m11_check_summary", "e2_extraction_prompt", "e4_retry_failed",
+        "s5_discover_from_sitemap", "c13_page_results", "m15_touch_monitors", "c8_apply_backoff",
+        "u5_robots_allowed", "s6_robots_rules_sql"]
 
 
 @pytest.fixture(scope="module")
