@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -52,10 +53,35 @@ def get_spark(master: str | None = None, app: str = "webloom",
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``webloom`` importable in Python workers (pandas UDFs, stateful
+    streaming functions): zip the package once per SparkContext and add it
+    with ``addPyFile``, which distributes it to every executor."""
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="webloom-code-"), "webloom.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)
+
+
 def configure(spark: SparkSession) -> None:
     """Pin the semantic settings every operator relies on, plus the
     threshold that lets per-job ``row_number() <= k`` filters (k up to the
     3 x 1000 discovery cap) run as a partial top-k before the shuffle."""
+    ship_package(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(WINDOW_LIMIT))
     # Arrow batches of HTML rows: bound what one Python worker holds (the
