@@ -67,6 +67,14 @@ def test_scrape_log_rows_engine_on_failure(spark):
     assert auto == {"ok": ("ok", "fetch"), "bad": ("error", None)}
     fetch = {r.url: r.engine for r in X.scrape_log_rows(plain, "fetch").collect()}
     assert fetch == {"ok": "fetch", "bad": "fetch"}
+    errs = X.scrape_pages(_resp(spark, [("u1", "fetch", None, None, "getaddrinfo ENOTFOUND"),
+                                        ("u2", "fetch", 404, None, None), ("u3", "fetch", 304, None, None)]))
+    got = {r.url: r.error for r in X.scrape_log_rows(errs, "fetch").collect()}
+    assert got == {"u1": "Failed to fetch u1: getaddrinfo ENOTFOUND", "u2": "u2 returned HTTP 404",
+                   "u3": "u3 returned HTTP 304"}
+    b = X.scrape_pages(_resp(spark, [("u4", "browser", None, None, "Navigation timeout of 30000 ms exceeded")]))
+    got = {r.url: r.error for r in X.scrape_log_rows(b, "browser").collect()}
+    assert got == {"u4": "Browser scrape failed for u4: Navigation timeout of 30000 ms exceeded"}
 
 
 SITEMAPS = [

@@ -61,11 +61,12 @@ def scrape_pages(responses: DataFrame, keep: tuple = (), with_markdown: bool = T
     status, unchanged, err = classify_response()
     base = responses.select(
         "url", "engine", *keep, status.alias("status"), unchanged.alias("unchanged"), err.alias("error"),
+        F.col("error").alias("transport_error"), F.col("http_status"),
         strip_nodes("html").alias("_doc"), *(["html"] if with_markdown else []))
     live = (F.col("status") == "scraped") & ~F.col("unchanged")
     md = F.when(live, html_to_markdown(F.col("html"))) if with_markdown else F.lit(None).cast("string")
     out = base.select(
-        "url", "engine", *keep, "status", "unchanged", "error",
+        "url", "engine", *keep, "status", "unchanged", "error", "transport_error", "http_status",
         F.when(live, page_title("_doc", stripped=True)).alias("title"),
         md.alias("markdown"),
         F.when(live, page_links("_doc", stripped=True)).alias("links"))
@@ -96,7 +97,8 @@ def choose_rendering(plain: DataFrame, rendered: DataFrame, engine: str = "auto"
     successful rendering exists; a failed rendering keeps the plain result.
     Both inputs are outputs of ``scrape_pages``; the join is on url.
     """
-    cols = ["status", "unchanged", "title", "markdown", "markdown_length", "links", "error", "thin"]
+    cols = ["status", "unchanged", "title", "markdown", "markdown_length", "links", "error", "thin",
+            "transport_error", "http_status"]
     r = rendered.select("url", *[F.col(c).alias("r_" + c) for c in cols])
     if engine == "browser":
         j = plain.select("url").join(r, "url", "left")
@@ -107,7 +109,8 @@ def choose_rendering(plain: DataFrame, rendered: DataFrame, engine: str = "auto"
             *[F.when(ok, F.col("r_" + c)).alias(c) for c in ("title", "markdown", "markdown_length", "links")],
             F.when(ok, F.lit(None).cast("string"))
              .otherwise(F.coalesce(F.col("r_error"), F.lit("no rendering captured"))).alias("error"),
-            F.when(ok, F.col("r_thin")).alias("thin"))
+            F.when(ok, F.col("r_thin")).alias("thin"),
+            F.col("r_transport_error").alias("transport_error"), F.col("r_http_status").alias("http_status"))
     if engine == "fetch":
         return plain.select("url", F.lit("fetch").alias("engine"), *cols)
     j = plain.select("url", *cols).join(r, "url", "left")
@@ -126,15 +129,24 @@ def scrape_log_rows(results: DataFrame, requested_engine: str = "auto", source:
     A single-page scrape fails on any non-2xx (incl. 304, no conditional
     request is sent) or transport error; a failed ``auto`` request logs
     engine NULL, a failed fetch/browser request logs the requested engine.
+    Error texts: ``<url> returned HTTP <n>`` for a status, ``Failed to fetch
+    <url>: <message>`` for a transport error, ``Browser scrape failed for
+    <url>: <message>`` for a browser-only request whose rendering failed.
     """
     ok = (F.col("status") == "scraped") & ~F.col("unchanged")
     failed_engine = F.lit(None).cast("string") if requested_engine == "auto" else F.lit(requested_engine)
-    err = F.coalesce(F.col("error"), F.lit("HTTP 304"))
+    if requested_engine == "browser":
+        msg = F.concat(F.lit("Browser scrape failed for "), F.col("url"), F.lit(": "),
+                       F.coalesce(F.col("transport_error"), F.col("error"),
+                                  F.concat(F.lit("HTTP "), F.col("http_status").cast("string"))))
+    else:
+        msg = F.when(F.col("transport_error").isNotNull(),
+                     F.concat(F.lit("Failed to fetch "), F.col("url"), F.lit(": "), F.col("transport_error"))) \
+               .otherwise(F.concat(F.col("url"), F.lit(" returned HTTP "), F.col("http_status").cast("string")))
     return results.select(
         *([id_col] if id_col else []), "url", F.lit(source).alias("source"),
         F.when(ok, F.col("engine")).otherwise(failed_engine).alias("engine"),
         F.when(ok, "ok").otherwise("error").alias("status"),
         F.when(ok, F.col("markdown_length")).alias("markdown_length"),
         F.when(ok, F.col("title")).alias("title"),
-        F.when(ok, F.lit(None).cast("string"))
-         .otherwise(F.concat(F.col("url"), F.lit(" returned "), err)).alias("error"))
+        F.when(ok, F.lit(None).cast("string")).otherwise(msg).alias("error"))
