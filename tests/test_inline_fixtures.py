@@ -224,3 +224,12 @@ def test_page_results_shapes(spark):
     assert (out[2].title, out[2].markdown, out[2].engine) == ("(unchanged)", None, "fetch")
     assert (out[3].engine, out[3].error) == ("fetch", "HTTP 403")
     assert (out[4].error, out[4].duration_ms) == ("Domain in backoff window", None)
+
+
+def test_retry_prompt_exposed_for_live_callers(spark):
+    prompts = spark.createDataFrame([("h1", "P1"), ("h2", "P2")], "prompt_hash string, prompt string")
+    comp = spark.createDataFrame([("h1", 1, '{"a": 1}', None), ("h2", 1, "nope", None), ("h2", 2, '{"a": 2}', None)],
+                                 "prompt_hash string, attempt int, text string, error string")
+    out = {r.prompt_hash: r.retry_prompt for r in L.retry_failed(prompts, comp).collect()}
+    assert out["h1"] is None
+    assert out["h2"] == "P2" + L.RETRY_SUFFIX

@@ -202,7 +202,8 @@ def _host_port(auth: Column, scheme: Column) -> Column:
         port_raw, host = s["port_raw"], s["host"]
         port_ok = (port_raw == "") | (port_raw.rlike(r"^[0-9]{1,5}$") & (port_raw.try_cast("int") <= 65535))
         port_norm = port_raw.try_cast("int").cast("string")
-        default = F.when(scheme == "http", F.lit("80")).when(scheme == "https", F.lit("443"))
+        default = F.when(scheme == "http", F.lit(DEFAULT_PORTS["http"])) \
+                   .when(scheme == "https", F.lit(DEFAULT_PORTS["https"]))
         port = F.when((port_raw == "") | (port_norm == default), F.lit(None).cast("string")) \
                 .otherwise(port_norm)
         host_ok = (host != "") & (s["bracket"] | ~host.rlike(FORBIDDEN_HOST_RE))

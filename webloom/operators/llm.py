@@ -96,10 +96,17 @@ def complete(prompts: DataFrame, completions: DataFrame, attempt: int = 1) -> Da
     return prompts.join(c, "prompt_hash", "left")
 
 
+def retry_prompt(prompt: Column) -> Column:
+    """The second prompt - the first one plus the retry instruction."""
+    return F.concat(prompt, F.lit(RETRY_SUFFIX))
+
+
 def retry_failed(prompts: DataFrame, completions: DataFrame) -> DataFrame:
-    """Parse attempt 1; a null/falsy parse retries once (attempt 2, the
-    prompt plus the retry instruction); a second failure gives
-    'extraction-failed' in ``error`` instead of raising."""
+    """Parse attempt 1; a null/falsy parse retries once (attempt 2 is the
+    reply to the prompt plus the retry instruction; when ``prompts`` carries
+    the prompt text, rows that needed a retry get it as ``retry_prompt`` for
+    a live caller to complete); a second failure gives 'extraction-failed'
+    in ``error`` instead of raising."""
     a1 = complete(prompts, completions, 1).withColumn("data1", parse_llm_json(F.col("reply")))
     ok1 = is_truthy(F.col("data1"))
     a2 = completions.where(F.col("attempt") == 2).select(
@@ -107,6 +114,8 @@ def retry_failed(prompts: DataFrame, completions: DataFrame) -> DataFrame:
     j = a1.join(a2, "prompt_hash", "left")
     data = F.when(ok1, F.col("data1")).otherwise(parse_llm_json(F.col("reply2")))
     out = j.withColumn("data", data).withColumn("attempts", F.when(ok1, 1).otherwise(2))
+    if "prompt" in prompts.columns:
+        out = out.withColumn("retry_prompt", F.when(~ok1, retry_prompt(F.col("prompt"))))
     failed = ~is_truthy(F.col("data"))
     return out.withColumn("data", F.when(failed, F.lit(None)).otherwise(F.col("data"))) \
               .withColumn("error", F.when(failed, F.lit("extraction-failed"))) \

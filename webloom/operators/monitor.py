@@ -21,7 +21,6 @@ from .diff import render_line_diff
 
 # Fixed values.
 FREQUENCIES = ("hourly", "daily", "weekly")
-MONITOR_STATUSES = ("active", "paused", "deleted")
 ACTIONS = {"pause": "paused", "resume": "active", "delete": "deleted"}
 
 

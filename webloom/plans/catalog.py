@@ -730,6 +730,25 @@ def q_line_counts(spark, sf):
     return M.line_change_counts(ch)
 
 
+@register("m9_line_change_totals", _CHANGED_SQL + """,
+o AS (SELECT monitor_id, url, line, count(*) AS n_old FROM (
+        SELECT monitor_id, url, unnest(list_filter(regexp_extract_all(old_markdown, '([^\\n]*\\n|[^\\n]+$)', 1), lambda x_: x_ <> '')) AS line
+        FROM changed) GROUP BY ALL),
+n AS (SELECT monitor_id, url, line, count(*) AS n_new FROM (
+        SELECT monitor_id, url, unnest(list_filter(regexp_extract_all(new_markdown, '([^\\n]*\\n|[^\\n]+$)', 1), lambda x_: x_ <> '')) AS line
+        FROM changed) GROUP BY ALL),
+net AS (SELECT coalesce(o.monitor_id, n.monitor_id) AS monitor_id, coalesce(o.url, n.url) AS url,
+          coalesce(n.n_new, 0) - coalesce(o.n_old, 0) AS d
+        FROM o FULL OUTER JOIN n ON o.monitor_id = n.monitor_id AND o.url = n.url AND o.line = n.line
+        WHERE coalesce(n.n_new, 0) <> coalesce(o.n_old, 0))
+SELECT monitor_id, url, CAST(sum(CASE WHEN d > 0 THEN d ELSE 0 END) AS BIGINT) AS lines_added,
+  CAST(sum(CASE WHEN d < 0 THEN -d ELSE 0 END) AS BIGINT) AS lines_removed FROM net GROUP BY monitor_id, url""")
+def q_line_totals(spark, sf):
+    """M9 (page level): lines added / removed per changed page."""
+    ch = M.changed_pages(FX.monitor_cur(spark, sf), _state(spark, sf))
+    return M.line_change_totals(M.line_change_counts(ch))
+
+
 @register("m10_upsert_monitor_pages", _W("monitor_prev", "monitor_cur") + """,
 upd AS (SELECT monitor_id, url, sha256(markdown) AS last_content_hash, markdown AS last_markdown, etag AS last_etag,
           NULL::VARCHAR AS last_modified, checked_at AS last_checked_at FROM monitor_cur WHERE http_status = 200),
