@@ -233,3 +233,11 @@ def test_retry_prompt_exposed_for_live_callers(spark):
     out = {r.prompt_hash: r.retry_prompt for r in L.retry_failed(prompts, comp).collect()}
     assert out["h1"] is None
     assert out["h2"] == "P2" + L.RETRY_SUFFIX
+
+
+def test_missing_judge_reply_keeps_change(spark):
+    changes = spark.createDataFrame([("m1", "https://m.com/a", "+x\n")], "monitor_id string, url string, diff string")
+    monitors = spark.createDataFrame([("m1", "Track prices")], "id string, goal string")
+    empty = spark.createDataFrame([], "prompt_hash string, attempt int, text string, error string")
+    r = M.apply_verdicts(changes, monitors, empty).collect()[0]
+    assert (r.keep, r.relevant, r.dropped_unparsed) == (True, None, False)

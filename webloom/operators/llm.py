@@ -92,8 +92,10 @@ def is_truthy(v: Column) -> Column:
 def complete(prompts: DataFrame, completions: DataFrame, attempt: int = 1) -> DataFrame:
     """E7 seam: attach the captured reply of ``attempt`` by prompt hash."""
     c = completions.where(F.col("attempt") == attempt).select(
-        "prompt_hash", F.col("text").alias("reply"), F.col("error").alias("call_error"))
-    return prompts.join(c, "prompt_hash", "left")
+        "prompt_hash", F.col("text").alias("reply"), F.col("error").alias("call_error"),
+        F.lit(True).alias("has_reply"))
+    return prompts.join(c, "prompt_hash", "left") \
+                  .withColumn("has_reply", F.coalesce("has_reply", F.lit(False)))
 
 
 def retry_prompt(prompt: Column) -> Column:

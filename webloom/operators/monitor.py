@@ -194,18 +194,20 @@ def judge_prompts(changes: DataFrame, monitors: DataFrame) -> DataFrame:
 def apply_verdicts(changes: DataFrame, monitors: DataFrame, completions: DataFrame) -> DataFrame:
     """Keep a change when its monitor has no goal; otherwise keep it
     if the parsed verdict's ``relevant`` is truthy (with the reason), keep
-    it without a verdict when the call failed, and drop it when the reply
-    does not parse (reported in ``dropped_unparsed``)."""
+    it without a verdict when the call failed (an error or no captured
+    reply), and drop it when the reply does not parse (reported in
+    ``dropped_unparsed``)."""
     goals = monitors.select(F.col("id").alias("monitor_id"), "goal")
     c = changes.join(goals, "monitor_id", "left")
     with_goal = judge_prompts(changes, monitors)
     replies = L.complete(with_goal, completions, 1)
     v = L.parse_llm_json(F.col("reply"))
     judged = replies.select(
-        "monitor_id", "url", "diff", "goal", F.col("call_error"),
+        "monitor_id", "url", "diff", "goal", F.col("call_error"), "has_reply",
         F.try_variant_get(v, "$.relevant", "variant").alias("_rel"),
         F.try_variant_get(v, "$.reason", "string").alias("reason"), v.isNull().alias("_unparsed"))
-    failed = F.col("call_error").isNotNull()
+    # a call error, or no reply captured at all, is a failed call
+    failed = F.col("call_error").isNotNull() | ~F.col("has_reply")
     relevant = L.is_truthy(F.col("_rel"))
     judged = judged.select(
         "monitor_id", "url", "diff", "goal",

@@ -777,7 +777,12 @@ def q_check_summary(spark, sf):
 
 
 def _run(spark, sf):
-    return MR.monitor_run(FX.monitors(spark, sf), _state(spark, sf), FX.monitor_cur(spark, sf), _RUN_AT)
+    mons, state, cur = FX.monitors(spark, sf), _state(spark, sf), FX.monitor_cur(spark, sf)
+    # stand-in judge replies for this run's prompts (captured model output)
+    ch = M.line_diff(M.changed_pages(cur.join(M.due_monitors(mons, _RUN_AT).select(
+        F.col("id").alias("monitor_id")), "monitor_id", "left_semi"), state))
+    replies = FX.judge_completions(M.judge_prompts(ch, mons))
+    return MR.monitor_run(mons, state, cur, _RUN_AT, replies)
 
 
 @register("m12_change_records")

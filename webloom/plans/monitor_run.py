@@ -31,22 +31,11 @@ class MonitorRun:
     jobs: DataFrame          # the synthetic job row of each run
 
 
-def judge_completions(prompts: DataFrame) -> DataFrame:
-    """Stand-in captured judge replies keyed by prompt hash: relevant,
-    fenced irrelevant, unparseable, failed call, truthy number - by the
-    hash's leading hex digit."""
-    d = F.conv(F.substring("prompt_hash", 1, 2), 16, 10).cast("int") % 5
-    text = (F.when(d == 0, F.lit('{"relevant": true, "reason": "matches the goal"}'))
-            .when(d == 1, F.lit('```json\n{"relevant": false, "reason": "cosmetic edit"}\n```'))
-            .when(d == 2, F.lit("I think this is relevant."))
-            .when(d == 3, F.lit(None))
-            .otherwise(F.lit('{"relevant": 1, "reason": "new section"}')))
-    return prompts.select("prompt_hash", F.lit(1).alias("attempt"), text.alias("text"),
-                          F.when(d == 3, F.lit("LLM call failed: 503")).alias("error")).distinct()
-
-
 def monitor_run(monitors: DataFrame, state: DataFrame, fetched: DataFrame, run_at: str,
                 completions: DataFrame | None = None) -> MonitorRun:
+    """All due monitors at once. ``completions`` holds captured judge
+    replies (prompt_hash, attempt, text, error); without it every judge
+    call counts as failed, so changes are kept without a verdict."""
     due = M.due_monitors(monitors, run_at)
     ids = due.select(F.col("id").alias("monitor_id"))
     cur = fetched.join(ids, "monitor_id", "left_semi")
@@ -56,7 +45,7 @@ def monitor_run(monitors: DataFrame, state: DataFrame, fetched: DataFrame, run_a
     checks = M.check_summary(due, cur, changed, run_at)
     rows = M.change_records(diffs, run_at)
     if completions is None:
-        completions = judge_completions(M.judge_prompts(diffs, due))
+        completions = diffs.sparkSession.createDataFrame([], "prompt_hash string, attempt int, text string, error string")
     verdicts = M.apply_verdicts(diffs, due, completions)
     touched = M.touch_monitors(monitors, checks)
     outbox = M.monitor_outbox(verdicts, checks, due, run_at)
@@ -87,8 +76,9 @@ def crawl_snapshot(spark, monitors: DataFrame, captures: DataFrame, run_at: str,
 
 
 def monitor_run_crawl(spark, monitors: DataFrame, state: DataFrame, captures: DataFrame, run_at: str,
-                      sitemaps: DataFrame | None = None, robots: DataFrame | None = None) -> MonitorRun:
+                      sitemaps: DataFrame | None = None, robots: DataFrame | None = None,
+                      completions: DataFrame | None = None) -> MonitorRun:
     """M16 end to end: due monitors -> crawl of their sites -> M5..M15 -> K4."""
     due = M.due_monitors(monitors, run_at)
     fetched = crawl_snapshot(spark, due, captures, run_at, sitemaps, robots)
-    return monitor_run(monitors, state, fetched, run_at)
+    return monitor_run(monitors, state, fetched, run_at, completions)
