@@ -958,6 +958,23 @@ def _drain(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.parquet(out)
 
 
+def _stage_slices(df: DataFrame, tcol: str, tag: str, slices: int = 4, files: int = 4) -> str:
+    """Write ``df`` as ``slices`` event-time slices in sequence (each as
+    ``files`` files), so a file stream reading ``files`` files per trigger
+    sees the data in event-time order, one slice per micro-batch."""
+    spark = df.sparkSession
+    path = fresh_dir(spark, tag)
+    b = df.agg(F.min(tcol).alias("lo"), F.max(tcol).alias("hi")).collect()[0]
+    step = (b.hi - b.lo) // slices   # whole microseconds, like the oracle
+    for i in range(slices):
+        lo = b.lo + step * i
+        part = df.where(F.col(tcol) >= F.lit(lo).cast("timestamp_ntz"))
+        if i < slices - 1:
+            part = part.where(F.col(tcol) < F.lit(lo + step).cast("timestamp_ntz"))
+        part.repartition(files).write.mode("append").parquet(path)
+    return path
+
+
 @register("t1_stream_scrape")
 def q_t1(spark, sf):
     """X7 over a file stream of captures, two files per micro-batch."""
@@ -1014,29 +1031,42 @@ def q_t4(spark, sf):
     files, one trigger per slice); in append mode a window is emitted once
     the watermark (latest event - 1 h) passes its end."""
     log = FX.scrape_requests(spark, sf)
-    path = fresh_dir(spark, "t4-in")
-    bounds = log.agg(F.min("created_at").alias("lo"), F.max("created_at").alias("hi")).collect()[0]
-    slices, files = 4, 4
-    step = (bounds.hi - bounds.lo) / slices
-    for i in range(slices):           # file arrival order = event-time order
-        lo = bounds.lo + step * i
-        part = log.where(F.col("created_at") >= F.lit(lo).cast("timestamp_ntz"))
-        if i < slices - 1:
-            part = part.where(F.col("created_at") < F.lit(lo + step).cast("timestamp_ntz"))
-        part.repartition(files).write.mode("append").parquet(path)
+    path = _stage_slices(log, "created_at", "t4-in")
     # each trigger takes one slice's files (older slices were written first)
-    src = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files).parquet(path)
+    src = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 4).parquet(path)
     return _drain(S.stream_scrape_stats(src), "t4")
 
 
-@register("t5_stream_stale_jobs")
+_T5_SQL = _W("job_pages") + """,
+hb AS (SELECT job_id, scraped_at AS ts, epoch_us(scraped_at) AS us FROM job_pages),
+b AS (SELECT min(us) AS lo, (max(us) - min(us)) // 4 AS step FROM hb),
+sl AS (SELECT job_id, ts, CASE WHEN us < lo + step THEN 1 WHEN us < lo + 2 * step THEN 2
+                               WHEN us < lo + 3 * step THEN 3 ELSE 4 END AS s FROM hb, b),
+pj AS (SELECT job_id, max(ts) FILTER (WHERE s = 1) AS m1, max(ts) FILTER (WHERE s = 2) AS m2,
+         max(ts) FILTER (WHERE s = 3) AS m3, max(ts) FILTER (WHERE s = 4) AS m4 FROM sl GROUP BY job_id),
+w AS (SELECT max(ts) FILTER (WHERE s <= 1) AS w1, max(ts) FILTER (WHERE s <= 2) AS w2,
+        max(ts) FILTER (WHERE s <= 3) AS w3, max(ts) AS w4 FROM sl),
+s2 AS (SELECT pj.*, w.*, m1 AS st1,
+         CASE WHEN m2 IS NULL AND m1 IS NOT NULL AND m1 + INTERVAL 2 MINUTE < w1 THEN m1 END AS e2 FROM pj, w),
+s2b AS (SELECT *, CASE WHEN m2 IS NOT NULL THEN m2 WHEN e2 IS NOT NULL THEN NULL ELSE st1 END AS st2 FROM s2),
+s3 AS (SELECT *, CASE WHEN m3 IS NULL AND st2 IS NOT NULL AND st2 + INTERVAL 2 MINUTE < w2 THEN st2 END AS e3 FROM s2b),
+s3b AS (SELECT *, CASE WHEN m3 IS NOT NULL THEN m3 WHEN e3 IS NOT NULL THEN NULL ELSE st2 END AS st3 FROM s3),
+s4 AS (SELECT *, CASE WHEN m4 IS NULL AND st3 IS NOT NULL AND st3 + INTERVAL 2 MINUTE < w3 THEN st3 END AS e4 FROM s3b),
+s4b AS (SELECT *, CASE WHEN m4 IS NOT NULL THEN m4 WHEN e4 IS NOT NULL THEN NULL ELSE st3 END AS st4 FROM s4),
+s5 AS (SELECT *, CASE WHEN st4 IS NOT NULL AND st4 + INTERVAL 2 MINUTE < w4 THEN st4 END AS e5 FROM s4b)
+SELECT job_id, e AS last_heartbeat_at FROM s5, LATERAL (SELECT unnest([e2, e3, e4, e5]) AS e) WHERE e IS NOT NULL"""
+
+
+@register("t5_stream_stale_jobs", _T5_SQL)
 def q_t5(spark, sf):
-    """T5: each job's page timestamps as its heartbeat stream; a job is
-    reported stale once event time passes its last heartbeat + 2 minutes."""
+    """T5: each job's page timestamps as its heartbeat stream, arriving in
+    four event-time slices; a job is reported stale once event time passes
+    its last heartbeat + 2 minutes."""
     hb = FX.job_pages(spark, sf).select("job_id", F.col("scraped_at").alias("ts"))
-    path, schema = _stage(hb.orderBy("ts"), "t5-in")
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return _drain(S.stream_stale_jobs(src), "t5")
+    path = _stage_slices(hb, "ts", "t5-in")
+    src = spark.readStream.schema(hb.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    return _drain(S.stream_stale_jobs(src), "t5").select(
+        "job_id", F.col("last_heartbeat_at").cast("timestamp_ntz").alias("last_heartbeat_at"))
 
 
 @register("t6_stream_outbox", _W("jobs") + """
