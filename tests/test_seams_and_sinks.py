@@ -49,3 +49,12 @@ def test_nested_job_pages_sorted(spark):
     for r in rows:
         ords = [p.ord for p in r.results]
         assert ords == sorted(ords)
+
+
+def test_scrape_log_sink_partitions_by_date(spark, tmp_path):
+    from webloom.operators.sinks import write_scrape_log
+    log = FX.scrape_requests(spark, SF)
+    write_scrape_log(log, str(tmp_path / "log"))
+    back = spark.read.parquet(str(tmp_path / "log"))
+    assert back.count() == log.count()
+    assert back.select("created_date").distinct().count() == log.select(F.to_date("created_at")).distinct().count()

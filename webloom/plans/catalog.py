@@ -29,6 +29,7 @@ from ..operators import llm as L
 from ..session import fresh_dir
 from ..streaming import stream_ops as S
 from ..sources import tables as TB
+from ..operators import sinks as SK
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
@@ -1112,8 +1113,7 @@ def q_write_pages(spark, sf):
     """K1: page rows appended to a table partitioned by scrape date, read
     back per partition."""
     path = fresh_dir(spark, "job_pages")
-    pages = FX.job_pages(spark, sf).withColumn("scraped_date", F.to_date("scraped_at"))
-    pages.repartition("scraped_date").write.mode("append").partitionBy("scraped_date").parquet(path)
+    SK.write_job_pages(FX.job_pages(spark, sf), path)
     back = spark.read.parquet(path)
     return back.groupBy("scraped_date").agg(F.count(F.lit(1)).cast("long").alias("n_pages"),
                                             F.count_distinct("job_id").cast("long").alias("n_jobs"))
