@@ -61,7 +61,7 @@ def ship_package(spark: SparkSession) -> None:
     streaming functions): zip the package once per SparkContext and add it
     with ``addPyFile``, which distributes it to every executor."""
     sc = spark.sparkContext
-    key = id(sc._jsc)
+    key = sc.applicationId   # unique per SparkContext
     if key in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
