@@ -55,6 +55,8 @@ def main() -> None:
     if not spark.conf.get("spark.checkpoint.dir", None):
         spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="webloom-bench-"))
     from webloom.plans import catalog
+    from webloom.session import configure
+    configure(spark)   # UTC, optimizer thresholds, ship the package to Python workers
 
     times: dict[str, float] = {}
     for out_name, qname in HEADLINE.items():
