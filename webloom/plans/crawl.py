@@ -7,8 +7,9 @@ whole level per round, ordering admissions by that pair and cutting with
 ``row_number`` against ``max_pages`` / ``3*max_pages`` yields the same pages
 in the same order. A round is a handful of joins and windows over *all*
 jobs; the driver only loops over depth levels (at most 11) and only sees
-an emptiness flag. Each round's page rows (with links) and the visited set
-(which holds the frontier) are written to a fresh folder under the shared
+an emptiness flag. Each round's page rows (with links) and its newly
+admitted URLs (the next frontier; the visited set is the union of these
+append-only folders) are written to fresh folders under the shared
 checkpoint root and read back, which cuts lineage and lets a lost executor
 recompute only its round.
 """
@@ -154,8 +155,10 @@ def crawl(spark: SparkSession, jobs: DataFrame, responses: DataFrame, sitemaps:
                         f"{root}/requests")
     frontier, cfg = seed_frontier(jobs, sitemaps, rules)
     # seeds are always within budget (sitemap seeds are cut to max_pages)
-    visited = _materialize(frontier.withColumn("processable", F.lit(True)).withColumn("round", F.lit(0)),
-                           f"{root}/visited-0")
+    seeds = _materialize(frontier.withColumn("processable", F.lit(True)).withColumn("round", F.lit(0)),
+                         f"{root}/visited-0")
+    visited_dirs = [f"{root}/visited-0"]
+    visited = seeds
     engine = F.col("engine") if "engine" in cfg.columns else F.lit("auto")
     cfg = _materialize(cfg.select("id", "url", "seed_host", "seed_origin", "max_depth", "max_pages",
                                   "include_patterns", "exclude_patterns", "uses_sitemap", "webhook_url",
@@ -195,9 +198,13 @@ def crawl(spark: SparkSession, jobs: DataFrame, responses: DataFrame, sitemaps:
         page_dirs.append(pdir)
         cands = C.expand_links(merged.select("job_id", "ord", "url", "depth", "status", "unchanged", "links"),
                                cfg, rules, expand_unchanged)
-        new = C.admit_new(cands, visited, cfg).withColumn("round", F.lit(rnd + 1))
-        visited = _materialize(visited.unionByName(new), f"{root}/visited-{rnd + 1}")
-        frontier = visited.where(F.col("round") == rnd + 1).drop("round")
+        # the visited set is append-only: each round writes only its new
+        # rows, and visited is the union of the round folders
+        new = _materialize(C.admit_new(cands, visited, cfg).withColumn("round", F.lit(rnd + 1)),
+                           f"{root}/visited-{rnd + 1}")
+        visited_dirs.append(f"{root}/visited-{rnd + 1}")
+        visited = spark.read.parquet(*visited_dirs)
+        frontier = new.drop("round")
         rnd += 1
     if page_dirs:
         rows = spark.read.parquet(*page_dirs)
