@@ -112,7 +112,7 @@ def test_sitemap_discovery(spark):
 
 ROBOTS = [("https://r.com", "User-agent: *\nDisallow: /private\nAllow: /private/ok\nDisallow: /*.pdf$\n"
                             "Disallow: /tmp*x\n\nUser-agent: other\nDisallow: /\n"),
-          ("https://q.com", "User-agent: Quarry\nDisallow: /\n\nUser-agent: *\nDisallow:\n"),
+          ("https://q.com", f"User-agent: {C.USER_AGENT.split('/')[0]}\nDisallow: /\n\nUser-agent: *\nDisallow:\n"),
           ("https://e.com", "")]
 
 

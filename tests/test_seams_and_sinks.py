@@ -39,9 +39,10 @@ def test_metrics_text_file(spark, tmp_path):
     Q.write_metrics(lines, str(tmp_path / "metrics"))
     part = [f for f in os.listdir(tmp_path / "metrics") if f.startswith("part-")][0]
     text = open(tmp_path / "metrics" / part).read().splitlines()
-    assert text[0] == "# HELP quarry_jobs_total Crawl jobs by status"
-    assert text[2].startswith('quarry_jobs_total{status="queued"}')
-    assert text[-1].startswith("quarry_monitors_active ")
+    pre = Q.METRIC_PREFIX
+    assert text[0] == f"# HELP {pre}_jobs_total Crawl jobs by status"
+    assert text[2].startswith(pre + '_jobs_total{status="queued"}')
+    assert text[-1].startswith(f"{pre}_monitors_active ")
 
 
 def test_nested_job_pages_sorted(spark):

@@ -426,7 +426,7 @@ crawl_sitemaps AS (
   SELECT 'https://' || host AS origin,
     CASE WHEN page_id % 3 = 0 THEN 'User-agent: *' || chr(10) || 'Disallow: /n/5' || chr(10) || 'Allow: /n/5$' || chr(10)
            || chr(10) || 'User-agent: otherbot' || chr(10) || 'Disallow: /' || chr(10)
-         ELSE '# crawl rules' || chr(10) || 'User-agent: Quarry' || chr(10) || 'Disallow: /n/1*3' || chr(10) || 'Disallow:' || chr(10)
+         ELSE '# crawl rules' || chr(10) || 'User-agent: __AGENT__' || chr(10) || 'Disallow: /n/1*3' || chr(10) || 'Disallow:' || chr(10)
     END AS body
   FROM link_graph WHERE rank = 1 AND page_id % 3 <> 2)""",
     "robots_rules": r"""rb_lines AS (
@@ -439,7 +439,7 @@ rb_kv2 AS (SELECT *, lag(key) OVER (PARTITION BY origin ORDER BY ln) AS prev_key
            WHERE key IN ('user-agent', 'allow', 'disallow')),
 rb_grp AS (SELECT *, sum(CASE WHEN key = 'user-agent' AND (prev_key IS NULL OR prev_key <> 'user-agent') THEN 1 ELSE 0 END)
              OVER (PARTITION BY origin ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM rb_kv2),
-rb_agents AS (SELECT origin, grp, CASE WHEN bool_or(lower(value) = 'quarry') THEN 2
+rb_agents AS (SELECT origin, grp, CASE WHEN bool_or(lower(value) = '__AGENT_LC__') THEN 2
                                        WHEN bool_or(lower(value) = '*') THEN 1 ELSE 0 END AS score
               FROM rb_grp WHERE key = 'user-agent' GROUP BY origin, grp),
 rb_best AS (SELECT origin, max(score) AS score FROM rb_agents WHERE score > 0 GROUP BY origin),
@@ -471,5 +471,14 @@ robots_rules AS (
 }
 
 
+def _agent_token() -> str:
+    from .operators.crawl import USER_AGENT
+    return USER_AGENT.split("/")[0]
+
+
+FIXTURE_CTES = {k: v.replace("__AGENT_LC__", _agent_token().lower()).replace("__AGENT__", _agent_token())
+                for k, v in FIXTURE_CTES.items()}
+
+
 def with_fixtures(*names: str) -> str:
     return "WITH " + ",\n".join(FIXTURE_CTES[n] for n in names)

@@ -366,7 +366,7 @@ def q_stale(spark, sf):
     return Q.stale_jobs(FX.jobs(spark, sf), _JAS)
 
 
-@register("k5_metrics_exposition", _W("jobs", "monitors") + """,
+@register("k5_metrics_exposition", (_W("jobs", "monitors") + """,
 known AS (SELECT * FROM (VALUES ('queued', 0), ('running', 1), ('completed', 2), ('failed', 3)) t(status, pos)),
 c AS (SELECT status, count(*) AS n FROM jobs GROUP BY status),
 counts AS (SELECT coalesce(known.status, c.status) AS status, coalesce(c.n, 0) AS n, known.pos
@@ -374,18 +374,18 @@ counts AS (SELECT coalesce(known.status, c.status) AS status, coalesce(c.n, 0) A
 tot AS (SELECT coalesce(sum(pages_scraped), 0) AS s, coalesce(sum(pages_failed), 0) AS f FROM jobs),
 act AS (SELECT count(*) FILTER (WHERE status = 'active') AS a FROM monitors)
 SELECT * FROM (VALUES
-  (1, '# HELP quarry_jobs_total Crawl jobs by status'), (2, '# TYPE quarry_jobs_total gauge'), (100, ''),
-  (101, '# HELP quarry_pages_scraped_total Total pages successfully scraped across all jobs'),
-  (102, '# TYPE quarry_pages_scraped_total counter'), (104, ''),
-  (105, '# HELP quarry_pages_failed_total Total pages that failed across all jobs'),
-  (106, '# TYPE quarry_pages_failed_total counter'), (108, ''),
-  (109, '# HELP quarry_monitors_active Active monitors'), (110, '# TYPE quarry_monitors_active gauge'), (112, '')
+  (1, '# HELP __P___jobs_total Crawl jobs by status'), (2, '# TYPE __P___jobs_total gauge'), (100, ''),
+  (101, '# HELP __P___pages_scraped_total Total pages successfully scraped across all jobs'),
+  (102, '# TYPE __P___pages_scraped_total counter'), (104, ''),
+  (105, '# HELP __P___pages_failed_total Total pages that failed across all jobs'),
+  (106, '# TYPE __P___pages_failed_total counter'), (108, ''),
+  (109, '# HELP __P___monitors_active Active monitors'), (110, '# TYPE __P___monitors_active gauge'), (112, '')
 ) t(line_no, line)
 UNION ALL SELECT CAST(10 + coalesce(pos, 4 + dense_rank() OVER (ORDER BY status)) AS INTEGER),
-  'quarry_jobs_total{status="' || status || '"} ' || CAST(n AS VARCHAR) FROM counts
-UNION ALL SELECT 103, 'quarry_pages_scraped_total ' || CAST(s AS VARCHAR) FROM tot
-UNION ALL SELECT 107, 'quarry_pages_failed_total ' || CAST(f AS VARCHAR) FROM tot
-UNION ALL SELECT 111, 'quarry_monitors_active ' || CAST(a AS VARCHAR) FROM act""")
+  '__P___jobs_total{status="' || status || '"} ' || CAST(n AS VARCHAR) FROM counts
+UNION ALL SELECT 103, '__P___pages_scraped_total ' || CAST(s AS VARCHAR) FROM tot
+UNION ALL SELECT 107, '__P___pages_failed_total ' || CAST(f AS VARCHAR) FROM tot
+UNION ALL SELECT 111, '__P___monitors_active ' || CAST(a AS VARCHAR) FROM act""").replace("__P___", Q.METRIC_PREFIX + "_"))
 def q_metrics(spark, sf):
     return Q.metrics_exposition(FX.jobs(spark, sf), FX.monitors(spark, sf))
 

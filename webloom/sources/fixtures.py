@@ -26,6 +26,10 @@ from pyspark.sql import functions as F
 
 from .tables import driver_table
 
+from ..operators.crawl import USER_AGENT
+
+AGENT_TOKEN = USER_AGENT.split("/")[0]   # product token of the crawler's User-Agent
+
 # Fixed values of the fixtures (shared with the DuckDB oracle).
 AS_OF = "2024-01-30 12:00:00"          # rolling statistics clock (events span January 2024)
 JOBS_AS_OF = "1998-08-02 00:03:00"     # heartbeat clock for stale-job checks
@@ -300,7 +304,7 @@ def crawl_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("page_id")
     body = (F.when(n % 3 == 0, F.lit("User-agent: *\nDisallow: /n/5\nAllow: /n/5$\n\n"
                                      "User-agent: otherbot\nDisallow: /\n"))
-            .when(n % 3 == 1, F.lit("# crawl rules\nUser-agent: Quarry\nDisallow: /n/1*3\nDisallow:\n")))
+            .when(n % 3 == 1, F.lit(f"# crawl rules\nUser-agent: {AGENT_TOKEN}\nDisallow: /n/1*3\nDisallow:\n")))
     return g.where(n % 3 != 2).select(F.concat(F.lit("https://"), F.col("host")).alias("origin"),
                                       body.alias("body"))
 
