@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, langid
 from .base import documents
 
 
@@ -15,12 +15,21 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the rows not held out."""
+    docs = documents(spark, sf_dir)
+    learned = langid.fit(docs.where(~langid.held_out()))
+    out = langid.classify(docs, learned, keep=["doc_id"])
+    return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "margin", "accepted")
+
+
 def op9_bpe_forced_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document with the byte-level vocabulary."""
     return bpe.round_trip(documents(spark, sf_dir), tokenizer_path(), keep=["doc_id"])
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op9_bpe_forced_boundary": op9_bpe_forced_boundary,
 }
 
