@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid
+from . import bpe, langid, secrets
 from .base import documents
 
 
@@ -28,9 +28,52 @@ def op9_bpe_forced_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), tokenizer_path(), keep=["doc_id"])
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All secrets of every document, with code point spans."""
+    found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    base = len(secrets.BASE_RULES)
+    spans = F.col("secret_spans")
+    count = [F.size(F.filter(spans, secrets.is_kind(i))).cast("long").alias(f"n_{r.kind}")
+             for i, r in enumerate(secrets.BASE_RULES)]
+    return found.select("doc_id", *count,
+                        F.sha2(secrets.digest(F.filter(spans, lambda s: s["order"] < base)), 256).alias("base_sha256"),
+                        secrets.digest(spans).alias("spans"))
+
+
+def _op7_sql() -> str:
+    """The same spans by splitting every text at the matches of every rule."""
+    parts = []
+    for i, r in enumerate(secrets.BASE_RULES + secrets.MORE_RULES):
+        rx = r.regex.replace("'", "''")
+        parts.append(f"""
+        SELECT doc_id, n, '{r.kind}' AS kind, {i} AS ord, hit, val, piece FROM (
+          SELECT doc_id, unnest(range(len(hits))) AS n, unnest(hits) AS hit, unnest(vals) AS val,
+                 unnest(pieces[:len(hits)]) AS piece, {r.least} AS least
+          FROM (SELECT doc_id, regexp_extract_all(t, '{rx}', 0) AS hits, regexp_extract_all(t, '{rx}', {r.group}) AS vals,
+                       string_split_regex(t, '{rx}') AS pieces FROM d))""")
+    least = " ".join(f"WHEN {i} THEN {r.least}" for i, r in enumerate(secrets.BASE_RULES + secrets.MORE_RULES))
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    m AS ({" UNION ALL ".join(parts)}),
+    p AS (SELECT *, sum(length(piece) + length(hit)) OVER (PARTITION BY doc_id, ord ORDER BY n) AS stop FROM m),
+    s AS (SELECT doc_id, kind, ord, (stop - length(hit))::BIGINT AS a, stop::BIGINT AS b FROM p
+          WHERE length(val) >= CASE ord {least} END),
+    g AS (SELECT doc_id, count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (ord = 1) AS n_access,
+                 count(*) FILTER (ord = 2) AS n_hex,
+                 coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, ord) FILTER (ord < 3), '') AS base,
+                 string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, ord) AS spans
+          FROM s GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+           sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM d LEFT JOIN g USING (doc_id)"""
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op7_secret_scan": op7_secret_scan,
     "op9_bpe_forced_boundary": op9_bpe_forced_boundary,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_secret_scan": _op7_sql(),
+}
