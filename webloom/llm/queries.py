@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, secrets
+from . import bpe, fingerprint, langid, secrets
 from .base import documents
 
 
@@ -40,6 +40,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secrets.digest(spans).alias("spans"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likeness."""
+    return fingerprint.edit_likeness(documents(spark, sf_dir))
+
+
 def _op7_sql() -> str:
     """The same spans by splitting every text at the matches of every rule."""
     parts = []
@@ -72,6 +77,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op7_secret_scan": op7_secret_scan,
     "op9_bpe_forced_boundary": op9_bpe_forced_boundary,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {
