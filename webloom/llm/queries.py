@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, secrets
+from . import bpe, decontaminate, fingerprint, langid, secrets
 from .base import documents
 
 
@@ -28,6 +28,11 @@ def op9_bpe_forced_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), tokenizer_path(), keep=["doc_id"])
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages, with the items and overlaps."""
+    return decontaminate.contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All secrets of every document, with code point spans."""
     found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"))
@@ -75,6 +80,7 @@ def _op7_sql() -> str:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_decontamination": op2_decontamination,
     "op7_secret_scan": op7_secret_scan,
     "op9_bpe_forced_boundary": op9_bpe_forced_boundary,
     "op10_fingerprints": op10_fingerprints,
