@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, langid, secrets
+from . import bpe, decontaminate, fingerprint, langid, neardup, secrets
 from .base import documents
 
 
@@ -33,6 +33,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def op4_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: 2-word shingles, 80 %."""
+    return neardup.duplicates(documents(spark, sf_dir), shingle=2, similarity=80)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All secrets of every document, with code point spans."""
     found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"))
@@ -81,11 +86,27 @@ def _op7_sql() -> str:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
+    "op4_minhash_odd_sketch": op4_minhash_odd_sketch,
     "op7_secret_scan": op7_secret_scan,
     "op9_bpe_forced_boundary": op9_bpe_forced_boundary,
     "op10_fingerprints": op10_fingerprints,
 }
 
+_OP4_SQL = r"""
+    WITH RECURSIVE d AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE
+            list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM d),
+    n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+    e AS (SELECT u, v FROM p JOIN n x ON u = x.doc_id JOIN n y ON v = y.doc_id WHERE 100 * i >= 80 * (x.c + y.c - i)),
+    b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+    r(node, reach) AS (SELECT doc_id, doc_id FROM d UNION SELECT b.v, r.reach FROM r JOIN b ON r.node = b.u)
+    SELECT d.doc_id, coalesce(n.c, 0)::BIGINT AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
+    FROM d JOIN (SELECT node, min(reach) AS c FROM r GROUP BY node) m ON m.node = d.doc_id LEFT JOIN n USING (doc_id)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_minhash_odd_sketch": _OP4_SQL,
     "op7_secret_scan": _op7_sql(),
 }
