@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, langid, neardup, secrets
+from . import bpe, decontaminate, fingerprint, langid, neardup, secrets, toxicity
 from .base import documents
 
 
@@ -38,6 +38,14 @@ def op4_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.duplicates(documents(spark, sf_dir), shingle=2, similarity=80)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the rows not held out."""
+    docs, labels = documents(spark, sf_dir), documents(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(toxicity.in_training(F.col("doc_id"))))
+    return toxicity.score(docs, model, keep=["doc_id"]) \
+        .select("doc_id", langid.held_out().alias("held_out"), "score", "predicted")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All secrets of every document, with code point spans."""
     found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"))
@@ -87,6 +95,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
     "op4_minhash_odd_sketch": op4_minhash_odd_sketch,
+    "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
     "op9_bpe_forced_boundary": op9_bpe_forced_boundary,
     "op10_fingerprints": op10_fingerprints,
