@@ -185,10 +185,12 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     return encoded.withColumn("decoded", text_of(F.col(ids)))
 
 
-def round_trip(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None,
+               ids: bool = False) -> DataFrame:
     """Encodes and decodes every text in one pass. Adds ``n_tokens long``,
-    ``ids_sha256`` (ids as little-endian unsigned 32-bit integers) and
-    ``decoded_sha256`` (UTF-8 of the decoded text)."""
+    ``ids_sha256`` (ids as little-endian unsigned 32-bit integers),
+    ``decoded_sha256`` (UTF-8 of the decoded text) and on demand ``ids``."""
+    with_ids = ids
     spec = _spec(docs, path)
 
     def fn(col):
@@ -200,6 +202,11 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", keep: list[str] |
             own = ids[lo:hi]
             digests.append(hashlib.sha256(own.astype("<u4").tobytes()).hexdigest())
             texts.append(hashlib.sha256(c.decode(own)).hexdigest())
-        return [pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())]
-
-    return add_columns(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string", fn, text, keep)
+        out = [pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())]
+        if with_ids:
+            off = np.concatenate([[0], ends]).astype(np.int32)
+            out.append(pa.ListArray.from_arrays(pa.array(off), pa.array(ids.astype(np.int32))))
+        return out
+
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return add_columns(docs, schema, fn, text, keep)

@@ -203,6 +203,13 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     return add_columns(docs, "score double, predicted int", fn, text, keep)
 
 
+def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with its columns."""
+    cols = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), F.col(f"`{text}`").alias("body"))
+    return score(rows, model, "body", keep=["row"]).where("predicted = 0").select("row.*")
+
+
 def in_training(doc_id: Column) -> Column:
     """crc32 of the id as text is not divisible by 5."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0
