@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, langid, neardup, secrets, toxicity
+from . import bpe, decontaminate, fingerprint, langid, neardup, pii, secrets, toxicity
 from .base import documents
 
 
@@ -33,6 +33,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its validated numbers and dates pseudonymised."""
+    return pii.pseudonymised(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op4_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: 2-word shingles, 80 %."""
     return neardup.duplicates(documents(spark, sf_dir), shingle=2, similarity=80)
@@ -94,6 +99,7 @@ def _op7_sql() -> str:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
+    "op3_feistel_pseudonyms": op3_feistel_pseudonyms,
     "op4_minhash_odd_sketch": op4_minhash_odd_sketch,
     "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
