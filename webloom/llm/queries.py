@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, langid, neardup, pii, secrets, toxicity
+from . import bpe, decontaminate, fingerprint, langid, neardup, pii, secrets, substring, suffix, toxicity
 from .base import documents
 
 
@@ -23,6 +23,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "margin", "accepted")
 
 
+def op8_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words that repeated 35-word windows cover."""
+    return substring.without_passages(documents(spark, sf_dir))
+
+
 def op9_bpe_forced_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document with the byte-level vocabulary."""
     return bpe.round_trip(documents(spark, sf_dir), tokenizer_path(), keep=["doc_id"])
@@ -43,6 +48,11 @@ def op4_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.duplicates(documents(spark, sf_dir), shingle=2, similarity=80)
 
 
+def op5_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that 200-byte repeats cover."""
+    return suffix.without_repeats(documents(spark, sf_dir))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the rows not held out."""
     docs, labels = documents(spark, sf_dir), documents(spark, sf_dir, "labels")
@@ -101,8 +111,10 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_feistel_pseudonyms": op3_feistel_pseudonyms,
     "op4_minhash_odd_sketch": op4_minhash_odd_sketch,
+    "op5_prefix_free_parsing": op5_prefix_free_parsing,
     "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
+    "op8_repeated_phrases": op8_repeated_phrases,
     "op9_bpe_forced_boundary": op9_bpe_forced_boundary,
     "op10_fingerprints": op10_fingerprints,
 }
