@@ -10,14 +10,16 @@ of ``similarity`` percent or more are linked, and components follow.
    bit of a bitmap, so the bits set in the XOR of two sketches count the
    samples in which two documents differ, precisely so for similar ones.
 2. Documents with equal sets are one class; its smallest id stands for it.
-3. Within a band bucket every class is compared with the smallest one (a
-   star, linear in the bucket's size). Sizes and sketches must allow the
-   similarity; then the full sets are intersected.
-4. Buckets whose members are now one component are done; in the others
-   all pairs of different components are compared by sketch, large
-   buckets in blocks of ``BLOCK`` members, and survivors on full sets. So no
-   pair that shares a bucket goes untested, and a large group of mutual
-   copies costs a star, not all its pairs.
+3. Within a band bucket every class is compared with three of them,
+   the smallest ones in the fixed ``ORDERS`` (stars, linear in the bucket's
+   size). Sizes and sketches must allow the similarity; then the full sets
+   are intersected.
+4. Buckets whose members are now one component are done. In the others the
+   members outside of the largest component are compared with all members
+   of other components, by sketch and then on full sets, in blocks of
+   ``BLOCK``; only links leave the tasks. So no pair that shares a bucket
+   goes untested, and a large group of mutual copies costs stars and the
+   few that fall outside, not all its pairs.
 
 At 80 % a pair shares no bucket with probability (1 - 0.8**5)**40 = 1e-7.
 Sketch estimates below similarity by six standard errors are cut.
@@ -46,6 +48,7 @@ ROWS, BANDS = 5, 40
 SAMPLES = ROWS * BANDS
 SKETCH_BITS = 1024
 BLOCK = 256
+ORDERS = (0, 0x2AAAAAAAAAAAAAAA, 0x1999999999999999)     # XOR masks of ids: in each order the smallest is a centre
 
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(1, 2 ** 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -128,15 +131,79 @@ def _alike(a: str, b: str, similarity: int) -> Column:
     return size & (bits <= _differing(similarity))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int, similarity: int) -> DataFrame:
-    """Pairs (u, v) of class representatives whose full sets are similar."""
-    wanted = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    src = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
-    sets = add_columns(src, "s array<long>", lambda col: [_lists(shingle_sets(col, shingle))], keep=["id"])
-    sets = stage(sets.dropDuplicates(["id"]), "sets")
-    left, right = sets.toDF("u", "a"), sets.toDF("v", "b")
-    both = pairs.join(left, "u").join(right, "v").withColumn("i", F.size(F.array_intersect("a", "b")))
-    return both.where(F.col("i") * 100 >= (F.size("a") + F.size("b") - F.col("i")) * similarity).select("u", "v")
+def _similar(a: np.ndarray, b: np.ndarray, similarity: int) -> bool:
+    both = np.searchsorted(a, b)
+    same = int((a[np.minimum(both, len(a) - 1)] == b).sum())
+    return same * 100 >= (len(a) + len(b) - same) * similarity
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (u, v) whose full sets are similar."""
+    left, right = sets.select(F.col("rep").alias("u"), F.col("s").alias("x")), sets.select(F.col("rep").alias("v"), F.col("s").alias("y"))
+    both = pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y")
+
+    def run(batches):
+        for batch in batches:
+            a, b = (batch.column(i) for i in (2, 3))
+            keep = [_similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), similarity)
+                    for x, y in zip(a, b)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, pairs.schema)
+
+
+def _rest(named: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links (u, v) between different components that share a bucket.
+
+    In every bucket with several components the members outside of its
+    largest one (outsiders) are compared with all members of other
+    components, on full sets. Outsiders are dealt out in blocks of BLOCK by
+    that largest component; a block's task holds the block and streams the
+    members of its buckets past it, each once however many buckets they
+    share."""
+    sizes = named.groupBy("key", "component").agg(F.count("*").alias("m"))
+    split = sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("k")) \
+        .where("k > 1").select("key", F.col("top.component").alias("largest"))
+    inside = stage(named.join(split, "key"), "split")
+    outsiders = inside.where("component <> largest").select("rep", "component", "largest").distinct()
+    blocks = outsiders.groupBy("largest").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = stage(outsiders.join(blocks, "largest").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+                  .drop("blocks"), "outsiders")
+    present = inside.where("component <> largest").join(dealt.select("rep", "largest", "block"), ["rep", "largest"]) \
+        .select("key", "largest", "block").distinct()
+    members = inside.select("key", "rep", "component").join(present, "key").select("largest", "block", "rep", "component").distinct()
+    rows = dealt.withColumn("role", F.lit(0)).unionByName(members.withColumn("role", F.lit(1))) \
+        .join(sets.select("rep", "odd", "bands", "s"), "rep")
+    parts = int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "largest", "block").sortWithinPartitions("largest", "block", "role") \
+        .select("largest", "block", "role", "rep", "component", "odd", "bands", "s")
+    limit = _differing(similarity)
+
+    def run(batches):
+        at, own, linked, packed = None, [], set(), None
+        for batch in batches:
+            links = []
+            cols = [batch.column(i).to_pylist() for i in range(5)]
+            odd, bands = (batch.column(i).flatten().to_numpy().reshape(batch.num_rows, -1) for i in (5, 6))
+            for i, (largest, block, role, rep, component) in enumerate(zip(*cols)):
+                if (largest, block) != at:
+                    at, own, linked, packed = (largest, block), [], set(), None
+                s = np.frombuffer(batch.column(7)[i].as_buffer(), np.uint64)
+                if role == 0:
+                    own.append((rep, component, odd[i].copy(), bands[i].copy(), s.copy()))
+                    continue
+                if packed is None:
+                    packed = np.array([o[2] for o in own]), np.array([o[3] for o in own]), np.array([o[1] for o in own]), \
+                        np.array([len(o[4]) for o in own])
+                near = (np.bitwise_count(packed[0] ^ odd[i]).sum(axis=1, dtype=np.int64) <= limit) & (packed[2] != component)
+                near &= np.minimum(packed[3], len(s)) * 100 >= np.maximum(packed[3], len(s)) * similarity
+                for j in np.flatnonzero(near).tolist():
+                    if (own[j][0], component) not in linked and (packed[1][j] == bands[i]).any() and _similar(own[j][4], s, similarity):
+                        linked.add((own[j][0], component))        # one link joins the components
+                        links.append((own[j][0], rep))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    return rows.mapInArrow(run, "u long, v long")
 
 
 def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 2,
@@ -151,35 +218,31 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
         F.min("id").alias("rep"), F.min_by(F.struct("bands", "odd"), "id").alias("x"))
         .select("rep", "k1", "k2", "n", "x.bands", "x.odd"), "classes")
     buckets = classes.select("rep", F.explode("bands").alias("key"))
-    centres = buckets.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("other")).where("centre < other")
-    members = stage(buckets.join(centres.select("key", "centre"), "key"), "members")
-
-    info = classes.select("rep", "n", "odd")
-    star = members.where("rep > centre").select(F.col("rep").alias("u"), F.col("centre").alias("v")).distinct()
+    turned = [F.col("rep").bitwiseXOR(F.lit(o)) for o in ORDERS]       # undone by the same operation
+    centres = buckets.groupBy("key").agg(*[F.min(x).alias(f"c{i}") for i, x in enumerate(turned)],
+                                         F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
+    centres = centres.select("key", F.array(*[F.col(f"c{i}").bitwiseXOR(F.lit(o)) for i, o in enumerate(ORDERS)]).alias("centres"))
+    members = stage(buckets.join(centres, "key"), "members")
+
+    # full sets of the classes that have company
+    wanted = members.select(F.col("rep").alias("id")).distinct()
+    src = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")) \
+        .join(wanted.hint("shuffle_merge"), "id", "left_semi")      # alike at every size
+    spelled = add_columns(src, "s binary", lambda col: [pa.array([g.tobytes() for g in shingle_sets(col, shingle)], pa.binary())],
+                          keep=["id"]).dropDuplicates(["id"])
+    sets = stage(classes.join(spelled, F.col("rep") == F.col("id")).select("rep", "n", "bands", "odd", "s"), "sets")
+
+    info = sets.select("rep", "n", "odd")
+    star = members.select(F.col("rep").alias("u"), F.explode(F.array_distinct("centres")).alias("v")).where("u <> v") \
+        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     star = (star.join(info.alias("a"), F.col("u") == F.col("a.rep")).join(info.alias("b"), F.col("v") == F.col("b.rep"))
             .where(_alike("a", "b", similarity)).select("u", "v"))
-    edges = stage(_confirmed(stage(star, "star"), docs, doc_id, text, shingle, similarity), "links")
+    edges = stage(_confirmed(star, sets, similarity), "links")
     label = components(edges)
-
-    # buckets that hold more than one component
-    named = members.select("key", "rep").join(label, F.col("rep") == F.col("node"), "left") \
-        .select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    named = stage(named, "named")
-    split = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                     F.count("*").alias("m")).where("lo < hi").select("key", "m")
-    rest = (named.join(split, "key").join(info, "rep")
-            .withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-            .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
-    rest = stage(rest, "rest")
-    if not rest.isEmpty():
-        cols = ["key", "rep", "component", "n", "odd", "own"]
-        a = rest.select(*cols, F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("y")).alias("a")
-        b = rest.select(*cols, F.explode(F.sequence(F.lit(0), F.col("own"))).alias("x")).alias("b")
-        pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.own") == F.col("b.x")) & (F.col("a.y") == F.col("b.own"))
-                       & ((F.col("a.own") < F.col("b.own")) | (F.col("a.rep") < F.col("b.rep")))
-                       & (F.col("a.component") != F.col("b.component")) & _alike("a", "b", similarity))
-        pairs = stage(pairs.select(F.greatest("a.rep", "b.rep").alias("u"), F.least("a.rep", "b.rep").alias("v")).distinct(), "pairs")
-        more = _confirmed(pairs, docs, doc_id, text, shingle, similarity)
+    named = stage(members.select("key", "rep").join(label, F.col("rep") == F.col("node"), "left")
+                  .select("key", "rep", F.coalesce("component", "rep").alias("component")), "named")
+    more = stage(_rest(named, sets, similarity), "more")
+    if not more.isEmpty():
         label = components(edges.unionByName(more))
     final = classes.select("k1", "k2", "n", "rep").join(label, F.col("rep") == F.col("node"), "left") \
         .select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
