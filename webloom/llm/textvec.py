@@ -114,7 +114,7 @@ def ngram_hashes(h: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray,
     left = np.cumsum(counts)[text] - np.arange(len(h))
     out = np.zeros(len(h), dtype=np.uint64)
     for k, p in enumerate(powers(n, np.uint64(0xD6E8FEB86659FD93))):
-        out[: len(h) - k] += h[k:] * p
+        out[: max(0, len(h) - k)] += h[k:] * p
     return mix(out), left >= n
 
 
