@@ -19,11 +19,15 @@ from .text import decode_entities, js_trim, utf16_length
 STRIPPED_TAGS = ("script", "style", "noscript", "iframe", "svg")
 THIN_THRESHOLD = 150  # markdown shorter than this (UTF-16 units) is "thin"
 
-_STRIP_RE = (r"(?is)<!--.*?(?:-->|$)|<(" + "|".join(STRIPPED_TAGS)
+# A self-closing svg is an empty element; other elements ignore the slash.
+_STRIP_RE = (r"(?is)<!--.*?(?:-->|$)|<svg\b[^>]*/>|<(" + "|".join(STRIPPED_TAGS)
              + r")\b[^>]*>(?:.*?</\1\s*>|.*$)")
 _TITLE_RE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
-_A_TAG_RE = r"""(?is)<a\s(?:[^>"']|"[^"]*"|'[^']*')*>"""
-_HREF_RE = r"""(?is)\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+# Possessive runs: matched in a loop, never by recursion, whatever the tag's length.
+_A_TAG_RE = r"""(?is)<a\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+# Attributes in order: the names and values before href are passed over as a whole.
+_HREF_RE = (r"""(?is)^<a(?:[\s/]*+(?!href[\s=>/])[^\s=>/"']++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?+)*+"""
+            r"""[\s/]*+href\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)""")
 
 
 def _c(x) -> Column:

@@ -23,7 +23,7 @@ ENGINES = ("fetch", "browser", "auto")
 DISCOVERY_FACTOR = 3
 BACKOFF_STEP_SECONDS = 30
 POLITENESS_MS = 300
-USER_AGENT = "Quarry/0.1 (web scraper)"
+USER_AGENT = "Webloom/0.1 (web corpus engine)"   # the package's own token; a parameter of robots_rules
 BACKOFF_MESSAGE = "Domain in backoff window"
 
 
@@ -122,6 +122,8 @@ def discover_from_sitemap(jobs: DataFrame, sitemaps: DataFrame, rules: DataFrame
              .drop("_sp")
     c = locs.join(cfg, "job_id")
     c = _admissible(c, F.col("loc"), F.col("seed"))
+    # robots.txt is scoped to the seed's origin: another scheme/port is refused
+    c = c.where(F.col("_origin") == F.col("seed_origin"))
     c = robots_filter(c, rules)
     w = Window.partitionBy("job_id").orderBy("src_pos", "loc_pos")
     # The literal bound lets Spark run the per-job top-k partially before the
@@ -179,9 +181,9 @@ def robots_filter(cands: DataFrame, rules: DataFrame | None, url_col: str = "url
     """Keep candidates robots.txt allows for our agent.
 
     Equi-join on origin first (no cartesian product), regex residual,
-    then the longest matching pattern wins and allow wins ties. A URL on a
-    different origin than its job's robots file (scheme/port change) is
-    not allowed, as in the reference. Jobs without a robots row allow all.
+    then the longest matching pattern wins and allow wins ties. URLs on an
+    origin without rules are allowed; callers refuse URLs outside of the
+    seed's origin before (S5, C4).
     """
     if rules is None:
         return cands.drop("_origin", "_pq")

@@ -10,7 +10,7 @@ first, then the text join on the changed keys).
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
@@ -183,9 +183,14 @@ def change_records(diffs: DataFrame, run_at: str) -> DataFrame:
                         F.lit(run_at).cast("timestamp_ntz").alias("changed_at"))
 
 
+def has_goal(goal) -> Column:
+    """A goal counts if it is neither null nor empty."""
+    return F.coalesce(goal != "", F.lit(False))
+
+
 def judge_prompts(changes: DataFrame, monitors: DataFrame) -> DataFrame:
     """One judging prompt per change of a monitor with a goal."""
-    g = monitors.where(F.col("goal").isNotNull()).select(F.col("id").alias("monitor_id"), "goal")
+    g = monitors.where(has_goal(F.col("goal"))).select(F.col("id").alias("monitor_id"), "goal")
     p = changes.join(g, "monitor_id")
     return p.withColumn("prompt", L.judge_prompt(F.col("goal"), F.col("diff"))) \
             .withColumn("prompt_hash", L.prompt_hash(F.col("prompt")))
@@ -215,7 +220,7 @@ def apply_verdicts(changes: DataFrame, monitors: DataFrame, completions: DataFra
         F.when(failed, F.lit(None).cast("string")).otherwise(F.col("reason")).alias("reason"),
         (failed | relevant).alias("keep"),
         (~failed & F.col("_unparsed")).alias("dropped_unparsed"))
-    no_goal = c.where(F.col("goal").isNull()).select(
+    no_goal = c.where(~has_goal(F.col("goal"))).select(
         "monitor_id", "url", "diff", "goal", F.lit(None).cast("boolean").alias("relevant"),
         F.lit(None).cast("string").alias("reason"), F.lit(True).alias("keep"),
         F.lit(False).alias("dropped_unparsed"))
@@ -238,9 +243,10 @@ def monitor_outbox(verdicts: DataFrame, checks: DataFrame, monitors: DataFrame,
     fields, which is how absent keys disappear. A payload holds one
     monitor's changes of one run (bounded by its max_pages)."""
     kept = verdicts.where(F.col("keep"))
-    has_goal = F.col("goal").isNotNull()
-    item = F.struct("url", "diff", F.when(has_goal, F.coalesce("relevant", F.lit(True))).alias("relevant"),
-                    F.when(has_goal, F.col("reason")).alias("reason"))
+    kept = kept.withColumn("goal", F.when(has_goal(F.col("goal")), F.col("goal")))
+    judged = F.col("goal").isNotNull()
+    item = F.struct("url", "diff", F.when(judged, F.coalesce("relevant", F.lit(True))).alias("relevant"),
+                    F.when(judged, F.col("reason")).alias("reason"))
     g = kept.groupBy("monitor_id", "goal").agg(F.sort_array(F.collect_list(item)).alias("changes"),
                                                F.count(F.lit(1)).alias("n"))
     g = g.join(checks.select("monitor_id", "pages_checked"), "monitor_id") \

@@ -18,7 +18,7 @@ from ..functions.text import math_round
 # Job statuses reported with zero fill, and the metrics text.
 JOB_STATUSES = ["queued", "running", "completed", "failed"]
 STALE_AFTER_SECONDS = 120
-METRIC_PREFIX = "quarry"
+METRIC_PREFIX = "webloom"   # a parameter of metrics_exposition
 METRICS_LAST_LINE = 112
 
 

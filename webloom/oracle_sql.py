@@ -75,7 +75,7 @@ _STRIP_TAGS = ("script", "style", "noscript", "iframe", "svg")
 
 def strip_nodes(html: str) -> str:
     # RE2 has no back-reference: one alternation per element, leftmost match wins.
-    alts = ["<!--.*?(?:-->|$)"] + [f"<{t}\\b[^>]*>(?:.*?</{t}\\s*>|.*$)" for t in _STRIP_TAGS]
+    alts = ["<!--.*?(?:-->|$)", "<svg\\b[^>]*/>"] + [f"<{t}\\b[^>]*>(?:.*?</{t}\\s*>|.*$)" for t in _STRIP_TAGS]
     return f"regexp_replace({html}, {q('(?is)' + '|'.join(alts))}, '', 'g')"
 
 
@@ -86,10 +86,13 @@ def page_title(doc: str) -> str:
 
 def page_links(doc: str) -> str:
     tags = f"""regexp_extract_all({doc}, {q('(?is)<a\\s(?:[^>"' + "'" + ']|"[^"]*"|' + "'[^']*'" + ')*>')}, 0)"""
-    href_re = q("(?is)\\shref\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s\"'>]+)")
+    # attributes in order, quoted values as a whole; the first one named href
+    attr_re = q("(?is)([^\\s=>/\"']+)(?:\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s\"'>]+))?")
 
     def one(t):
-        v = f"regexp_extract({t}, {href_re}, 1)"
+        rest = f"substr({t}, 3)"
+        names = f"list_transform(regexp_extract_all({rest}, {attr_re}, 1), lambda a_: lower(a_))"
+        v = f"coalesce(regexp_extract_all({rest}, {attr_re}, 2)[list_position({names}, 'href')], '')"
         unq = f"regexp_replace({v}, {q('^[\"' + chr(39) + ']|[\"' + chr(39) + ']$')}, '', 'g')"
         return f"CASE WHEN {v} = '' THEN NULL ELSE {decode_entities(unq)} END"
     n = _v()
@@ -414,6 +417,7 @@ sm_child AS (SELECT host, bucket,
     '<?xml version="1.0"?><urlset>'
       || string_agg('<url><loc> https://' || host || path || ' </loc></url>', '' ORDER BY rank DESC)
       || '<url><LOC>https://' || host || '/n/1</LOC></url>'
+      || '<url><loc>http://' || host || '/n/2</loc></url><url><loc>https://' || host || ':8443/n/3</loc></url>'
       || '<url><loc>https://elsewhere.example.com/n/1</loc></url></urlset>' AS xml
   FROM sm_pages GROUP BY host, bucket),
 crawl_sitemaps AS (
@@ -453,7 +457,8 @@ robots_rules AS (
   WHERE g.key IN ('allow', 'disallow') AND g.value <> '')""",
     "crawl_jobs": """crawl_jobs AS (
   SELECT 'job_h' || CAST(page_id AS VARCHAR) AS id, 'https://' || host || '/n/1' AS url,
-    CAST(1 + page_id % 4 AS INTEGER) AS max_depth, CAST(2 + page_id % 9 AS INTEGER) AS max_pages,
+    CAST(1 + page_id % 10 AS INTEGER) AS max_depth,
+    CAST(CASE WHEN page_id % 3 = 0 THEN 2 + page_id % 9 ELSE 20 + (page_id * 37) % 981 END AS INTEGER) AS max_pages,
     CASE WHEN page_id % 5 = 0 THEN ['/n/*'] ELSE []::VARCHAR[] END AS include_patterns,
     CASE WHEN page_id % 6 = 0 THEN ['/n/3'] ELSE []::VARCHAR[] END AS exclude_patterns
   FROM link_graph WHERE rank = 1)""",

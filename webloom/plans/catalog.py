@@ -125,8 +125,7 @@ n AS (SELECT page_id, pos, {O.normalize_url('href', 'url')} AS link_url, url FRO
 SELECT page_id, pos, {O.same_host('link_url', 'url')} AS same_host,
        {O.url_host('link_url')} AS link_host FROM n""")
 def q_same_host(spark, sf):
-    ln = P.page_links_exploded(_pages(spark, sf)).join(
-        _pages(spark, sf).select("page_id", "url"), "page_id")
+    ln = P.page_links_exploded(_pages(spark, sf), keep=["url"])
     return ln.select("page_id", "pos", U.same_host("link_url", "url").alias("same_host"),
                      U.url_host("link_url").alias("link_host"))
 
@@ -533,6 +532,7 @@ c0 AS (SELECT ex.job_id, ex.src_pos, ex.loc_pos, j.url AS seed, j.max_pages, j.i
 c1 AS (SELECT *, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin,
          regexp_extract(url, '^[a-z]+://[^/]+(/[^#]*)?', 1) AS pq FROM c0
        WHERE url IS NOT NULL AND {O.url_host('url')} = {O.url_host('seed')}
+         AND regexp_extract(url, '^(https?://[^/?#]+)', 1) = regexp_extract(seed, '^(https?://[^/?#]+)', 1)
          AND {O.allowed_by_patterns('url', 'include_patterns', 'exclude_patterns')}),
 m AS (SELECT DISTINCT c1.origin, c1.pq, r.allow, length(r.pattern) AS plen FROM c1 JOIN robots_rules r ON r.origin = c1.origin
       WHERE regexp_matches(c1.pq, r.regex)),
@@ -562,9 +562,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY site, link_url ORDER BY page_id,
       WHERE link_url IS NOT NULL)
 SELECT site, link_url, page_id, pos FROM r WHERE rn = 1""")
 def q_dedupe(spark, sf):
-    p = _pages(spark, sf)
-    ln = P.page_links_exploded(p).join(p.select("page_id", F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
-                                                .alias("site")), "page_id")
+    ln = P.page_links_exploded(_pages(spark, sf), keep=["url"]) \
+        .withColumn("site", F.regexp_extract("url", r"^https?://([^/?#]+)", 1))
     ln = ln.where(F.col("link_url").isNotNull()).select("site", "link_url", "page_id", "pos")
     return C.dedupe_urls(ln, ["site", "link_url"], ["page_id", "pos"])
 

@@ -244,14 +244,16 @@ def crawl_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crawl_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One crawl request per host, seeded at rank 1, varying caps."""
+    """One crawl request per host, seeded at rank 1. Budgets go from 2 to
+    1,000 pages and depths from 1 to 10, so that caps bind on some hosts and
+    others are crawled in full."""
     g = link_graph_pages(spark, sf_dir).where(F.col("rank") == 1)
     n = F.col("page_id")
     return g.select(
         F.concat(F.lit("job_h"), n.cast("string")).alias("id"),
         F.concat(F.lit("https://"), F.col("host"), F.lit("/n/1")).alias("url"),
-        (F.lit(1) + n % 4).cast("int").alias("max_depth"),
-        (F.lit(2) + n % 9).cast("int").alias("max_pages"),
+        (F.lit(1) + n % 10).cast("int").alias("max_depth"),
+        F.when(n % 3 == 0, F.lit(2) + n % 9).otherwise(F.lit(20) + (n * 37) % 981).cast("int").alias("max_pages"),
         F.when(n % 5 == 0, F.array(F.lit("/n/*"))).otherwise(F.array()).cast("array<string>").alias("include_patterns"),
         F.when(n % 6 == 0, F.array(F.lit("/n/3"))).otherwise(F.array()).cast("array<string>").alias("exclude_patterns"),
         F.when(n % 2 == 0, F.lit("https://hooks.example.com/c")).alias("webhook_url"),
@@ -314,8 +316,8 @@ def crawl_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The root is an index of child sitemaps of at most 1,000 pages each
     (plus one missing child); each child lists its pages in descending
-    rank, repeats rank 1, uses an upper-case tag once and names one
-    foreign host."""
+    rank, repeats rank 1, uses an upper-case tag once and names another
+    scheme, another port and one foreign host."""
     g = link_graph_pages(spark, sf_dir)
     first = g.where(F.col("rank") == 1).select("host", F.col("page_id").alias("root_id"))
     hosts = first.where(F.col("root_id") % 4 == 0)
@@ -330,6 +332,8 @@ def crawl_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
         child_url.alias("sitemap_url"),
         F.concat(F.lit('<?xml version="1.0"?><urlset>'), F.array_join(F.transform("items", lambda x: x["e"]), ""),
                  F.lit("<url><LOC>https://"), F.col("host"), F.lit("/n/1</LOC></url>"),
+                 F.lit("<url><loc>http://"), F.col("host"), F.lit("/n/2</loc></url><url><loc>https://"), F.col("host"),
+                 F.lit(":8443/n/3</loc></url>"),
                  F.lit("<url><loc>https://elsewhere.example.com/n/1</loc></url></urlset>")).alias("xml"))
     idx_items = child.select("host", F.concat(F.lit("<sitemap><loc>"), child_url, F.lit("</loc></sitemap>")).alias("e"),
                              "bucket")
