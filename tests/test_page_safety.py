@@ -31,3 +31,34 @@ def test_empty_goal_is_no_goal(spark):
     assert [r.monitor_id for r in M.judge_prompts(changes, monitors).collect()] == ["m3"]
     assert {r.g: r.has for r in monitors.select(F.col("goal").alias("g"), M.has_goal(F.col("goal")).alias("has")).collect()} \
         == {"": False, None: False, "g": True}
+
+
+def test_deep_nesting_and_large_diffs():
+    from webloom.operators.diff import _myers_core
+    from webloom.operators.markdown import to_markdown
+    assert to_markdown("<div>" * 20_000 + "x" + "</div>" * 20_000) == "x"
+    assert to_markdown("<ol>" + "<li>a</li>" * 3000 + "</ol>").endswith("3000.  a")
+    assert to_markdown("a<![weird[x]]>b<p>c") .endswith("c")
+    a, b = [f"a{i}" for i in range(20_000)], [f"b{i}" for i in range(20_000)]
+    assert _myers_core(a, b) == [("-", t) for t in a] + [("+", t) for t in b]
+
+
+def test_backoff_stream_waits_for_earlier_pops():
+    import pandas as pd
+
+    from webloom.streaming.stream_ops import _backoff_fn
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    def pop(ord_, blocked=False):
+        return {"job_id": "j", "ord": ord_, "fetched_at": pd.Timestamp(0) + pd.Timedelta(seconds=11 * ord_), "blocked": blocked}
+
+    state, got = State(), []
+    for batch in ([pop(3), pop(1, True)], [pop(4), pop(2)], [pop(2), pop(5)]):
+        for out in _backoff_fn(("j",), iter([pd.DataFrame(batch)]), state):
+            got += out.values.tolist()
+    assert [r[1] for r in got] == [1, 2, 3, 4, 5] and [r[2] for r in got] == [False, True, True, False, False]

@@ -9,6 +9,8 @@ chunk, and each chunk is written once with a single '+' or '-' prefix.
 
 from __future__ import annotations
 
+from array import array
+
 import re
 
 _LINE = re.compile(r"[^\n]*\n|[^\n]+$")
@@ -39,12 +41,14 @@ def _myers_core(a: list[str], b: list[str]) -> list[tuple[str, str]]:
         return [("+", t) for t in b]
     if m == 0:
         return [("-", t) for t in a]
+    if set(a).isdisjoint(b):        # nothing to keep: a fully rewritten text
+        return [("-", t) for t in a] + [("+", t) for t in b]
     maxd = n + m
     off = maxd
     v = [0] * (2 * maxd + 2)
     trace = []
     for d in range(maxd + 1):
-        trace.append(v[:])
+        trace.append(array("i", v[off - d - 1: off + d + 2]))      # the diagonals that this step reads
         for k in range(-d, d + 1, 2):
             if k == -d or (k != d and v[off + k - 1] < v[off + k + 1]):
                 x = v[off + k + 1]
@@ -56,15 +60,15 @@ def _myers_core(a: list[str], b: list[str]) -> list[tuple[str, str]]:
                 y += 1
             v[off + k] = x
             if x >= n and y >= m:
-                return _backtrack(trace, a, b, d, off)
+                return _backtrack(trace, a, b, d)
     return []
 
 
-def _backtrack(trace, a, b, d_end, off):
+def _backtrack(trace, a, b, d_end):
     x, y = len(a), len(b)
     ops = []
     for d in range(d_end, 0, -1):
-        v = trace[d]
+        v, off = trace[d], d + 1
         k = x - y
         if k == -d or (k != d and v[off + k - 1] < v[off + k + 1]):
             pk = k + 1

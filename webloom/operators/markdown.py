@@ -199,6 +199,10 @@ class _Builder(HTMLParser):
         if self._open(tag):
             self._pop_until(tag)
 
+    def parse_marked_section(self, i, report=1):
+        """``<![...]>`` outside of foreign content is a bogus comment."""
+        return self.parse_bogus_comment(i, 0)
+
     def handle_data(self, data):
         if self.skip or not data:
             return
@@ -219,11 +223,8 @@ class _Builder(HTMLParser):
 
 def build_tree(html: str) -> Node:
     b = _Builder()
-    try:
-        b.feed(html or "")
-        b.close()
-    except Exception:  # noqa: BLE001 - malformed markup keeps what was built
-        pass
+    b.feed(html or "")
+    b.close()
     return b.body if b.body is not None else b.root
 
 
@@ -255,21 +256,48 @@ def _flank(content: str, left: str, right: str) -> str:
 
 
 def _text_of(node) -> str:
-    if isinstance(node, str):
-        return node
-    return "".join(_text_of(c) for c in node.children)
+    out, todo = [], [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        else:
+            todo.extend(reversed(x.children))
+    return "".join(out)
+
+
+def _render_children(root: Node, ctx: dict) -> str:
+    """Children first, with a stack of (node, parent, next child, text so
+    far): any depth of nesting."""
+    frames = [[root, None, 0, ""]]
+    while True:
+        frame = frames[-1]
+        node, parent, i, out = frame
+        if i < len(node.children):
+            child = node.children[i]
+            frame[2] += 1
+            if isinstance(child, str):
+                frame[3] = _join(out, _escape(child))
+            elif child.tag == "pre":     # rendered from its text
+                frame[3] = _join(out, _render(child, node, "", ctx))
+            else:
+                frames.append([child, node, 0, ""])
+            continue
+        frames.pop()
+        if not frames:
+            return out
+        frames[-1][3] = _join(frames[-1][3], _render(node, parent, out, ctx))
 
 
-def _render_children(node: Node, ctx: dict) -> str:
-    out = ""
-    for child in node.children:
-        out = _join(out, _render(child, node, ctx))
-    return out
+def _item_number(node: Node, parent: Node, ctx: dict) -> int:
+    """Place of a list item among its parent's elements, numbered once."""
+    if ctx.get("list") is not parent:
+        ctx["list"] = parent
+        ctx["place"] = {id(n): i for i, n in enumerate(n for n in parent.children if isinstance(n, Node))}
+    return ctx["place"][id(node)]
 
 
-def _render(node, parent: Node, ctx: dict) -> str:
-    if isinstance(node, str):
-        return _escape(node)
+def _render(node: Node, parent: Node, content: str, ctx: dict) -> str:
     tag = node.tag
     if tag == "pre":
         code = node.children[0] if len(node.children) == 1 and isinstance(node.children[0], Node) \
@@ -280,7 +308,6 @@ def _render(node, parent: Node, ctx: dict) -> str:
             lang = m.group(1) if m else ""
         text = _text_of(node).rstrip("\n") if code is None else _text_of(code).rstrip("\n")
         return "\n\n```" + lang + "\n" + text + "\n```\n\n"
-    content = _render_children(node, ctx)
     if tag in HEADINGS:
         return "\n\n" + "#" * int(tag[1]) + " " + content.strip() + "\n\n"
     if tag == "br":
@@ -323,9 +350,8 @@ def _render(node, parent: Node, ctx: dict) -> str:
         c = re.sub(r"\n+$", "\n", c)
         c = c.replace("\n", "\n    ")
         if parent is not None and parent.tag == "ol":
-            items = [n for n in parent.children if isinstance(n, Node)]
             start = parent.attrs.get("start")
-            idx = items.index(node)
+            idx = _item_number(node, parent, ctx)
             try:
                 num = int(start) + idx if start else idx + 1
             except ValueError:
@@ -358,27 +384,32 @@ def _collapse_whitespace(root: Node) -> None:
             parent.children[i] = parent.children[i].rstrip(" ")
         state["prev_space"], state["last"] = True, None
 
-    def walk(node: Node):
-        for i, ch in enumerate(node.children):
-            if isinstance(ch, str):
-                t = _WS.sub(" ", ch)
-                if state["prev_space"]:
-                    t = t.lstrip(" ")
-                node.children[i] = t
-                if t:
-                    state["prev_space"] = t.endswith(" ")
-                    state["last"] = (node, i)
-            elif ch.tag == "pre":      # content kept verbatim; a block on both sides
-                boundary()
+    frames = [[root, 0, False]]         # node, next child, is a block
+    while frames:
+        frame = frames[-1]
+        node, i, block = frame
+        if i == len(node.children):
+            frames.pop()
+            if block:
                 boundary()
-            elif ch.tag in BLOCK or ch.tag in ("br", "hr"):
-                boundary()
-                walk(ch)
+            continue
+        frame[1] += 1
+        ch = node.children[i]
+        if isinstance(ch, str):
+            t = _WS.sub(" ", ch)
+            if state["prev_space"]:
+                t = t.lstrip(" ")
+            node.children[i] = t
+            if t:
+                state["prev_space"] = t.endswith(" ")
+                state["last"] = (node, i)
+        elif ch.tag == "pre":      # content kept verbatim; a block on both sides
+            boundary()
+        else:
+            inner = ch.tag in BLOCK or ch.tag in ("br", "hr")
+            if inner:
                 boundary()
-            else:
-                walk(ch)
-
-    walk(root)
+            frames.append([ch, 0, inner])
     boundary()
 
 

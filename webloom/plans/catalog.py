@@ -505,12 +505,6 @@ def q_expand_sitemaps(spark, sf):
     return C.expand_sitemaps(roots, FX.crawl_sitemaps(spark, sf))
 
 
-@register("s6_robots_rules")
-def q_robots_rules(spark, sf):
-    """The rule group that applies to our agent, per origin (golden-tested)."""
-    return C.robots_rules(FX.crawl_robots(spark, sf)).select("origin", "ln", "allow", "pattern", "regex")
-
-
 def _s5_sql():
     norm = O.normalize_url("loc", "seed")
     return _W("link_graph", "crawl_sitemaps", "crawl_robots", "robots_rules", "crawl_jobs") + f""",
@@ -1002,9 +996,9 @@ def q_t3(spark, sf):
     p = FX.job_pages(spark, sf).select(
         "job_id", "ord", (F.col("scraped_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("ord") * 11).cast("int"))).alias("fetched_at"),
         (F.col("status") == "blocked").alias("blocked"))
-    # pops of one job arrive in FIFO order: one file holds a job's pops, sorted
+    # pops of a job are spread over the micro-batches in any order
     path = fresh_dir(spark, "t3-in")
-    p.repartition(4, "job_id").sortWithinPartitions("job_id", "ord").write.parquet(path)
+    p.repartition(F.xxhash64("job_id", "ord")).write.parquet(path)
     schema = p.schema
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     return _drain(S.stream_backoff(src), "t3")

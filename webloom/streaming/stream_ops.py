@@ -17,6 +17,8 @@ state such as T2's last markdown per page).
 
 from __future__ import annotations
 
+import json
+
 import hashlib
 from collections.abc import Iterator
 
@@ -88,28 +90,35 @@ def stream_changes(snapshots: DataFrame) -> DataFrame:
 BACKOFF_OUT = T.StructType([
     T.StructField("job_id", T.StringType()), T.StructField("ord", T.LongType()),
     T.StructField("skipped", T.BooleanType()), T.StructField("backoff_until", T.TimestampNTZType())])
-BACKOFF_STATE = T.StructType([T.StructField("until", T.TimestampNTZType()), T.StructField("last_ord", T.LongType())])
+BACKOFF_STATE = T.StructType([T.StructField("until", T.TimestampNTZType()), T.StructField("next_ord", T.LongType()),
+                              T.StructField("waiting", T.StringType())])
 
 
 def _backoff_fn(key, pdfs, state: GroupState):
-    until, last_ord = state.get if state.exists else (None, -1)
-    rows = pd.concat(list(pdfs), ignore_index=True).sort_values("ord", kind="stable")
+    until, next_ord, waiting = state.get if state.exists else (None, 1, "{}")
+    # pops that came before an earlier one wait in the state, at most a job's page budget
+    held = {int(k): (None if at is None else pd.Timestamp(at), blocked) for k, (at, blocked) in json.loads(waiting).items()}
+    for pdf in pdfs:
+        for r in pdf.itertuples(index=False):
+            if r.ord >= next_ord:       # a smaller one was handled before: a repeat
+                held[int(r.ord)] = (None if pd.isna(r.fetched_at) else r.fetched_at, bool(r.blocked))
     step = pd.Timedelta(seconds=C.BACKOFF_STEP_SECONDS)
     out = []
-    for r in rows.itertuples(index=False):
-        if r.ord <= last_ord:
-            continue
-        skipped = until is not None and r.fetched_at is not None and r.fetched_at < until
-        if not skipped and r.blocked:
-            until = (until if until is not None else r.fetched_at) + step
-        out.append((key[0], int(r.ord), bool(skipped), until))
-        last_ord = r.ord
-    state.update((until, int(last_ord)))
+    while next_ord in held:
+        at, blocked = held.pop(next_ord)
+        skipped = until is not None and at is not None and at < until
+        if not skipped and blocked:
+            until = (until if until is not None else at) + step
+        out.append((key[0], next_ord, bool(skipped), until))
+        next_ord += 1
+    state.update((until, int(next_ord), json.dumps({k: (None if at is None else str(at), b) for k, (at, b) in held.items()})))
     yield pd.DataFrame(out, columns=[f.name for f in BACKOFF_OUT.fields])
 
 
 def stream_backoff(pops: DataFrame) -> DataFrame:
-    """C8 as keyed state per job over (job_id, ord, fetched_at, blocked)."""
+    """C8 as keyed state per job over (job_id, ord, fetched_at, blocked).
+    A job's pops are numbered from 1 and may arrive in any order: each is
+    handled once all earlier ones are."""
     return pops.groupBy("job_id").applyInPandasWithState(
         _backoff_fn, BACKOFF_OUT, BACKOFF_STATE, "append", GroupStateTimeout.NoTimeout)
 
