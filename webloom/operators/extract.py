@@ -11,13 +11,14 @@ pages a Python worker holds at once.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from ..functions.html import is_thin, page_links, page_title, strip_nodes
 from ..functions.text import utf16_length
+from ..functions.urls import url_host
 from .markdown import to_markdown
 
 TIMEOUT_MESSAGE = "Request timed out"
@@ -74,12 +75,29 @@ def scrape_pages(responses: DataFrame, keep: tuple = (), with_markdown: bool = T
               .withColumn("thin", F.when(live, is_thin("markdown")))
 
 
+HOST_BUCKETS = 512
+
+
+def host_bucket(host) -> Column:
+    """Bucket of a host in a staged capture store."""
+    return F.pmod(F.xxhash64(host), F.lit(HOST_BUCKETS)).cast("int")
+
+
+def captures_of(captures: DataFrame, urls: DataFrame) -> DataFrame:
+    """Captures of the given URLs; in a store of host buckets only those
+    buckets are read (partition pruning by the join)."""
+    if "bucket" in captures.columns:
+        keyed = urls.select("url", host_bucket(url_host("url")).alias("bucket"))
+        return captures.join(keyed, ["bucket", "url"], "left_semi")
+    return captures.join(urls, "url", "left_semi")
+
+
 def attach_markdown(pages: DataFrame, responses: DataFrame) -> DataFrame:
     """Markdown for already classified page rows: each distinct scraped
     URL is converted once (late materialisation of the only Python step)."""
     live = (F.col("status") == "scraped") & ~F.coalesce(F.col("unchanged"), F.lit(False))
     urls = pages.where(live).select("url").distinct()
-    md = responses.join(urls, "url", "left_semi").select(
+    md = captures_of(responses, urls).select(
         "url", html_to_markdown(F.col("html")).alias("_md")).dropDuplicates(["url"])
     out = pages.join(md, "url", "left")
     return out.withColumn("markdown", F.when(live, F.col("_md"))) \

@@ -61,15 +61,6 @@ def seed_frontier(jobs: DataFrame, sitemaps: DataFrame | None, rules: DataFrame
     return frontier, j
 
 
-def _semi(captures: DataFrame, urls: DataFrame) -> DataFrame:
-    """Captures of the given URLs; joins on (host, url) when the capture
-    table is partitioned by host, so dynamic partition pruning reads only
-    the partitions of those hosts instead of the whole corpus."""
-    if "host" in captures.columns:
-        return captures.join(urls.withColumn("host", url_host("url")), ["host", "url"], "left_semi")
-    return captures.join(urls, "url", "left_semi")
-
-
 _ROUTED = ("status", "unchanged", "error", "title", "links")
 
 
@@ -85,7 +76,7 @@ def _fetch_round(proc: DataFrame, responses: DataFrame, rendered: DataFrame | No
     for those auto rows that have a usable rendering.
     """
     needed = proc.select("url").distinct()
-    ex = X.scrape_pages(_semi(responses, needed), keep=("fetched_at", "duration_ms"), with_markdown=False)
+    ex = X.scrape_pages(X.captures_of(responses, needed), keep=("fetched_at", "duration_ms"), with_markdown=False)
     got = proc.join(ex.drop("engine"), "url", "left")
     missing = F.col("status").isNull()
     got = got.withColumn("error", F.when(missing, F.lit(NO_CAPTURE)).otherwise(F.col("error"))) \
@@ -93,7 +84,7 @@ def _fetch_round(proc: DataFrame, responses: DataFrame, rendered: DataFrame | No
              .withColumn("unchanged", F.coalesce("unchanged", F.lit(False)))
     if rendered is None or engines is None:
         return got.withColumn("engine", F.lit("fetch"))
-    rx = X.scrape_pages(_semi(rendered, needed), keep=("fetched_at",), with_markdown=False) \
+    rx = X.scrape_pages(X.captures_of(rendered, needed), keep=("fetched_at",), with_markdown=False) \
         .select("url", *[F.col(c).alias("r_" + c) for c in _ROUTED], F.col("fetched_at").alias("r_fetched_at"))
     got = got.join(engines, "job_id", "left").join(rx, "url", "left")
     if stage is not None:   # used twice below: extract both captures once
@@ -103,7 +94,7 @@ def _fetch_round(proc: DataFrame, responses: DataFrame, rendered: DataFrame | No
     check_thin = (F.col("engine") == "auto") & r_ok & live
     # thin test only where it can change the outcome
     cand = got.where(check_thin).select("url").distinct()
-    md = _semi(responses, cand).select("url", X.html_to_markdown(F.col("html")).alias("_md")) \
+    md = X.captures_of(responses, cand).select("url", X.html_to_markdown(F.col("html")).alias("_md")) \
         .select("url", X.is_thin(F.col("_md")).alias("_thin")).dropDuplicates(["url"])
     got = got.join(md, "url", "left")
     browser = F.col("engine") == "browser"
@@ -125,25 +116,31 @@ def _fetch_round(proc: DataFrame, responses: DataFrame, rendered: DataFrame | No
 
 
 def stage_captures(responses: DataFrame) -> DataFrame:
-    """Write captures partitioned by host under the checkpoint root and
-    read them back, so every crawl round prunes to its hosts. Capture
-    stores that are already partitioned by host skip this."""
+    """Write captures in buckets of hosts under the checkpoint root and read
+    them back, so every crawl round prunes to the buckets of its hosts. A
+    range partitioning by (bucket, host, url) cuts a host with many pages
+    into as many files as it needs and keeps each file's URLs together."""
     spark = responses.sparkSession
     path = fresh_dir(spark, "captures")
-    responses.withColumn("host", url_host("url")).repartition("host") \
-             .write.partitionBy("host").parquet(path)
+    keyed = responses.withColumn("host", url_host("url")).withColumn("bucket", X.host_bucket("host"))
+    keyed.repartitionByRange("bucket", "host", "url").sortWithinPartitions("bucket", "host", "url") \
+         .write.partitionBy("bucket").parquet(path)
     return spark.read.parquet(path)
 
 
 def crawl(spark: SparkSession, jobs: DataFrame, responses: DataFrame, sitemaps: DataFrame | None = None,
           robots: DataFrame | None = None, expand_unchanged: bool = False, max_rounds: int | None = None,
           rendered: DataFrame | None = None) -> CrawlResult:
-    """Run every job of ``jobs`` (validated requests) to completion.
+    """Run every job of ``jobs`` (validated requests) to completion. A job
+    outside of C1's bounds is an error, never cut.
 
     ``rendered`` (optional) holds browser renderings; jobs then follow
     their ``engine`` (fetch / browser / auto, default auto). Without it
     every page is a plain fetch, as when no browser is configured."""
     root = fresh_dir(spark, "crawl")
+    in_bounds = F.col("max_depth").between(C.DEPTH_MIN, C.DEPTH_MAX) & F.col("max_pages").between(C.PAGES_MIN, C.PAGES_MAX)
+    if not jobs.where(~F.coalesce(in_bounds, F.lit(False))).isEmpty():
+        raise ValueError("jobs outside of the bounds of validate_crawl_requests")
     if sitemaps is not None:   # read once; discovery scans it several times
         sitemaps = _materialize(sitemaps, f"{root}/sitemaps")
     rules = C.robots_rules(robots) if robots is not None else None
@@ -177,10 +174,12 @@ def crawl(spark: SparkSession, jobs: DataFrame, responses: DataFrame, sitemaps:
         fetched = _fetch_round(proc, responses, rendered, engines,
                                stage=lambda df, r=rnd: _materialize(df, f"{root}/routed-{r}")) \
             .withColumn("blocked", F.col("status") == "blocked")
-        carry = tuple(c for c in fetched.columns if c not in ("job_id", "ord", "fetched_at", "blocked"))
-        # the backoff fold carries each page's columns, so the round's pages
-        # are extracted once and need no join back
-        bo = C.apply_backoff(fetched, state, carry)
+        # pages are extracted once; the backoff fold sees three small columns
+        # of them and joins back by (job_id, ord)
+        fetched = _materialize(fetched, f"{root}/fetched-{rnd}")
+        bo = C.apply_backoff(fetched.select("job_id", "ord", "fetched_at", "blocked"), state) \
+            .select("job_id", "ord", "skipped", "backoff_until")
+        bo = fetched.join(bo, ["job_id", "ord"])
         skip = F.col("skipped")
         merged = bo.select(
             "job_id", "ord", "url", "depth", "skipped", "backoff_until", "fetched_at", "duration_ms",
