@@ -373,7 +373,8 @@ FIXTURE_CTES = {
     (['hourly', 'daily', 'weekly'])[CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) % 3 + 1] AS frequency,
     'https://hooks.example.com/m/' || source AS webhook_url,
     CASE WHEN CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) % 7 = 0 THEN 'paused' ELSE 'active' END AS status,
-    CASE WHEN CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) % 2 = 0 THEN 'Track updates for ' || source END AS goal,
+    CASE WHEN CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) % 10 = 5 THEN ''
+         WHEN CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) % 2 = 0 THEN 'Track updates for ' || source END AS goal,
     TIMESTAMP '2024-01-29 23:30:00' AS last_checked_at, NULL::VARCHAR AS last_job_id,
     TIMESTAMP '2024-01-01 00:00:00' AS created_at
   FROM (SELECT DISTINCT source FROM documents))""",

