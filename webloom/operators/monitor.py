@@ -17,6 +17,7 @@ from pyspark.sql.types import StringType
 
 from . import crawl as C
 from . import llm as L
+from ..session import fresh_dir
 from .diff import render_line_diff
 
 # Fixed values.
@@ -89,22 +90,20 @@ def changed_pages(cur: DataFrame, state: DataFrame) -> DataFrame:
     """M6 + M7: pages of this run whose hash differs from a stored hash.
 
     304 answers (conditional fetch) are unchanged by definition; a first
-    sighting is not a change; vanished pages are not reported. Only the
-    hash columns take part in the first join; old text is fetched for the
-    changed keys only."""
-    fetched = cur.where(F.col("http_status") == 200) \
-                 .select("monitor_id", "url", "markdown", content_hash("markdown").alias("hash"))
-    hashes = state.select("monitor_id", "url", F.col("last_content_hash").alias("prev_hash"))
-    ch = fetched.join(hashes, ["monitor_id", "url"]) \
-                .where(F.col("prev_hash").isNotNull() & (F.col("prev_hash") != F.col("hash")))
-    # Semi-join first: only the old texts of changed keys reach the final
-    # join (the changed side is small, so AQE can broadcast it; a state
-    # table bucketed by (monitor_id, url) avoids shuffling the text at all).
-    old = state.select("monitor_id", "url", F.col("last_markdown").alias("old_markdown")) \
-               .join(ch.select("monitor_id", "url"), ["monitor_id", "url"], "left_semi")
-    return ch.join(old, ["monitor_id", "url"], "left") \
-             .select("monitor_id", "url", "prev_hash", "hash", F.coalesce("old_markdown", F.lit("")).alias("old_markdown"),
-                     F.col("markdown").alias("new_markdown"))
+    sighting is not a change; vanished pages are not reported. The join
+    sees keys and hashes only; the changed keys are written once, and both
+    texts are fetched for them alone."""
+    keys = ["monitor_id", "url"]
+    fetched = cur.where(F.col("http_status") == 200).select(*keys, "markdown", content_hash("markdown").alias("hash"))
+    hashes = state.select(*keys, F.col("last_content_hash").alias("prev_hash"))
+    path = fresh_dir(cur.sparkSession, "changed-keys")
+    fetched.select(*keys, "hash").join(hashes, keys) \
+        .where(F.col("prev_hash").isNotNull() & (F.col("prev_hash") != F.col("hash"))).distinct().write.parquet(path)
+    ch = cur.sparkSession.read.parquet(path)
+    old = state.select(*keys, F.col("last_markdown").alias("old_markdown")).join(ch.select(*keys).distinct(), keys, "left_semi")
+    return fetched.join(ch, keys + ["hash"]).join(old, keys, "left") \
+        .select(*keys, "prev_hash", "hash", F.coalesce("old_markdown", F.lit("")).alias("old_markdown"),
+                F.col("markdown").alias("new_markdown"))
 
 
 @pandas_udf(StringType())
