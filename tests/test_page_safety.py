@@ -62,3 +62,9 @@ def test_backoff_stream_waits_for_earlier_pops():
         for out in _backoff_fn(("j",), iter([pd.DataFrame(batch)]), state):
             got += out.values.tolist()
     assert [r[1] for r in got] == [1, 2, 3, 4, 5] and [r[2] for r in got] == [False, True, True, False, False]
+
+
+def test_named_entities(spark):
+    page = "<title>Caf&eacute; &mdash; x &amp;lt; &bogus; &#233;&#xE9; &NotEqualTilde;</title><a href='/a?b=1&amp;c=&copy;'>"
+    row = spark.createDataFrame([(page,)], "html string").select(H.page_title("html"), H.page_links("html")).head()
+    assert row[0] == "Café — x &lt; &bogus; éé ≂̸" and row[1] == ["/a?b=1&c=©"]

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The entities decoded natively (the Python extraction path
-# decodes the full HTML5 table).
-NAMED_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
-                  ("&nbsp;", "\u00a0"), ("&amp;", "&")]
+# Every named character reference that ends with a semicolon, from the
+# standard library's HTML5 table.
+NAMED_ENTITIES = {f"&{name}": text for name, text in html5.items() if name.endswith(";")}
 # JavaScript String.prototype.trim whitespace (ECMAScript WhiteSpace + LineTerminator).
 JS_WS = r"[\s\u00A0\uFEFF\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
@@ -47,20 +49,20 @@ def math_round(x) -> Column:
 
 
 def decode_entities(s) -> Column:
-    """Decode numeric (decimal / hex) and the common named entities."""
+    """Decode numeric (decimal / hex) and all named entities in one pass over
+    the text's pieces; the table is one constant map."""
     c = _c(s)
+    table = F.from_json(F.lit(json.dumps(NAMED_ENTITIES)), "map<string,string>")
 
     def tok(t):
         dec = F.regexp_extract(t, r"^&#([0-9]{1,7});$", 1)
         hx = F.regexp_extract(t, r"^&#[xX]([0-9a-fA-F]{1,6});$", 1)
         cp = F.when(dec != "", dec.try_cast("long")).when(hx != "", F.conv(hx, 16, 10).try_cast("long"))
         ok = cp.isNotNull() & (cp > 0) & (cp <= 0x10FFFF) & ~cp.between(0xD800, 0xDFFF)
-        ch = F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32BE")
-        return F.when(ok, ch).when(cp.isNotNull(), F.lit("�")).otherwise(t)
-
-    toks = F.regexp_extract_all(c, F.lit(r"(&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|[^&]+|&)"), 1)
-    numeric = F.when(F.instr(c, "&#") > 0, F.array_join(F.transform(toks, tok), "")).otherwise(c)
-    out = numeric
-    for ent, ch in NAMED_ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+        ch = F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
+        named = F.coalesce(F.try_element_at(table, t), t)
+        return F.when(~F.startswith(t, F.lit("&")), t).when(ok, ch).when(cp.isNotNull(), F.lit("\ufffd")).otherwise(named)
+
+    piece = r"(&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|&[A-Za-z][A-Za-z0-9]{1,31};|[^&]++|&)"
+    toks = F.regexp_extract_all(c, F.lit(piece), 1)
+    return F.when(F.instr(c, "&") > 0, F.array_join(F.transform(toks, tok), "")).otherwise(c)
