@@ -68,3 +68,27 @@ def test_named_entities(spark):
     page = "<title>Caf&eacute; &mdash; x &amp;lt; &bogus; &#233;&#xE9; &NotEqualTilde;</title><a href='/a?b=1&amp;c=&copy;'>"
     row = spark.createDataFrame([(page,)], "html string").select(H.page_title("html"), H.page_links("html")).head()
     assert row[0] == "Café — x &lt; &bogus; éé ≂̸" and row[1] == ["/a?b=1&c=©"]
+
+
+def test_scrape_log_written_and_read_back(spark, tmp_path):
+    from webloom.operators import extract as X
+    from webloom.operators.sinks import write_scrape_log
+    cap = "url string, engine string, http_status int, error string, html string, duration_ms int, fetched_at timestamp_ntz"
+
+    def pages(rows):
+        df = spark.createDataFrame(rows, cap.replace("timestamp_ntz", "string"))
+        return X.scrape_pages(df.withColumn("fetched_at", F.col("fetched_at").cast("timestamp_ntz")), keep=("duration_ms", "fetched_at"))
+
+    long = "<p>" + "word " * 60 + "</p>"
+    plain = pages([("https://a/1", "fetch", 200, None, "<p>thin</p>", 100, "2024-01-01 23:59:59"),
+                   ("https://a/2", "fetch", 200, None, long, 70, "2024-01-02 00:00:01"),
+                   ("https://a/3", "fetch", 500, None, None, 30, "2024-01-02 00:00:02")])
+    rendered = pages([("https://a/1", "browser", 200, None, long, 900, "2024-01-02 00:00:03"),
+                      ("https://a/2", "browser", 200, None, long, 900, "2024-01-02 00:00:04")])
+    log = X.scrape_log_rows(X.choose_rendering(plain, rendered, "auto", "scrape"))
+    path = str(tmp_path / "log")
+    write_scrape_log(log, path)
+    got = {r.url: (r.engine, r.status, r.duration_ms, str(r.created_at), str(r.created_date)) for r in spark.read.parquet(path).collect()}
+    assert got == {"https://a/1": ("browser", "ok", 1000, "2024-01-02 00:00:03", "2024-01-02"),
+                   "https://a/2": ("fetch", "ok", 70, "2024-01-02 00:00:01", "2024-01-02"),
+                   "https://a/3": (None, "error", 30, "2024-01-02 00:00:02", "2024-01-02")}

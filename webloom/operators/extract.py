@@ -113,11 +113,15 @@ def choose_rendering(plain: DataFrame, rendered: DataFrame, engine: str = "auto"
     ``auto``: plain, replaced by the rendering when the plain result is thin
     (``flavour='scrape'``) or thin or blocked (``flavour='crawl'``) and a
     successful rendering exists; a failed rendering keeps the plain result.
-    Both inputs are outputs of ``scrape_pages``; the join is on url.
+    Both inputs are outputs of ``scrape_pages``; the join is on url. If both
+    keep ``duration_ms`` and ``fetched_at``, the result has the time that all
+    requested captures took and the time of the chosen one.
     """
+    timed = all(c in df.columns for df in (plain, rendered) for c in ("duration_ms", "fetched_at"))
+    times = ["duration_ms", "fetched_at"] if timed else []
     cols = ["status", "unchanged", "title", "markdown", "markdown_length", "links", "error", "thin",
             "transport_error", "http_status"]
-    r = rendered.select("url", *[F.col(c).alias("r_" + c) for c in cols])
+    r = rendered.select("url", *[F.col(c).alias("r_" + c) for c in cols + times])
     if engine == "browser":
         j = plain.select("url").join(r, "url", "left")
         ok = F.col("r_status") == "scraped"
@@ -128,16 +132,19 @@ def choose_rendering(plain: DataFrame, rendered: DataFrame, engine: str = "auto"
             F.when(ok, F.lit(None).cast("string"))
              .otherwise(F.coalesce(F.col("r_error"), F.lit("no rendering captured"))).alias("error"),
             F.when(ok, F.col("r_thin")).alias("thin"),
-            F.col("r_transport_error").alias("transport_error"), F.col("r_http_status").alias("http_status"))
+            F.col("r_transport_error").alias("transport_error"), F.col("r_http_status").alias("http_status"),
+            *[F.col("r_" + c).alias(c) for c in times])
     if engine == "fetch":
-        return plain.select("url", F.lit("fetch").alias("engine"), *cols)
-    j = plain.select("url", *cols).join(r, "url", "left")
+        return plain.select("url", F.lit("fetch").alias("engine"), *cols, *times)
+    j = plain.select("url", *cols, *times).join(r, "url", "left")
     want = F.coalesce(F.col("thin"), F.lit(False)) & (F.col("status") == "scraped") & ~F.col("unchanged")
     if flavour == "crawl":
         want = want | (F.col("status") == "blocked")
     use = want & (F.col("r_status") == "scraped")
     return j.select("url", F.when(use, "browser").otherwise("fetch").alias("engine"),
-                    *[F.when(use, F.col("r_" + c)).otherwise(F.col(c)).alias(c) for c in cols])
+                    *[F.when(use, F.col("r_" + c)).otherwise(F.col(c)).alias(c) for c in cols],
+                    *([(F.col("duration_ms") + F.when(want, F.coalesce("r_duration_ms", F.lit(0))).otherwise(0)).alias("duration_ms"),
+                       F.when(use, F.col("r_fetched_at")).otherwise(F.col("fetched_at")).alias("fetched_at")] if timed else []))
 
 
 def scrape_log_rows(results: DataFrame, requested_engine: str = "auto", source: str = "scrape",
@@ -150,7 +157,10 @@ def scrape_log_rows(results: DataFrame, requested_engine: str = "auto", source:
     Error texts: ``<url> returned HTTP <n>`` for a status, ``Failed to fetch
     <url>: <message>`` for a transport error, ``Browser scrape failed for
     <url>: <message>`` for a browser-only request whose rendering failed.
+    ``duration_ms`` and ``created_at`` come from results that keep
+    ``duration_ms`` and ``fetched_at``, else they are null.
     """
+    had = set(results.columns)
     ok = (F.col("status") == "scraped") & ~F.col("unchanged")
     failed_engine = F.lit(None).cast("string") if requested_engine == "auto" else F.lit(requested_engine)
     if requested_engine == "browser":
@@ -165,6 +175,8 @@ def scrape_log_rows(results: DataFrame, requested_engine: str = "auto", source:
         *([id_col] if id_col else []), "url", F.lit(source).alias("source"),
         F.when(ok, F.col("engine")).otherwise(failed_engine).alias("engine"),
         F.when(ok, "ok").otherwise("error").alias("status"),
+        (F.col("duration_ms") if "duration_ms" in had else F.lit(None)).cast("int").alias("duration_ms"),
         F.when(ok, F.col("markdown_length")).alias("markdown_length"),
         F.when(ok, F.col("title")).alias("title"),
-        F.when(ok, F.lit(None).cast("string")).otherwise(msg).alias("error"))
+        F.when(ok, F.lit(None).cast("string")).otherwise(msg).alias("error"),
+        (F.col("fetched_at") if "fetched_at" in had else F.lit(None)).cast("timestamp_ntz").alias("created_at"))

@@ -446,8 +446,8 @@ def q_choose_rendering(spark, sf):
 
 @register("k2_scrape_log_rows")
 def q_scrape_log(spark, sf):
-    plain = X.scrape_pages(FX.responses(spark, sf), keep=("page_id",))
-    rendered = X.scrape_pages(FX.rendered_responses(spark, sf))
+    plain = X.scrape_pages(FX.responses(spark, sf), keep=("duration_ms", "fetched_at"))
+    rendered = X.scrape_pages(FX.rendered_responses(spark, sf), keep=("duration_ms", "fetched_at"))
     chosen = X.choose_rendering(plain, rendered, "auto", "scrape")
     return X.scrape_log_rows(chosen, "auto", "scrape")
 
