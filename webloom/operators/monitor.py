@@ -79,11 +79,29 @@ def content_hash(markdown) -> F.Column:
 
 
 def snapshot_state(prev: DataFrame) -> DataFrame:
-    """monitor_pages rows from a previous snapshot (monitor_id, url, markdown, etag, checked_at)."""
+    """monitor_pages rows from a previous snapshot (monitor_id, url, markdown,
+    etag, checked_at; last_modified where it has one)."""
     return prev.select("monitor_id", "url", content_hash("markdown").alias("last_content_hash"),
                        F.col("markdown").alias("last_markdown"), F.col("etag").alias("last_etag"),
-                       F.lit(None).cast("string").alias("last_modified"),
-                       F.col("checked_at").alias("last_checked_at"))
+                       _last_modified(prev), F.col("checked_at").alias("last_checked_at"))
+
+
+def _last_modified(pages: DataFrame) -> Column:
+    has = "last_modified" in pages.columns
+    return (F.col("last_modified") if has else F.lit(None)).cast("string").alias("last_modified")
+
+
+def conditional_requests(urls: DataFrame, state: DataFrame) -> DataFrame:
+    """M6: the validators to send with each (monitor_id, url): its stored
+    etag as If-None-Match and last_modified as If-Modified-Since; null for a
+    page not seen before or stored without them."""
+    stored = state.select("monitor_id", "url", "last_etag", "last_modified")
+
+    def header(c):
+        return F.when(F.col(c) != "", F.col(c))
+
+    return urls.select("monitor_id", "url").join(stored, ["monitor_id", "url"], "left").select(
+        "monitor_id", "url", header("last_etag").alias("if_none_match"), header("last_modified").alias("if_modified_since"))
 
 
 def changed_pages(cur: DataFrame, state: DataFrame) -> DataFrame:
@@ -150,7 +168,7 @@ def upsert_monitor_pages(state: DataFrame, cur: DataFrame) -> DataFrame:
     upd = cur.where(F.col("http_status") == 200).select(
         "monitor_id", "url", content_hash("markdown").alias("last_content_hash"),
         F.col("markdown").alias("last_markdown"), F.col("etag").alias("last_etag"),
-        F.lit(None).cast("string").alias("last_modified"), F.col("checked_at").alias("last_checked_at"))
+        _last_modified(cur), F.col("checked_at").alias("last_checked_at"))
     keep = state.join(upd.select("monitor_id", "url"), ["monitor_id", "url"], "left_anti")
     return keep.unionByName(upd)
 

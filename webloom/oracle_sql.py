@@ -380,13 +380,15 @@ FIXTURE_CTES = {
   FROM (SELECT DISTINCT source FROM documents))""",
     "monitor_prev": """monitor_prev AS (
   SELECT 'mon_' || source AS monitor_id, 'https://' || source || '.example.org/d/' || CAST(doc_id AS VARCHAR) AS url,
-    text AS markdown, '"d' || CAST(doc_id AS VARCHAR) || '"' AS etag, TIMESTAMP '2024-01-29 00:00:00' AS checked_at
+    text AS markdown, '"d' || CAST(doc_id AS VARCHAR) || '"' AS etag,
+    CASE WHEN doc_id % 4 = 0 THEN 'Mon, 29 Jan 2024 00:00:00 GMT' END AS last_modified, TIMESTAMP '2024-01-29 00:00:00' AS checked_at
   FROM documents WHERE doc_id % 11 <> 0)""",
     "monitor_cur": """monitor_cur AS (
   SELECT 'mon_' || source AS monitor_id, 'https://' || source || '.example.org/d/' || CAST(doc_id AS VARCHAR) AS url,
     CASE WHEN doc_id % 13 = 0 THEN 304 ELSE 200 END AS http_status,
     CASE WHEN doc_id % 5 = 0 THEN text || chr(10) || 'Updated line ' || CAST(doc_id AS VARCHAR) ELSE text END AS markdown,
-    '"d' || CAST(doc_id AS VARCHAR) || '"' AS etag, TIMESTAMP '2024-01-30 00:00:00' AS checked_at
+    '"d' || CAST(doc_id AS VARCHAR) || '"' AS etag,
+    CASE WHEN doc_id % 3 = 0 THEN 'Tue, 30 Jan 2024 00:00:00 GMT' END AS last_modified, TIMESTAMP '2024-01-30 00:00:00' AS checked_at
   FROM documents WHERE doc_id % 7 <> 0)""",
     "logs": """logs AS (
   SELECT event_id AS id, CASE WHEN user_id % 2 = 0 THEN 'job_' || CAST(user_id AS VARCHAR) END AS job_id,

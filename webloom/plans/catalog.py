@@ -779,9 +779,9 @@ def q_line_totals(spark, sf):
 
 @register("m10_upsert_monitor_pages", _W("monitor_prev", "monitor_cur") + """,
 upd AS (SELECT monitor_id, url, sha256(markdown) AS last_content_hash, markdown AS last_markdown, etag AS last_etag,
-          NULL::VARCHAR AS last_modified, checked_at AS last_checked_at FROM monitor_cur WHERE http_status = 200),
+          last_modified, checked_at AS last_checked_at FROM monitor_cur WHERE http_status = 200),
 st AS (SELECT monitor_id, url, sha256(markdown) AS last_content_hash, markdown AS last_markdown, etag AS last_etag,
-          NULL::VARCHAR AS last_modified, checked_at AS last_checked_at FROM monitor_prev)
+          last_modified, checked_at AS last_checked_at FROM monitor_prev)
 SELECT * FROM st WHERE NOT EXISTS (SELECT 1 FROM upd WHERE upd.monitor_id = st.monitor_id AND upd.url = st.url)
 UNION ALL SELECT * FROM upd""")
 def q_upsert(spark, sf):
@@ -1289,6 +1289,14 @@ def q_thin(spark, sf):
     return md.select("page_id", is_thin("md").alias("thin"))
 
 
+@register("m6_conditional_requests", _W("monitor_prev", "monitor_cur") + """
+SELECT c.monitor_id, c.url, nullif(p.etag, '') AS if_none_match, nullif(p.last_modified, '') AS if_modified_since
+FROM monitor_cur c LEFT JOIN monitor_prev p ON p.monitor_id = c.monitor_id AND p.url = c.url""")
+def q_conditional(spark, sf):
+    """M6: stored validators of every page that a run fetches."""
+    return M.conditional_requests(FX.monitor_cur(spark, sf), _state(spark, sf))
+
+
 @register("m6_conditional_unchanged", _W("monitor_cur") + """
 SELECT monitor_id, url, http_status = 304 AS unchanged, http_status IN (200, 304) AS counts_as_scraped FROM monitor_cur""")
 def q_unchanged(spark, sf):

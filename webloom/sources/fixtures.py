@@ -186,6 +186,7 @@ def monitor_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
         _doc_url().alias("url"),
         F.col("text").alias("markdown"),
         F.concat(F.lit('"d'), F.col("doc_id").cast("string"), F.lit('"')).alias("etag"),
+        F.when(F.col("doc_id") % 4 == 0, F.lit("Mon, 29 Jan 2024 00:00:00 GMT")).alias("last_modified"),
         _ts("2024-01-29 00:00:00").alias("checked_at"),
     )
 
@@ -202,6 +203,7 @@ def monitor_cur(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("doc_id") % 13 == 0, 304).otherwise(200).alias("http_status"),
         text.alias("markdown"),
         F.concat(F.lit('"d'), F.col("doc_id").cast("string"), F.lit('"')).alias("etag"),
+        F.when(F.col("doc_id") % 3 == 0, F.lit("Tue, 30 Jan 2024 00:00:00 GMT")).alias("last_modified"),
         _ts("2024-01-30 00:00:00").alias("checked_at"),
     )
 
