@@ -1076,7 +1076,7 @@ def q_t4(spark, sf):
     return _drain(S.stream_scrape_stats(src), "t4")
 
 
-_T5_SQL = _W("job_pages") + """,
+_T5_SQL = _W("jobs", "job_pages") + """,
 hb AS (SELECT job_id, scraped_at AS ts, epoch_us(scraped_at) AS us FROM job_pages),
 b AS (SELECT min(us) AS lo, (max(us) - min(us)) // 4 AS step FROM hb),
 sl AS (SELECT job_id, ts, CASE WHEN us < lo + step THEN 1 WHEN us < lo + 2 * step THEN 2
@@ -1093,18 +1093,19 @@ s3b AS (SELECT *, CASE WHEN m3 IS NOT NULL THEN m3 WHEN e3 IS NOT NULL THEN NULL
 s4 AS (SELECT *, CASE WHEN m4 IS NULL AND st3 IS NOT NULL AND st3 + INTERVAL 2 MINUTE < w3 THEN st3 END AS e4 FROM s3b),
 s4b AS (SELECT *, CASE WHEN m4 IS NOT NULL THEN m4 WHEN e4 IS NOT NULL THEN NULL ELSE st3 END AS st4 FROM s4),
 s5 AS (SELECT *, CASE WHEN st4 IS NOT NULL AND st4 + INTERVAL 2 MINUTE < w4 THEN st4 END AS e5 FROM s4b)
-SELECT job_id, e AS last_heartbeat_at FROM s5, LATERAL (SELECT unnest([e2, e3, e4, e5]) AS e) WHERE e IS NOT NULL"""
+SELECT job_id, e AS last_heartbeat_at FROM s5, LATERAL (SELECT unnest([e2, e3, e4, e5]) AS e) WHERE e IS NOT NULL
+  AND job_id IN (SELECT id FROM jobs WHERE status = 'running')"""
 
 
 @register("t5_stream_stale_jobs", _T5_SQL)
 def q_t5(spark, sf):
     """T5: each job's page timestamps as its heartbeat stream, arriving in
-    four event-time slices; a job is reported stale once event time passes
-    its last heartbeat + 2 minutes."""
+    four event-time slices; a running job is reported stale once event time
+    passes its last heartbeat + 2 minutes."""
     hb = FX.job_pages(spark, sf).select("job_id", F.col("scraped_at").alias("ts"))
     path = _stage_slices(hb, "ts", "t5-in")
     src = spark.readStream.schema(hb.schema).option("maxFilesPerTrigger", 4).parquet(path)
-    return _drain(S.stream_stale_jobs(src), "t5").select(
+    return _drain(S.stream_stale_jobs(src, FX.jobs(spark, sf)), "t5").select(
         "job_id", F.col("last_heartbeat_at").cast("timestamp_ntz").alias("last_heartbeat_at"))
 
 

@@ -172,10 +172,13 @@ def _stale_fn(key, pdfs, state: GroupState):
     yield pd.DataFrame([], columns=["job_id", "last_heartbeat_at"])
 
 
-def stream_stale_jobs(heartbeats: DataFrame, watermark: str = "0 seconds") -> DataFrame:
-    """T5: a job is reported stale once event time passes its last
-    heartbeat + 2 minutes without a newer one (event-time timeout)."""
+def stream_stale_jobs(heartbeats: DataFrame, jobs: DataFrame, watermark: str = "0 seconds") -> DataFrame:
+    """T5: a running job is reported stale once event time passes its last
+    heartbeat + 2 minutes without a newer one (event-time timeout). ``jobs``
+    (id, status) is read anew for every micro-batch; heartbeats of jobs that
+    are not running only move event time on."""
     hb = heartbeats.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+    hb = hb.join(jobs.where(F.col("status") == "running").select(F.col("id").alias("job_id")), "job_id", "left_semi")
     return hb.groupBy("job_id").applyInPandasWithState(
         _stale_fn, STALE_OUT, STALE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
