@@ -33,8 +33,8 @@ from .textvec import text_buffer
 # Fixed value: the pre-tokenizer pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-MAX_CACHED = 400_000        # distinct fragments kept per Python worker
-MAX_CACHED_BYTES = 24 << 20
+MAX_CACHED = 150_000        # distinct fragments kept per Python worker
+MAX_CACHED_BYTES = 12 << 20
 PIECES = 200_000            # fragments handled at a time
 
 
