@@ -41,4 +41,13 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     cuts the lineage, and a lost executor costs no recomputation."""
     path = fresh_dir(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def release(*staged: DataFrame) -> None:
+    """Delete the files of staged tables that nothing reads any more."""
+    for df in staged:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

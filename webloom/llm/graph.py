@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import stage
+from .base import release, stage
 
 MAX_ROUNDS = 60
 
@@ -24,16 +24,17 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stage(_directed(large), "large")
+        large = stage(_directed(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         nxt = stage(_directed(small.select(F.col("v").alias("u"), F.col("m").alias("v"))
                               .unionByName(least.select("u", F.col("m").alias("v")))), "small")
+        release(large)
         if nxt.exceptAll(now).isEmpty() and now.exceptAll(nxt).isEmpty():
             roots = nxt.select(F.col("v").alias("node")).distinct()
             return nxt.select(F.col("u").alias("node"), F.col("v").alias("component")) \
                 .unionByName(roots.withColumn("component", F.col("node")))
+        release(now)
         now = nxt
     raise RuntimeError("components did not settle")
 

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import configure
-from .base import add_columns, stage
+from .base import add_columns, release, stage
 from .graph import components
 from .textvec import lower_ascii, mix, ngram_hashes, powers, slices, text_buffer, word_hashes, words
 
@@ -242,6 +242,7 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     named = stage(members.select("key", "rep").join(label, F.col("rep") == F.col("node"), "left")
                   .select("key", "rep", F.coalesce("component", "rep").alias("component")), "named")
     more = stage(_rest(named, sets, similarity), "more")
+    release(members, sets, named)
     if not more.isEmpty():
         label = components(edges.unionByName(more))
     final = classes.select("k1", "k2", "n", "rep").join(label, F.col("rep") == F.col("node"), "left") \

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import configure
-from .base import add_columns, stage
+from .base import add_columns, release, stage
 from .textvec import BASE, mix, slices, text_buffer, word_hashes, words
 
 HOT = 20_000            # different phrases of one trigger that a task brings together
@@ -350,6 +350,7 @@ def remove_repeats(docs: DataFrame, scheme: Scheme, finish: Callable, schema: st
     again = found.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
     keys = found.join(again, "key").groupBy("a", "b").agg(F.collect_set("key").alias("keys"))
     parsed = stage(_parsed(src, keys, scheme, finish, result), "parsed")
+    release(found)
     texts = parsed.where("z IS NOT NULL")
 
     every = texts.select("a", "b", F.explode(F.arrays_zip("key", "content", "first", "n")).alias("p")) \
