@@ -206,6 +206,29 @@ def test_near_duplicates_odd(odd, none):
     assert neardup.duplicates(none).count() == 0 and neardup.deduplicated(none).count() == 0
 
 
+def test_near_duplicates_rows_told_apart(spark):
+    """Null ids, ids with several texts, and repeated rows: exactly one row of each component stays."""
+    def text(k, changed=()):
+        return " ".join(f"w{k}x{i}" if i not in changed else "other" for i in range(60))
+
+    rows_ = [(None, text(1), "a"), (7, text(1), "b"), (None, text(2), "c"), (None, None, "d"), (None, "", "e"), (None, None, "d"),
+             (3, text(3), "f"), (5, text(3), "g"), (5, text(4), "h"), (9, text(5), "i"), (9, text(5), "i"), (9, text(5), "h"),
+             (None, text(6), "j"), (None, text(6), "j"), (None, text(6, [30]), "k"), (11, text(6, [31]), "l"),
+             (2, text(7), "m"), (2, text(7, [30]), "m"), (None, text(8), "n"), (None, text(8, [30]), "n"), (2, None, "o")]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, tag string").repartition(5)
+    got = neardup.deduplicated(df).collect()
+    fixed = [(r.doc_id, r.text, r.tag) for r in got if r.tag not in "mn"]
+    assert Counter(fixed) == Counter([(7, text(1), "b"), (None, text(2), "c"), (None, None, "d"), (None, None, "d"), (None, "", "e"),
+                                      (3, text(3), "f"), (5, text(4), "h"), (9, text(5), "h"), (11, text(6, [31]), "l"), (2, None, "o")])
+    assert sorted(r.tag for r in got if r.tag in "mn") == ["m", "n"]       # near copies under one id, and without any
+    judged = neardup.duplicates(df, shingle=5)
+    assert judged.count() == len(rows_) and judged.where("kept").count() == len(got)
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in judged.where("n_shingles > 0").collect()) == Counter([
+        (None, 7, False), (7, 7, True), (None, None, True), (3, 3, True), (5, 3, False), (5, 5, True),
+        (9, 9, True), (9, 9, False), (9, 9, False), (None, 11, False), (None, 11, False), (None, 11, False), (11, 11, True),
+        (2, 2, True), (2, 2, False), (None, None, True), (None, None, False)])
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100)], "u long, v long")
     got = {r.node: r.component for r in graph.components(edges).collect()}

@@ -9,7 +9,7 @@ of ``similarity`` percent or more are linked, and components follow.
    ``ROWS`` MinHash samples, and the odd sketch: every sample toggles one
    bit of a bitmap, so the bits set in the XOR of two sketches count the
    samples in which two documents differ, precisely so for similar ones.
-2. Documents with equal sets are one class; its smallest id stands for it.
+2. Rows with equal sets are one class; its first row stands for it.
 3. Within a band bucket every class is compared with three of them,
    the smallest ones in the fixed ``ORDERS`` (stars, linear in the bucket's
    size). Sizes and sketches must allow the similarity; then the full sets
@@ -24,9 +24,14 @@ of ``similarity`` percent or more are linked, and components follow.
 At 80 % a pair shares no bucket with probability (1 - 0.8**5)**40 = 1e-7.
 Sketch estimates below similarity by six standard errors are cut.
 
-Documents are identified by id: rows repeated under one id are one
-document. Rows without an id belong to the class of equal sets only. Null
-and empty texts have the empty set, are linked with nothing and stay.
+Rows are told apart by themselves, not by id: a row is numbered when its
+sketch is written, a class when the classes are, and texts are found again
+by a digest of id and whole text. The first row of a component (smallest id,
+rows without an id last, then by that digest) is the one kept, and its id
+names the component: null where no row has one. So rows repeated under one
+id with other texts are judged by their texts, and of equal rows one is
+kept. Null and empty texts have the empty set, are linked with nothing and
+stay.
 """
 
 from __future__ import annotations
@@ -48,6 +53,7 @@ ROWS, BANDS = 5, 40
 SAMPLES = ROWS * BANDS
 SKETCH_BITS = 1024
 BLOCK = 256
+DEALS = 16              # parts of a large component's members
 ORDERS = (0, 0x2AAAAAAAAAAAAAAA, 0x1999999999999999)     # XOR masks of ids: in each order the smallest is a centre
 
 _rng = np.random.default_rng(20240607)
@@ -102,8 +108,14 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off), pa.array(flat.view(np.int64)))
 
 
+def _digest(doc_id: str, text: str) -> Column:
+    """128 bits of a row's id and whole text."""
+    own, body = F.col(doc_id).cast("long").cast("string"), F.col(text).cast("string")
+    return F.unhex(F.md5(F.concat(F.coalesce(own, F.lit("")), F.lit(":"), F.coalesce(body, F.lit(""))).cast("binary")))
+
+
 def sketched(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """(id, n, k1, k2, bands, odd) of every row; (k1, k2) digests the set."""
+    """(id, key, n, k1, k2, bands, odd) of every row; key digests id and text, (k1, k2) the set."""
     def fn(col):
         sets = shingle_sets(col, shingle)
         k1 = np.array([mix(g).sum(dtype=np.uint64) for g in sets], np.uint64)
@@ -112,8 +124,8 @@ def sketched(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame
         return [pa.array([len(g) for g in sets], pa.int64()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)),
                 _lists([p[0] for p in parts]), _lists([p[1] for p in parts])]
 
-    src = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    return add_columns(src, "n long, k1 long, k2 long, bands array<long>, odd array<long>", fn, keep=["id"])
+    src = docs.select(F.col(doc_id).cast("long").alias("id"), _digest(doc_id, text).alias("key"), F.col(text).alias("text"))
+    return add_columns(src, "n long, k1 long, k2 long, bands array<long>, odd array<long>", fn, keep=["id", "key"])
 
 
 def _differing(similarity: int) -> int:
@@ -206,17 +218,16 @@ def _rest(named: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
-def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 2,
-               similarity: int = 80) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id (the
-    smallest id reachable), kept (its own component's smallest id)."""
+def _judged(docs: DataFrame, doc_id: str, text: str, shingle: int, similarity: int) -> DataFrame:
+    """(id, key, n, component_id, kept) of every row."""
     spark = docs.sparkSession
     configure(spark)
-    drawn = stage(sketched(docs, doc_id, text, shingle), "sketches")
+    drawn = stage(sketched(docs, doc_id, text, shingle).withColumn("row", F.monotonically_increasing_id()), "sketches")
     some = drawn.where("n > 0")
-    classes = stage(some.where("id IS NOT NULL").groupBy("k1", "k2", "n").agg(
-        F.min("id").alias("rep"), F.min_by(F.struct("bands", "odd"), "id").alias("x"))
-        .select("rep", "k1", "k2", "n", "x.bands", "x.odd"), "classes")
+    first = F.struct(F.col("id").isNull().alias("last"), "id", "key", "row")
+    classes = stage(some.withColumn("first", first).groupBy("k1", "k2", "n").agg(
+        F.min("first").alias("first"), F.min_by(F.struct("bands", "odd"), "first").alias("x"))
+        .select("first", "k1", "k2", "n", "x.bands", "x.odd").withColumn("rep", F.monotonically_increasing_id()), "classes")
     buckets = classes.select("rep", F.explode("bands").alias("key"))
     turned = [F.col("rep").bitwiseXOR(F.lit(o)) for o in ORDERS]       # undone by the same operation
     centres = buckets.groupBy("key").agg(*[F.min(x).alias(f"c{i}") for i, x in enumerate(turned)],
@@ -225,12 +236,12 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     members = stage(buckets.join(centres, "key"), "members")
 
     # full sets of the classes that have company
-    wanted = members.select(F.col("rep").alias("id")).distinct()
-    src = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")) \
-        .join(wanted.hint("shuffle_merge"), "id", "left_semi")      # alike at every size
+    wanted = classes.join(members.select("rep").distinct(), "rep", "left_semi").select("first.key", "rep", "n", "bands", "odd")
+    src = docs.select(_digest(doc_id, text).alias("key"), F.col(text).alias("text")) \
+        .join(wanted.select("key").hint("shuffle_merge"), "key", "left_semi")      # alike at every size
     spelled = add_columns(src, "s binary", lambda col: [pa.array([g.tobytes() for g in shingle_sets(col, shingle)], pa.binary())],
-                          keep=["id"]).dropDuplicates(["id"])
-    sets = stage(classes.join(spelled, F.col("rep") == F.col("id")).select("rep", "n", "bands", "odd", "s"), "sets")
+                          keep=["key"]).dropDuplicates(["key"])
+    sets = stage(wanted.join(spelled, "key").select("rep", "n", "bands", "odd", "s"), "sets")
 
     info = sets.select("rep", "n", "odd")
     star = members.select(F.col("rep").alias("u"), F.explode(F.array_distinct("centres")).alias("v")).where("u <> v") \
@@ -245,19 +256,42 @@ def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     release(members, sets, named)
     if not more.isEmpty():
         label = components(edges.unionByName(more))
-    final = classes.select("k1", "k2", "n", "rep").join(label, F.col("rep") == F.col("node"), "left") \
-        .select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
-    linked = some.select("id", "n", "k1", "k2").join(final, ["k1", "k2", "n"], "left") \
-        .select("id", "n", F.coalesce("component", "id").alias("component"))
-    alone = drawn.where("n = 0").select("id", "n", F.col("id").alias("component"))
-    return linked.unionByName(alone).select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
-        F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+    # the first row of every component, dealt out for large ones
+    linked = label.join(classes.select("rep", "first"), F.col("node") == F.col("rep")).select("node", "component", "first")
+    top = linked.groupBy("component").agg(F.min("first").alias("top")) \
+        .withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    led = label.withColumn("deal", F.pmod(F.xxhash64("node"), F.lit(DEALS)).cast("int")).join(top, ["component", "deal"]) \
+        .select("node", "top")
+    final = classes.join(led, F.col("rep") == F.col("node"), "left") \
+        .select("k1", "k2", "n", F.coalesce("top", "first").alias("top"))
+    judged = some.select("id", "key", "n", "k1", "k2", "row").join(final, ["k1", "k2", "n"]) \
+        .select("id", "key", "n", F.col("top.id").alias("component_id"), (F.col("row") == F.col("top.row")).alias("kept"))
+    alone = drawn.where("n = 0").select("id", "key", "n", F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    return judged.unionByName(alone)
+
+
+def duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 2,
+               similarity: int = 80) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id (the
+    smallest id reachable), kept (the one row that stands for its component)."""
+    return _judged(docs, doc_id, text, shingle, similarity) \
+        .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5,
                  similarity: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose document stands for its component."""
-    gone = duplicates(docs, doc_id, text, shingle, similarity).where(~F.col("kept")) \
-        .select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(stage(gone, "gone"), F.col(doc_id).cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    """The rows of ``docs`` that stand for their component. Of rows with equal
+    id and text that differ elsewhere, the first by their JSON."""
+    judged = _judged(docs, doc_id, text, shingle, similarity).where("n > 0")
+    marked = stage(judged.groupBy(F.col("key").alias("__key")).agg(F.max("kept").alias("__kept"), F.count("*").alias("rows"))
+                   .where("NOT __kept OR rows > 1").select("__key", "__kept"), "gone")
+    keyed = docs.withColumn("__key", _digest(doc_id, text))
+    left = keyed.join(marked, "__key", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    again = marked.where("__kept")
+    if again.isEmpty():
+        return left
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = keyed.join(again, "__key", "left_semi").select("__key", row.alias("row")) \
+        .groupBy("__key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return left.unionByName(one.select("row.*"))
