@@ -143,6 +143,39 @@ def test_pseudonyms_over_documents(spark, local, odd, none):
     assert pii.pseudonymised(none).count() == 0
 
 
+def brute_values(text, key):
+    """Validates every substring that its kind's pattern allows, from the left, longest first."""
+    spans, at = [], 0
+    while at < len(text):
+        end = next(((k, j) for k, rx in pii.PATTERNS.items() for j in range(len(text), at, -1)
+                    if pii.ENDS[k].match(text, j) and rx.fullmatch(text, at, j)
+                    and pii.pseudonym(k, text[at:j], key) is not None), None)
+        if end:
+            spans.append((end[0], at, end[1]))
+        at = end[1] if end else at + 1
+    return spans
+
+
+def test_pseudonyms_beside_other_digits():
+    key, card = b"k", "4111 1111 1111 1111"
+    cases = [(f"{card} 123", "card", card), ("4111111111111111 12/26", "card", "4111111111111111"), (f"2024 {card}", "card", card),
+             ("no 7 4111111111111111", "card", "4111111111111111"), ("AT611904300234573201 BIC", "iban", "AT611904300234573201"),
+             ("at 2024-01-01T10:00:00Z", "date", "2024-01-01"), (f"7 {card} 99 x", "card", card)]
+    for text, kind, value in cases:
+        new, spans = pii.pseudonymise(text, key)
+        a = text.index(value)
+        assert spans == [(kind, a, a + len(value))] and value not in new, text
+        assert pii.restored(new, ",".join(f"{k}:{a}:{b}" for k, a, b in spans), key) == text
+    rng = np.random.default_rng(3)
+    parts = [card, "4111111111111111", "123", "12/26", "2024", "7", "2024-01-01", "2024-01-01T10:00:00Z", "31.12.1999", "AT611904300234573201",
+             "GB82 WEST 1234 5698 7654 32", "BIC", "667-01-0001", "+1 (212) 555-0199", "212-555-0199", "10.0.0.255", "a@ex.org", "x", "2024-13-01"]
+    for _ in range(300):
+        text = "".join(parts[int(k)] + str(rng.choice([" ", "-", ", ", "."])) for k in rng.integers(0, len(parts), 4))
+        new, spans = pii.pseudonymise(text, key)
+        assert spans == brute_values(text, key), text
+        assert pii.restored(new, ",".join(f"{k}:{a}:{b}" for k, a, b in spans), key) == text
+
+
 # 4 near-duplicates --------------------------------------------------------
 
 def brute_components(texts, n, share):

@@ -6,7 +6,12 @@ its kind and format, permuted there by a keyed Feistel network, and written
 back in its own format. So a pseudonym is again a valid value with the same
 separators, equal values get equal pseudonyms in all documents (however
 they are written), different values different ones, and the key undoes it.
-What fails validation stays as it is.
+Where a match fails validation its shorter beginnings are tried, the longest
+first, as far as the pattern lets a value end there; then the search goes on
+one character later. So a valid value is found next to other digits too
+("2024 4111 1111 1111 1111 123"). What no candidate covers stays as it is.
+A pseudonym may be valid together with its neighbours: ``restored`` undoes
+a text by its spans.
 
 Kinds, by precedence where matches overlap at one start: email (its local
 part, character class by character class), iban, card (Luhn), date, ssn,
@@ -35,11 +40,13 @@ PATTERNS = {
     "email": re.compile(r"(?<![\w.+%-])([A-Za-z0-9][A-Za-z0-9._%+-]{0,63})@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![\w-])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "card": re.compile(r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)"),
-    "date": re.compile(r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\w/-])"),
+    "date": re.compile(r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?!(?!T\d\d:?\d\d)[\w/-])"),
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     "phone": re.compile(r"(?<![\w.])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)"),
     "ip": re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w.]*\d)"),
 }
+# where a value may end: the closing look-ahead of its pattern
+ENDS = {kind: re.compile(rx.pattern[rx.pattern.index("(?!", 5):]) for kind, rx in PATTERNS.items()}
 FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 DAYS = datetime.date(2100, 1, 1).toordinal() - FIRST_DAY
 
@@ -169,25 +176,51 @@ def pseudonym(kind: str, value: str, key: bytes, back: bool = False) -> str | No
     return ".".join(map(str, Feistel(key, "ip", 2 ** 32).permute(x, back).to_bytes(4, "big")))
 
 
+def _found(kind: str, text: str, at: int, key: bytes, back: bool) -> tuple[int, int, str] | None:
+    """(start, end, pseudonym) of the first valid value from ``at`` on, the
+    longest at its start."""
+    rx, ends = PATTERNS[kind], ENDS[kind]
+    while m := rx.search(text, at):
+        start = m.start()
+        for end in range(m.end(), start, -1):
+            if end == m.end() or (ends.match(text, end) and rx.fullmatch(text, start, end)):
+                new = pseudonym(kind, text[start:end], key, back)
+                if new is not None:
+                    return start, end, new
+        at = start + 1
+    return None
+
+
 def pseudonymise(text: str | None, key: bytes, back: bool = False) -> tuple[str | None, list[tuple[str, int, int]]]:
     """(text with pseudonyms, [(kind, start, end)] in the given text)."""
     if not text or not re.search(r"[0-9@]", text):
         return text, []
-    found = [(m.start(), rank, kind, m) for rank, (kind, rx) in enumerate(PATTERNS.items())
-             if kind != "email" or "@" in text for m in rx.finditer(text)]
+    ahead = {kind: _found(kind, text, 0, key, back) for kind in PATTERNS if kind != "email" or "@" in text}
     out, spans, at = [], [], 0
-    for start, _, kind, m in sorted(found, key=lambda f: f[:2]):
-        if start < at:
-            continue
-        new = pseudonym(kind, m.group(), key, back)
-        if new is None:
-            continue
+    while ahead := {k: f for k, f in ahead.items() if f}:
+        kind = min(ahead, key=lambda k: ahead[k][0])          # of equal starts the first kind
+        start, end, new = ahead[kind]
         out += [text[at:start], new]
-        spans.append((kind, start, m.end()))
-        at = m.end()
+        spans.append((kind, start, end))
+        at = end
+        ahead = {k: f if f[0] >= at else _found(k, text, at, key, back) for k, f in ahead.items()}
     return "".join(out) + text[at:], spans
 
 
+def restored(text: str | None, spans: str, key: bytes) -> str | None:
+    """The input of a text with pseudonyms and its ``pii_spans``. Only an IP
+    address may differ from its pseudonym in length."""
+    out, at, shift = [], 0, 0
+    for kind, a, b in (s.split(":") for s in spans.split(",") if s):
+        start, end = int(a) + shift, int(b) + shift
+        if kind == "ip":
+            end = PATTERNS["ip"].search(text, start).end()
+        old = pseudonym(kind, text[start:end], key, back=True)
+        out += [text[at:start], old]
+        at, shift = end, end - int(b)
+    return "".join(out) + text[at:] if out else text
+
+
 def pseudonymised(docs: DataFrame, key: bytes = DEMO_KEY, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Replaces ``text``; adds ``n_pii long`` and ``pii_spans string``
     (kind:start:end in code points of the input, comma-joined). Other
