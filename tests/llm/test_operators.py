@@ -69,6 +69,20 @@ def test_language_odd(odd, none):
     assert {r.lang_pred for r in langid.classify(odd, {}).collect()} == {"und"}
 
 
+def test_language_of_mixed_and_repetitive_texts(spark):
+    """80 % German words, some repeated, and an English passage: every block counts."""
+    rows_ = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text rlike '[a-z]'")
+    model = langid.Model(langid.fit(rows_.where(~langid.held_out())))
+    held = rows_.where(langid.held_out()).orderBy("doc_id").collect()
+    de, en = ([langid.WORD.findall(r.text) for r in held if r.lang == k] for k in ("de", "en"))
+    mixed = [" ".join((g * 999)[:4 * len(e)] + e) for g, e in zip(de, en)]
+    several = [" ".join((g * 9999)[:3200] + (en[(i + 1) % len(en)] + e + en[(i + 2) % len(en)])[:800])
+               for i, (g, e) in enumerate(zip(de, en))]
+    for texts in (mixed, several):
+        got = [model.predict(t)[0] for t in texts]
+        assert got.count("de") >= 0.9 * len(got), Counter(got)
+
+
 # 2 decontamination --------------------------------------------------------
 
 def brute_overlap(text, items):

@@ -4,10 +4,9 @@ Every learned language has a zstandard raw-content dictionary made of
 training text. A text is cut into blocks of ``BLOCK`` bytes (short blocks
 draw on the dictionary rather than on their own past); the language whose
 dictionary gives the fewest compressed bytes over all blocks wins. What is
-compressed is each distinct word of the whole text once, lower-cased and
-stripped of digits and punctuation: repeats would only be matched against
-themselves. Ties go
-to the language with more training documents, then to the smaller name.
+compressed are all words of the text in their order, lower-cased and
+stripped of digits and punctuation; no block knows the others. Ties go to
+the language with more training documents, then to the smaller name.
 The margin is the share of bytes saved against the runner-up; ``accepted``
 is false where it is below ``margin`` (a narrow decision) and for ``und``.
 
@@ -89,7 +88,7 @@ class Model:
         """(language, score, margin)."""
         if not text or not self.names or not any(c.isalpha() for c in text):
             return "und", 0.0, 0.0
-        size = self.sizes(" ".join(dict.fromkeys(WORD.findall(text.lower()))).encode())
+        size = self.sizes(" ".join(WORD.findall(text.lower())).encode())
         best = min(range(len(size)), key=size.__getitem__)
         score = 1.0 / sum(math.exp(-NATS_PER_BYTE * (s - size[best])) for s in size)
         rest = min((s for i, s in enumerate(size) if i != best), default=None)
