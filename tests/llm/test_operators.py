@@ -320,6 +320,21 @@ def repeat_texts(seed):
     return texts + [(i, t) for i, t, *_ in rows() if t != LONG] + [(50, "ab " * 300), (51, "ab " * 299 + "c"), (50, "ab " * 300)]
 
 
+def test_hot_windows_travel_without_text(spark, monkeypatch):
+    """One passage between different neighbours: no row that tasks gather by a hot trigger holds text."""
+    monkeypatch.setattr(repeats, "HOT", 5)
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts = [(i, f"{' '.join(f'a{i}x{k}' for k in range(40))} {passage} {' '.join(f'z{i}x{k}' for k in range(40))}") for i in range(40)]
+    gathered = []
+    ordered = repeats._ordered
+    monkeypatch.setattr(repeats, "_ordered", lambda spelled, *rest: gathered.append(spelled) or ordered(spelled, *rest))
+    got = substring.without_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert key(got) == key(words_row(*r) for r in brute_repeats(texts, 35, str.split))
+    assert {r.n_removed for r in got} == {60}
+    most = gathered[0].groupBy(gathered[0].columns[0]).count().agg({"count": "max"}).head()[0]
+    assert most is None or most <= 5
+
+
 @pytest.mark.parametrize("hot", [20_000, 1])
 def test_byte_repeats_brute(spark, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT", hot)

@@ -13,8 +13,9 @@ windows anywhere:
 * Dictionary. The others are counted by (trigger, content); what repeats
   as a whole is repeated in all its windows, and occurs once from here on.
 * Order. Dictionary phrases are brought together by trigger and their
-  windows sorted by content; equal neighbours are repeats. A trigger with
-  more than ``HOT`` different phrases is dealt out window by window.
+  windows sorted by content; equal neighbours are repeats. Of a trigger with
+  more than ``HOT`` different phrases only hashes of windows travel: they
+  are counted by aggregation and what repeats is joined back to the phrases.
 * The verdicts go back to the phrases' occurrences and their texts.
 
 Texts travel zstandard-compressed, once to be parsed; from then on only
@@ -39,6 +40,7 @@ from .base import add_columns, release, stage
 from .textvec import BASE, mix, slices, text_buffer, word_hashes, words
 
 HOT = 20_000            # different phrases of one trigger that a task brings together
+DEALS = 16              # parts of a hot window's places
 GATHER = 5_000         # phrases a task orders at a time, and those of their last trigger
 PIECE = 1 << 19         # windows handled at a time (below the 2**20 positions a trigger value can tell)
 
@@ -219,10 +221,9 @@ def _columns(results: list, result: T.StructType) -> list[pa.Array]:
 
 
 def _spelled(texts: DataFrame, wanted: DataFrame, scheme: Scheme) -> DataFrame:
-    """Rows (grp, key, content, c, off, n, body) of the wanted dictionary
-    phrases with their own text: one a phrase, or one a window for hot
-    triggers, whose windows are brought together by their content."""
-    out = T.StructType.fromDDL("grp long, key long, content long, c long, off int, n int, body binary")
+    """Rows (key, content, c, n, body) of the wanted dictionary phrases with
+    their own text."""
+    out = T.StructType.fromDDL("key long, content long, c long, n int, body binary")
     joined = texts.join(wanted, ["a", "b"]).select("z", "wanted")
 
     def run(batches):
@@ -236,20 +237,45 @@ def _spelled(texts: DataFrame, wanted: DataFrame, scheme: Scheme) -> DataFrame:
                     stop = start + n + scheme.size - 1
                     return raw[start:stop] if parts is None else b" ".join(parts[start:stop])
 
-                rows = [(w["key"], w["key"], w["content"], w["c"], 0, w["n"], body(w["first"], w["n"]))
-                        for w in asked if not w["hot"]]
-                hot = [(w, j, body(w["first"] + j, 1)) for w in asked if w["hot"] for j in range(w["n"])]
-                if hot:
-                    same, _ = _window_hashes(pa.array([x for _, _, x in hot], pa.large_binary()), scheme)
-                    rows += [(g, w["key"], w["content"], w["c"], j, 1, x)
-                             for g, (w, j, x) in zip(_signed(mix(same)).tolist(), hot)]
-                kinds = (pa.int64(),) * 4 + (pa.int32(),) * 2 + (pa.binary(),)
+                rows = [(w["key"], w["content"], w["c"], w["n"], body(w["first"], w["n"])) for w in asked]
+                kinds = (pa.int64(),) * 3 + (pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)],
                                                  names=out.fieldNames())
 
     return joined.mapInArrow(run, out)
 
 
+def _counted(texts: DataFrame, wanted: DataFrame, scheme: Scheme) -> DataFrame:
+    """As ``_ordered``, window by window, of the phrases of hot triggers: the
+    hashes of their windows are counted without their text."""
+    out = T.StructType.fromDDL("key long, content long, c long, off int, same long")
+    joined = texts.join(wanted, ["a", "b"]).select("z", "wanted")
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = _buffer(batch.column(0))
+            for i, asked in enumerate(batch.column(1).to_pylist()):
+                raw = data[offsets[i]: offsets[i + 1]]
+                h, _ = units(raw, np.array([0, len(raw)], np.int64), scheme)
+                asked.sort(key=lambda w: w["first"])
+                while asked:
+                    lo = asked[0]["first"]
+                    some = [w for w in asked if w["first"] < lo + PIECE]
+                    asked = asked[len(some):]
+                    n = np.array([w["n"] for w in some], np.int64)
+                    off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    first, *own = (np.repeat(np.array([w[k] for w in some], np.int64), n) for k in ("first", "key", "content", "c"))
+                    every = _signed(Rolling(h[lo: some[-1]["first"] + some[-1]["n"] + scheme.size - 1]).all(scheme.size))
+                    cols = [pa.array(x) for x in own] + [pa.array(off, pa.int32()), pa.array(every[first + off - lo])]
+                    yield pa.RecordBatch.from_arrays(cols, names=out.fieldNames())
+
+    windows = stage(joined.mapInArrow(run, out), "windows")
+    again = windows.groupBy("key", "same").agg(F.sum("c").alias("n")).where("n > 1").select("key", "same") \
+        .withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    return windows.where("c = 1").withColumn("deal", F.pmod(F.xxhash64("content", "off"), F.lit(DEALS)).cast("int")) \
+        .join(again, ["key", "same", "deal"]).select("key", "content", "off", F.lit(1).alias("n"), F.unhex(F.lit("80")).alias("marks"))
+
+
 def _window_hashes(bodies: pa.Array, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all windows of the bodies, windows per body)."""
     h, counts = units(*text_buffer(bodies.cast(pa.large_binary()).view(pa.large_string())), scheme)
@@ -264,14 +290,14 @@ def _ordered(spelled: DataFrame, scheme: Scheme, locate: Callable | None) -> Dat
     ``locate`` (bodies, flags of their windows) may find the occurrences anew."""
     out = T.StructType.fromDDL("key long, content long, off int, n int, marks binary")
     parts = int(spelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = spelled.repartition(parts, "grp").sortWithinPartitions("grp")
+    rows = spelled.repartition(parts, "key").sortWithinPartitions("key")
 
     def verdicts(t: pa.Table) -> pa.RecordBatch:
         bodies = t["body"].combine_chunks()
         hashes, n = _window_hashes(bodies, scheme)
         at = np.cumsum(n) - n
         which = np.repeat(np.arange(len(n)), n)
-        hashes = mix(hashes + t["grp"].to_numpy().view(np.uint64)[which] * _BYTES[3])
+        hashes = mix(hashes + t["key"].to_numpy().view(np.uint64)[which] * _BYTES[3])
         _, group = np.unique(hashes, return_inverse=True)
         once = t["c"].to_numpy() == 1
         many = np.bincount(group, weights=t["c"].to_numpy()[which])[group] >= 2
@@ -279,7 +305,8 @@ def _ordered(spelled: DataFrame, scheme: Scheme, locate: Callable | None) -> Dat
         flags = [many[at[i]: at[i] + n[i]] for i in some.tolist()]
         if locate is not None:
             flags = locate([bodies[i].as_py() for i in some.tolist()], flags)
-        t = t.select(["key", "content", "off", "n"]).take(pa.array(some))
+        t = t.select(["key", "content", "n"]).take(pa.array(some))
+        t = t.add_column(2, "off", pa.array(np.zeros(len(some), np.int32)))
         marks = pa.array([np.packbits(f).tobytes() for f in flags], pa.binary())
         return pa.RecordBatch.from_arrays([c.combine_chunks() for c in t.columns] + [marks], names=out.fieldNames())
 
@@ -292,8 +319,8 @@ def _ordered(spelled: DataFrame, scheme: Scheme, locate: Callable | None) -> Dat
             if size < GATHER:
                 continue
             t = pa.Table.from_batches(held)
-            grp = t["grp"].to_numpy()
-            cut = int(np.flatnonzero(grp == grp[-1])[0])      # the last group may go on
+            key = t["key"].to_numpy()
+            cut = int(np.flatnonzero(key == key[-1])[0])      # the last trigger may go on
             if cut:
                 yield verdicts(t.slice(0, cut))
             held = t.slice(cut).to_batches()
@@ -357,12 +384,18 @@ def remove_repeats(docs: DataFrame, scheme: Scheme, finish: Callable, schema: st
         .select("a", "b", "p.*")
     entries = stage(every.groupBy("key", "content").agg(F.count("*").alias("c"),
                                                         F.min(F.struct("a", "b", "first", "n")).alias("at")), "entries")
-    wide = entries.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
-    wanted = entries.join(wide, "key").select("at.a", "at.b", F.struct(
-        "key", "content", "c", F.col("at.first").alias("first"), F.col("at.n").alias("n"),
-        (F.col("k") > HOT).alias("hot")).alias("w")).groupBy("a", "b").agg(F.collect_list("w").alias("wanted"))
+    wide = stage(entries.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "wide")
+
+    def wanted(some: DataFrame) -> DataFrame:
+        return entries.join(some, "key").select("at.a", "at.b", F.struct(
+            "key", "content", "c", F.col("at.first").alias("first"), F.col("at.n").alias("n")).alias("w")) \
+            .groupBy("a", "b").agg(F.collect_list("w").alias("wanted"))
+
     seen = texts.select("a", "b", "z").dropDuplicates(["a", "b"])
-    single = _ordered(_spelled(seen, wanted, scheme), scheme, locate)
+    single = _ordered(_spelled(seen, wanted(wide.where(F.col("k") <= HOT)), scheme), scheme, locate)
+    hot = wide.where(F.col("k") > HOT)
+    if not hot.isEmpty():
+        single = single.unionByName(_counted(seen, wanted(hot), scheme))
     whole = entries.where("c > 1").select("key", "content", F.lit(0).alias("off"), F.lit(0).alias("k"),
                                           F.lit(None).cast("binary").alias("marks"))
     verdict = whole.unionByName(single.withColumnRenamed("n", "k"))
