@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, langid, neardup, pii, secrets, substring, suffix, toxicity
+from . import bpe, decontaminate, filter_audit, fingerprint, langid, neardup, pii, secrets, substring, suffix, toxicity
 from .base import documents
 
 
@@ -78,6 +78,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_likeness(documents(spark, sf_dir))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each language, in every order."""
+    return filter_audit.audit(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def _op7_sql() -> str:
     """The same spans by splitting every text at the matches of every rule."""
     parts = []
@@ -117,6 +122,7 @@ QUERIES = {
     "op8_repeated_phrases": op8_repeated_phrases,
     "op9_bpe_forced_boundary": op9_bpe_forced_boundary,
     "op10_fingerprints": op10_fingerprints,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 _OP4_SQL = r"""
@@ -133,7 +139,36 @@ _OP4_SQL = r"""
     SELECT d.doc_id, coalesce(n.c, 0)::BIGINT AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
     FROM d JOIN (SELECT node, min(reach) AS c FROM r GROUP BY node) m ON m.node = d.doc_id LEFT JOIN n USING (doc_id)"""
 
+_OP13_SQL = r"""
+    WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+                      regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    least AS (SELECT t, min(doc_id) AS least FROM w GROUP BY t),
+    known AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+              FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+    f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, map {
+              'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w),
+              'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+              'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(least < doc_id, false)} AS bad
+          FROM w LEFT JOIN least USING (t) LEFT JOIN known USING (doc_id)),
+    l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS k),
+    o AS (SELECT a.k || b.k || c.k || d.k || e.k AS filter_order FROM l a, l b, l c, l d, l e
+          WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+    s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o),
+    g AS (SELECT part, filter_order, step, substr(filter_order, step, 1) AS k, bad, good, toxic,
+                 list_bool_or(list_transform(range(1, step), lambda i: bad[substr(filter_order, i, 1)])) AS early FROM f, s),
+    r AS (SELECT part, filter_order, step, k,
+            count(*) FILTER (NOT bad[k] AND NOT coalesce(early, false)) AS kept,
+            count(*) FILTER (bad[k] AND NOT coalesce(early, false)) AS removed,
+            count(*) FILTER (bad[k] AND coalesce(early, false)) AS redundant,
+            count(*) FILTER (bad[k] AND len(list_filter(map_values(bad), lambda b: b)) = 1) AS unique_fails,
+            sum(CASE WHEN bad[k] AND NOT coalesce(early, false) THEN good ELSE 0 END)::BIGINT AS good_lost,
+            sum(CASE WHEN bad[k] AND NOT coalesce(early, false) THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+          FROM g GROUP BY ALL)
+    SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+           (sum(removed) OVER (PARTITION BY part, k))::BIGINT AS shapley FROM r"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_minhash_odd_sketch": _OP4_SQL,
     "op7_secret_scan": _op7_sql(),
+    "op13_filter_audit": _OP13_SQL,
 }
