@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, filter_audit, fingerprint, langid, neardup, pii, secrets, substring, suffix, toxicity
+from . import bpe, decontaminate, filter_audit, fingerprint, langid, neardup, pii, secrets, substring, suffix, toxicity, variants
 from .base import documents
 
 
@@ -78,6 +78,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_likeness(documents(spark, sf_dir))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, forms and roots of the words of all documents."""
+    return variants.group(variants.count_words(documents(spark, sf_dir), edit=variants.drop_letter))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove from each language, in every order."""
     return filter_audit.audit(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
@@ -122,6 +127,7 @@ QUERIES = {
     "op8_repeated_phrases": op8_repeated_phrases,
     "op9_bpe_forced_boundary": op9_bpe_forced_boundary,
     "op10_fingerprints": op10_fingerprints,
+    "op11_spelling_variants": op11_spelling_variants,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -139,6 +145,29 @@ _OP4_SQL = r"""
     SELECT d.doc_id, coalesce(n.c, 0)::BIGINT AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
     FROM d JOIN (SELECT node, min(reach) AS c FROM r GROUP BY node) m ON m.node = d.doc_id LEFT JOIN n USING (doc_id)"""
 
+# crc32 by its table of 256 remainders; near words share a key with one place left out.
+_OP11_SQL = r"""
+    WITH RECURSIVE tbl AS (SELECT list_transform(range(256), lambda i: list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+                  lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+    r AS (SELECT coalesce(doc_id::VARCHAR, '') AS i, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+    d AS (SELECT i, run, count(*) AS c, hex(encode(i || ':' || run)) AS x FROM r WHERE length(run) >= 6 GROUP BY i, run),
+    h AS (SELECT run, c, xor(list_reduce([4294967295] || list_transform(range(0, length(x), 2), lambda j: ('0x' || substr(x, j + 1, 2))::BIGINT),
+            lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM d, tbl),
+    w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM h),
+    v AS (SELECT word, sum(c)::BIGINT AS n FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+    cut AS (SELECT word, n, j, substr(word, 1, j - 1) AS a, substr(word, j + 1) AS b
+            FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS j FROM v)),
+    near AS (SELECT x.word, y.word AS near, y.n AS near_n FROM cut x JOIN cut y ON x.j = y.j AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+             UNION SELECT x.word, y.word, y.n FROM cut x JOIN v y ON x.a || x.b = y.word
+             UNION SELECT y.word, x.word, x.n FROM cut x JOIN v y ON x.a || x.b = y.word),
+    best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM near GROUP BY word),
+    f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * v.n THEN near END AS form,
+                 CASE WHEN near_n >= 5 * v.n THEN near_n END AS form_n FROM v LEFT JOIN best USING (word)),
+    chain(word, last) AS (SELECT word, word FROM f UNION ALL SELECT c.word, f.form FROM chain c JOIN f ON f.word = c.last WHERE f.form IS NOT NULL)
+    SELECT f.word, f.form, c.last AS root, f.n, f.n_near, f.form_n
+    FROM f JOIN chain c ON c.word = f.word JOIN f e ON e.word = c.last AND e.form IS NULL"""
+
 _OP13_SQL = r"""
     WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
                       regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -170,5 +199,6 @@ _OP13_SQL = r"""
 ORACLE_SQL: dict[str, str] = {
     "op4_minhash_odd_sketch": _OP4_SQL,
     "op7_secret_scan": _op7_sql(),
+    "op11_spelling_variants": _OP11_SQL,
     "op13_filter_audit": _OP13_SQL,
 }
