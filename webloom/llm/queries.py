@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, filter_audit, fingerprint, langid, neardup, pii, secrets, substring, suffix, toxicity, variants
+from . import bpe, decontaminate, filter_audit, fingerprint, langid, neardup, neighbours, pii, secrets, substring, suffix, toxicity, variants
 from .base import documents
 
 
@@ -83,6 +83,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group(variants.count_words(documents(spark, sf_dir), edit=variants.drop_letter))
 
 
+def op12_neighbour_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest rows found of every embedding whose id 100 divides."""
+    return neighbours.nearest(documents(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove from each language, in every order."""
     return filter_audit.audit(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
@@ -128,6 +133,7 @@ QUERIES = {
     "op9_bpe_forced_boundary": op9_bpe_forced_boundary,
     "op10_fingerprints": op10_fingerprints,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_neighbour_graph": op12_neighbour_graph,
     "op13_filter_audit": op13_filter_audit,
 }
 
