@@ -428,15 +428,78 @@ def same_host(a, b) -> Column:
     return F.coalesce(url_host(a) == url_host(b), F.lit(False))
 
 
-def glob_to_regex(pattern) -> Column:
-    """'*' -> '.*', regex metacharacters escaped except '?', anchored."""
-    esc = F.regexp_replace(_c(pattern), r"([.+^$\{\}()|\[\]\\])", r"\\$1")
-    return F.concat(F.lit("^"), F.replace(esc, F.lit("*"), F.lit(".*")), F.lit("$"))
+def wildcard_match(text, pattern) -> Column:
+    """Whether ``pattern`` matches the whole ``text``; '*' stands for any run
+    of characters, every other character for itself.
+
+    The pieces between the stars are looked for one after the other, each
+    at its first place behind the piece before it: if any match exists, this
+    finds one, so nothing is tried twice and the work grows with the lengths
+    of text and pattern alone, whatever the pattern. No regular expression
+    is built from it."""
+    text = _c(text)
+
+    def build(pieces):
+        first, tail = F.get(pieces, F.lit(0)), F.element_at(pieces, -1)
+        start = F.when(F.startswith(text, first), F.length(first))
+
+        def step(at, piece):
+            found = F.position(piece, text, at + 1)
+            return F.when(found > 0, found - 1 + F.length(piece))
+
+        inner = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 2, F.lit(0)))
+        stop = F.aggregate(inner, start, step)
+        rest = F.coalesce(F.length(text) - F.length(tail) >= stop, F.lit(False)) & F.endswith(text, tail)
+        return F.when(F.size(pieces) == 1, text == first).otherwise(rest)
+
+    return _let(F.split(F.regexp_replace(_c(pattern), r"\*+", "*"), r"\*", -1), build)
+
+
+def _optional_match(text: Column, pattern: Column) -> Column:
+    """``wildcard_match`` for patterns in which '?' makes the character before
+    it optional. A piece is followed through the set of places that it can
+    end at, one character of it at a time; behind a star the first end is
+    enough. Work grows with length times length at most."""
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(pattern, r"\*\?", "*"), r"\?\?", "?"), r"\*+", "*")
+
+    def build(x):
+        chars, pieces, n = x["chars"], x["pieces"], F.length(text)
+
+        def ends(piece, starts):
+            def step(places, token):
+                hit = F.transform(F.filter(places, lambda p: F.get(chars, p) == F.substring(token, 1, 1)), lambda p: p + 1)
+                return F.when(F.length(token) == 2, F.array_union(places, hit)).otherwise(hit)
+            return F.aggregate(F.regexp_extract_all(piece, F.lit(r"(?s).\??"), 0), starts, step)
+
+        anchored = ends(F.get(pieces, F.lit(0)), F.array(F.lit(0)))
+        inner = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 2, F.lit(0)))
+        free = lambda at: F.when(at.isNull(), F.array().cast("array<int>")).otherwise(F.sequence(at, n))
+        stop = F.aggregate(inner, F.array_min(anchored), lambda at, piece: F.array_min(ends(piece, free(at))))
+        return F.when(F.size(pieces) == 1, F.array_contains(anchored, n)) \
+                .otherwise(F.array_contains(ends(F.element_at(pieces, -1), free(stop)), n))
+
+    return _let(F.struct(F.split(text, "").alias("chars"), F.split(plain, r"\*", -1).alias("pieces")), build)
+
+
+# A '?' with nothing to make optional is not a pattern.
+_BAD_GLOB = r"^\?|\?\?\?|\*\?\?"
 
 
 def glob_match(path, pattern) -> Column:
-    """Case-sensitive anchored glob match of a pathname."""
-    return F.regexp_like(_c(path), glob_to_regex(pattern))
+    """Case-sensitive anchored glob match of a pathname: '*' is any run
+    of characters, '?' makes the character before it optional. A pattern in
+    which '?' has nothing before it matches nothing."""
+    path, pattern = _c(path), _c(pattern)
+    general = F.when(pattern.rlike(_BAD_GLOB), F.lit(False)).otherwise(_optional_match(path, pattern))
+    return F.when(F.contains(pattern, F.lit("?")), general).otherwise(wildcard_match(path, pattern))
+
+
+def _glob_verdict(path: Column, include: Column, exclude: Column) -> Column:
+    """U4 on a pathname: an exclude that matches, or is no pattern, refuses;
+    a non-empty include list needs a match."""
+    hit_exc = F.exists(exclude, lambda g: glob_match(path, g) | g.rlike(_BAD_GLOB))
+    hit_inc = F.exists(include, lambda g: glob_match(path, g))
+    return F.coalesce(path.isNotNull() & ~hit_exc & ((F.size(include) == 0) | hit_inc), F.lit(False))
 
 
 @_memo
@@ -445,12 +508,7 @@ def allowed_by_patterns(url, include, exclude) -> Column:
     inc = F.coalesce(_c(include), F.array().cast("array<string>"))
     exc = F.coalesce(_c(exclude), F.array().cast("array<string>"))
 
-    def check(path):
-        hit_exc = F.exists(exc, lambda p: F.regexp_like(path, glob_to_regex(p)))
-        hit_inc = F.exists(inc, lambda p: F.regexp_like(path, glob_to_regex(p)))
-        allowed = ~hit_exc & ((F.size(inc) == 0) | hit_inc)
-        return F.coalesce(path.isNotNull() & allowed, F.lit(False))
-    return _let(url_path(url), check)
+    return _let(url_path(url), lambda path: _glob_verdict(path, inc, exc))
 
 
 @_memo
@@ -484,10 +542,7 @@ def allowed_path(path, include, exclude) -> Column:
     """U4 on an already parsed pathname (null path -> false)."""
     inc = F.coalesce(_c(include), F.array().cast("array<string>"))
     exc = F.coalesce(_c(exclude), F.array().cast("array<string>"))
-    p = _c(path)
-    hit_exc = F.exists(exc, lambda g: F.regexp_like(p, glob_to_regex(g)))
-    hit_inc = F.exists(inc, lambda g: F.regexp_like(p, glob_to_regex(g)))
-    return F.coalesce(p.isNotNull() & ~hit_exc & ((F.size(inc) == 0) | hit_inc), F.lit(False))
+    return _glob_verdict(_c(path), inc, exc)
 
 
 def evaluate_once(df, **cols):

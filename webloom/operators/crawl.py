@@ -9,12 +9,12 @@ candidate collapse (U6) and the visited anti-join (C5) are keyed by
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .skew import lag_within, row_number_within
 from ..functions.urls import (allowed_path, canonical_parts, evaluate_once, normalize_url, parse_url_parts, url_host,
-                             url_origin, url_origin_of)
+                             url_origin, url_origin_of, wildcard_match)
 
 # Fixed values (request validation bounds and crawler constants).
 DEPTH_MIN, DEPTH_MAX, DEPTH_DEFAULT = 1, 10, 2
@@ -177,11 +177,19 @@ def robots_rules(robots: DataFrame, user_agent: str = USER_AGENT) -> DataFrame:
     return out.select("origin", "ln", "allow", "pattern", regex.alias("regex"))
 
 
+def robots_match(path_query: Column, pattern: Column) -> Column:
+    """A robots rule covers paths that start with its pattern; '*' is any run
+    of characters, a final '$' the end. Linear in the lengths of both."""
+    end = F.endswith(pattern, F.lit("$"))
+    whole = F.when(end, F.substring(pattern, F.lit(1), F.length(pattern) - 1)).otherwise(F.concat(pattern, F.lit("*")))
+    return wildcard_match(path_query, whole)
+
+
 def robots_filter(cands: DataFrame, rules: DataFrame | None, url_col: str = "url") -> DataFrame:
     """Keep candidates robots.txt allows for our agent.
 
-    Equi-join on origin first (no cartesian product), regex residual,
-    then the longest matching pattern wins and allow wins ties. URLs on an
+    Equi-join on origin first (no cartesian product), the linear wildcard
+    match as residual, then the longest matching pattern wins and allow wins ties. URLs on an
     origin without rules are allowed; callers refuse URLs outside of the
     seed's origin before (S5, C4).
     """
@@ -196,7 +204,7 @@ def robots_filter(cands: DataFrame, rules: DataFrame | None, url_col: str = "url
     # recomputed task after an executor loss joins back the same rows.
     keys = c.select("_origin", "_pq").distinct()
     m = keys.join(rules.withColumnRenamed("origin", "_origin"), "_origin") \
-            .where(F.regexp_like(F.col("_pq"), F.col("regex")))
+            .where(robots_match(F.col("_pq"), F.col("pattern")))
     verdict = m.groupBy("_origin", "_pq").agg(
         F.max_by("allow", F.struct(F.length("pattern"), F.col("allow"))).alias("_allow"))
     out = c.join(verdict, ["_origin", "_pq"], "left")
