@@ -17,7 +17,11 @@ Kinds, by precedence where matches overlap at one start: email (its local
 part, character class by character class), iban, card (Luhn), date, ssn,
 phone (North American plan, +1 optional), ip (IPv4).
 
-Null texts stay null and have no spans.
+Digits are ASCII digits; those of other scripts stay as they are and end no
+value. Null texts stay null and have no spans, empty ones stay empty. Texts
+of any length are read whole. Repeated rows and ids are rows of their own
+and get equal results; an empty table gives an empty one. Input columns
+named n_pii or pii_spans are replaced.
 """
 
 from __future__ import annotations
@@ -38,12 +42,12 @@ DEMO_KEY = b"webloom pseudonym key"      # pass your own secret
 
 PATTERNS = {
     "email": re.compile(r"(?<![\w.+%-])([A-Za-z0-9][A-Za-z0-9._%+-]{0,63})@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![\w-])"),
-    "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    "card": re.compile(r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)"),
-    "date": re.compile(r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?!(?!T\d\d:?\d\d)[\w/-])"),
-    "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
-    "phone": re.compile(r"(?<![\w.])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)"),
-    "ip": re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w.]*\d)"),
+    "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    "card": re.compile(r"(?<![\w.])[0-9](?:[ -]?[0-9]){12,18}(?!\w)"),
+    "date": re.compile(r"(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?!(?!T[0-9][0-9]:?[0-9][0-9])[\w/-])"),
+    "ssn": re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
+    "phone": re.compile(r"(?<![\w.])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?!\w)"),
+    "ip": re.compile(r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w.]*[0-9])"),
 }
 # where a value may end: the closing look-ahead of its pattern
 ENDS = {kind: re.compile(rx.pattern[rx.pattern.index("(?!", 5):]) for kind, rx in PATTERNS.items()}
