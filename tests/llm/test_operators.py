@@ -1,11 +1,13 @@
 """Brute-force versions and odd inputs of the ten operators."""
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from webloom.llm import (bpe, decontaminate, fingerprint, graph, langid, neardup, pii, queries, repeats, secrets,
                          substring, suffix, toxicity)
@@ -170,6 +172,19 @@ def brute_values(text, key):
     return spans
 
 
+@pytest.mark.parametrize("zero", [0x0660, 0x06F0, 0x0966, 0x09E6, 0xFF10, 0x1D7CE])
+def test_pseudonyms_leave_digits_of_other_scripts(zero):
+    """Values of all kinds in another script, alone and beside ASCII digits."""
+    values = ["4111 1111 1111 1111", "212-555-0199", "667-01-0001", "2024-01-02", "02.01.2024", "10.1.2.3", "AT611904300234573201", "+1 212-555-0199"]
+    for v in values:
+        other = "".join(chr(zero + int(c)) if c in "0123456789" else c for c in v)
+        for text in (f"no 5: {other}", f"5 tel {other}", other, f"5 {other} 7", other[0] + v[1:], v[:-1] + other[-1]):
+            new, spans = pii.pseudonymise(text, b"k")
+            assert [c for c in new if ord(c) > 127] == [c for c in text if ord(c) > 127]
+            assert pii.restored(new, ",".join(f"{k}:{a}:{b}" for k, a, b in spans), b"k") == text
+        assert pii.pseudonymise(f"no 5: {other}", b"k") == (f"no 5: {other}", [])
+
+
 def test_pseudonyms_beside_other_digits():
     key, card = b"k", "4111 1111 1111 1111"
     cases = [(f"{card} 123", "card", card), ("4111111111111111 12/26", "card", "4111111111111111"), (f"2024 {card}", "card", card),
@@ -438,6 +453,21 @@ def test_secret_plan_is_native(spark):
 
 # 9 tokens -----------------------------------------------------------------
 
+def test_secrets_by_the_hundred_thousand(spark):
+    """Scan and mask are about linear in a text's matches."""
+    rng = np.random.default_rng(2)
+    line = [f"token={'x' * int(k)} é🙂" for k in rng.integers(3, 12, 100_000)]
+    text = "\n".join(line)
+    df = spark.createDataFrame([(1, text), (2, "api_key: abcdef AKIA" + "Z9" * 10 + "🙂"), (3, None)], "doc_id long, text string")
+    start = time.time()
+    got = {r.doc_id: r for r in secrets.scan(df).select("doc_id", F.size("secret_spans").alias("n")).collect()}
+    masked = {r.doc_id: r.text for r in secrets.redact(secrets.scan(df)).collect()}
+    assert time.time() - start < 60
+    assert got[1].n == sum(len(x) >= 6 + 6 + 3 for x in line)
+    assert masked[1] == "\n".join("[SECRET] é🙂" if len(x) >= 15 else x for x in line)
+    assert masked[2] == "[SECRET] [SECRET]🙂" and masked[3] is None
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer

@@ -122,23 +122,36 @@ def candidates(texts: DataFrame, rules: list[Rule]) -> DataFrame:
     return met.groupBy("key").agg(F.collect_set("kind").alias("rules"))
 
 
+def _scan(values: Column, join) -> Column:
+    """Running sums (or other joins) of an int array by doubling steps: each
+    pass reads the array of the pass before, so n values cost n log n."""
+    steps = F.filter(F.lit([1 << k for k in range(31)]), lambda p: p < F.size(values))
+    return F.aggregate(steps, values, lambda acc, p: F.transform(
+        acc, lambda v, i: F.when(i < p, v).otherwise(join(v, F.get(acc, i - p)))))
+
+
+def _let(value: Column, fn) -> Column:
+    """Binds a value once for many uses in ``fn``."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def rule_spans(text: Column, rule: Rule, order: int) -> Column:
-    """array<struct<start, order, end, kind>> of a rule's matches: lengths of
-    the pieces between matches and of the matches, summed up."""
+    """array<struct<start, order, end, kind>> of a rule's matches: running
+    sums of the lengths of the matches and of the pieces between them."""
     rx = F.lit(rule.regex)
-    parts = F.arrays_zip(F.split(text, rule.regex, -1).alias("piece"), F.regexp_extract_all(text, rx, 0).alias("hit"),
-                         F.regexp_extract_all(text, rx, rule.group).alias("value"))
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
+    hits = F.transform(F.regexp_extract_all(text, rx, 0), F.length)
+    found = F.struct(F.transform(F.split(text, rule.regex, -1), F.length).alias("gap"), hits.alias("hit"),
+                     F.transform(F.regexp_extract_all(text, rx, rule.group), F.length).alias("value"))
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["piece"])
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(order).alias("order"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        good = F.coalesce(F.length(x["value"]) >= rule.least, F.lit(False))
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+    def spans(x):
+        ends = _scan(F.transform(x["hit"], lambda h, i: h + F.get(x["gap"], i)), lambda a, b: a + b)
+        each = F.transform(F.arrays_zip(ends.alias("end"), x["hit"].alias("hit"), x["value"].alias("value")), lambda m: F.struct(
+            (m["end"] - m["hit"]).alias("start"), F.lit(order).alias("order"), m["end"].alias("end"), F.lit(rule.kind).alias("kind"), m["value"].alias("value")))
+        return F.transform(F.filter(each, lambda m: m["value"] >= rule.least),
+                           lambda m: F.struct(*[m[c].alias(c) for c in ("start", "order", "end", "kind")]))
 
-    return F.when(text.rlike(rule.regex), F.aggregate(
-        parts, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])).otherwise(none)
+    return F.when(text.rlike(rule.regex), _let(found, spans)).otherwise(none)
 
 
 def scan(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text", out: str = "secret_spans") -> DataFrame:
@@ -173,17 +186,27 @@ def digest(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
 
 
+BLOCK = 1024      # code points of a text that are addressed as one block
+
+
 def redact(docs: DataFrame, spans: str = "secret_spans", text: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """Replaces what the spans cover by ``mask`` (once per run of overlapping
     spans) and drops the span column. Null texts stay null."""
     body = F.col(f"`{text}`")
 
-    cut = F.aggregate(
-        F.col(spans), F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(
-            s["end"].alias("at"),
-            F.when((s["start"] >= acc["at"]), F.concat(acc["out"], F.array(
-                F.substring(body, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)))).otherwise(acc["out"]).alias("out"))),
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(body, acc["at"] + 1, F.length(body))))
-    return docs.withColumn(text, F.when(F.size(spans) > 0, cut).otherwise(body)).drop(spans)
+    def cut(x):
+        def part(start, end):       # code points start .. end - 1
+            first = (start / BLOCK).cast("int")
+            some = F.slice(x["blocks"], first + 1, (end / BLOCK).cast("int") - first + 1)
+            return F.substring(F.array_join(some, ""), start - first * BLOCK + 1, end - start)
+
+        def piece(s, i):            # what stands before a run, and its mask
+            before = F.when(i == 0, 0).otherwise(F.get(x["reach"], i - 1))
+            return F.when(s["start"] >= before, F.concat(part(before, s["start"]), F.lit(mask))).otherwise(F.lit(""))
+
+        last = F.element_at(x["reach"], -1)
+        return F.concat(F.array_join(F.transform(F.col(spans), piece), ""), part(last, F.length(body)))
 
+    bound = F.struct(F.regexp_extract_all(body, F.lit(f"(?s).{{1,{BLOCK}}}"), 0).alias("blocks"),
+                     _scan(F.transform(F.col(spans), lambda s: s["end"]), lambda a, b: F.greatest(a, b)).alias("reach"))
+    return docs.withColumn(text, F.when(F.size(spans) > 0, _let(bound, cut)).otherwise(body)).drop(spans)
