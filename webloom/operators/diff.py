@@ -9,10 +9,10 @@ chunk, and each chunk is written once with a single '+' or '-' prefix.
 
 from __future__ import annotations
 
-from array import array
-
 import re
 
+import numpy as np
+
 _LINE = re.compile(r"[^\n]*\n|[^\n]+$")
 
 
@@ -35,46 +35,73 @@ def myers_ops(a: list[str], b: list[str]) -> list[tuple[str, str]]:
     return ops
 
 
+def _step(x: np.ndarray, d: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Furthest ends of paths with ``d`` edits on the diagonals -d, -d+2, .. d,
+    from those (``x``) with d - 1 edits. ``a`` and ``b`` end in values that
+    equal nothing."""
+    n, m = len(a) - 1, len(b) - 1
+    if d == 0:
+        x = np.zeros(1, np.int64)
+    else:
+        out = np.empty(d + 1, np.int64)
+        out[1:-1] = np.where(x[:-1] < x[1:], x[1:], x[:-1] + 1)
+        out[0], out[-1] = x[0], x[-1] + 1
+        x = out
+    y = x - np.arange(-d, d + 1, 2)
+    run = np.flatnonzero(a[np.minimum(x, n)] == b[np.minimum(y, m)])
+    width = 1
+    while len(run):             # equal lines ahead: all such diagonals at once, in growing strides
+        ahead = np.arange(width)
+        same = a[np.minimum(x[run, None] + ahead, n)] == b[np.minimum(y[run, None] + ahead, m)]
+        count = np.where(same.all(axis=1), width, same.argmin(axis=1))
+        x[run] += count
+        y[run] += count
+        run = run[count == width]
+        width = min(2 * width, 64)
+    return x
+
+
 def _myers_core(a: list[str], b: list[str]) -> list[tuple[str, str]]:
+    """Forward greedy search. Every ``every``-th front is kept, the ones
+    between are searched again while the path is read back, so D edits need
+    space for about D * sqrt(D) numbers instead of D * D."""
     n, m = len(a), len(b)
     if n == 0:
         return [("+", t) for t in b]
     if m == 0:
         return [("-", t) for t in a]
-    if set(a).isdisjoint(b):        # nothing to keep: a fully rewritten text
-        return [("-", t) for t in a] + [("+", t) for t in b]
-    maxd = n + m
-    off = maxd
-    v = [0] * (2 * maxd + 2)
-    trace = []
-    for d in range(maxd + 1):
-        trace.append(array("i", v[off - d - 1: off + d + 2]))      # the diagonals that this step reads
-        for k in range(-d, d + 1, 2):
-            if k == -d or (k != d and v[off + k - 1] < v[off + k + 1]):
-                x = v[off + k + 1]
-            else:
-                x = v[off + k - 1] + 1
-            y = x - k
-            while x < n and y < m and a[x] == b[y]:
-                x += 1
-                y += 1
-            v[off + k] = x
-            if x >= n and y >= m:
-                return _backtrack(trace, a, b, d)
-    return []
-
-
-def _backtrack(trace, a, b, d_end):
+    codes: dict[str, int] = {}
+    ia = np.array([codes.setdefault(t, len(codes)) for t in a] + [-1], np.int64)
+    ib = np.array([codes.setdefault(t, len(codes)) for t in b] + [-2], np.int64)
+    kept, every, x, d = {}, 16, None, 0
+    while True:
+        x = _step(x, d, ia, ib)
+        if abs(n - m) <= d and (d - n + m) % 2 == 0 and x[(n - m + d) // 2] >= n:
+            break
+        if d % every == 0:
+            kept[d] = x.astype(np.int32)
+            if d > 2 * every * every:
+                every *= 2
+                kept = {k: v for k, v in kept.items() if k % every == 0}
+        d += 1
+    return _backtrack(kept, ia, ib, a, b, d)
+
+
+def _backtrack(kept, ia, ib, a, b, d_end):
     x, y = len(a), len(b)
-    ops = []
+    ops, fronts = [], {}
     for d in range(d_end, 0, -1):
-        v, off = trace[d], d + 1
-        k = x - y
-        if k == -d or (k != d and v[off + k - 1] < v[off + k + 1]):
-            pk = k + 1
+        if d - 1 not in fronts:             # search again from the front kept before it
+            at = max(k for k in kept if k <= d - 1)
+            fronts = {at: kept[at]}
+            for e in range(at + 1, d):
+                fronts[e] = _step(fronts[e - 1].astype(np.int64), e, ia, ib).astype(np.int32)
+        v, k = fronts[d - 1], x - y          # v[j] lies on diagonal 2 * j - (d - 1)
+        j = (k + d) // 2
+        if k == -d or (k != d and v[j - 1] < v[j]):
+            pk, px = k + 1, int(v[j])
         else:
-            pk = k - 1
-        px = v[off + pk]
+            pk, px = k - 1, int(v[j - 1])
         py = px - pk
         while x > px and y > py:
             ops.append((" ", a[x - 1]))
