@@ -33,6 +33,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,7 +74,7 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 def _flat(col: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """(all elements, row of each element) of a list column; null lists are empty."""
-    counts = pa.compute.fill_null(pa.compute.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+    counts = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
     return col.flatten(), np.repeat(np.arange(len(col)), counts)
 
 
