@@ -247,15 +247,17 @@ def expand_links(pages: DataFrame, jobs: DataFrame, rules: DataFrame | None,
     return ex.select("job_id", "url", "parent_ord", "pos", "depth")
 
 
-def admit_new(cands: DataFrame, visited: DataFrame, jobs: DataFrame) -> DataFrame:
+def admit_new(cands: DataFrame, visited: DataFrame, jobs: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """First occurrence per (job, url), not yet visited, in (parent
     order, link position), until a job has 3*max_pages visited URLs.
 
-    visited: (job_id, url, ord). Output (job_id, url, depth, ord,
+    visited: (job_id, url, ord); ``seen`` (job_id, n_visited) if its counts
+    are known. Output (job_id, url, depth, ord,
     processable) with ord continuing the job's FIFO numbering."""
     first = dedupe_urls(cands, ["job_id", "url"], ["parent_ord", "pos"])
     fresh = first.join(visited.select("job_id", "url"), ["job_id", "url"], "left_anti")
-    seen = visited.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_visited"))
+    if seen is None:
+        seen = visited.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_visited"))
     cap = jobs.select(F.col("id").alias("job_id"), (F.col("max_pages") * DISCOVERY_FACTOR).alias("cap"),
                       "max_pages")
     w = Window.partitionBy("job_id").orderBy("parent_ord", "pos")

@@ -608,10 +608,8 @@ def q_outbox(spark, sf):
 
 
 def _crawl(spark, sf):
-    caps = PC.stage_captures(FX.crawl_responses(spark, sf))
-    rendered = PC.stage_captures(FX.crawl_rendered(spark, sf))
-    return PC.crawl(spark, FX.crawl_jobs(spark, sf), caps, FX.crawl_sitemaps(spark, sf), FX.crawl_robots(spark, sf),
-                    rendered=rendered)
+    return PC.crawl(spark, FX.crawl_jobs(spark, sf), FX.crawl_responses(spark, sf), FX.crawl_sitemaps(spark, sf),
+                    FX.crawl_robots(spark, sf), rendered=FX.crawl_rendered(spark, sf))
 
 
 @register("c7_crawl_pages")

@@ -1,4 +1,4 @@
-"""Bounded breadth-first crawl of many jobs at once.
+"""Bounded breadth-first crawl of many jobs at once, resumable.
 
 The reference pops one URL at a time from a FIFO per job. Because
 children get depth+1 and the queue is FIFO, pops are ordered by depth and,
@@ -7,15 +7,30 @@ whole level per round, ordering admissions by that pair and cutting with
 ``row_number`` against ``max_pages`` / ``3*max_pages`` yields the same pages
 in the same order. A round is a handful of joins and windows over *all*
 jobs; the driver only loops over depth levels (at most 11) and only sees
-an emptiness flag. Each round's page rows (with links) and its newly
-admitted URLs (the next frontier; the visited set is the union of these
-append-only folders) are written to fresh folders under the shared
-checkpoint root and read back, which cuts lineage and lets a lost executor
-recompute only its round.
+an emptiness flag.
+
+A crawl lives in one folder of shared storage:
+
+* ``facts``: status, title, links and validators of the captures on the
+  jobs' hosts, extracted once, in buckets of the URL. Rounds read these and
+  no HTML; HTML is read once more at the end, for the markdown of the pages
+  that were crawled.
+* ``visited``: every admitted URL, in buckets of (job_id, url). A round
+  appends its own rows; its candidates are checked against the table where
+  it lies, no stored row moves.
+* ``pages-<round>-<attempt>``: a round's page rows.
+* ``commits``: one small file a round, written when all its rows are. Rows of
+  a round that was cut short carry an attempt that no commit names, and are
+  ignored.
+
+The frontier is what the last committed round admitted; backoff deadlines
+and the number of visited URLs of a job follow from its rows. So
+``resume_crawl`` goes on from the last commit, in this or another session.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +40,12 @@ from ..functions.urls import evaluate_once, normalize_url, parse_url_parts, url_
 from ..operators import crawl as C
 from ..operators import extract as X
 from ..session import fresh_dir
+from ..sources import folders
+from ..sources.buckets import BucketTable
 
 NO_CAPTURE = "no capture for URL"
+NO_RENDERING = "no rendering captured"
+FEW_HOSTS = 10_000      # hosts up to which they are sent to all tasks (under 1 MB)
 
 
 @dataclass
@@ -34,7 +53,9 @@ class CrawlResult:
     pages: DataFrame        # job_pages rows (+ depth)
     visited: DataFrame      # (job_id, url, depth, ord): every admitted URL
     jobs: DataFrame         # finished job rows with derived counters
-    rounds: int
+    rounds: int             # rounds committed so far
+    store: str              # folder that resume_crawl takes
+    validators: DataFrame   # (job_id, url, etag, last_modified) of the fetched pages
 
 
 def _materialize(df: DataFrame, path: str) -> DataFrame:
@@ -61,58 +82,86 @@ def seed_frontier(jobs: DataFrame, sitemaps: DataFrame | None, rules: DataFrame
     return frontier, j
 
 
-_ROUTED = ("status", "unchanged", "error", "title", "links")
 
+_FACTS = ["url", "status", "unchanged", "error", "title", "links", "fetched_at", "duration_ms", "etag", "last_modified"]
+_RENDERED = ["status", "error", "title", "links", "fetched_at", "duration_ms"]
+
+
+def _on_hosts(captures: DataFrame, hosts: DataFrame, few: bool) -> DataFrame:
+    """Captures (or their facts) on the given hosts; in a store of host
+    buckets only those buckets are read."""
+    hosts = F.broadcast(hosts) if few else hosts
+    if "bucket" in captures.columns:
+        return captures.join(hosts, ["bucket", "host"], "left_semi")
+    keyed = evaluate_once(captures, host=url_host("url"))
+    return keyed.join(hosts, "host", "left_semi")
+
+
+def page_facts(responses: DataFrame, rendered: DataFrame | None, hosts: DataFrame | None = None) -> DataFrame:
+    """One row per URL with what a crawl needs of its captures: the plain
+    fetch, the rendering (columns ``r_``) and, where both succeeded, whether
+    the plain page is thin. ``hosts`` (host) restricts them; many hosts are
+    matched after the extraction, so that no HTML is shuffled for them."""
+    few = None
+    if hosts is not None:
+        hosts = hosts.withColumn("bucket", X.host_bucket("host"))
+        few = hosts.limit(FEW_HOSTS + 1).count() <= FEW_HOSTS
+
+    def facts(captures, keep):
+        stored = [c for c in ("bucket", "host") if c in captures.columns]
+        if few:
+            captures = _on_hosts(captures, hosts, True)
+        out = X.scrape_pages(captures, keep=tuple(keep) + tuple(stored), with_markdown=False)
+        return _on_hosts(out, hosts, False) if few is False else out
 
-def _fetch_round(proc: DataFrame, responses: DataFrame, rendered: DataFrame | None = None,
-                 engines: DataFrame | None = None, stage=None) -> DataFrame:
-    """Join this round's URLs to their captures and extract them once per
-    distinct URL (many jobs may share a URL).
+    plain = facts(responses, ["fetched_at", "duration_ms", "etag", "last_modified"]).select(*_FACTS)
+    if rendered is None:
+        return plain.select("*", *[F.lit(None).cast(plain.schema[c].dataType).alias("r_" + c) for c in _RENDERED],
+                            F.lit(False).alias("thin"))
+    other = facts(rendered, ["fetched_at", "duration_ms"]).select("url", *[F.col(c).alias("r_" + c) for c in _RENDERED])
+    both = plain.where((F.col("status") == "scraped") & ~F.col("unchanged")).select("url") \
+        .join(other.where(F.col("r_status") == "scraped").select("url"), "url", "left_semi")
+    thin = X.captures_of(responses, both.distinct()).select("url", X.is_thin(X.html_to_markdown(F.col("html"))).alias("thin")) \
+        .dropDuplicates(["url"])
+    return plain.join(other, "url", "full_outer").join(thin, "url", "left").withColumn("thin", F.coalesce("thin", F.lit(False)))
 
-    With ``rendered`` captures and a job ``engine`` (X6, crawl flavour):
-    ``browser`` jobs use the rendering only; ``auto`` jobs use the plain
-    fetch unless it is blocked or thin (markdown < 150 units) and a
-    successful rendering exists. The thin test runs the markdown walk only
-    for those auto rows that have a usable rendering.
-    """
-    needed = proc.select("url").distinct()
-    ex = X.scrape_pages(X.captures_of(responses, needed), keep=("fetched_at", "duration_ms"), with_markdown=False)
-    got = proc.join(ex.drop("engine"), "url", "left")
+
+def _fetch_round(proc: DataFrame, facts: DataFrame, cfg: DataFrame, validators: DataFrame | None) -> DataFrame:
+    """This round's URLs with the facts of the capture that each is taken from.
+
+    A stored validator that the capture still carries makes the plain fetch
+    a 304. ``fetch`` jobs take the plain capture, ``browser`` jobs the
+    rendering, ``auto`` jobs the plain one unless it is blocked, thin or
+    unchanged (no content counts as thin) and a rendering succeeded."""
+    got = proc.join(cfg.select(F.col("id").alias("job_id"), F.col("engine").alias("asked"), "has_renderings"), "job_id") \
+              .join(facts, "url", "left")
     missing = F.col("status").isNull()
+    fresh = F.coalesce(F.col("unchanged"), F.lit(False))
+    if validators is not None:
+        sent = validators.select("job_id", "url", F.col("if_none_match").alias("_etag"), F.col("if_modified_since").alias("_since"))
+        got = got.join(sent, ["job_id", "url"], "left")
+        same = F.when(F.col("_etag").isNotNull(), F.col("_etag").eqNullSafe(F.col("etag"))) \
+                .otherwise(F.col("_since").isNotNull() & F.col("_since").eqNullSafe(F.col("last_modified")))
+        fresh = fresh | (F.coalesce(F.col("status") == "scraped", F.lit(False)) & same)
     got = got.withColumn("error", F.when(missing, F.lit(NO_CAPTURE)).otherwise(F.col("error"))) \
-             .withColumn("status", F.coalesce("status", F.lit("error"))) \
-             .withColumn("unchanged", F.coalesce("unchanged", F.lit(False)))
-    if rendered is None or engines is None:
-        return got.withColumn("engine", F.lit("fetch"))
-    rx = X.scrape_pages(X.captures_of(rendered, needed), keep=("fetched_at",), with_markdown=False) \
-        .select("url", *[F.col(c).alias("r_" + c) for c in _ROUTED], F.col("fetched_at").alias("r_fetched_at"))
-    got = got.join(engines, "job_id", "left").join(rx, "url", "left")
-    if stage is not None:   # used twice below: extract both captures once
-        got = stage(got)
+             .withColumn("status", F.coalesce("status", F.lit("error"))).withColumn("unchanged", fresh)
     r_ok = F.coalesce(F.col("r_status") == "scraped", F.lit(False))
-    live = (F.col("status") == "scraped") & ~F.col("unchanged")
-    check_thin = (F.col("engine") == "auto") & r_ok & live
-    # thin test only where it can change the outcome
-    cand = got.where(check_thin).select("url").distinct()
-    md = X.captures_of(responses, cand).select("url", X.html_to_markdown(F.col("html")).alias("_md")) \
-        .select("url", X.is_thin(F.col("_md")).alias("_thin")).dropDuplicates(["url"])
-    got = got.join(md, "url", "left")
-    browser = F.col("engine") == "browser"
-    use_r = browser | ((F.col("engine") == "auto") & r_ok &
-                       ((F.col("status") == "blocked") | (live & F.coalesce("_thin", F.lit(False)))))
-    no_render = F.lit("no rendering captured")
-    keep = [c for c in got.columns if c not in _ROUTED and not c.startswith("r_")
-            and c not in ("engine", "_thin", "fetched_at")]
+    browser = F.col("has_renderings") & (F.col("asked") == "browser")
+    tried = F.col("has_renderings") & (F.col("asked") == "auto") & (
+        (F.col("status") == "blocked") | ((F.col("status") == "scraped") & (F.col("unchanged") | F.coalesce("thin", F.lit(False)))))
+    use = browser | (tried & r_ok)
+    took = F.when(browser, F.col("r_duration_ms")).when(tried, F.coalesce(F.col("duration_ms") + F.col("r_duration_ms"), F.col("duration_ms"))) \
+            .otherwise(F.col("duration_ms"))
     return got.select(
-        *keep,
-        F.when(use_r, F.when(r_ok, F.col("r_status")).otherwise(F.lit("error"))).otherwise(F.col("status")).alias("status"),
-        F.when(use_r, F.lit(False)).otherwise(F.col("unchanged")).alias("unchanged"),
-        F.when(use_r, F.when(r_ok, F.lit(None).cast("string")).otherwise(F.coalesce(F.col("r_error"), no_render)))
-         .otherwise(F.col("error")).alias("error"),
-        F.when(use_r, F.col("r_title")).otherwise(F.col("title")).alias("title"),
-        F.when(use_r, F.col("r_links")).otherwise(F.col("links")).alias("links"),
-        F.coalesce(F.col("fetched_at"), F.col("r_fetched_at")).alias("fetched_at"),
-        F.when(use_r & r_ok, F.lit("browser")).otherwise(F.lit("fetch")).alias("engine"))
+        "job_id", "ord", "url", "depth",
+        F.when(use, F.when(r_ok, "scraped").otherwise("error")).otherwise(F.col("status")).alias("status"),
+        F.when(use, F.lit(False)).otherwise(F.col("unchanged")).alias("unchanged"),
+        F.when(use, F.when(~r_ok, F.coalesce("r_error", F.lit(NO_RENDERING)))).otherwise(F.col("error")).alias("error"),
+        F.when(use, F.col("r_title")).when(~F.col("unchanged"), F.col("title")).alias("title"),
+        F.when(use & r_ok, F.lit("browser")).otherwise(F.lit("fetch")).alias("engine"),
+        F.coalesce("fetched_at", "r_fetched_at").alias("fetched_at"), took.alias("duration_ms"),
+        F.when(~use, F.col("etag")).alias("etag"), F.when(~use, F.col("last_modified")).alias("last_modified")) \
+        .withColumn("blocked", F.col("status") == "blocked")
 
 
 def stage_captures(responses: DataFrame) -> DataFrame:
@@ -128,85 +177,143 @@ def stage_captures(responses: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+VISITED = "job_id string, url string, depth int, ord bigint, processable boolean, round int, attempt string"
+_PAGE = ["url", "depth", "status", "unchanged", "error", "title", "engine", "duration_ms", "etag", "last_modified"]
+
+
+class _Store:
+    """The folder of a crawl."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.commits = {c["round"]: c for c in folders.get_jsons(spark, f"{self.root}/commits")}
+        n = self.commits[0]["buckets"] if self.commits else int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = n
+        self.facts = BucketTable(spark, f"{self.root}/facts", ["url"], n)
+        self.visited = BucketTable(spark, f"{self.root}/visited", ["job_id", "url"], n)
+
+    def table(self, name: str, df: DataFrame | None = None) -> DataFrame:
+        return _materialize(df, f"{self.root}/{name}") if df is not None else self.spark.read.parquet(f"{self.root}/{name}")
+
+    def has(self, name: str) -> bool:
+        return name in self.commits[0]["tables"]
+
+    def commit(self, rnd: int, attempt: str, **more) -> None:
+        value = {"round": rnd, "attempt": attempt, "buckets": self.buckets, **more}
+        folders.put_json(self.spark, f"{self.root}/commits/{rnd:04d}.json", value)
+        self.commits[rnd] = value
+
+    def admitted(self) -> DataFrame:
+        """Rows of committed rounds; the others belong to a round cut short."""
+        return self.visited.read().where(F.col("attempt").isin([c["attempt"] for c in self.commits.values()]))
+
+    def pages(self, rnd: int) -> str:
+        return f"{self.root}/pages-{rnd}-{self.commits[rnd]['attempt']}"
+
+
 def crawl(spark: SparkSession, jobs: DataFrame, responses: DataFrame, sitemaps: DataFrame | None = None,
           robots: DataFrame | None = None, expand_unchanged: bool = False, max_rounds: int | None = None,
-          rendered: DataFrame | None = None) -> CrawlResult:
-    """Run every job of ``jobs`` (validated requests) to completion. A job
-    outside of C1's bounds is an error, never cut.
+          rendered: DataFrame | None = None, validators: DataFrame | None = None,
+          failures: DataFrame | None = None, store: str | None = None) -> CrawlResult:
+    """Run every job of ``jobs`` (validated requests) to completion, or for
+    ``max_rounds`` rounds. A job outside of C1's bounds is an error, never cut.
 
     ``rendered`` (optional) holds browser renderings; jobs then follow
     their ``engine`` (fetch / browser / auto, default auto). Without it
-    every page is a plain fetch, as when no browser is configured."""
-    root = fresh_dir(spark, "crawl")
+    every page is a plain fetch, as when no browser is configured.
+    ``validators`` (job_id, url, if_none_match, if_modified_since) are sent
+    with the plain fetches. ``failures`` (job_id, error) names runs that broke
+    off: they end ``failed`` with zero counters, the other jobs are not
+    touched, and pages written before stay. ``store`` is a new folder of
+    shared storage that ``resume_crawl`` can go on from."""
+    root = store or fresh_dir(spark, "crawl")
     in_bounds = F.col("max_depth").between(C.DEPTH_MIN, C.DEPTH_MAX) & F.col("max_pages").between(C.PAGES_MIN, C.PAGES_MAX)
     if not jobs.where(~F.coalesce(in_bounds, F.lit(False))).isEmpty():
         raise ValueError("jobs outside of the bounds of validate_crawl_requests")
-    if sitemaps is not None:   # read once; discovery scans it several times
-        sitemaps = _materialize(sitemaps, f"{root}/sitemaps")
-    rules = C.robots_rules(robots) if robots is not None else None
-    if rules is not None:
-        rules = _materialize(rules, f"{root}/rules")
+    at = _Store(spark, root)
+    if at.commits:
+        raise ValueError(f"{root} holds a crawl already; resume_crawl goes on with it")
+    given = {"sitemaps": sitemaps, "rules": C.robots_rules(robots) if robots is not None else None,
+             "validators": validators, "failures": failures}
+    tables = {k: at.table(k, v) for k, v in given.items() if v is not None}
     jobs = evaluate_once(jobs, _sp=parse_url_parts("url"))
-    jobs = _materialize(jobs.select("*", F.col("_sp.host").alias("seed_host"),
-                                    url_origin_of(F.col("_sp")).alias("seed_origin")).drop("_sp"),
-                        f"{root}/requests")
-    frontier, cfg = seed_frontier(jobs, sitemaps, rules)
-    # seeds are always within budget (sitemap seeds are cut to max_pages)
-    seeds = _materialize(frontier.withColumn("processable", F.lit(True)).withColumn("round", F.lit(0)),
-                         f"{root}/visited-0")
-    visited_dirs = [f"{root}/visited-0"]
-    visited = seeds
+    jobs = at.table("requests", jobs.select("*", F.col("_sp.host").alias("seed_host"),
+                                            url_origin_of(F.col("_sp")).alias("seed_origin")).drop("_sp"))
+    frontier, cfg = seed_frontier(jobs, tables.get("sitemaps"), tables.get("rules"))
     engine = F.col("engine") if "engine" in cfg.columns else F.lit("auto")
-    cfg = _materialize(cfg.select("id", "url", "seed_host", "seed_origin", "max_depth", "max_pages",
-                                  "include_patterns", "exclude_patterns", "uses_sitemap", "webhook_url",
-                                  F.coalesce(engine, F.lit("auto")).alias("engine")),
-                       f"{root}/jobs")
-    engines = cfg.select(F.col("id").alias("job_id"), "engine")
-    frontier = visited.drop("round")
-    limit = max_rounds if max_rounds is not None else C.DEPTH_MAX + 1
-    state = None
-    page_dirs = []
-    rnd = 0
-    while rnd < limit:
-        proc = frontier.where("processable").drop("processable")    # C6
+    cfg = at.table("jobs", cfg.select("id", "url", "seed_host", "seed_origin", "max_depth", "max_pages",
+                                      "include_patterns", "exclude_patterns", "uses_sitemap", "webhook_url",
+                                      F.coalesce(engine, F.lit("auto")).alias("engine"), F.lit(rendered is not None).alias("has_renderings")))
+    hosts = cfg.where("seed_host is not null").select(F.col("seed_host").alias("host")).distinct()
+    at.facts.append(page_facts(responses, rendered, hosts))
+    attempt = uuid.uuid4().hex
+    # seeds are always within budget (sitemap seeds are cut to max_pages)
+    at.visited.append(frontier.select("job_id", "url", "depth", "ord", F.lit(True).alias("processable"),
+                                      F.lit(0).alias("round"), F.lit(attempt).alias("attempt")))
+    at.commit(0, attempt, tables=sorted(tables), expand_unchanged=bool(expand_unchanged), facts=at.facts.read()._jdf.schema().toDDL())
+    return _advance(at, responses, rendered, max_rounds, keep=store is not None)
+
+
+def resume_crawl(spark: SparkSession, store: str, responses: DataFrame, rendered: DataFrame | None = None,
+                 max_rounds: int | None = None) -> CrawlResult:
+    """Go on with the crawl in ``store`` from its last committed round.
+    ``responses`` and ``rendered`` are read for markdown only."""
+    at = _Store(spark, store)
+    if not at.commits:
+        raise ValueError(f"no crawl in {store}")
+    at.facts.attach(at.commits[0]["facts"])
+    at.visited.attach(VISITED)
+    return _advance(at, responses, rendered, max_rounds, keep=True)
+
+
+def _advance(at: _Store, responses: DataFrame, rendered: DataFrame | None, max_rounds: int | None, keep: bool) -> CrawlResult:
+    cfg = at.table("jobs")
+    rules, validators, failures = (at.table(k) if at.has(k) else None for k in ("rules", "validators", "failures"))
+    expand_unchanged = at.commits[0]["expand_unchanged"]
+    facts = at.facts.read()
+    done = 0
+    while max_rounds is None or done < max_rounds:
+        last = max(at.commits)
+        if last > C.DEPTH_MAX:
+            break
+        admitted = at.admitted()
+        newest = admitted.where(F.col("attempt") == at.commits[last]["attempt"]).drop("round", "attempt")
+        proc = newest.where("processable").drop("processable")          # C6
         if proc.isEmpty():      # the only value that reaches the driver
             break
-        fetched = _fetch_round(proc, responses, rendered, engines,
-                               stage=lambda df, r=rnd: _materialize(df, f"{root}/routed-{r}")) \
-            .withColumn("blocked", F.col("status") == "blocked")
-        # pages are extracted once; the backoff fold sees three small columns
-        # of them and joins back by (job_id, ord)
-        fetched = _materialize(fetched, f"{root}/fetched-{rnd}")
-        bo = C.apply_backoff(fetched.select("job_id", "ord", "fetched_at", "blocked"), state) \
-            .select("job_id", "ord", "skipped", "backoff_until")
-        bo = fetched.join(bo, ["job_id", "ord"])
+        rnd, attempt = last + 1, uuid.uuid4().hex
+        fetched = _fetch_round(proc, facts, cfg, validators)
+        # the backoff fold carries a page's small columns, not its links
+        state = None
+        if last:
+            state = at.spark.read.parquet(at.pages(last)).groupBy("job_id").agg(F.max_by("backoff_until", "ord").alias("backoff_until"))
+        bo = C.apply_backoff(fetched, state, carry=tuple(_PAGE))
         skip = F.col("skipped")
-        merged = bo.select(
+        rows = bo.select(
             "job_id", "ord", "url", "depth", "skipped", "backoff_until", "fetched_at", "duration_ms",
             F.when(skip, "blocked").otherwise(F.col("status")).alias("status"),
             F.when(skip, False).otherwise(F.col("unchanged")).alias("unchanged"),
             F.when(skip, F.lit(C.BACKOFF_MESSAGE)).otherwise(F.col("error")).alias("error"),
-            F.when(~skip, F.col("engine")).alias("engine"),
-            F.when(~skip, F.col("title")).alias("title"),
-            F.when(~skip, F.col("markdown")).alias("markdown"),
-            F.when(~skip, F.col("markdown_length")).alias("markdown_length"),
-            F.when(~skip, F.col("links")).alias("links"))
-        pdir = f"{root}/pages-{rnd}"
-        merged = _materialize(merged, pdir)          # page rows of the round (+ links)
-        state = merged.groupBy("job_id").agg(F.max_by("backoff_until", "ord").alias("backoff_until"))
-        page_dirs.append(pdir)
-        cands = C.expand_links(merged.select("job_id", "ord", "url", "depth", "status", "unchanged", "links"),
-                               cfg, rules, expand_unchanged)
-        # the visited set is append-only: each round writes only its new
-        # rows, and visited is the union of the round folders
-        new = _materialize(C.admit_new(cands, visited, cfg).withColumn("round", F.lit(rnd + 1)),
-                           f"{root}/visited-{rnd + 1}")
-        visited_dirs.append(f"{root}/visited-{rnd + 1}")
-        visited = spark.read.parquet(*visited_dirs)
-        frontier = new.drop("round")
-        rnd += 1
-    if page_dirs:
-        rows = spark.read.parquet(*page_dirs)
+            *[F.when(~skip, F.col(c)).alias(c) for c in ("engine", "title", "etag", "last_modified")])
+        rows = _materialize(rows, f"{at.root}/pages-{rnd}-{attempt}")
+        links = F.when(F.col("engine") == "browser", F.col("r_links")).otherwise(F.col("links"))
+        open_ = rows.where("status = 'scraped'").select("job_id", "ord", "url", "depth", "status", "unchanged", "engine")
+        linked = open_.join(facts.select("url", "links", "r_links"), "url").withColumn("links", links)
+        cands = C.expand_links(linked, cfg, rules, expand_unchanged)
+        # a job's positions run on, so the newest one counts its visited URLs
+        seen = newest.groupBy("job_id").agg(F.max("ord").alias("n_visited"))
+        new = C.admit_new(cands, admitted, cfg, seen)
+        at.visited.append(new.select("job_id", "url", "depth", "ord", "processable", F.lit(rnd).alias("round"), F.lit(attempt).alias("attempt")))
+        at.commit(rnd, attempt)
+        done += 1
+    return _result(at, cfg, responses, rendered, failures, keep)
+
+
+def _result(at: _Store, cfg: DataFrame, responses: DataFrame, rendered: DataFrame | None, failures: DataFrame | None,
+            keep: bool) -> CrawlResult:
+    spark, rounds = at.spark, max(at.commits)
+    if rounds:
+        rows = spark.read.parquet(*[at.pages(r) for r in range(1, rounds + 1)])
         # markdown only for scraped pages, once per distinct URL, after the
         # loop, from the capture each page was taken from
         if rendered is None:
@@ -216,21 +323,31 @@ def crawl(spark: SparkSession, jobs: DataFrame, responses: DataFrame, sitemaps:
             with_md = X.attach_markdown(rows.where(~by_browser), responses) \
                        .unionByName(X.attach_markdown(rows.where(by_browser), rendered))
         pages = C.page_results(with_md)
+        validators = rows.where("status = 'scraped' and not unchanged").select("job_id", "url", "etag", "last_modified")
     else:
         from .. import schemas
         pages = spark.createDataFrame([], schemas.JOB_PAGES + ", depth int")
-    visited = visited.drop("round", "processable")
+        validators = spark.createDataFrame([], "job_id string, url string, etag string, last_modified string")
+    at.facts.detach()
+    attempts = [c["attempt"] for c in at.commits.values()]
+    visited = at.visited.detach().where(F.col("attempt").isin(attempts)).drop("round", "attempt", "processable")
+    if not keep:        # nothing that is returned reads the facts
+        folders.delete(spark, at.facts.path)
     discovered = visited.groupBy("job_id").agg(F.count(F.lit(1)).cast("int").alias("pages_discovered"))
     progress = pages.groupBy("job_id").agg(
         F.count_if(F.col("status") == "scraped").cast("int").alias("pages_scraped"),
         F.count_if(F.col("status") != "scraped").cast("int").alias("pages_failed"),
         F.max("scraped_at").alias("last_heartbeat_at"))
-    done = cfg.withColumnRenamed("id", "job_id").join(discovered, "job_id", "left").join(progress, "job_id", "left")
+    none = spark.createDataFrame([], "job_id string, error string")
+    broken = (none if failures is None else failures).groupBy("job_id").agg(F.first("error").alias("error"))
+    done = cfg.withColumnRenamed("id", "job_id").join(discovered, "job_id", "left").join(progress, "job_id", "left") \
+              .join(broken.withColumn("broke", F.lit(True)), "job_id", "left")
+    broke = F.coalesce("broke", F.lit(False))
+    count = lambda c: F.when(broke, F.lit(0)).otherwise(F.coalesce(c, F.lit(0)))
     finished = done.select(
-        F.col("job_id").alias("id"), F.lit("completed").alias("status"), "url", "webhook_url",
+        F.col("job_id").alias("id"), F.when(broke, "failed").otherwise("completed").alias("status"), "url", "webhook_url",
         F.coalesce("pages_discovered", F.lit(0)).alias("pages_discovered"),
-        F.coalesce("pages_scraped", F.lit(0)).alias("pages_scraped"),
-        F.coalesce("pages_failed", F.lit(0)).alias("pages_failed"),
-        "last_heartbeat_at", F.lit(None).cast("string").alias("error"),
+        count("pages_scraped").alias("pages_scraped"), count("pages_failed").alias("pages_failed"),
+        "last_heartbeat_at", F.when(broke, F.coalesce("error", F.lit("unknown error"))).alias("error"),
         (F.coalesce("pages_scraped", F.lit(0)) + F.coalesce("pages_failed", F.lit(0)) == 0).alias("root_failed"))
-    return CrawlResult(pages=pages, visited=visited, jobs=finished, rounds=rnd)
+    return CrawlResult(pages=pages, visited=visited, jobs=finished, rounds=rounds, store=at.root, validators=validators)
