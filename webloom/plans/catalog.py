@@ -25,6 +25,7 @@ from ..operators import pages as P
 from ..operators import sinks as SK
 from ..session import fresh_dir
 from ..sources import fixtures as FX
+from ..sources.monitor_state import MonitorState
 from ..sources import tables as TB
 from ..sources.tables import driver_table
 from ..streaming import stream_ops as S
@@ -775,17 +776,27 @@ def q_line_totals(spark, sf):
     return M.line_change_totals(M.line_change_counts(ch))
 
 
-@register("m10_upsert_monitor_pages", _W("monitor_prev", "monitor_cur") + """,
+_M10_SQL = _W("monitor_prev", "monitor_cur") + """,
 upd AS (SELECT monitor_id, url, sha256(markdown) AS last_content_hash, markdown AS last_markdown, etag AS last_etag,
           last_modified, checked_at AS last_checked_at FROM monitor_cur WHERE http_status = 200),
 st AS (SELECT monitor_id, url, sha256(markdown) AS last_content_hash, markdown AS last_markdown, etag AS last_etag,
           last_modified, checked_at AS last_checked_at FROM monitor_prev)
 SELECT * FROM st WHERE NOT EXISTS (SELECT 1 FROM upd WHERE upd.monitor_id = st.monitor_id AND upd.url = st.url)
-UNION ALL SELECT * FROM upd""")
+UNION ALL SELECT * FROM upd"""
+
+
+@register("m10_upsert_monitor_pages", _M10_SQL)
 def q_upsert(spark, sf):
     return M.upsert_monitor_pages(_state(spark, sf), FX.monitor_cur(spark, sf))
 
 
+@register("m10_bucketed_state", _M10_SQL)
+def q_upsert_buckets(spark, sf):
+    """M10 on the stored state: only buckets with fetched pages are read and written anew."""
+    store = MonitorState(spark, fresh_dir(spark, "monitor-state"), buckets=64)
+    return store.replace(_state(spark, sf), list(range(64))).upsert(FX.monitor_cur(spark, sf)).read()
+
+
 @register("m11_check_summary", _CHANGED_SQL + f""",
 mon AS (SELECT DISTINCT 'mon_' || source AS monitor_id FROM documents),
 chk AS (SELECT monitor_id, count(*) AS n FROM monitor_cur WHERE http_status IN (200, 304) GROUP BY 1),
@@ -1229,8 +1240,9 @@ def q_first_round(spark, sf):
     jobs = _crawl_cfg(spark, sf)
     frontier, cfg = PC.seed_frontier(jobs, None, None)
     proc = C.cap_pages(frontier, cfg)
-    fetched = PC._fetch_round(proc, FX.crawl_responses(spark, sf))
-    cands = C.expand_links(fetched, cfg, None)
+    facts = PC.page_facts(FX.crawl_responses(spark, sf), None)
+    fetched = PC._fetch_round(proc, facts, cfg.withColumn("engine", F.lit("fetch")).withColumn("has_renderings", F.lit(False)), None)
+    cands = C.expand_links(PC._linked(fetched, facts), cfg, None)
     return C.admit_new(cands, frontier, cfg)
 
 

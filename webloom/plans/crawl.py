@@ -177,6 +177,13 @@ def stage_captures(responses: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _linked(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Scraped page rows with the links of the capture they were taken from."""
+    links = F.when(F.col("engine") == "browser", F.col("r_links")).otherwise(F.col("links"))
+    open_ = rows.where("status = 'scraped'").select("job_id", "ord", "url", "depth", "status", "unchanged", "engine")
+    return open_.join(facts.select("url", "links", "r_links"), "url").withColumn("links", links).drop("r_links")
+
+
 VISITED = "job_id string, url string, depth int, ord bigint, processable boolean, round int, attempt string"
 _PAGE = ["url", "depth", "status", "unchanged", "error", "title", "engine", "duration_ms", "etag", "last_modified"]
 
@@ -296,10 +303,7 @@ def _advance(at: _Store, responses: DataFrame, rendered: DataFrame | None, max_r
             F.when(skip, F.lit(C.BACKOFF_MESSAGE)).otherwise(F.col("error")).alias("error"),
             *[F.when(~skip, F.col(c)).alias(c) for c in ("engine", "title", "etag", "last_modified")])
         rows = _materialize(rows, f"{at.root}/pages-{rnd}-{attempt}")
-        links = F.when(F.col("engine") == "browser", F.col("r_links")).otherwise(F.col("links"))
-        open_ = rows.where("status = 'scraped'").select("job_id", "ord", "url", "depth", "status", "unchanged", "engine")
-        linked = open_.join(facts.select("url", "links", "r_links"), "url").withColumn("links", links)
-        cands = C.expand_links(linked, cfg, rules, expand_unchanged)
+        cands = C.expand_links(_linked(rows, facts), cfg, rules, expand_unchanged)
         # a job's positions run on, so the newest one counts its visited URLs
         seen = newest.groupBy("job_id").agg(F.max("ord").alias("n_visited"))
         new = C.admit_new(cands, admitted, cfg, seen)

@@ -25,13 +25,24 @@ def put_json(spark: SparkSession, path: str, value: dict) -> None:
         raise OSError(f"could not write {path}")
 
 
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """Sorted names of what lies in a folder; none if there is no folder."""
+    fs, p = _at(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def get_json(spark: SparkSession, path: str) -> dict:
+    fs, p = _at(spark, path)
+    stream = fs.open(p)
+    try:
+        return json.loads(bytes(stream.readAllBytes()).decode())
+    finally:
+        stream.close()
+
+
 def get_jsons(spark: SparkSession, folder: str) -> list[dict]:
     """All JSON files of a folder (a bounded number of small ones), by name."""
-    fs, p = _at(spark, folder)
-    if not fs.exists(p):
-        return []
-    names = sorted(s.getPath().toString() for s in fs.listStatus(p) if s.getPath().getName().endswith(".json"))
-    return [json.loads(r.value) for n in names for r in spark.read.option("wholetext", True).text(n).collect()]
+    return [get_json(spark, f"{folder}/{n}") for n in names(spark, folder) if n.endswith(".json")]
 
 
 def delete(spark: SparkSession, *paths: str) -> None:
