@@ -47,7 +47,7 @@ BLOCK = 2048       # vectors compared with each other in a block
 SAMPLE = 16        # new and old members of a pivot
 ROUNDS = 6
 SETTLED = 0.01     # share of changed neighbours below which rounds end
-BEAM = 192         # candidates that a query keeps
+BEAM = 256         # candidates that a query keeps
 VISIT = 64         # of them visited in one round
 SEED = 20
 
