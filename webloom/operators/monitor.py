@@ -275,3 +275,36 @@ def monitor_outbox(verdicts: DataFrame, checks: DataFrame, monitors: DataFrame,
         F.col("goal"), F.col("changes")))
     return g.select("monitor_id", "webhook_url", F.col("n").cast("long").alias("pages_changed"),
                     payload.alias("payload"))
+
+
+def monitor_runs(verdicts: DataFrame, checks: DataFrame, monitors: DataFrame, run_at: str) -> DataFrame:
+    """One row per monitor run with all its judged changes (at most its
+    max_pages), for ``run_outbox`` and ``run_changes``."""
+    item = F.struct("url", "diff", "relevant", "reason", "keep")
+    changes = verdicts.groupBy("monitor_id").agg(F.sort_array(F.collect_list(item)).alias("changes"))
+    return checks.join(changes, "monitor_id", "left") \
+        .join(monitors.select(F.col("id").alias("monitor_id"), "webhook_url", "goal"), "monitor_id") \
+        .select("monitor_id", "check_id", F.lit(run_at).cast("timestamp_ntz").alias("run_at"), "webhook_url", "goal", "pages_checked",
+                F.coalesce("changes", F.array().cast("array<struct<url:string,diff:string,relevant:boolean,reason:string,keep:boolean>>")).alias("changes"))
+
+
+def run_outbox(runs: DataFrame) -> DataFrame:
+    """K4 of whole run rows: the payload of ``monitor_outbox``, with a batch
+    key (check_id) and no shuffle."""
+    judged = has_goal(F.col("goal"))
+    kept = F.filter("changes", lambda c: c["keep"])
+    item = F.transform("kept", lambda c: F.struct(
+        c["url"].alias("url"), c["diff"].alias("diff"), F.when(judged, F.coalesce(c["relevant"], F.lit(True))).alias("relevant"),
+        F.when(judged, c["reason"]).alias("reason")))
+    payload = F.to_json(F.struct(
+        F.col("monitor_id").alias("monitor-id"), F.date_format("run_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("checked-at"),
+        F.col("pages_checked").alias("pages-checked"), F.size("kept").cast("long").alias("pages-changed"),
+        F.when(judged, F.col("goal")).alias("goal"), item.alias("changes")))
+    return runs.withColumn("kept", kept).where(F.size("kept") > 0).select(
+        "monitor_id", "check_id", "webhook_url", F.size("kept").cast("long").alias("pages_changed"), payload.alias("payload"))
+
+
+def run_changes(runs: DataFrame) -> DataFrame:
+    """M12 of whole run rows: one change row per changed page, judged away or not."""
+    return runs.select("check_id", "monitor_id", F.explode("changes").alias("c"), F.col("run_at").alias("changed_at")) \
+               .select("check_id", "monitor_id", "c.url", "c.diff", "changed_at")

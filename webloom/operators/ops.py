@@ -190,10 +190,11 @@ def overview(jobs: DataFrame, log: DataFrame, as_of: str) -> dict[str, DataFrame
 def retain_logs(logs: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """Q17: rows kept by retention (created_at >= as_of - days; equal kept).
 
-    On a date-partitioned log table this prunes whole partitions and only
-    filters the boundary day."""
+    A log partitioned by ``created_date`` (``sinks.write_scrape_log``) is read
+    from the cutoff's day on; ``sinks.drop_expired`` removes the rest."""
     cutoff = _ts(as_of) - F.make_dt_interval(F.lit(days))
-    return logs.where(F.col("created_at") >= cutoff)
+    kept = logs.where(F.col("created_at") >= cutoff)
+    return kept.where(F.col("created_date") >= F.to_date(cutoff)) if "created_date" in logs.columns else kept
 
 
 def job_progress(pages: DataFrame) -> DataFrame:
@@ -231,6 +232,14 @@ def stale_jobs(jobs: DataFrame, as_of: str) -> DataFrame:
                .select("id", "url", "last_heartbeat_at")
 
 
+def resume_jobs(jobs: DataFrame, as_of: str) -> DataFrame:
+    """The heartbeat of every stale job (C14) becomes ``as_of``; its
+    crawl goes on from its last committed round (``plans.crawl.resume_crawl``)."""
+    stale = stale_jobs(jobs, as_of).select("id", F.lit(True).alias("_stale"))
+    return jobs.join(stale, "id", "left").withColumn(
+        "last_heartbeat_at", F.when(F.col("_stale"), _ts(as_of)).otherwise(F.col("last_heartbeat_at"))).drop("_stale")
+
+
 def metrics_exposition(jobs: DataFrame, monitors: DataFrame, prefix: str = METRIC_PREFIX) -> DataFrame:
     """K5: the metrics text as (line_no, line) rows; write with
     ``.orderBy('line_no').select('line').write.text``."""

@@ -335,6 +335,17 @@ def q_retain_logs(spark, sf):
     return Q.retain_logs(FX.logs(spark, sf), _AS_OF, _RET_DAYS)
 
 
+@register("q17_stored_logs", _W("logs") + f"""
+SELECT * FROM logs WHERE created_at >= {_NOW} - INTERVAL {_RET_DAYS} DAY""")
+def q_retain_stored(spark, sf):
+    """Q17 on a stored log: whole days are dropped, the day of the cutoff is rewritten."""
+    path = fresh_dir(spark, "logs")
+    logs = FX.logs(spark, sf)
+    SK.write_scrape_log(logs, path)
+    SK.drop_expired(spark, path, _AS_OF, _RET_DAYS)
+    return SK.read_dated(spark, path, logs.schema).drop("created_date")
+
+
 _PROGRESS_SQL = """,
 progress AS (SELECT job_id, CAST(count(*) FILTER (WHERE status = 'scraped') AS INTEGER) AS pages_scraped,
   CAST(count(*) FILTER (WHERE status <> 'scraped') AS INTEGER) AS pages_failed,
@@ -628,6 +639,14 @@ def q_crawl_jobs(spark, sf):
             .select("id", "status", "pages_discovered", "pages_scraped", "pages_failed", "root_failed", "payload")
 
 
+@register("c15_resumed_jobs", _W("jobs") + f"""
+SELECT id, status, CASE WHEN status = 'running' AND last_heartbeat_at < TIMESTAMP '{_JAS}' - INTERVAL 2 MINUTE
+  THEN TIMESTAMP '{_JAS}' ELSE last_heartbeat_at END AS last_heartbeat_at FROM jobs""")
+def q_resumed_jobs(spark, sf):
+    """C14 + C15: stale jobs are taken up again, which resets their heartbeat."""
+    return Q.resume_jobs(FX.jobs(spark, sf), _JAS).select("id", "status", "last_heartbeat_at")
+
+
 @register("c15_resume_frontier")
 def q_resume(spark, sf):
     """C14 + C15: crawls stopped after two rounds are marked running with
@@ -862,18 +881,76 @@ def q_touch(spark, sf):
     return _run(spark, sf).monitors.select("id", "status", "last_checked_at", "last_job_id")
 
 
-@register("m16_k4_monitor_outbox")
+_K4_SQL = _JUDGE_SQL + f""",
+r AS (SELECT *, CAST('0x' || substr(prompt_hash, 1, 2) AS INTEGER) % 5 AS k FROM prompts),
+kept AS (SELECT r.monitor_id, r.url, d.diff, m.goal, CASE k WHEN 0 THEN 'matches the goal' WHEN 4 THEN 'new section' END AS reason
+         FROM r JOIN diffs d USING (monitor_id, url) JOIN due m ON m.id = r.monitor_id WHERE k IN (0, 3, 4)
+         UNION ALL SELECT d.monitor_id, d.url, d.diff, NULL, NULL FROM diffs d JOIN due m ON m.id = d.monitor_id
+         WHERE coalesce(m.goal, '') = ''),
+chk AS (SELECT monitor_id, count(*) AS n FROM monitor_cur WHERE http_status IN (200, 304) GROUP BY 1),
+pay AS (SELECT monitor_id, max(goal) AS goal, count(*) AS n, string_agg('{{"url":' || to_json(url) || ',"diff":' || to_json(diff)
+          || CASE WHEN goal IS NULL THEN '' ELSE ',"relevant":true' || coalesce(',"reason":' || to_json(reason), '') END || '}}',
+          ',' ORDER BY url) AS changes FROM kept GROUP BY monitor_id),
+k4 AS (SELECT p.monitor_id, m.webhook_url, CAST(p.n AS BIGINT) AS pages_changed,
+         '{{"monitor-id":' || to_json(p.monitor_id) || ',"checked-at":"{_RUN_AT.replace(' ', 'T')}.000Z","pages-checked":' || coalesce(c.n, 0)
+         || ',"pages-changed":' || p.n || coalesce(',"goal":' || to_json(p.goal), '') || ',"changes":[' || p.changes || ']}}' AS payload
+       FROM pay p JOIN due m ON m.id = p.monitor_id LEFT JOIN chk c USING (monitor_id))"""
+
+
+@register("m16_k4_monitor_outbox", _K4_SQL + " SELECT * FROM k4")
 def q_monitor_outbox(spark, sf):
     """M16 composite + K4 payloads (one per monitor with kept changes)."""
     return _run(spark, sf).outbox
 
 
-@register("m16_monitor_run_jobs")
+def _m16_jobs_sql(failed: str) -> str:
+    return _DUE_DIFF_SQL + f""",
+chk AS (SELECT monitor_id, count(*) AS n FROM monitor_cur WHERE http_status IN (200, 304) GROUP BY 1),
+b AS (SELECT *, {failed} AS broke FROM due)
+SELECT substr(sha256(b.id || '@{_RUN_AT}#job'), 1, 16) AS id, CASE WHEN broke THEN 'failed' ELSE 'completed' END AS status, b.url,
+  max_depth, max_pages, include_patterns, exclude_patterns,
+  CAST(CASE WHEN broke THEN 0 ELSE coalesce(chk.n, 0) END AS INTEGER) AS pages_scraped,
+  TIMESTAMP '{_RUN_AT}' AS started_at, TIMESTAMP '{_RUN_AT}' AS completed_at, b.id AS monitor_id,
+  CASE WHEN broke THEN 'crawl of ' || b.id || ' broke off' END AS error FROM b LEFT JOIN chk ON chk.monitor_id = b.id"""
+
+
+@register("m16_monitor_run_jobs", _m16_jobs_sql("false"))
 def q_monitor_jobs(spark, sf):
     """The synthetic job row of every due monitor's run."""
     return _run(spark, sf).jobs
 
 
+_BROKE = "CAST(regexp_extract(id, '(\\d+)$', 1) AS INTEGER) % 4 = 1"
+
+
+def _failed_run(spark, sf):
+    """A run in which the crawls of a quarter of the monitors break off."""
+    broke = F.regexp_extract("id", r"(\d+)$", 1).cast("int") % 4 == 1
+    mons = FX.monitors(spark, sf)
+    failures = mons.where(broke).select(F.col("id").alias("monitor_id"),
+                                        F.concat(F.lit("crawl of "), "id", F.lit(" broke off")).alias("error"))
+    return MR.monitor_run(mons, _state(spark, sf), FX.monitor_cur(spark, sf), _RUN_AT, failures=failures)
+
+
+@register("m16_failed_run_jobs", _m16_jobs_sql(_BROKE))
+def q_failed_jobs(spark, sf):
+    """Runs that break off end failed with zero counts, the others complete."""
+    return _failed_run(spark, sf).jobs
+
+
+@register("m16_failed_run_checks", _DUE_DIFF_SQL + f""",
+chk AS (SELECT monitor_id, count(*) AS n FROM monitor_cur WHERE http_status IN (200, 304) GROUP BY 1),
+chg AS (SELECT monitor_id, count(*) AS n FROM diffs GROUP BY 1),
+b AS (SELECT *, {_BROKE} AS broke FROM due)
+SELECT substr(sha256(b.id || '@{_RUN_AT}'), 1, 16) AS check_id, b.id AS monitor_id, substr(sha256(b.id || '@{_RUN_AT}#job'), 1, 16) AS job_id,
+  CAST(CASE WHEN broke THEN 0 ELSE coalesce(chk.n, 0) END AS INTEGER) AS pages_checked,
+  CAST(CASE WHEN broke THEN 0 ELSE coalesce(chg.n, 0) END AS INTEGER) AS pages_changed, TIMESTAMP '{_RUN_AT}' AS checked_at
+FROM b LEFT JOIN chk ON chk.monitor_id = b.id LEFT JOIN chg ON chg.monitor_id = b.id""")
+def q_failed_checks(spark, sf):
+    """A run that breaks off still writes its check, with zeros."""
+    return _failed_run(spark, sf).checks
+
+
 # ------------------------------------------------------------------ LLM batch: E1-E7
 
 
@@ -1002,7 +1079,7 @@ def _stage(df: DataFrame, tag: str, parts: int = 4) -> tuple[str, object]:
 
 def _drain(df: DataFrame, tag: str) -> DataFrame:
     out = fresh_dir(df.sparkSession, tag + "-out")
-    S.run_available(df, out, out + "-ckpt")
+    S.run_available(df, out, out + "-ckpt", partitions=df.sparkSession.sparkContext.defaultParallelism)
     return df.sparkSession.read.parquet(out)
 
 
@@ -1031,17 +1108,18 @@ def q_t1(spark, sf):
     return _drain(S.stream_scrape(src), "t1")
 
 
-@register("t2_stream_changes", _CHANGED_SQL + " SELECT monitor_id, url, prev_hash, hash FROM changed")
+@register("t2_stream_changes", _CHANGED_SQL + """
+SELECT c.monitor_id, c.url, c.prev_hash, c.hash, m.etag, m.last_modified FROM changed c JOIN monitor_cur m USING (monitor_id, url)""")
 def q_t2(spark, sf):
-    """Keyed state over the previous then the current snapshot equals M7."""
+    """State from the M10 table of the previous snapshot, then the
+    previous snapshot again (a replay, ignored) and the current one: M7."""
     prev = FX.monitor_prev(spark, sf).withColumn("http_status", F.lit(200))
-    cur = FX.monitor_cur(spark, sf)
-    cols = ["monitor_id", "url", "http_status", "markdown", "etag", "checked_at"]
+    cols = ["monitor_id", "url", "http_status", "markdown", "etag", "last_modified", "checked_at"]
     path = fresh_dir(spark, "t2-in")
-    prev.select(*cols).repartition(2).write.parquet(path)
-    cur.select(*cols).repartition(2).write.mode("append").parquet(path)
-    src = spark.readStream.schema(prev.select(*cols).schema).option("maxFilesPerTrigger", 2).parquet(path)
-    return _drain(S.stream_changes(src), "t2").select("monitor_id", "url", "prev_hash", "hash")
+    FX.monitor_cur(spark, sf).select(*cols).unionByName(prev.select(*cols)).repartition("url").write.parquet(path)
+    src = spark.readStream.schema(prev.select(*cols).schema).option("maxFilesPerTrigger", 4).parquet(path)
+    return _drain(S.stream_changes(src, _state(spark, sf)), "t2") \
+        .select("monitor_id", "url", "prev_hash", "hash", "etag", "last_modified")
 
 
 @register("t3_stream_backoff", _C8_SQL.replace("SELECT job_id, ord, fetched_at, blocked, skipped, backoff_until FROM fold", "SELECT job_id, ord, skipped, backoff_until FROM fold"))
@@ -1055,7 +1133,7 @@ def q_t3(spark, sf):
     p.repartition(F.xxhash64("job_id", "ord")).write.parquet(path)
     schema = p.schema
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return _drain(S.stream_backoff(src), "t3")
+    return _drain(S.stream_backoff(src, wait_minutes=None), "t3")
 
 
 def _t4_sql():
@@ -1111,18 +1189,28 @@ def q_t5(spark, sf):
     """T5: each job's page timestamps as its heartbeat stream, arriving in
     four event-time slices; a running job is reported stale once event time
     passes its last heartbeat + 2 minutes."""
-    hb = FX.job_pages(spark, sf).select("job_id", F.col("scraped_at").alias("ts"))
-    path = _stage_slices(hb, "ts", "t5-in")
-    src = spark.readStream.schema(hb.schema).option("maxFilesPerTrigger", 4).parquet(path)
-    return _drain(S.stream_stale_jobs(src, FX.jobs(spark, sf)), "t5").select(
+    hb = FX.job_pages(spark, sf).select("job_id", F.col("scraped_at").alias("ts"), F.lit(None).cast("string").alias("status"))
+    # every job reports its status with its first page
+    began = hb.groupBy("job_id").agg(F.min("ts").alias("ts")) \
+        .join(FX.jobs(spark, sf).select(F.col("id").alias("job_id"), "status"), "job_id").select("job_id", "ts", "status")
+    events = hb.unionByName(began)
+    path = _stage_slices(events, "ts", "t5-in")
+    src = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    return _drain(S.stream_stale_jobs(src), "t5").select(
         "job_id", F.col("last_heartbeat_at").cast("timestamp_ntz").alias("last_heartbeat_at"))
 
 
-@register("t6_stream_outbox", _W("jobs") + """
+_K3_ROWS = """
 SELECT id AS job_id, webhook_url,
   '{"job-id":' || to_json(id) || ',"status":' || to_json(status) || ',"pages-scraped":' || CAST(pages_scraped AS VARCHAR)
   || ',"pages-failed":' || CAST(pages_failed AS VARCHAR) || ',"results-url":' || to_json('/jobs/' || id) || '}' AS payload
-FROM jobs WHERE webhook_url IS NOT NULL AND status IN ('completed', 'failed')""")
+FROM jobs WHERE webhook_url IS NOT NULL AND status IN ('completed', 'failed')"""
+_T6_SQL = _K4_SQL.replace("WITH ", _W("jobs") + ", ", 1) + f", k3 AS ({_K3_ROWS})" + """
+SELECT 'crawl' AS kind, job_id AS id, webhook_url, payload FROM k3
+UNION ALL SELECT 'monitor', monitor_id, webhook_url, payload FROM k4"""
+
+
+@register("t6_stream_outbox", _W("jobs") + _K3_ROWS)
 def q_t6(spark, sf):
     """K3 payloads written per micro-batch (idempotent by batch id)."""
     path, schema = _stage(FX.jobs(spark, sf), "t6-in")
@@ -1132,6 +1220,25 @@ def q_t6(spark, sf):
     return spark.read.parquet(out).select("job_id", "webhook_url", "payload")
 
 
+@register("t6_stream_outboxes", _T6_SQL)
+def q_t6_both(spark, sf):
+    """K3 and K4 payloads of finished jobs and monitor runs, one commit a micro-batch."""
+    run = _run(spark, sf)
+    runs = M.monitor_runs(run.verdicts, run.checks, run.due, _RUN_AT)
+    jobs = FX.jobs(spark, sf)
+    events = jobs.select(F.struct(*jobs.columns).alias("job"), F.lit(None).cast(S.RUN).alias("run")) \
+        .unionByName(runs.select(F.lit(None).cast(jobs.schema.simpleString()).alias("job"),
+                                 F.struct("monitor_id", "check_id", "run_at", "webhook_url", "goal", "pages_checked", "changes").cast(S.RUN).alias("run")))
+    path = fresh_dir(spark, "t6-both")
+    events.repartition(F.xxhash64("job.id", "run.monitor_id")).write.parquet(path)
+    src = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    out = fresh_dir(spark, "t6-both-out")
+    S.stream_outboxes(src, out, out + "-ckpt")
+    got = S.read_outboxes(spark, out)
+    return got["crawl"].select(F.lit("crawl").alias("kind"), F.col("job_id").alias("id"), "webhook_url", "payload") \
+        .unionByName(got["monitor"].select(F.lit("monitor").alias("kind"), F.col("monitor_id").alias("id"), "webhook_url", "payload"))
+
+
 # ------------------------------------------------------------------ S1, S7, K1: typed scans and page sink
 
 

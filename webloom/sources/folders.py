@@ -49,3 +49,12 @@ def delete(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         fs, p = _at(spark, path)
         fs.delete(p, True)
+
+
+def replace(spark: SparkSession, new: str, path: str) -> None:
+    """Puts the folder ``new`` in the place of ``path``."""
+    fs, p = _at(spark, path)
+    _, q = _at(spark, new)
+    fs.delete(p, True)
+    if not fs.rename(q, p):
+        raise OSError(f"could not replace {path}")

@@ -4,15 +4,15 @@ The reference re-runs crawls on a schedule and keeps state in tables;
 here the same work runs on arriving captures:
 
 * T1 ``stream_scrape``        stateless extraction (X7) per micro-batch.
-* T2 ``stream_changes``       keyed (monitor_id, url) last-hash state -> M7/M8.
+* T2 ``stream_changes``       typed page state per (monitor_id, url), started from M10's table -> M7/M8.
 * T3 ``stream_backoff``       keyed (job_id) backoff deadline -> C8.
 * T4 ``stream_scrape_stats``  watermark + sliding 24 h window counts (Q12 form).
-* T5 ``stream_stale_jobs``    keyed heartbeat with an event-time timeout (C14 form).
-* T6 ``stream_outbox``        foreachBatch writes of webhook payloads, idempotent by batch id.
+* T5 ``stream_stale_jobs``    heartbeats and status changes with event-time timers (C14 form).
+* T6 ``stream_outboxes``      foreachBatch writes of both webhook outboxes and the change rows, one commit a batch.
 
 State lives in the state store under the query checkpoint (put it on the
-cluster's shared storage; RocksDB is the store to choose for large keyed
-state such as T2's last markdown per page).
+cluster's shared storage). T2 and T5 keep theirs in RocksDB, which holds
+large keyed state such as the last markdown of every page on disk.
 """
 
 from __future__ import annotations
@@ -26,18 +26,36 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import crawl as C
 from ..operators import extract as X
+from ..operators import monitor as M
 from ..operators.diff import render_line_diff
+from ..sources import folders
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb(spark) -> None:
+    """Typed state variables need the RocksDB store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
-def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Drain every available input once into a parquet sink (batch-like run)."""
-    q = (df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-         .outputMode(mode).trigger(availableNow=True).start())
-    q.awaitTermination()
+
+def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append", partitions: int | None = None) -> None:
+    """Drain every available input once into a parquet sink (batch-like
+    run). ``partitions`` is the number of state partitions of a new query,
+    if not the session's number of shuffle partitions."""
+    conf, key = df.sparkSession.conf, "spark.sql.shuffle.partitions"
+    before = conf.get(key)
+    conf.set(key, str(partitions or before))
+    try:
+        q = (df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+             .outputMode(mode).trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        conf.set(key, before)
 
 
 # ------------------------------------------------------------------ T1
@@ -51,38 +69,70 @@ def stream_scrape(responses: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ T2
 
-CHANGE_SCHEMA = T.StructType([
-    T.StructField("monitor_id", T.StringType()), T.StructField("url", T.StringType()),
-    T.StructField("checked_at", T.TimestampNTZType()), T.StructField("prev_hash", T.StringType()),
-    T.StructField("hash", T.StringType()), T.StructField("diff", T.StringType())])
-CHANGE_STATE = T.StructType([
-    T.StructField("hash", T.StringType()), T.StructField("markdown", T.StringType()),
-    T.StructField("checked_at", T.TimestampNTZType())])
+CHANGE_SCHEMA = ("monitor_id string, url string, checked_at timestamp_ntz, prev_hash string, hash string, diff string, "
+                 "etag string, last_modified string")
+PAGE_STATE = "hash string, markdown string, etag string, last_modified string, checked_us long"
 
 
-def _changes_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    prev_hash, prev_md, prev_at = state.get if state.exists else (None, None, None)
-    rows = pd.concat(list(pdfs), ignore_index=True).sort_values("checked_at", kind="stable")
-    out = []
-    for r in rows.itertuples(index=False):
-        if prev_at is not None and r.checked_at <= prev_at:
-            continue  # replay or older than the stored state: ignored
-        if r.http_status != 200 or r.markdown is None:
-            continue  # 304 / failures leave the state alone
-        h = hashlib.sha256(r.markdown.encode("utf-8")).hexdigest()
-        if prev_hash is not None and prev_hash != h:
-            out.append((key[0], key[1], r.checked_at, prev_hash, h, render_line_diff(prev_md or "", r.markdown)))
-        prev_hash, prev_md, prev_at = h, r.markdown, r.checked_at
-    if prev_hash is not None:
-        state.update((prev_hash, prev_md, prev_at))
-    yield pd.DataFrame(out, columns=[f.name for f in CHANGE_SCHEMA.fields])
-
-
-def stream_changes(snapshots: DataFrame) -> DataFrame:
-    """Keyed last-hash state per (monitor_id, url); emits a change row
-    (with the line diff) whenever a fetched 200 differs from the stored hash."""
-    return snapshots.groupBy("monitor_id", "url").applyInPandasWithState(
-        _changes_fn, CHANGE_SCHEMA, CHANGE_STATE, "append", GroupStateTimeout.NoTimeout)
+class _Changes(StatefulProcessor):
+    """The last fetched content and validators of a page."""
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle) -> None:
+        self.page = handle.getValueState("page", PAGE_STATE, self.ttl_ms) if self.ttl_ms else handle.getValueState("page", PAGE_STATE)
+
+    def handleInitialState(self, key, rows, timerValues) -> None:
+        r = rows.sort_values("last_checked_at").iloc[-1]
+        if isinstance(r.last_content_hash, str):
+            self.page.update((r.last_content_hash, _text(r.last_markdown), _text(r.last_etag), _text(r.last_modified), _micros(r.last_checked_at)))
+
+    def handleInputRows(self, key, rows, timerValues):
+        now = self.page.get() if self.page.exists() else None
+        out, new = [], now
+        for r in pd.concat(list(rows), ignore_index=True).sort_values("checked_at", kind="stable").itertuples(index=False):
+            at = _micros(r.checked_at)
+            if new is not None and new[4] is not None and at <= new[4]:
+                continue  # replay or older than the stored state: ignored
+            if r.http_status != 200 or not isinstance(r.markdown, str):
+                continue  # 304 / failures leave the state alone
+            h = hashlib.sha256(r.markdown.encode("utf-8")).hexdigest()
+            etag, modified = _text(r.etag), _text(r.last_modified)
+            if new is not None and new[0] != h:
+                out.append((key[0], key[1], r.checked_at, new[0], h, render_line_diff(new[1] or "", r.markdown), etag, modified))
+            new = (h, r.markdown, etag, modified, at)
+        if new is not now:
+            self.page.update(new)
+        yield pd.DataFrame(out, columns=[f.split()[0] for f in CHANGE_SCHEMA.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def _text(x) -> str | None:
+    return x if isinstance(x, str) else None
+
+
+def _micros(x) -> int | None:
+    return None if pd.isna(x) else int(pd.Timestamp(x).value // 1000)
+
+
+def stream_changes(snapshots: DataFrame, state: DataFrame | None = None, ttl_days: int | None = None) -> DataFrame:
+    """For every fetched 200 of a page whose content differs from the
+    stored one, a change row with the line diff and the new validators.
+
+    ``snapshots``: (monitor_id, url, http_status, markdown, etag,
+    last_modified, checked_at). ``state``: the monitor_pages table (M10) that
+    a new query starts from. With ``ttl_days`` a page that is not fetched for
+    so long (processing time) is forgotten, and its next sight is a first."""
+    use_rocksdb(snapshots.sparkSession)
+    src = snapshots.select("monitor_id", "url", "http_status", "markdown", "etag", "last_modified", "checked_at")
+    first = None if state is None else state.select(
+        "monitor_id", "url", "last_content_hash", "last_markdown", "last_etag", "last_modified", "last_checked_at").groupBy("monitor_id", "url")
+    ttl = ttl_days * 86_400_000 if ttl_days else None
+    return src.groupBy("monitor_id", "url").transformWithStateInPandas(
+        _Changes(ttl), CHANGE_SCHEMA, "Append", "ProcessingTime" if ttl else "None", initialState=first)
 
 
 # ------------------------------------------------------------------ T3
@@ -115,12 +165,31 @@ def _backoff_fn(key, pdfs, state: GroupState):
     yield pd.DataFrame(out, columns=[f.name for f in BACKOFF_OUT.fields])
 
 
-def stream_backoff(pops: DataFrame) -> DataFrame:
+def _backoff_or_gap(wait_ms: int):
+    def run(key, pdfs, state: GroupState):
+        if state.hasTimedOut:       # the missing pop is given up: go on with the first that waits
+            until, _, waiting = state.get
+            state.update((until, min(map(int, json.loads(waiting))), waiting))
+            pdfs = iter(())
+        yield from _backoff_fn(key, pdfs, state)
+        if json.loads(state.get[2]):
+            state.setTimeoutDuration(wait_ms)
+    return run
+
+
+def stream_backoff(pops: DataFrame, wait_minutes: int | None = 10) -> DataFrame:
     """C8 as keyed state per job over (job_id, ord, fetched_at, blocked).
     A job's pops are numbered from 1 and may arrive in any order: each is
-    handled once all earlier ones are."""
+    handled once all earlier ones are, or once nothing new of its job came
+    for ``wait_minutes`` (processing time); a pop that comes later than that
+    has no row. Without ``wait_minutes`` a missing pop is waited for until
+    the stream ends, as a drained one must (processing-time timers keep an
+    ``availableNow`` query running)."""
+    if wait_minutes is None:
+        return pops.groupBy("job_id").applyInPandasWithState(
+            _backoff_fn, BACKOFF_OUT, BACKOFF_STATE, "append", GroupStateTimeout.NoTimeout)
     return pops.groupBy("job_id").applyInPandasWithState(
-        _backoff_fn, BACKOFF_OUT, BACKOFF_STATE, "append", GroupStateTimeout.NoTimeout)
+        _backoff_or_gap(wait_minutes * 60_000), BACKOFF_OUT, BACKOFF_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 # ------------------------------------------------------------------ T4
@@ -148,39 +217,69 @@ def stream_scrape_stats(log: DataFrame, watermark: str = "1 hour") -> DataFrame:
 
 STALE_OUT = T.StructType([T.StructField("job_id", T.StringType()),
                           T.StructField("last_heartbeat_at", T.TimestampType())])
-STALE_STATE = T.StructType([T.StructField("last", T.TimestampType())])
-
-
-def _stale_fn(key, pdfs, state: GroupState):
-    if state.hasTimedOut:
-        (last,) = state.get
-        state.remove()
-        yield pd.DataFrame([(key[0], last)], columns=["job_id", "last_heartbeat_at"])
-        return
-    last = state.get[0] if state.exists else None
-    for pdf in pdfs:
-        m = pdf["ts"].max()
-        last = m if last is None or m > last else last
-    deadline = int(pd.Timestamp(last).value // 1_000_000) + 120_000
-    if deadline <= state.getCurrentWatermarkMs():
-        # already older than watermark - 2 min: stale now
-        state.remove()
-        yield pd.DataFrame([(key[0], last)], columns=["job_id", "last_heartbeat_at"])
-        return
-    state.update((last,))
-    state.setTimeoutTimestamp(deadline)
-    yield pd.DataFrame([], columns=["job_id", "last_heartbeat_at"])
-
-
-def stream_stale_jobs(heartbeats: DataFrame, jobs: DataFrame, watermark: str = "0 seconds") -> DataFrame:
+STALE_MS = 120_000
+
+
+class _Stale(StatefulProcessor):
+    """A job's status and last heartbeat; one timer at the heartbeat's end."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.beat = handle.getValueState("beat", "us long")
+        self.status = handle.getValueState("status", "status string, us long")
+
+    def _report(self, key):
+        us = self.beat.get()[0]
+        self.beat.clear()
+        yield pd.DataFrame({"job_id": [key[0]], "last_heartbeat_at": [pd.Timestamp(us, unit="us")]})
+
+    def handleInputRows(self, key, rows, timerValues):
+        beat = self.beat.get()[0] if self.beat.exists() else None
+        status, since = self.status.get() if self.status.exists() else (None, None)
+        before = beat
+        for pdf in rows:
+            for at, new in zip(pdf["ts"], pdf["status"]):
+                us = _micros(at)
+                if isinstance(new, str):
+                    if since is None or us >= since:
+                        status, since = new, us
+                elif beat is None or us > beat:
+                    beat = us
+        if since is not None:
+            self.status.update((status, since))
+        if before is not None:
+            self.handle.deleteTimer(before // 1000 + STALE_MS)
+        if beat is not None:
+            self.beat.update((beat,))
+            deadline = beat // 1000 + STALE_MS
+            if status == "running" and deadline <= timerValues.getCurrentWatermarkInMs():
+                yield from self._report(key)        # older than event time allows: stale now
+                return
+            self.handle.registerTimer(deadline)
+        yield pd.DataFrame([], columns=STALE_OUT.fieldNames())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        status = self.status.get()[0] if self.status.exists() else None
+        if status == "running" and self.beat.exists():
+            yield from self._report(key)
+        else:
+            yield pd.DataFrame([], columns=STALE_OUT.fieldNames())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_stale_jobs(events: DataFrame, watermark: str = "0 seconds") -> DataFrame:
     """T5: a running job is reported stale once event time passes its last
-    heartbeat + 2 minutes without a newer one (event-time timeout). ``jobs``
-    (id, status) is read anew for every micro-batch; heartbeats of jobs that
-    are not running only move event time on."""
-    hb = heartbeats.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-    hb = hb.join(jobs.where(F.col("status") == "running").select(F.col("id").alias("job_id")), "job_id", "left_semi")
-    return hb.groupBy("job_id").applyInPandasWithState(
-        _stale_fn, STALE_OUT, STALE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    heartbeat + 2 minutes without a newer one, once per silence.
+
+    ``events``: (job_id, ts, status); a row with a status is a status
+    change, one without is a heartbeat. A job counts as running from a
+    ``running`` row until its next status change; a job that ended between
+    heartbeats is not reported."""
+    use_rocksdb(events.sparkSession)
+    ev = events.select("job_id", F.col("ts").cast("timestamp").alias("ts"), "status").withWatermark("ts", watermark)
+    return ev.groupBy("job_id").transformWithStateInPandas(_Stale(), STALE_OUT, "Append", "EventTime")
 
 
 # ------------------------------------------------------------------ T6
@@ -194,3 +293,49 @@ def stream_outbox(finished_jobs: DataFrame, out_dir: str, checkpoint: str) -> No
     q = (finished_jobs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+RUN = ("struct<monitor_id:string,check_id:string,run_at:timestamp_ntz,webhook_url:string,goal:string,pages_checked:int,"
+       "changes:array<struct<url:string,diff:string,relevant:boolean,reason:string,keep:boolean>>>")
+
+
+def _write_outboxes(batch: DataFrame, batch_id: int, out_dir: str) -> None:
+    """The three tables of one batch, then the commit that makes them visible."""
+    part = f"batch_id={batch_id}"
+    jobs = batch.where("job is not null").select("job.*")
+    runs = batch.where("run is not null").select("run.*")
+    C.crawl_outbox(jobs).write.mode("overwrite").parquet(f"{out_dir}/crawl/{part}")
+    M.run_outbox(runs).write.mode("overwrite").parquet(f"{out_dir}/monitor/{part}")
+    M.run_changes(runs).write.mode("overwrite").parquet(f"{out_dir}/changes/{part}")
+    folders.put_json(batch.sparkSession, f"{out_dir}/commits/{batch_id:010d}.json", {"batch_id": batch_id})
+
+
+def stream_outboxes(events: DataFrame, out_dir: str, checkpoint: str) -> None:
+    """Finished crawl jobs (column ``job``, K3) and finished monitor runs
+    (column ``run``, ``RUN``, K4) -> both outboxes and the change rows.
+
+    A batch writes its own folders anew, so one that broke off between two
+    tables is replayed into the same rows, and ``read_outboxes`` shows only
+    batches that are complete: no payload is lost, none is doubled."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            if batch_id not in _committed(batch.sparkSession, out_dir):
+                _write_outboxes(batch, batch_id, out_dir)
+        finally:
+            batch.unpersist()
+
+    q = (events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def _committed(spark, out_dir: str) -> set[int]:
+    return {int(n[:-5]) for n in folders.names(spark, f"{out_dir}/commits") if n.endswith(".json")}
+
+
+def read_outboxes(spark, out_dir: str) -> dict[str, DataFrame]:
+    """``crawl``, ``monitor`` and ``changes`` rows of all complete batches."""
+    done = sorted(_committed(spark, out_dir))
+    return {k: spark.read.option("basePath", f"{out_dir}/{k}").parquet(*[f"{out_dir}/{k}/batch_id={b}" for b in done])
+            for k in ("crawl", "monitor", "changes")} if done else {}
