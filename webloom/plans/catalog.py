@@ -647,7 +647,74 @@ def q_resumed_jobs(spark, sf):
     return Q.resume_jobs(FX.jobs(spark, sf), _JAS).select("id", "status", "last_heartbeat_at")
 
 
-@register("c15_resume_frontier")
+def _crawl_sql(levels: int) -> str:
+    """CTEs of a plain crawl (no sitemaps, robots or renderings) level by
+    level: ``pages`` (job_id, ord, url, depth, status, skipped, title,
+    scraped_at) of the first ``levels`` levels and ``visited`` (job_id, url,
+    depth, ord) up to the next one. A level's backoff is a recursion over
+    its pops."""
+    status = """CASE WHEN c.url IS NULL OR c.error IS NOT NULL THEN 'error' WHEN http_status = 404 THEN 'not_found'
+      WHEN http_status IN (403, 429) THEN 'blocked' WHEN http_status BETWEEN 200 AND 299 THEN 'scraped' ELSE 'error' END"""
+    doc = O.strip_nodes("html")
+    sql = _W("link_graph", "crawl_jobs", "crawl_responses").replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+cfg AS MATERIALIZED (SELECT id AS job_id, url AS seed, {O.normalize_url('url', 'url')} AS root, {O.url_host('url')} AS host,
+  regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin, max_pages, max_depth, include_patterns, exclude_patterns FROM crawl_jobs),
+caps AS MATERIALIZED (SELECT url, http_status, error, fetched_at, {O.page_title(doc)} AS title FROM crawl_responses),
+raw AS (SELECT url AS page_url, unnest(links) AS href, generate_subscripts(links, 1) - 1 AS pos
+        FROM (SELECT url, {O.page_links(doc)} AS links FROM crawl_responses WHERE http_status = 200)),
+edge AS MATERIALIZED (SELECT page_url, pos, cand, {O.url_host('cand')} AS host, regexp_extract(cand, '^(https?://[^/?#]+)', 1) AS origin
+         FROM (SELECT *, {O.normalize_url('href', 'page_url')} AS cand FROM raw) WHERE cand IS NOT NULL),
+v0 AS (SELECT job_id, root AS url, 0 AS depth, CAST(1 AS BIGINT) AS ord FROM cfg WHERE root IS NOT NULL),
+u0 AS (SELECT job_id, NULL::TIMESTAMP AS until FROM cfg)"""
+    for r in range(levels):
+        seen = " UNION ALL ".join(f"SELECT job_id, url FROM v{i}" for i in range(r + 1))
+        sql += f""",
+p{r} AS MATERIALIZED (SELECT v.*, {status} AS status, c.fetched_at, c.title, row_number() OVER (PARTITION BY v.job_id ORDER BY v.ord) AS k
+  FROM v{r} v JOIN cfg USING (job_id) LEFT JOIN caps c ON c.url = v.url WHERE v.ord <= cfg.max_pages),
+b{r} AS (SELECT job_id, CAST(0 AS BIGINT) AS k, false AS skipped, until FROM u{r}
+  UNION ALL
+  SELECT p.job_id, p.k, s.skip, CASE WHEN NOT s.skip AND p.status = 'blocked' THEN coalesce(b.until, p.fetched_at) + INTERVAL 30 SECOND ELSE b.until END
+  FROM b{r} b JOIN p{r} p ON p.job_id = b.job_id AND p.k = b.k + 1,
+       LATERAL (SELECT coalesce(b.until IS NOT NULL AND p.fetched_at < b.until, false) AS skip) s),
+g{r} AS MATERIALIZED (SELECT p.*, b.skipped FROM p{r} p JOIN b{r} b ON b.job_id = p.job_id AND b.k = p.k),
+u{r + 1} AS MATERIALIZED (SELECT job_id, arg_max(until, k) AS until FROM b{r} GROUP BY job_id),
+c{r} AS (SELECT g.job_id, e.cand, g.depth + 1 AS depth, g.ord, e.pos FROM g{r} g JOIN cfg USING (job_id) JOIN edge e ON e.page_url = g.url
+  WHERE g.status = 'scraped' AND NOT g.skipped AND g.depth < cfg.max_depth AND e.host = cfg.host AND e.origin = cfg.origin
+    AND {O.allowed_by_patterns('e.cand', 'cfg.include_patterns', 'cfg.exclude_patterns')}),
+d{r} AS (SELECT job_id, cand, depth, row_number() OVER (PARTITION BY job_id ORDER BY ord, pos) AS n FROM (
+    SELECT *, row_number() OVER (PARTITION BY job_id, cand ORDER BY ord, pos) AS f FROM c{r}) x
+  WHERE f = 1 AND NOT EXISTS (SELECT 1 FROM ({seen}) s WHERE s.job_id = x.job_id AND s.url = x.cand)),
+v{r + 1} AS MATERIALIZED (SELECT d.job_id, d.cand AS url, d.depth, h.n + d.n AS ord FROM d{r} d JOIN cfg USING (job_id)
+  JOIN (SELECT job_id, max(ord) AS n FROM v{r} GROUP BY job_id) h USING (job_id) WHERE h.n + d.n <= 3 * cfg.max_pages)"""
+    return sql + f""",
+pages AS (SELECT job_id, ord, url, depth, skipped, CASE WHEN skipped THEN 'blocked' ELSE status END AS status,
+    CASE WHEN NOT skipped AND status = 'scraped' THEN title END AS title, fetched_at AS scraped_at
+  FROM ({" UNION ALL ".join(f"SELECT * FROM g{r}" for r in range(levels))})),
+visited AS ({" UNION ALL ".join(f"SELECT * FROM v{r}" for r in range(levels + 1))})"""
+
+
+@register("c7_plain_crawl_pages", _crawl_sql(C.DEPTH_MAX + 1) + f"""
+SELECT job_id, ord, url, depth, status, title, scraped_at FROM pages""")
+def q_plain_pages(spark, sf):
+    """C7 with plain fetches: every page row of the link-graph jobs."""
+    return PC.crawl(spark, FX.crawl_jobs(spark, sf), FX.crawl_responses(spark, sf)).pages.select(
+        "job_id", "ord", "url", "depth", "status", "title", "scraped_at")
+
+
+@register("c7_plain_crawl_jobs", _crawl_sql(C.DEPTH_MAX + 1) + f"""
+SELECT c.job_id AS id, 'completed' AS status, CAST(coalesce(v.n, 0) AS INTEGER) AS pages_discovered,
+  CAST(coalesce(p.s, 0) AS INTEGER) AS pages_scraped, CAST(coalesce(p.f, 0) AS INTEGER) AS pages_failed, p.hb AS last_heartbeat_at
+FROM cfg c LEFT JOIN (SELECT job_id, count(*) AS n FROM visited GROUP BY 1) v USING (job_id)
+LEFT JOIN (SELECT job_id, count(*) FILTER (status = 'scraped') AS s, count(*) FILTER (status <> 'scraped') AS f, max(scraped_at) AS hb
+           FROM pages GROUP BY 1) p USING (job_id)""")
+def q_plain_jobs(spark, sf):
+    """C7 + C11/C12: job rows of the crawl with plain fetches."""
+    return PC.crawl(spark, FX.crawl_jobs(spark, sf), FX.crawl_responses(spark, sf)).jobs.select(
+        "id", "status", "pages_discovered", "pages_scraped", "pages_failed", "last_heartbeat_at")
+
+
+@register("c15_resume_frontier", _crawl_sql(2) + f"""
+SELECT job_id, url, depth, ord FROM visited v WHERE NOT EXISTS (SELECT 1 FROM pages p WHERE p.job_id = v.job_id AND p.url = v.url)""")
 def q_resume(spark, sf):
     """C14 + C15: crawls stopped after two rounds are marked running with
     an old heartbeat; C14 finds them stale and C15 returns their remaining
@@ -660,6 +727,15 @@ def q_resume(spark, sf):
     return C.resume_frontier(stale, r.visited, r.pages).select("job_id", "url", "depth", "ord")
 
 
+@register("c15_resumed_crawl", _crawl_sql(C.DEPTH_MAX + 1) + """
+SELECT job_id, ord, url, depth, status, title, scraped_at FROM pages""")
+def q_resumed(spark, sf):
+    """Crawls stopped after one round and resumed from their store have the pages of an uninterrupted crawl."""
+    store, caps = fresh_dir(spark, "stopped-crawl"), FX.crawl_responses(spark, sf)
+    PC.crawl(spark, FX.crawl_jobs(spark, sf), caps, max_rounds=1, store=store)
+    return PC.resume_crawl(spark, store, caps).pages.select("job_id", "ord", "url", "depth", "status", "title", "scraped_at")
+
+
 # ------------------------------------------------------------------ monitoring: M1-M16, K4
 
 
