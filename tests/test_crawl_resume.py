@@ -103,3 +103,17 @@ def test_a_run_that_breaks_off(spark, inputs, whole):
     b = got.pop(ids[0])
     assert (b.status, b.pages_scraped, b.pages_failed, b.error) == ("failed", 0, 0, "connection lost")
     assert got == {k: v for k, v in want.items() if k != ids[0]}
+
+
+def test_budgets_beyond_the_bound_are_refused(spark):
+    """S5 and C5 by themselves fail for a job above 1,000 pages instead of cutting it."""
+    jobs = spark.createDataFrame([("j", "https://a.com/", 1001)], "id string, url string, max_pages int") \
+        .withColumn("include_patterns", F.array().cast("array<string>")).withColumn("exclude_patterns", F.array().cast("array<string>"))
+    cands = spark.createDataFrame([("j", "https://a.com/x", 1, 0, 1)], "job_id string, url string, parent_ord long, pos int, depth int")
+    visited = spark.createDataFrame([("j", "https://a.com/", 1)], "job_id string, url string, ord long")
+    with pytest.raises(Exception, match="above 1000"):
+        C.admit_new(cands, visited, jobs).collect()
+    sitemaps = spark.createDataFrame([("https://a.com/sitemap.xml", "<urlset><loc>https://a.com/x</loc></urlset>")], "sitemap_url string, xml string")
+    with pytest.raises(Exception, match="above 1000"):
+        C.discover_from_sitemap(jobs, sitemaps, None).collect()
+    assert C.admit_new(cands, visited, jobs.withColumn("max_pages", F.lit(1000))).count() == 1

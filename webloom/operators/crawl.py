@@ -108,6 +108,12 @@ def _admissible(df: DataFrame, href, base) -> DataFrame:
     return d.drop("_p")
 
 
+def _budget(max_pages: str = "max_pages") -> Column:
+    """A job's page budget; one beyond C1's bound ends the query, it is never cut."""
+    c = F.col(max_pages)
+    return F.when(c > PAGES_MAX, F.raise_error(F.lit(f"{max_pages} above {PAGES_MAX}")).cast("int")).otherwise(c)
+
+
 def discover_from_sitemap(jobs: DataFrame, sitemaps: DataFrame, rules: DataFrame | None) -> DataFrame:
     """Sitemap seed candidates per job: normalised against the site,
     same host, robots, globs; first 3*max_pages candidates; deduplicated
@@ -116,7 +122,7 @@ def discover_from_sitemap(jobs: DataFrame, sitemaps: DataFrame, rules: DataFrame
     roots = jobs.select(F.col("id").alias("job_id"),
                         F.concat(url_origin("url"), F.lit("/sitemap.xml")).alias("sitemap_url"))
     locs = expand_sitemaps(roots, sitemaps)
-    cfg = evaluate_once(jobs.select(F.col("id").alias("job_id"), F.col("url").alias("seed"), "max_pages",
+    cfg = evaluate_once(jobs.select(F.col("id").alias("job_id"), F.col("url").alias("seed"), _budget().alias("max_pages"),
                                     "include_patterns", "exclude_patterns"), _sp=parse_url_parts("seed"))
     cfg = cfg.select("*", F.col("_sp.host").alias("seed_host"), url_origin_of(F.col("_sp")).alias("seed_origin")) \
              .drop("_sp")
@@ -258,8 +264,7 @@ def admit_new(cands: DataFrame, visited: DataFrame, jobs: DataFrame, seen: DataF
     fresh = first.join(visited.select("job_id", "url"), ["job_id", "url"], "left_anti")
     if seen is None:
         seen = visited.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_visited"))
-    cap = jobs.select(F.col("id").alias("job_id"), (F.col("max_pages") * DISCOVERY_FACTOR).alias("cap"),
-                      "max_pages")
+    cap = jobs.select(F.col("id").alias("job_id"), (_budget() * DISCOVERY_FACTOR).alias("cap"), "max_pages")
     w = Window.partitionBy("job_id").orderBy("parent_ord", "pos")
     r = fresh.join(seen, "job_id", "left").join(cap, "job_id") \
              .withColumn("n_visited", F.coalesce("n_visited", F.lit(0))) \

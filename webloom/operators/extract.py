@@ -111,7 +111,7 @@ def choose_rendering(plain: DataFrame, rendered: DataFrame, engine: str = "auto"
     ``browser``: rendered only (no/failed rendering -> error).
     ``fetch``: plain only.
     ``auto``: plain, replaced by the rendering when the plain result is thin
-    (``flavour='scrape'``) or thin or blocked (``flavour='crawl'``) and a
+    (``flavour='scrape'``) or thin, blocked or a 304 (``flavour='crawl'``) and a
     successful rendering exists; a failed rendering keeps the plain result.
     Both inputs are outputs of ``scrape_pages``; the join is on url. If both
     keep ``duration_ms`` and ``fetched_at``, the result has the time that all
@@ -138,8 +138,8 @@ def choose_rendering(plain: DataFrame, rendered: DataFrame, engine: str = "auto"
         return plain.select("url", F.lit("fetch").alias("engine"), *cols, *times)
     j = plain.select("url", *cols, *times).join(r, "url", "left")
     want = F.coalesce(F.col("thin"), F.lit(False)) & (F.col("status") == "scraped") & ~F.col("unchanged")
-    if flavour == "crawl":
-        want = want | (F.col("status") == "blocked")
+    if flavour == "crawl":      # a 304 has no content, so it counts as thin
+        want = want | (F.col("status") == "blocked") | F.coalesce(F.col("unchanged"), F.lit(False))
     use = want & (F.col("r_status") == "scraped")
     return j.select("url", F.when(use, "browser").otherwise("fetch").alias("engine"),
                     *[F.when(use, F.col("r_" + c)).otherwise(F.col(c)).alias(c) for c in cols],

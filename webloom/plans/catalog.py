@@ -464,6 +464,26 @@ def q_scrape_log(spark, sf):
     return X.scrape_log_rows(chosen, "auto", "scrape")
 
 
+@register("k2_scrape_log_facts", _W("responses") + f"""
+SELECT url, 'scrape' AS source, CASE WHEN ok THEN 'fetch' END AS engine, CASE WHEN ok THEN 'ok' ELSE 'error' END AS status, duration_ms,
+  CASE WHEN ok THEN {O.page_title(O.strip_nodes('html'))} END AS title,
+  CASE WHEN ok THEN NULL WHEN error IS NOT NULL THEN 'Failed to fetch ' || url || ': ' || error
+       ELSE url || ' returned HTTP ' || http_status END AS error, fetched_at AS created_at
+FROM (SELECT *, coalesce(error IS NULL AND http_status BETWEEN 200 AND 299, false) AS ok FROM responses)""")
+def q_scrape_log_facts(spark, sf):
+    """K2 of plain scrapes: every column of the log row but the markdown's length."""
+    plain = X.scrape_pages(FX.responses(spark, sf), keep=("duration_ms", "fetched_at"), with_markdown=False)
+    return X.scrape_log_rows(plain, "auto", "scrape").drop("markdown_length")
+
+
+@register("x5_thin_texts", f"""
+SELECT doc_id, {O.utf16_length("coalesce(text, '')")} < 150 AS thin FROM documents""")
+def q_thin_texts(spark, sf):
+    """X5 over texts that are markdown already: under 150 UTF-16 units."""
+    from ..functions.html import is_thin
+    return driver_table(spark, sf, "documents").select("doc_id", is_thin(F.coalesce("text", F.lit(""))).alias("thin"))
+
+
 # ------------------------------------------------------------------ crawl: S3-S6, U5, U6, C1-C15, K1, K3
 
 
@@ -1142,14 +1162,29 @@ fold AS (
 SELECT job_id, ord, fetched_at, blocked, skipped, backoff_until FROM fold"""
 
 
+@register("e5_e6_document_results", "WITH " + _prompt_sql() + f"""
+SELECT page_id, truncated, prompt_hash, CASE WHEN n % 4 < 2 THEN 1 ELSE 2 END AS attempts,
+  CASE WHEN n % 8 <> 2 THEN 'T' || substr(prompt_hash, 1, 8) END AS title, CASE WHEN n % 8 <> 2 THEN CAST(n AS DOUBLE) END AS n,
+  CASE WHEN n % 8 <> 2 THEN true END AS ok, CASE WHEN n % 8 <> 2 THEN ['a', 'b'] END AS tags,
+  CASE WHEN n % 8 = 2 THEN 'extraction-failed' END AS error, {O.q(L.DEFAULT_PROVIDER)} AS provider, {O.q(L.DEFAULT_MODEL)} AS model,
+  TIMESTAMP '{_AS_OF}' AS extracted_at
+FROM (SELECT *, CAST('0x' || substr(prompt_hash, 1, 6) AS BIGINT) AS n FROM p)""")
+def q_document_results(spark, sf):
+    """E4 + E5 + E6 over documents as pages: one retry, typed fields, failures."""
+    pages = driver_table(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("markdown"))
+    got = L.extract_results(pages, FX.completions(spark, sf, _doc_prompts(spark, sf)), EXTRACT_SCHEMA, extracted_at=_AS_OF)
+    return got.select("page_id", "truncated", "prompt_hash", "attempts", "typed.*", "error", "provider", "model", "extracted_at")
+
+
 # ------------------------------------------------------------------ streaming: T1-T6
 
 
 
-def _stage(df: DataFrame, tag: str, parts: int = 4) -> tuple[str, object]:
-    """Write a derived input to a fresh folder as several files; return (path, schema)."""
+def _stage(df: DataFrame, tag: str) -> tuple[str, object]:
+    """Write a derived input to a fresh folder, dealt out by a hash of its
+    first column into as many files as its size asks for; return (path, schema)."""
     path = fresh_dir(df.sparkSession, tag)
-    df.repartition(parts).write.parquet(path)
+    df.repartition(F.xxhash64(df.columns[0])).write.parquet(path)
     return path, df.schema
 
 
@@ -1159,12 +1194,13 @@ def _drain(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.parquet(out)
 
 
-def _stage_slices(df: DataFrame, tcol: str, tag: str, slices: int = 4, files: int = 4) -> str:
-    """Write ``df`` as ``slices`` event-time slices in sequence (each as
-    ``files`` files), so a file stream reading ``files`` files per trigger
-    sees the data in event-time order, one slice per micro-batch."""
+def _stage_slices(df: DataFrame, tcol: str, tag: str, slices: int = 4) -> tuple[str, int]:
+    """Write ``df`` as ``slices`` event-time slices in sequence, each as one
+    file a core of the cluster, so a file stream reading that many files per
+    trigger sees the data in event-time order, one slice per micro-batch.
+    Returns (path, files a slice)."""
     spark = df.sparkSession
-    path = fresh_dir(spark, tag)
+    path, files = fresh_dir(spark, tag), spark.sparkContext.defaultParallelism
     b = df.agg(F.min(tcol).alias("lo"), F.max(tcol).alias("hi")).collect()[0]
     step = (b.hi - b.lo) // slices   # whole microseconds, like the oracle
     for i in range(slices):
@@ -1173,7 +1209,7 @@ def _stage_slices(df: DataFrame, tcol: str, tag: str, slices: int = 4, files: in
         if i < slices - 1:
             part = part.where(F.col(tcol) < F.lit(lo + step).cast("timestamp_ntz"))
         part.repartition(files).write.mode("append").parquet(path)
-    return path
+    return path, files
 
 
 @register("t1_stream_scrape")
@@ -1229,13 +1265,12 @@ FROM agg, mx WHERE window_end <= wm"""
 @register("t4_stream_scrape_stats", _t4_sql())
 def q_t4(spark, sf):
     """T4: sliding 24 h scrape statistics with a 1 h watermark. The log
-    arrives in four time slices written in sequence (each slice as four
-    files, one trigger per slice); in append mode a window is emitted once
+    arrives in four time slices written in sequence (one trigger per slice); in append mode a window is emitted once
     the watermark (latest event - 1 h) passes its end."""
     log = FX.scrape_requests(spark, sf)
-    path = _stage_slices(log, "created_at", "t4-in")
+    path, files = _stage_slices(log, "created_at", "t4-in")
     # each trigger takes one slice's files (older slices were written first)
-    src = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    src = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files).parquet(path)
     return _drain(S.stream_scrape_stats(src), "t4")
 
 
@@ -1270,8 +1305,8 @@ def q_t5(spark, sf):
     began = hb.groupBy("job_id").agg(F.min("ts").alias("ts")) \
         .join(FX.jobs(spark, sf).select(F.col("id").alias("job_id"), "status"), "job_id").select("job_id", "ts", "status")
     events = hb.unionByName(began)
-    path = _stage_slices(events, "ts", "t5-in")
-    src = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    path, files = _stage_slices(events, "ts", "t5-in")
+    src = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(path)
     return _drain(S.stream_stale_jobs(src), "t5").select(
         "job_id", F.col("last_heartbeat_at").cast("timestamp_ntz").alias("last_heartbeat_at"))
 
