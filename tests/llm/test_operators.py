@@ -576,3 +576,13 @@ def test_pipeline_odd(spark, odd, none, tmp_path):
 
 def test_registered():
     assert {re.match(r"op(\d+)_", k)[1] for k in queries.QUERIES} == {str(i) for i in range(1, 14)}
+
+
+def test_kept_is_a_formula_of_the_ids(spark, tmp_path):
+    """Repeated ids and rows without id: kept says whether the id is its component's."""
+    text = "one two three four five six"
+    rows_ = [(5, text), (5, text), (7, text), (8, "other words here"), (None, text), (None, None)]
+    spark.createDataFrame(rows_, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op4_minhash_odd_sketch(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows_) and all(r.kept == (r.doc_id == r.component_id) for r in got)
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in got)[5, 5, True] == 2

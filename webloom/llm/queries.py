@@ -45,7 +45,8 @@ def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: 2-word shingles, 80 %."""
-    return neardup.duplicates(documents(spark, sf_dir), shingle=2, similarity=80)
+    return neardup.duplicates(documents(spark, sf_dir), shingle=2, similarity=80) \
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op5_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
