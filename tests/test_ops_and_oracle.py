@@ -63,11 +63,13 @@ def test_filter_after_limit_plan(spark):
 
 # queries that write or stream while being built (checked elsewhere)
 _SIDE_EFFECTS = {"s1_read_responses", "s7_read_ops_table", "k1_write_job_pages", "t2_stream_changes",
-                 "t6_stream_outbox", "c9_politeness_plan", "c10_politeness_violations"}
+                 "t6_stream_outbox", "c9_politeness_plan", "c10_politeness_violations",
+                 "c7_plain_crawl_pages", "c7_plain_crawl_jobs", "c15_resume_frontier", "c15_resumed_crawl",
+                 "m10_bucketed_state", "q17_stored_logs", "t6_stream_outboxes"}
 
 
 # the line diff is the one Python step (changed rows only)
-_DIFFS = {"m8_line_diff", "m12_change_records", "m13_judge_prompts", "m14_apply_verdicts"}
+_DIFFS = {"m8_line_diff", "m12_change_records", "m13_judge_prompts", "m14_apply_verdicts", "m16_k4_monitor_outbox"}
 
 
 def test_sql_checked_plans_are_native_and_join_on_keys(spark):
