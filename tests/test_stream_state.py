@@ -147,3 +147,18 @@ def test_retention_reads_and_drops_days(spark, tmp_path):
     gone = SK.drop_expired(spark, path, as_of, 5)
     assert gone and sorted(map(str, SK.read_dated(spark, path, log.schema).select(*log.columns).collect())) == want
     assert SK.drop_expired(spark, path, as_of, 5) == []
+
+
+def test_backoff_keeps_the_jobs_of_a_bucket_together(spark, tmp_path):
+    """One state row a bucket, whatever the number of jobs; rows as of C8."""
+    pops = spark.range(2400).select(
+        F.concat(F.lit("j"), (F.col("id") % 600).cast("string")).alias("job_id"), (F.floor(F.col("id") / 600) + 1).cast("long").alias("ord"),
+        F.expr("timestamp_ntz'2024-01-30 00:00:00' + make_dt_interval(0, 0, 0, id div 600 * (7 + id % 31))").alias("fetched_at"), (F.col("id") % 7 < 3).alias("blocked"))
+    pops = pops.unionByName(pops.where("ord = 4").withColumn("job_id", F.lit(None).cast("string")).withColumn("ord", F.lit(1).cast("long")).limit(1))
+    pops.repartition(3, F.xxhash64("job_id", "ord")).write.parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(pops.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = drained(S.stream_backoff(src, wait_minutes=None, buckets=4), str(tmp_path / "out"), str(tmp_path))
+    cols = ["job_id", "ord", "skipped", "backoff_until"]
+    want = S.C.apply_backoff(pops, None)
+    assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect())) and got.where("skipped").count()
+    assert 0 < spark.read.format("statestore").load(str(tmp_path / "ckpt")).count() <= 4

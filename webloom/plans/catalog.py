@@ -1188,9 +1188,9 @@ def _stage(df: DataFrame, tag: str) -> tuple[str, object]:
     return path, df.schema
 
 
-def _drain(df: DataFrame, tag: str) -> DataFrame:
+def _drain(df: DataFrame, tag: str, arrow_rows: int | None = None) -> DataFrame:
     out = fresh_dir(df.sparkSession, tag + "-out")
-    S.run_available(df, out, out + "-ckpt", partitions=df.sparkSession.sparkContext.defaultParallelism)
+    S.run_available(df, out, out + "-ckpt", partitions=df.sparkSession.sparkContext.defaultParallelism, arrow_rows=arrow_rows)
     return df.sparkSession.read.parquet(out)
 
 
@@ -1241,11 +1241,11 @@ def q_t3(spark, sf):
         "job_id", "ord", (F.col("scraped_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("ord") * 11).cast("int"))).alias("fetched_at"),
         (F.col("status") == "blocked").alias("blocked"))
     # pops of a job are spread over the micro-batches in any order
-    path = fresh_dir(spark, "t3-in")
-    p.repartition(F.xxhash64("job_id", "ord")).write.parquet(path)
+    path, files = fresh_dir(spark, "t3-in"), spark.sparkContext.defaultParallelism
+    p.repartition(4 * files, F.xxhash64("job_id", "ord")).write.parquet(path)
     schema = p.schema
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return _drain(S.stream_backoff(src, wait_minutes=None), "t3")
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    return _drain(S.stream_backoff(src, wait_minutes=None), "t3", S.SMALL_ROWS)
 
 
 def _t4_sql():

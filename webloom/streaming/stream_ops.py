@@ -5,25 +5,26 @@ here the same work runs on arriving captures:
 
 * T1 ``stream_scrape``        stateless extraction (X7) per micro-batch.
 * T2 ``stream_changes``       typed page state per (monitor_id, url), started from M10's table -> M7/M8.
-* T3 ``stream_backoff``       keyed (job_id) backoff deadline -> C8.
+* T3 ``stream_backoff``       backoff deadline per job_id, kept in buckets of jobs -> C8.
 * T4 ``stream_scrape_stats``  watermark + sliding 24 h window counts (Q12 form).
 * T5 ``stream_stale_jobs``    heartbeats and status changes with event-time timers (C14 form).
 * T6 ``stream_outboxes``      foreachBatch writes of both webhook outboxes and the change rows, one commit a batch.
 
 State lives in the state store under the query checkpoint (put it on the
-cluster's shared storage). T2 and T5 keep theirs in RocksDB, which holds
+cluster's shared storage). T2, T3 and T5 keep theirs in RocksDB, which holds
 large keyed state such as the last markdown of every page on disk.
 """
 
 from __future__ import annotations
 
-import json
-
 import hashlib
-from collections.abc import Iterator
+import pickle
+import time
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
@@ -43,19 +44,45 @@ def use_rocksdb(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append", partitions: int | None = None) -> None:
+SMALL_ROWS = 10_000     # rows of an Arrow batch where they hold no texts
+BUCKETS = 1024          # states of jobs that travel together; a parameter of a new query
+NONE = np.iinfo(np.int64).min   # no time; also NaT as a number
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def _packed(columns: dict[str, pa.Array]) -> bytes:
+    t = pa.table(columns)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+        out.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all()
+
+
+def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append", partitions: int | None = None,
+                  arrow_rows: int | None = None) -> None:
     """Drain every available input once into a parquet sink (batch-like
     run). ``partitions`` is the number of state partitions of a new query,
-    if not the session's number of shuffle partitions."""
-    conf, key = df.sparkSession.conf, "spark.sql.shuffle.partitions"
-    before = conf.get(key)
-    conf.set(key, str(partitions or before))
+    if not the session's number of shuffle partitions; ``arrow_rows`` the
+    rows of an Arrow batch, if not the session's."""
+    conf = df.sparkSession.conf
+    wanted = {"spark.sql.shuffle.partitions": partitions, "spark.sql.execution.arrow.maxRecordsPerBatch": arrow_rows}
+    before = {k: conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        conf.set(k, str(v or before[k]))
     try:
         q = (df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
              .outputMode(mode).trigger(availableNow=True).start())
         q.awaitTermination()
     finally:
-        conf.set(key, before)
+        for k, v in before.items():
+            conf.set(k, v)
 
 
 # ------------------------------------------------------------------ T1
@@ -140,56 +167,76 @@ def stream_changes(snapshots: DataFrame, state: DataFrame | None = None, ttl_day
 BACKOFF_OUT = T.StructType([
     T.StructField("job_id", T.StringType()), T.StructField("ord", T.LongType()),
     T.StructField("skipped", T.BooleanType()), T.StructField("backoff_until", T.TimestampNTZType())])
-BACKOFF_STATE = T.StructType([T.StructField("until", T.TimestampNTZType()), T.StructField("next_ord", T.LongType()),
-                              T.StructField("waiting", T.StringType())])
-
-
-def _backoff_fn(key, pdfs, state: GroupState):
-    until, next_ord, waiting = state.get if state.exists else (None, 1, "{}")
-    # pops that came before an earlier one wait in the state, at most a job's page budget
-    held = {int(k): (None if at is None else pd.Timestamp(at), blocked) for k, (at, blocked) in json.loads(waiting).items()}
-    for pdf in pdfs:
-        for r in pdf.itertuples(index=False):
-            if r.ord >= next_ord:       # a smaller one was handled before: a repeat
-                held[int(r.ord)] = (None if pd.isna(r.fetched_at) else r.fetched_at, bool(r.blocked))
-    step = pd.Timedelta(seconds=C.BACKOFF_STEP_SECONDS)
-    out = []
-    while next_ord in held:
-        at, blocked = held.pop(next_ord)
+BACKOFF_STATE = T.StructType([T.StructField("jobs", T.BinaryType())])
+
+
+def _fold(name: str | None, job: list, out: list) -> None:
+    """Handles the pops of a job up to the first that is missing."""
+    until, nxt, _, held = job
+    while nxt in held:
+        at, blocked = held.pop(nxt)
         skipped = until is not None and at is not None and at < until
         if not skipped and blocked:
-            until = (until if until is not None else at) + step
-        out.append((key[0], next_ord, bool(skipped), until))
-        next_ord += 1
-    state.update((until, int(next_ord), json.dumps({k: (None if at is None else str(at), b) for k, (at, b) in held.items()})))
-    yield pd.DataFrame(out, columns=[f.name for f in BACKOFF_OUT.fields])
+            since = until if until is not None else at
+            until = None if since is None else since + C.BACKOFF_STEP_SECONDS * 1_000_000
+        out.append((name, nxt, skipped, until))
+        nxt += 1
+    job[:2] = until, nxt
 
 
-def _backoff_or_gap(wait_ms: int):
+def _backoff_or_gap(wait_ms: int | None):
+    """The state of a bucket: job_id -> [until, next_ord, give_up, {ord: (at,
+    blocked)}], times in whole microseconds and give_up in milliseconds. A
+    timeout comes when the first of its jobs is due to give up a pop."""
     def run(key, pdfs, state: GroupState):
-        if state.hasTimedOut:       # the missing pop is given up: go on with the first that waits
-            until, _, waiting = state.get
-            state.update((until, min(map(int, json.loads(waiting))), waiting))
-            pdfs = iter(())
-        yield from _backoff_fn(key, pdfs, state)
-        if json.loads(state.get[2]):
-            state.setTimeoutDuration(wait_ms)
+        jobs = pickle.loads(state.get[0]) if state.exists else {}
+        now = time.time_ns() // 1_000_000
+        if state.hasTimedOut:
+            now = max(now, min((j[2] for j in jobs.values() if j[2] is not None), default=now))
+        touched, out = {}, []
+        for pdf in pdfs:
+            ats = pdf["fetched_at"].to_numpy("datetime64[us]")
+            for name, o, at, blocked in zip(pdf["job_id"].tolist(), pdf["ord"].tolist(), ats.astype("int64").tolist(), pdf["blocked"].tolist()):
+                name = _text(name)
+                job = touched.get(name)
+                if job is None:
+                    job = touched[name] = jobs.setdefault(name, [None, 1, None, {}])
+                if o >= job[1]:       # a smaller one was handled before: a repeat
+                    # pops that came before an earlier one wait in the state, at most a job's page budget
+                    job[3][int(o)] = (None if at == NONE else at, blocked is True)
+        for name, job in touched.items():
+            _fold(name, job, out)
+            job[2] = now + wait_ms if wait_ms and job[3] else None
+        due = [n for n, j in jobs.items() if j[2] is not None and j[2] <= now] if wait_ms else []
+        for name in due:              # the missing pop is given up: go on with the first that waits
+            job = jobs[name]
+            job[1] = min(job[3])
+            _fold(name, job, out)
+            job[2] = now + wait_ms if job[3] else None
+        state.update((pickle.dumps(jobs, 5),))
+        first = min((j[2] for j in jobs.values() if j[2] is not None), default=None) if wait_ms else None
+        if first is not None:
+            state.setTimeoutDuration(max(first - now, 1))
+        if out:
+            got = pd.DataFrame(out, columns=BACKOFF_OUT.fieldNames())
+            got["backoff_until"] = pd.to_datetime(got["backoff_until"].astype("Int64"), unit="us")
+            yield got
     return run
 
 
-def stream_backoff(pops: DataFrame, wait_minutes: int | None = 10) -> DataFrame:
+def stream_backoff(pops: DataFrame, wait_minutes: int | None = 10, buckets: int = BUCKETS) -> DataFrame:
     """C8 as keyed state per job over (job_id, ord, fetched_at, blocked).
     A job's pops are numbered from 1 and may arrive in any order: each is
     handled once all earlier ones are, or once nothing new of its job came
     for ``wait_minutes`` (processing time); a pop that comes later than that
     has no row. Without ``wait_minutes`` a missing pop is waited for until
     the stream ends, as a drained one must (processing-time timers keep an
-    ``availableNow`` query running)."""
-    if wait_minutes is None:
-        return pops.groupBy("job_id").applyInPandasWithState(
-            _backoff_fn, BACKOFF_OUT, BACKOFF_STATE, "append", GroupStateTimeout.NoTimeout)
-    return pops.groupBy("job_id").applyInPandasWithState(
-        _backoff_or_gap(wait_minutes * 60_000), BACKOFF_OUT, BACKOFF_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    ``availableNow`` query running). The states of the jobs of a bucket
+    travel together."""
+    use_rocksdb(pops.sparkSession)
+    timeout = GroupStateTimeout.NoTimeout if wait_minutes is None else GroupStateTimeout.ProcessingTimeTimeout
+    return pops.select(_bucket(buckets), "job_id", "ord", "fetched_at", "blocked").groupBy("bucket").applyInPandasWithState(
+        _backoff_or_gap(None if wait_minutes is None else wait_minutes * 60_000), BACKOFF_OUT, BACKOFF_STATE, "append", timeout)
 
 
 # ------------------------------------------------------------------ T4
