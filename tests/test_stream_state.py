@@ -162,3 +162,14 @@ def test_backoff_keeps_the_jobs_of_a_bucket_together(spark, tmp_path):
     want = S.C.apply_backoff(pops, None)
     assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect())) and got.where("skipped").count()
     assert 0 < spark.read.format("statestore").load(str(tmp_path / "ckpt")).count() <= 4
+
+
+def test_stale_jobs_of_a_bucket_share_a_state(spark, tmp_path):
+    at = lambda m: DAY + dt.timedelta(minutes=m)
+    src = batches(spark, str(tmp_path / "in"), "job_id string, ts timestamp_ntz, status string",
+                  [(f"j{i}", at(i % 5), "failed" if i % 10 == 3 else "running") for i in range(600)] + [(f"j{i}", at(i % 5), None) for i in range(600)] + [(None, at(1), "running"), (None, at(2), None)],
+                  [(f"j{i}", at(10), None) for i in range(0, 600, 2)], [("z", at(20), None)], [("z", at(21), None)])
+    got = drained(S.stream_stale_jobs(src, buckets=4), str(tmp_path / "out"), str(tmp_path)).select("job_id", F.col("last_heartbeat_at").cast("timestamp_ntz").alias("at")).collect()
+    want = [(f"j{i}", at(10 if i % 2 == 0 else i % 5)) for i in range(600) if i % 10 != 3] + [(None, at(2))]
+    assert sorted(((r.job_id, r["at"]) for r in got), key=str) == sorted(want, key=str)
+    assert 0 < spark.read.format("statestore").option("stateVarName", "jobs").load(str(tmp_path / "ckpt")).count() <= 4

@@ -1201,6 +1201,9 @@ def _stage_slices(df: DataFrame, tcol: str, tag: str, slices: int = 4) -> tuple[
     Returns (path, files a slice)."""
     spark = df.sparkSession
     path, files = fresh_dir(spark, tag), spark.sparkContext.defaultParallelism
+    whole = path + "-whole"         # derived once, read once a slice
+    df.write.parquet(whole)
+    df = spark.read.schema(df.schema).parquet(whole)
     b = df.agg(F.min(tcol).alias("lo"), F.max(tcol).alias("hi")).collect()[0]
     step = (b.hi - b.lo) // slices   # whole microseconds, like the oracle
     for i in range(slices):
@@ -1307,7 +1310,7 @@ def q_t5(spark, sf):
     events = hb.unionByName(began)
     path, files = _stage_slices(events, "ts", "t5-in")
     src = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(path)
-    return _drain(S.stream_stale_jobs(src), "t5").select(
+    return _drain(S.stream_stale_jobs(src), "t5", S.SMALL_ROWS).select(
         "job_id", F.col("last_heartbeat_at").cast("timestamp_ntz").alias("last_heartbeat_at"))
 
 

@@ -268,65 +268,86 @@ STALE_MS = 120_000
 
 
 class _Stale(StatefulProcessor):
-    """A job's status and last heartbeat; one timer at the heartbeat's end."""
+    """Status and last heartbeat of every job of a bucket. Each job's timer
+    is its heartbeat's end; the bucket has one, at the first of them."""
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.beat = handle.getValueState("beat", "us long")
-        self.status = handle.getValueState("status", "status string, us long")
-
-    def _report(self, key):
-        us = self.beat.get()[0]
-        self.beat.clear()
-        yield pd.DataFrame({"job_id": [key[0]], "last_heartbeat_at": [pd.Timestamp(us, unit="us")]})
+        self.jobs = handle.getValueState("jobs", "jobs binary")
+
+    def _load(self):
+        """(job ids, heartbeats, statuses, their times, whether a timer is set)"""
+        if not self.jobs.exists():
+            return np.zeros(0, object), np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0, np.int64), np.zeros(0, bool)
+        t = _unpacked(self.jobs.get()[0])
+        return tuple(t[c].to_numpy() for c in ("job_id", "beat", "status", "since", "timer"))
+
+    def _save(self, ids, beat, status, since, timer) -> None:
+        self.jobs.update((_packed({"job_id": pa.array(ids, pa.string()), "beat": pa.array(beat), "status": pa.array(status, pa.string()),
+                                   "since": pa.array(since), "timer": pa.array(timer)}),))
+
+    def _expire(self, told, watermark, ids, beat, status, since, timer) -> pd.DataFrame:
+        """Ends the timers that event time has passed; the rows of the jobs
+        that ran, after those of ``told``, which are stale already."""
+        ended = timer & (_deadline(beat) <= watermark)
+        timer[ended] = False
+        stale = told | (ended & (status == "running"))
+        out = pd.DataFrame({"job_id": ids[stale], "last_heartbeat_at": beat[stale].astype("datetime64[us]")})
+        beat[stale] = NONE
+        if timer.any():
+            self.handle.registerTimer(int(_deadline(beat)[timer].min()))
+        self._save(ids, beat, status, since, timer)
+        return out
 
     def handleInputRows(self, key, rows, timerValues):
-        beat = self.beat.get()[0] if self.beat.exists() else None
-        status, since = self.status.get() if self.status.exists() else (None, None)
-        before = beat
-        for pdf in rows:
-            for at, new in zip(pdf["ts"], pdf["status"]):
-                us = _micros(at)
-                if isinstance(new, str):
-                    if since is None or us >= since:
-                        status, since = new, us
-                elif beat is None or us > beat:
-                    beat = us
-        if since is not None:
-            self.status.update((status, since))
-        if before is not None:
-            self.handle.deleteTimer(before // 1000 + STALE_MS)
-        if beat is not None:
-            self.beat.update((beat,))
-            deadline = beat // 1000 + STALE_MS
-            if status == "running" and deadline <= timerValues.getCurrentWatermarkInMs():
-                yield from self._report(key)        # older than event time allows: stale now
-                return
-            self.handle.registerTimer(deadline)
-        yield pd.DataFrame([], columns=STALE_OUT.fieldNames())
+        new = pd.concat(list(rows), ignore_index=True)
+        ids, *old = self._load()
+        if old[3].any():
+            self.handle.deleteTimer(int(_deadline(old[0])[old[3]].min()))
+        at, names = pd.factorize(np.concatenate([ids, new["job_id"].to_numpy(object)]), use_na_sentinel=False)
+        at, ids = at[len(ids):], np.array([_text(n) for n in names], object)
+        beat, status, since, timer = (np.concatenate([o, np.full(len(ids) - len(o), e, o.dtype)]) for o, e in zip(old, (NONE, None, NONE, False)))
+        us = new["ts"].to_numpy("datetime64[us]").astype(np.int64)
+        said = new["status"].notna().to_numpy()
+        np.maximum.at(beat, at[~said], us[~said])
+        # the latest status counts, of equal times the one that came last
+        told = np.flatnonzero(said & (us != NONE))
+        told = told[np.lexsort((told, us[told], at[told]))]
+        told = told[np.append(at[told][1:] != at[told][:-1], True)] if len(told) else told
+        told = told[us[told] >= since[at[told]]]
+        status[at[told]], since[at[told]] = new["status"].to_numpy(object)[told], us[told]
+        touched = np.zeros(len(ids), bool)
+        touched[at] = True
+        touched &= beat != NONE
+        watermark = timerValues.getCurrentWatermarkInMs()
+        stale = touched & (status == "running") & (_deadline(beat) <= watermark)      # older than event time allows
+        timer = (timer | touched) & ~stale
+        yield self._expire(stale, watermark, ids, beat, status, since, timer)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        status = self.status.get()[0] if self.status.exists() else None
-        if status == "running" and self.beat.exists():
-            yield from self._report(key)
-        else:
-            yield pd.DataFrame([], columns=STALE_OUT.fieldNames())
+        ids, *state = (x.copy() for x in self._load())
+        yield self._expire(np.zeros(len(ids), bool), timerValues.getCurrentWatermarkInMs(), ids, *state)
 
     def close(self) -> None:
         pass
 
 
-def stream_stale_jobs(events: DataFrame, watermark: str = "0 seconds") -> DataFrame:
+def _deadline(beat: np.ndarray) -> np.ndarray:
+    return beat // 1000 + STALE_MS
+
+
+def stream_stale_jobs(events: DataFrame, watermark: str = "0 seconds", buckets: int = BUCKETS) -> DataFrame:
     """T5: a running job is reported stale once event time passes its last
     heartbeat + 2 minutes without a newer one, once per silence.
 
     ``events``: (job_id, ts, status); a row with a status is a status
     change, one without is a heartbeat. A job counts as running from a
     ``running`` row until its next status change; a job that ended between
-    heartbeats is not reported."""
+    heartbeats is not reported. The states of the jobs of a bucket travel
+    together."""
     use_rocksdb(events.sparkSession)
-    ev = events.select("job_id", F.col("ts").cast("timestamp").alias("ts"), "status").withWatermark("ts", watermark)
-    return ev.groupBy("job_id").transformWithStateInPandas(_Stale(), STALE_OUT, "Append", "EventTime")
+    ev = events.select(_bucket(buckets), "job_id", F.col("ts").cast("timestamp").alias("ts"), "status").withWatermark("ts", watermark)
+    return ev.groupBy("bucket").transformWithStateInPandas(_Stale(), STALE_OUT, "Append", "EventTime")
 
 
 # ------------------------------------------------------------------ T6
