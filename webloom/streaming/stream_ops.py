@@ -111,14 +111,20 @@ class _Changes(StatefulProcessor):
         self.page = handle.getValueState("page", PAGE_STATE, self.ttl_ms) if self.ttl_ms else handle.getValueState("page", PAGE_STATE)
 
     def handleInitialState(self, key, rows, timerValues) -> None:
-        r = rows.sort_values("last_checked_at").iloc[-1]
+        if len(rows) > 1:
+            rows = rows.sort_values("last_checked_at")
+        *_, r = rows.itertuples(index=False)
         if isinstance(r.last_content_hash, str):
             self.page.update((r.last_content_hash, _text(r.last_markdown), _text(r.last_etag), _text(r.last_modified), _micros(r.last_checked_at)))
 
     def handleInputRows(self, key, rows, timerValues):
-        now = self.page.get() if self.page.exists() else None
+        now = self.page.get()
         out, new = [], now
-        for r in pd.concat(list(rows), ignore_index=True).sort_values("checked_at", kind="stable").itertuples(index=False):
+        rows = list(rows)
+        new_rows = rows[0] if len(rows) == 1 else pd.concat(rows, ignore_index=True)
+        if len(new_rows) > 1:
+            new_rows = new_rows.sort_values("checked_at", kind="stable")
+        for r in new_rows.itertuples(index=False):
             at = _micros(r.checked_at)
             if new is not None and new[4] is not None and at <= new[4]:
                 continue  # replay or older than the stored state: ignored
@@ -131,7 +137,8 @@ class _Changes(StatefulProcessor):
             new = (h, r.markdown, etag, modified, at)
         if new is not now:
             self.page.update(new)
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in CHANGE_SCHEMA.split(", ")])
+        if out:         # a frame a page with changes only: most pages of a run have none
+            yield pd.DataFrame(out, columns=[f.split()[0] for f in CHANGE_SCHEMA.split(", ")])
 
     def close(self) -> None:
         pass
