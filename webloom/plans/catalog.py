@@ -1543,10 +1543,13 @@ def q_unchanged(spark, sf):
 def q_monitor_crawl(spark, sf):
     """M16 over real crawls: run 1 crawls the earlier capture into monitor
     state, run 2 crawls the current capture; returns the run's change
-    records (monitor_id, url, diff)."""
+    records (monitor_id, url, diff). Both captures are laid out once; a
+    crawl reads its captures twice."""
     mons = FX.crawl_monitors(spark, sf)
-    first = MR.crawl_snapshot(spark, mons, FX.crawl_responses_previous(spark, sf), "2024-01-29 12:00:00")
+    earlier, current = (PC._materialize(c, fresh_dir(spark, "captures"))
+                        for c in (FX.crawl_responses_previous(spark, sf), FX.crawl_responses(spark, sf)))
+    first = MR.crawl_snapshot(spark, mons, earlier, "2024-01-29 12:00:00")
     empty = spark.createDataFrame([], MR.M.snapshot_state(FX.monitor_prev(spark, sf)).schema)
     state = M.upsert_monitor_pages(empty, first)
-    run = MR.monitor_run_crawl(spark, mons, state, FX.crawl_responses(spark, sf), _RUN_AT)
+    run = MR.monitor_run_crawl(spark, mons, state, current, _RUN_AT)
     return run.change_rows.select("monitor_id", "url", "diff")

@@ -46,6 +46,7 @@ from ..sources.buckets import BucketTable
 NO_CAPTURE = "no capture for URL"
 NO_RENDERING = "no rendering captured"
 FEW_HOSTS = 10_000      # hosts up to which they are sent to all tasks (under 1 MB)
+BUCKET_ROWS = 20_000    # facts or visited URLs that a bucket is meant for
 
 
 @dataclass
@@ -194,10 +195,19 @@ class _Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self.commits = {c["round"]: c for c in folders.get_jsons(spark, f"{self.root}/commits")}
-        n = self.commits[0]["buckets"] if self.commits else int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if self.commits:
+            self.deal(self.commits[0]["buckets"])
+
+    def deal(self, n: int) -> None:
         self.buckets = n
-        self.facts = BucketTable(spark, f"{self.root}/facts", ["url"], n)
-        self.visited = BucketTable(spark, f"{self.root}/visited", ["job_id", "url"], n)
+        self.facts = BucketTable(self.spark, f"{self.root}/facts", ["url"], n)
+        self.visited = BucketTable(self.spark, f"{self.root}/visited", ["job_id", "url"], n)
+
+    def deal_for(self, rows: int) -> None:
+        """Buckets for so many rows. Every round has a task or more a bucket,
+        so small crawls take fewer than there are shuffle partitions."""
+        most, cores = int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism
+        self.deal(min(most, max(cores, -(-rows // BUCKET_ROWS))))
 
     def table(self, name: str, df: DataFrame | None = None) -> DataFrame:
         return _materialize(df, f"{self.root}/{name}") if df is not None else self.spark.read.parquet(f"{self.root}/{name}")
@@ -252,7 +262,11 @@ def crawl(spark: SparkSession, jobs: DataFrame, responses: DataFrame, sitemaps:
                                       "include_patterns", "exclude_patterns", "uses_sitemap", "webhook_url",
                                       F.coalesce(engine, F.lit("auto")).alias("engine"), F.lit(rendered is not None).alias("has_renderings")))
     hosts = cfg.where("seed_host is not null").select(F.col("seed_host").alias("host")).distinct()
-    at.facts.append(page_facts(responses, rendered, hosts))
+    extracted = at.table("extracted", page_facts(responses, rendered, hosts))
+    urls = cfg.agg(F.sum("max_pages")).first()[0] or 0
+    at.deal_for(max(extracted.count(), urls * C.DISCOVERY_FACTOR))
+    at.facts.append(extracted)
+    folders.delete(spark, f"{at.root}/extracted")
     attempt = uuid.uuid4().hex
     # seeds are always within budget (sitemap seeds are cut to max_pages)
     at.visited.append(frontier.select("job_id", "url", "depth", "ord", F.lit(True).alias("processable"),

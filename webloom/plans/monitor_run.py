@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import monitor as M
+from ..session import fresh_dir
 
 
 @dataclass
@@ -77,8 +78,10 @@ def crawl_snapshot(spark, monitors: DataFrame, captures: DataFrame, run_at: str,
     checked_at). The validators of ``state`` go with the requests (M6); a 304
     (scraped, no markdown) keeps status 304 so it counts as checked but is
     never diffed. With ``rendered`` captures blocked, thin and unchanged
-    pages are taken from their rendering, which has no validators."""
-    from .crawl import crawl
+    pages are taken from their rendering, which has no validators. The rows
+    are stored: a run reads them several times, and each reading of lazy rows
+    would convert every page again."""
+    from .crawl import _materialize, crawl
     jobs = monitors.select("id", "url", "max_depth", "max_pages", "include_patterns", "exclude_patterns",
                            "webhook_url")
     known = None
@@ -88,10 +91,11 @@ def crawl_snapshot(spark, monitors: DataFrame, captures: DataFrame, run_at: str,
             F.col("monitor_id").alias("job_id"), "url", header("last_etag").alias("if_none_match"), header("last_modified").alias("if_modified_since"))
     r = crawl(spark, jobs, captures, sitemaps, robots, rendered=rendered, validators=known)
     scraped = F.col("status") == "scraped"
-    return r.pages.join(r.validators, ["job_id", "url"], "left").select(
+    rows = r.pages.join(r.validators, ["job_id", "url"], "left").select(
         F.col("job_id").alias("monitor_id"), "url",
         F.when(scraped & F.col("markdown").isNotNull(), 200).when(scraped, 304).otherwise(0).alias("http_status"),
         "markdown", "etag", "last_modified", F.lit(run_at).cast("timestamp_ntz").alias("checked_at"))
+    return _materialize(rows, fresh_dir(spark, "snapshot"))
 
 
 def monitor_run_crawl(spark, monitors: DataFrame, state: DataFrame, captures: DataFrame, run_at: str,

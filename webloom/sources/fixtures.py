@@ -34,6 +34,7 @@ AGENT_TOKEN = USER_AGENT.split("/")[0]   # product token of the crawler's User-A
 AS_OF = "2024-01-30 12:00:00"          # rolling statistics clock (events span January 2024)
 JOBS_AS_OF = "1998-08-02 00:03:00"     # heartbeat clock for stale-job checks
 FETCH_EPOCH = "2024-01-30 00:00:00"    # capture time base of responses
+PAGE_RUN = 1_000                       # page ids that are ranked together in a link graph
 
 
 def _ts(s: str):
@@ -209,12 +210,21 @@ def monitor_cur(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def link_graph_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages ranked per host (by page_id) with their host and rank."""
-    p = driver_table(spark, sf_dir, "pages")
+    """Pages ranked per host (by page_id) with their host and rank.
+
+    One host may hold a large share of the pages, so no task takes a whole
+    host with its HTML: a page is ranked within its host's run of page ids,
+    and the pages of the host's earlier runs, counted without HTML, are
+    added. A run is a struct, so that null hosts and ids join too."""
     host = F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
-    w = Window.partitionBy("host").orderBy("page_id")
-    return (p.select("page_id", "url", "html", host.alias("host"))
-             .withColumn("rank", F.row_number().over(w))
+    p = driver_table(spark, sf_dir, "pages").select("page_id", "url", "html", host.alias("host")) \
+        .withColumn("run", F.struct("host", F.floor(F.col("page_id") / PAGE_RUN).alias("no")))
+    earlier = Window.partitionBy("run.host").orderBy("run.no").rowsBetween(Window.unboundedPreceding, -1)
+    before = p.groupBy("run").agg(F.count(F.lit(1)).alias("n")) \
+              .select("run", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("run").orderBy("page_id"))
+    return (p.withColumn("place", place).join(before, "run")
+             .select("page_id", "url", "html", "host", (F.col("before") + F.col("place")).cast("int").alias("rank"))
              .withColumn("path", F.concat(F.lit("/n/"), F.col("rank").cast("string"))))
 
 
