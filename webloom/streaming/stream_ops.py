@@ -198,7 +198,7 @@ def _backoff_or_gap(wait_ms: int | None):
     def run(key, pdfs, state: GroupState):
         jobs = pickle.loads(state.get[0]) if state.exists else {}
         now = time.time_ns() // 1_000_000
-        if state.hasTimedOut:
+        if wait_ms and state.hasTimedOut:
             now = max(now, min((j[2] for j in jobs.values() if j[2] is not None), default=now))
         touched, out = {}, []
         for pdf in pdfs:
@@ -231,6 +231,9 @@ def _backoff_or_gap(wait_ms: int | None):
     return run
 
 
+_backoff_fn = _backoff_or_gap(None)     # waits for a missing pop without end
+
+
 def stream_backoff(pops: DataFrame, wait_minutes: int | None = 10, buckets: int = BUCKETS) -> DataFrame:
     """C8 as keyed state per job over (job_id, ord, fetched_at, blocked).
     A job's pops are numbered from 1 and may arrive in any order: each is
@@ -243,7 +246,7 @@ def stream_backoff(pops: DataFrame, wait_minutes: int | None = 10, buckets: int
     use_rocksdb(pops.sparkSession)
     timeout = GroupStateTimeout.NoTimeout if wait_minutes is None else GroupStateTimeout.ProcessingTimeTimeout
     return pops.select(_bucket(buckets), "job_id", "ord", "fetched_at", "blocked").groupBy("bucket").applyInPandasWithState(
-        _backoff_or_gap(None if wait_minutes is None else wait_minutes * 60_000), BACKOFF_OUT, BACKOFF_STATE, "append", timeout)
+        _backoff_fn if wait_minutes is None else _backoff_or_gap(wait_minutes * 60_000), BACKOFF_OUT, BACKOFF_STATE, "append", timeout)
 
 
 # ------------------------------------------------------------------ T4
