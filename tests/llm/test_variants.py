@@ -94,3 +94,15 @@ def test_words_odd(spark):
     plain = {r.word: r.n for r in variants.count_words(df).collect()}
     assert plain["wonderful"] == 1380 and plain["straße"] == 180
     assert variants.count_words(df.limit(0)).count() == 0
+
+
+def test_no_table_of_words_goes_to_the_driver(spark, monkeypatch):
+    """A table that is small as stored grows with its keys: no join broadcasts it."""
+    plans, whole = [], variants.stage
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(variants, "stage", lambda df, tag: plans.append(plan(df)) or whole(df, tag))
+    df = spark.createDataFrame([("wonderful", 500), ("wonderfull", 50), ("wonderfulll", 5)], "word string, n long")
+    got = variants.group(df)
+    plans.append(plan(got))
+    assert {(r.word, r.root) for r in got.collect()} == {(w, "wonderful") for w in ("wonderful", "wonderfull", "wonderfulll")}
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 5 and not [p for p in plans if "Broadcast" in p]

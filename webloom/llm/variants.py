@@ -14,6 +14,10 @@ words of one key differ in a piece of at most two code points (up to 32
 code points; a sixteenth of longer words). Joined pairs are verified by their
 edit distance inside the join.
 
+No side of a join is sent whole to the driver: Spark sizes a stored table by
+its files, which hold a word once where the join has up to 32 keys of it, and
+compressed. The joins are therefore sort-merge joins by hint.
+
 A word's form is its near word with the largest count, if that is
 ``FORM_RATIO`` times its own or more; roots follow the forms. Counts grow
 fivefold along a chain, so five doublings reach the end of any.
@@ -93,7 +97,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
         F.explode(_keys(F.col("word"), size + F.col("s.lost"), F.col("s.lost"))).alias("key"))
     a, b = F.col("word"), F.col("near")
     once = (F.length(a) == F.length(b) + 1) | ((F.length(a) == F.length(b)) & (a < b))
-    near = chunks.join(grams, (chunks["key"] == grams["key"]) & once & (F.levenshtein(a, b, 1) == 1))
+    near = chunks.join(grams.hint("merge"), (chunks["key"] == grams["key"]) & once & (F.levenshtein(a, b, 1) == 1))
     both = F.explode(F.array(F.struct("word", "n", "near", "near_n"),
                              F.struct(b.alias("word"), F.col("near_n").alias("n"), a.alias("near"), F.col("n").alias("near_n"))))
     return near.select("word", "n", "near", "near_n").select(both.alias("p")).select("p.*").distinct()
@@ -112,7 +116,7 @@ def roots(links: DataFrame) -> DataFrame:
     now = stage(links.select("word", F.col("form").alias("root")), "hops")
     for _ in range(DOUBLINGS):
         far = now.select(F.col("word").alias("root"), F.col("root").alias("far"))
-        nxt = stage(now.join(far, "root", "left").select("word", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved")), "hops")
+        nxt = stage(now.join(far.hint("merge"), "root", "left").select("word", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved")), "hops")
         release(now)
         if nxt.where("moved").isEmpty():
             break
@@ -126,5 +130,5 @@ def group(words: DataFrame) -> DataFrame:
     words = stage(words.select("word", "n"), "words")
     got = stage(forms(near_pairs(words)), "forms")
     ends = roots(got.where("form is not null"))
-    return words.join(got, "word", "left").join(ends, "word", "left").select(
+    return words.join(got.hint("merge"), "word", "left").join(ends.hint("merge"), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), "form_n")
