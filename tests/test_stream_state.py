@@ -173,3 +173,98 @@ def test_stale_jobs_of_a_bucket_share_a_state(spark, tmp_path):
     want = [(f"j{i}", at(10 if i % 2 == 0 else i % 5)) for i in range(600) if i % 10 != 3] + [(None, at(2))]
     assert sorted(((r.job_id, r["at"]) for r in got), key=str) == sorted(want, key=str)
     assert 0 < spark.read.format("statestore").option("stateVarName", "jobs").load(str(tmp_path / "ckpt")).count() <= 4
+
+
+SNAPSHOT = "monitor_id string, url string, http_status int, markdown string, etag string, last_modified string, checked_at timestamp_ntz"
+
+
+def test_changes_keep_the_pages_of_a_bucket_together(spark, tmp_path):
+    """A state value a bucket and few segments of texts, whatever the number
+    of pages; null keys, repeated rows and a page without a stored hash."""
+    text = lambda i, k: f"page {i}\n" + "the same line\n" * 60 + f"version {k}\n"
+    names = [("m", f"u{i}") for i in range(600)] + [(None, "n"), ("m", None), (None, None)]
+    state = spark.createDataFrame([(*n, sha(text(i, 0)), text(i, 0), None, None, DAY) for i, n in enumerate(names)] + [("m", "none", None, None, None, None, DAY)],
+                                  "monitor_id string, url string, last_content_hash string, last_markdown string, last_etag string, last_modified string, last_checked_at timestamp_ntz")
+    rows = lambda k, step: [(*n, 200, text(i, k if i % step == 0 else 0), f"{k}", None, DAY + dt.timedelta(hours=k)) for i, n in enumerate(names)]
+    src = batches(spark, str(tmp_path / "in"), SNAPSHOT, rows(0, 1), [*rows(1, 3), *rows(1, 3), ("m", "none", 200, "x", None, None, DAY)], rows(2, 1))
+    got = drained(S.stream_changes(src, state, buckets=4), str(tmp_path / "out"), str(tmp_path))
+    want = [(*n, sha(text(i, a)), sha(text(i, b)), f"-version {a}\n+version {b}\n", f"{b}")
+            for i, n in enumerate(names) for a, b in ([(0, 1), (1, 2)] if i % 3 == 0 else [(0, 2)])]
+    assert sorted(map(str, map(tuple, got.select("monitor_id", "url", "prev_hash", "hash", "diff", "etag").collect()))) == sorted(map(str, want))
+    stored = spark.read.format("statestore").option("stateVarName", "pages").load(str(tmp_path / "ckpt"))
+    assert 0 < stored.count() <= 4
+
+
+class _Handle:
+    """The value and the map that the page states of a bucket use."""
+
+    def __init__(self):
+        self.value, self.map = None, {}
+
+    def getValueState(self, *_):
+        value = type("Value", (), {})()
+        value.get, value.update = lambda: self.value, lambda x: setattr(self, "value", x)
+        return value
+
+    def getMapState(self, *_):
+        texts = type("Map", (), {})()
+        texts.getValue, texts.updateValue, texts.removeKey = self.map.get, self.map.__setitem__, self.map.pop
+        return texts
+
+
+def _fed(changes, hour, ms, *pages, status=200):
+    rows = pd.DataFrame([("m", u, status, t, None, None, pd.Timestamp(DAY) + pd.Timedelta(hours=hour)) for u, t in pages], columns=[c.split()[0] for c in SNAPSHOT.split(", ")])
+    clock = type("Clock", (), {"getCurrentProcessingTimeInMs": lambda self: ms})()
+    return [tuple(r) for pdf in changes.handleInputRows((0,), iter([rows]), clock) for r in pdf[["url", "diff"]].itertuples(index=False)]
+
+
+def test_texts_of_pages_lie_in_segments(monkeypatch):
+    monkeypatch.setattr(S, "SMALL_SEGMENT", 2000)
+    monkeypatch.setattr(S, "SEGMENT_BYTES", 4000)
+    handle, changes, now = _Handle(), S._Changes(None), {}
+    changes.init(handle)
+    assert _fed(changes, 0, 0, *((f"u{i}", f"{i}\n" + "x" * 1000) for i in range(20))) == [] and len(handle.map) == 7
+    now = {f"u{i}": f"{i}\n" + "x" * 1000 for i in range(20)}
+    first = dict(handle.map)
+    assert _fed(changes, 1, 0, *now.items()) == []       # nothing new: no text is written again
+    assert handle.map == first
+    assert _fed(changes, 2, 0, ("u3", None), ("u4", "y"), status=304) == [] and handle.map == first
+    for k in range(3, 120):
+        u = f"u{k * 7 % 20 if k % 3 else 5}"
+        text = f"{now[u]}\n{k}" if k % 5 else f"{k}\n"
+        assert _fed(changes, k, 0, (u, text), (u, text)) == [(u, S.render_line_diff(now[u], text))]
+        now[u] = text
+    pages, segments = changes._load(0)
+    assert dict(zip((u for _, u in pages), changes._old_texts(list(pages.values())))) == now
+    assert {k for k, in handle.map} == set(segments) and sum(segments.values()) <= 2 * sum(map(len, now.values())) and len(segments) < 20
+
+
+def test_a_page_not_fetched_for_long_is_forgotten():
+    day = 86_400_000
+    handle, changes = _Handle(), S._Changes(2 * day)
+    changes.init(handle)
+    assert _fed(changes, 0, 0, ("a", "1"), ("b", "1")) == []
+    assert _fed(changes, 1, day, ("b", "1")) == []
+    assert _fed(changes, 2, 2 * day, ("a", "2"), ("b", "2")) == [("b", "-1+2")]
+    assert _fed(changes, 3, 4 * day - 1, ("a", "3")) == [("a", "-2+3")]
+    assert {u for _, u in changes._load(4 * day)[0]} == {"a"}
+
+
+def test_a_page_whose_stored_text_is_not_that_of_its_hash():
+    handle, changes = _Handle(), S._Changes(None)
+    changes.init(handle)
+    columns = ["monitor_id", "url", "last_content_hash", "last_markdown", "last_etag", "last_modified", "last_checked_at"]
+    clock = type("Clock", (), {"getCurrentProcessingTimeInMs": lambda self: -1})()
+    changes.handleInitialState((0,), pd.DataFrame([("m", "a", sha("one"), None, None, None, DAY), ("m", "b", sha("one"), "other", None, None, DAY)], columns=columns), clock)
+    assert _fed(changes, 1, 0, ("a", "one"), ("b", "two")) == [("b", "-other+two")]
+    assert _fed(changes, 2, 0, ("a", "two")) == [("a", "-one+two")]
+
+
+def test_a_drained_stream_leaves_no_staged_rows(spark, tmp_path, monkeypatch):
+    from webloom.plans import catalog
+    from webloom.sources import folders
+    made = []
+    monkeypatch.setattr(catalog, "fresh_dir", lambda spark, tag: made.append(str(tmp_path / f"{tag}-{len(made)}")) or made[-1])
+    assert catalog.q_t2(spark, SF).count()
+    staged = [p for p in made if "t2-in" in p]
+    assert len(staged) == 1 and folders.names(spark, str(tmp_path)) and not [n for n in folders.names(spark, staged[0]) if n.startswith("part")]

@@ -25,6 +25,7 @@ from ..operators import pages as P
 from ..operators import sinks as SK
 from ..session import fresh_dir
 from ..sources import fixtures as FX
+from ..sources import folders
 from ..sources.monitor_state import MonitorState
 from ..sources import tables as TB
 from ..sources.tables import driver_table
@@ -1188,9 +1189,9 @@ def _stage(df: DataFrame, tag: str) -> tuple[str, object]:
     return path, df.schema
 
 
-def _drain(df: DataFrame, tag: str, arrow_rows: int | None = None) -> DataFrame:
+def _drain(df: DataFrame, tag: str, arrow_rows: int | None = None, partitions: int = 0, **more) -> DataFrame:
     out = fresh_dir(df.sparkSession, tag + "-out")
-    S.run_available(df, out, out + "-ckpt", partitions=df.sparkSession.sparkContext.defaultParallelism, arrow_rows=arrow_rows)
+    S.run_available(df, out, out + "-ckpt", partitions=max(partitions, df.sparkSession.sparkContext.defaultParallelism), arrow_rows=arrow_rows, **more)
     return df.sparkSession.read.parquet(out)
 
 
@@ -1223,18 +1224,31 @@ def q_t1(spark, sf):
     return _drain(S.stream_scrape(src), "t1")
 
 
+T2_BATCHES = 4
+T2_PARTITION_BYTES = 64 << 20      # of compressed staged rows a state partition: its texts are sorted in memory
+
+
 @register("t2_stream_changes", _CHANGED_SQL + """
 SELECT c.monitor_id, c.url, c.prev_hash, c.hash, m.etag, m.last_modified FROM changed c JOIN monitor_cur m USING (monitor_id, url)""")
 def q_t2(spark, sf):
     """State from the M10 table of the previous snapshot, then the
-    previous snapshot again (a replay, ignored) and the current one: M7."""
+    previous snapshot again (a replay, ignored) and the current one: M7.
+    A snapshot is staged as it comes, in about ``T2_BATCHES`` micro-batches,
+    whose files go with them, and the current one once the previous is drained."""
     prev = FX.monitor_prev(spark, sf).withColumn("http_status", F.lit(200))
     cols = ["monitor_id", "url", "http_status", "markdown", "etag", "last_modified", "checked_at"]
     path = fresh_dir(spark, "t2-in")
-    FX.monitor_cur(spark, sf).select(*cols).unionByName(prev.select(*cols)).repartition("url").write.parquet(path)
-    src = spark.readStream.schema(prev.select(*cols).schema).option("maxFilesPerTrigger", 4).parquet(path)
-    return _drain(S.stream_changes(src, _state(spark, sf)), "t2") \
-        .select("monitor_id", "url", "prev_hash", "hash", "etag", "last_modified")
+
+    def arrive(snapshot: DataFrame) -> None:
+        snapshot.select(*cols).write.mode("append").option("compression", "zstd").parquet(path)
+    arrive(prev)
+    sizes = folders.sizes(spark, path)
+    src = spark.readStream.schema(prev.select(*cols).schema).option("maxFilesPerTrigger", max(4, -(-len(sizes) // T2_BATCHES))) \
+        .option("cleanSource", "delete").parquet(path)
+    got = _drain(S.stream_changes(src, _state(spark, sf)), "t2", partitions=sum(sizes) // T2_PARTITION_BYTES, lean=True,
+                 arrivals=[lambda: arrive(FX.monitor_cur(spark, sf))])
+    folders.delete(spark, path)
+    return got.select("monitor_id", "url", "prev_hash", "hash", "etag", "last_modified")
 
 
 @register("t3_stream_backoff", _C8_SQL.replace("SELECT job_id, ord, fetched_at, blocked, skipped, backoff_until FROM fold", "SELECT job_id, ord, skipped, backoff_until FROM fold"))

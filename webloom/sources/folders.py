@@ -31,6 +31,12 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def sizes(spark: SparkSession, folder: str) -> list[int]:
+    """Bytes of the data files that lie in a folder."""
+    fs, p = _at(spark, folder)
+    return [s.getLen() for s in fs.listStatus(p) if not s.getPath().getName().startswith(("_", "."))]
+
+
 def get_json(spark: SparkSession, path: str) -> dict:
     fs, p = _at(spark, path)
     stream = fs.open(p)

@@ -4,7 +4,7 @@ The reference re-runs crawls on a schedule and keeps state in tables;
 here the same work runs on arriving captures:
 
 * T1 ``stream_scrape``        stateless extraction (X7) per micro-batch.
-* T2 ``stream_changes``       typed page state per (monitor_id, url), started from M10's table -> M7/M8.
+* T2 ``stream_changes``       last content of every (monitor_id, url), kept in buckets of pages, started from M10's table -> M7/M8.
 * T3 ``stream_backoff``       backoff deadline per job_id, kept in buckets of jobs -> C8.
 * T4 ``stream_scrape_stats``  watermark + sliding 24 h window counts (Q12 form).
 * T5 ``stream_stale_jobs``    heartbeats and status changes with event-time timers (C14 form).
@@ -20,6 +20,8 @@ from __future__ import annotations
 import hashlib
 import pickle
 import time
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -49,14 +51,17 @@ BUCKETS = 1024          # states of jobs that travel together; a parameter of a
 NONE = np.iinfo(np.int64).min   # no time; also NaT as a number
 
 
-def _bucket(buckets: int) -> Column:
-    return F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int").alias("bucket")
+def _bucket(buckets: int, *key: str) -> Column:
+    return F.pmod(F.xxhash64(*(key or ("job_id",))), F.lit(buckets)).cast("int").alias("bucket")
 
 
-def _packed(columns: dict[str, pa.Array]) -> bytes:
+TEXT_CODEC = ("zstd", 3)
+
+
+def _packed(columns: dict[str, pa.Array], codec: tuple = ("lz4", None)) -> bytes:
     t = pa.table(columns)
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec(codec[0], compression_level=codec[1]))) as out:
         out.write_table(t)
     return sink.getvalue().to_pybytes()
 
@@ -66,20 +71,33 @@ def _unpacked(blob: bytes) -> pa.Table:
 
 
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append", partitions: int | None = None,
-                  arrow_rows: int | None = None) -> None:
+                  arrow_rows: int | None = None, lean: bool = False, arrivals: Sequence[Callable[[], None]] = ()) -> None:
     """Drain every available input once into a parquet sink (batch-like
     run). ``partitions`` is the number of state partitions of a new query,
     if not the session's number of shuffle partitions; ``arrow_rows`` the
-    rows of an Arrow batch, if not the session's."""
+    rows of an Arrow batch, if not the session's. ``lean``: the shuffle
+    files of a batch go with it, and no long history of state is kept.
+    ``arrivals`` bring more input, each once all that came before is drained."""
     conf = df.sparkSession.conf
     wanted = {"spark.sql.shuffle.partitions": partitions, "spark.sql.execution.arrow.maxRecordsPerBatch": arrow_rows}
+    if lean:
+        wanted |= {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.streaming.minBatchesToRetain": 2}
     before = {k: conf.get(k) for k in wanted}
     for k, v in wanted.items():
         conf.set(k, str(v or before[k]))
     try:
-        q = (df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-             .outputMode(mode).trigger(availableNow=True).start())
-        q.awaitTermination()
+        out = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode)
+        if not arrivals:
+            out.trigger(availableNow=True).start().awaitTermination()
+        else:
+            q = out.start()
+            try:
+                for bring in arrivals:
+                    q.processAllAvailable()
+                    bring()
+                q.processAllAvailable()
+            finally:
+                q.stop()
     finally:
         for k, v in before.items():
             conf.set(k, v)
@@ -98,46 +116,139 @@ def stream_scrape(responses: DataFrame) -> DataFrame:
 
 CHANGE_SCHEMA = ("monitor_id string, url string, checked_at timestamp_ntz, prev_hash string, hash string, diff string, "
                  "etag string, last_modified string")
-PAGE_STATE = "hash string, markdown string, etag string, last_modified string, checked_us long"
+PAGE_STATE = "pages binary, segments binary"
+PAGE = ("monitor_id", "url", "hash", "etag", "last_modified", "checked_us", "seen_ms", "segment", "row", "bytes", "sure")
+PAGE_TYPES = (pa.string(),) * 5 + (pa.int64(),) * 5 + (pa.bool_(),)
+SEGMENT_BYTES = 8 << 20     # of texts written together; a longer text has a segment of its own
+SMALL_SEGMENT = 1 << 20     # larger ones are not written again while half of them counts
+
+
+@dataclass(slots=True)
+class _Page:
+    """What is known of a page. Its text lies at ``row`` of ``segment``, or is
+    new in ``text``; ``sure`` if the text is known to have the hash."""
+    hash: str
+    etag: str | None
+    last_modified: str | None
+    checked_us: int | None
+    seen_ms: int
+    segment: int = -1
+    row: int = -1
+    bytes: int = 0
+    sure: bool = True
+    text: str | None = None
 
 
 class _Changes(StatefulProcessor):
-    """The last fetched content and validators of a page."""
+    """The last fetched content and validators of the pages of a bucket. One
+    value holds all but the texts; these lie in compressed segments, which
+    are written once and again only if most of their texts count no more, or
+    if they are small beside what is added. So a batch costs a bucket a few
+    state calls, and disk only the texts that it brings."""
 
     def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle) -> None:
-        self.page = handle.getValueState("page", PAGE_STATE, self.ttl_ms) if self.ttl_ms else handle.getValueState("page", PAGE_STATE)
+        # both live as long as the page of theirs that was seen last
+        self.pages = handle.getValueState("pages", PAGE_STATE, self.ttl_ms)
+        self.texts = handle.getMapState("texts", "segment int", "texts binary", self.ttl_ms)
+
+    def _load(self, now_ms: int) -> tuple[dict, dict]:
+        """({(monitor_id, url): page}, {segment: bytes of its texts})"""
+        got = self.pages.get()
+        if got is None:
+            return {}, {}
+        t, s = map(_unpacked, got)
+        pages = {(m, u): _Page(*rest) for m, u, *rest in zip(*(t[c].to_pylist() for c in PAGE))}
+        if self.ttl_ms:
+            pages = {k: p for k, p in pages.items() if p.seen_ms + self.ttl_ms > now_ms}
+        return pages, dict(zip(s["segment"].to_pylist(), s["bytes"].to_pylist()))
+
+    def _old_texts(self, pages: list[_Page]) -> list[str | None]:
+        """The texts of pages; each segment is read once."""
+        out, stored = [p.text for p in pages], {}
+        for i, p in enumerate(pages):
+            if p.text is None and p.segment >= 0:
+                stored.setdefault(p.segment, []).append(i)
+        for no, places in stored.items():
+            texts = _unpacked(self.texts.getValue((no,))[0])["text"]
+            for i in places:
+                out[i] = texts[pages[i].row].as_py()
+        return out
+
+    def _save(self, pages: dict, segments: dict) -> None:
+        no = max(segments, default=-1) + 1
+        counts, fresh = dict.fromkeys(segments, 0), 0
+        for p in pages.values():
+            if p.text is not None:
+                fresh += p.bytes
+            elif p.segment >= 0:
+                counts[p.segment] += p.bytes
+        moved = set()
+        for k in sorted(segments, reverse=True):
+            if counts[k] * 2 < segments[k] or segments[k] <= min(fresh, SMALL_SEGMENT):
+                moved.add(k)
+                fresh += counts[k]
+        again = [p for p in pages.values() if p.text is None and p.segment in moved]
+        for p, text in zip(again, self._old_texts(again)):
+            p.text = text
+        for k in moved:
+            self.texts.removeKey((k,))
+            del segments[k]
+        rest, size = [], 0
+        for p in [*(p for p in pages.values() if p.text is not None), None]:
+            if rest and (p is None or size + p.bytes > SEGMENT_BYTES):
+                self.texts.updateValue((no,), (_packed({"text": pa.array(rest, pa.string())}, TEXT_CODEC),))
+                segments[no] = size
+                no, rest, size = no + 1, [], 0
+            if p is not None:
+                p.segment, p.row = no, len(rest)
+                rest.append(p.text)
+                size += p.bytes
+                p.text = None
+        rows = zip(*((*k, *(getattr(p, c) for c in PAGE[2:])) for k, p in pages.items())) if pages else [[]] * len(PAGE)
+        index = {c: pa.array(v, t) for c, t, v in zip(PAGE, PAGE_TYPES, rows)}
+        self.pages.update((_packed(index, TEXT_CODEC), _packed({"segment": pa.array(list(segments), pa.int64()), "bytes": pa.array(list(segments.values()), pa.int64())})))
 
     def handleInitialState(self, key, rows, timerValues) -> None:
-        if len(rows) > 1:
-            rows = rows.sort_values("last_checked_at")
-        *_, r = rows.itertuples(index=False)
-        if isinstance(r.last_content_hash, str):
-            self.page.update((r.last_content_hash, _text(r.last_markdown), _text(r.last_etag), _text(r.last_modified), _micros(r.last_checked_at)))
+        now_ms = timerValues.getCurrentProcessingTimeInMs()
+        pages, segments = self._load(now_ms)
+        last = {(_text(r.monitor_id), _text(r.url)): r for r in rows.sort_values("last_checked_at", kind="stable").itertuples(index=False)}
+        for name, r in last.items():
+            if isinstance(r.last_content_hash, str):
+                text = _text(r.last_markdown)
+                pages[name] = page = _Page(r.last_content_hash, _text(r.last_etag), _text(r.last_modified), _micros(r.last_checked_at), now_ms, text=text)
+                blob = (text or "").encode("utf-8")
+                page.bytes, page.sure = len(blob), text is not None and hashlib.sha256(blob).hexdigest() == page.hash
+        self._save(pages, segments)
 
     def handleInputRows(self, key, rows, timerValues):
-        now = self.page.get()
-        out, new = [], now
-        rows = list(rows)
-        new_rows = rows[0] if len(rows) == 1 else pd.concat(rows, ignore_index=True)
-        if len(new_rows) > 1:
-            new_rows = new_rows.sort_values("checked_at", kind="stable")
+        now_ms = timerValues.getCurrentProcessingTimeInMs()
+        pages, segments = self._load(now_ms)
+        found, was, fetched = [], [], False
+        new_rows = pd.concat(list(rows), ignore_index=True).sort_values("checked_at", kind="stable")
         for r in new_rows.itertuples(index=False):
-            at = _micros(r.checked_at)
-            if new is not None and new[4] is not None and at <= new[4]:
+            name, at = (_text(r.monitor_id), _text(r.url)), _micros(r.checked_at)
+            old = pages.get(name)
+            if old is not None and old.checked_us is not None and at <= old.checked_us:
                 continue  # replay or older than the stored state: ignored
             if r.http_status != 200 or not isinstance(r.markdown, str):
                 continue  # 304 / failures leave the state alone
-            h = hashlib.sha256(r.markdown.encode("utf-8")).hexdigest()
-            etag, modified = _text(r.etag), _text(r.last_modified)
-            if new is not None and new[0] != h:
-                out.append((key[0], key[1], r.checked_at, new[0], h, render_line_diff(new[1] or "", r.markdown), etag, modified))
-            new = (h, r.markdown, etag, modified, at)
-        if new is not now:
-            self.page.update(new)
-        if out:         # a frame a page with changes only: most pages of a run have none
+            blob = r.markdown.encode("utf-8")
+            h = hashlib.sha256(blob).hexdigest()
+            new = _Page(h, _text(r.etag), _text(r.last_modified), at, now_ms, bytes=len(blob), text=r.markdown)
+            if old is not None and old.hash != h:
+                found.append((*name, r.checked_at, old.hash, h, r.markdown, new.etag, new.last_modified))
+                was.append(old)
+            elif old is not None and old.sure and not self.ttl_ms:      # the text is there already
+                new.segment, new.row, new.text = old.segment, old.row, old.text
+            pages[name], fetched = new, True
+        if found:
+            out = [(*f[:5], render_line_diff(old or "", f[5]), *f[6:]) for f, old in zip(found, self._old_texts(was))]
+        if fetched:
+            self._save(pages, segments)
+        if found:
             yield pd.DataFrame(out, columns=[f.split()[0] for f in CHANGE_SCHEMA.split(", ")])
 
     def close(self) -> None:
@@ -152,20 +263,23 @@ def _micros(x) -> int | None:
     return None if pd.isna(x) else int(pd.Timestamp(x).value // 1000)
 
 
-def stream_changes(snapshots: DataFrame, state: DataFrame | None = None, ttl_days: int | None = None) -> DataFrame:
+def stream_changes(snapshots: DataFrame, state: DataFrame | None = None, ttl_days: int | None = None,
+                   buckets: int = BUCKETS) -> DataFrame:
     """For every fetched 200 of a page whose content differs from the
     stored one, a change row with the line diff and the new validators.
 
     ``snapshots``: (monitor_id, url, http_status, markdown, etag,
     last_modified, checked_at). ``state``: the monitor_pages table (M10) that
     a new query starts from. With ``ttl_days`` a page that is not fetched for
-    so long (processing time) is forgotten, and its next sight is a first."""
+    so long (processing time) is forgotten, and its next sight is a first.
+    The states of the pages of a bucket travel together."""
     use_rocksdb(snapshots.sparkSession)
-    src = snapshots.select("monitor_id", "url", "http_status", "markdown", "etag", "last_modified", "checked_at")
+    bucket = _bucket(buckets, "monitor_id", "url")
+    src = snapshots.select(bucket, "monitor_id", "url", "http_status", "markdown", "etag", "last_modified", "checked_at")
     first = None if state is None else state.select(
-        "monitor_id", "url", "last_content_hash", "last_markdown", "last_etag", "last_modified", "last_checked_at").groupBy("monitor_id", "url")
+        bucket, "monitor_id", "url", "last_content_hash", "last_markdown", "last_etag", "last_modified", "last_checked_at").groupBy("bucket")
     ttl = ttl_days * 86_400_000 if ttl_days else None
-    return src.groupBy("monitor_id", "url").transformWithStateInPandas(
+    return src.groupBy("bucket").transformWithStateInPandas(
         _Changes(ttl), CHANGE_SCHEMA, "Append", "ProcessingTime" if ttl else "None", initialState=first)
 
 
