@@ -82,7 +82,7 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
     wanted = {"spark.sql.shuffle.partitions": partitions, "spark.sql.execution.arrow.maxRecordsPerBatch": arrow_rows}
     if lean:
         wanted |= {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.streaming.minBatchesToRetain": 2}
-    before = {k: conf.get(k) for k in wanted}
+    before = {k: conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         conf.set(k, str(v or before[k]))
     try:
@@ -100,7 +100,7 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
                 q.stop()
     finally:
         for k, v in before.items():
-            conf.set(k, v)
+            conf.unset(k) if v is None else conf.set(k, v)
 
 
 # ------------------------------------------------------------------ T1
@@ -119,8 +119,8 @@ CHANGE_SCHEMA = ("monitor_id string, url string, checked_at timestamp_ntz, prev_
 PAGE_STATE = "pages binary, segments binary"
 PAGE = ("monitor_id", "url", "hash", "etag", "last_modified", "checked_us", "seen_ms", "segment", "row", "bytes", "sure")
 PAGE_TYPES = (pa.string(),) * 5 + (pa.int64(),) * 5 + (pa.bool_(),)
-SEGMENT_BYTES = 8 << 20     # of texts written together; a longer text has a segment of its own
-SMALL_SEGMENT = 1 << 20     # larger ones are not written again while half of them counts
+SEGMENT_BYTES = 256 << 10   # of texts written together; a longer text has a segment of its own
+SMALL_SEGMENT = 128 << 10   # larger ones are not written again while half of them counts
 
 
 @dataclass(slots=True)
